@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def pieces(batches, column: str = "text", size: int = 8 << 20):
+    """Cut batches of rows so that each holds about ``size`` characters of ``column``, and one row at least."""
+    for batch in batches:
+        ends = batch[column].map(lambda t: len(t) if t is not None else 0).cumsum().to_numpy()
+        start = 0
+        while start < len(batch):
+            done = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + size, side="right")))
+            yield batch.iloc[start:stop].reset_index(drop=True)
+            start = stop
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text is divisible by 5; such rows never train a model."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0

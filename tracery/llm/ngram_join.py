@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, partitions, small, stash, table
+from .common import components, partitions, pieces, small, stash, table
 from .shingles import mix64, shingle_hashes, word_hashes
 
 #: N-grams that one fragment of the global order holds, about; bounds the memory of a task.
-FRAGMENT_ITEMS = 3_000_000
+FRAGMENT_ITEMS = 2_000_000
 #: Parts into which the order is cut when overlaps of candidate pairs are counted.
 SEGMENTS = 8
 _BITS = np.uint64((1 << 56) - 1)
@@ -34,7 +34,7 @@ def _sets(texts: list, words: int) -> tuple[np.ndarray, np.ndarray]:
 def _profile(batches: Iterator[pd.DataFrame], words: int, fragments: int) -> Iterator[pd.DataFrame]:
     """Each batch's n-grams by fragment; one that several texts of the batch hold goes out once, without owner."""
     number = 0
-    for batch in batches:
+    for batch in pieces(batches, size=6 << 20):
         ids = batch["doc_id"].to_numpy(np.int64)
         grams, text = _sets(batch["text"].tolist(), words)
         sizes = np.bincount(text, minlength=len(ids))
@@ -89,7 +89,7 @@ def _shared_in_fragment(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _grams(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+    for batch in pieces(batches, size=6 << 20):
         grams, text = _sets(batch["text"].tolist(), words)
         cuts = np.searchsorted(text, np.arange(len(batch) + 1))
         rows = []
@@ -135,8 +135,8 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85) -> tu
     named = texts.where("doc_id is not null")
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = max(partitions(spark), size // 5 // FRAGMENT_ITEMS)
-    pieces = named.mapInPandas(lambda x: _profile(x, words, fragments), "frag int, docs binary, counts binary, grams binary")
-    counted = pieces.groupBy("frag").applyInPandas(_shared_in_fragment, "doc_id long, n long, f1 long, f2 long, shared long")
+    cut = named.mapInPandas(lambda x: _profile(x, words, fragments), "frag int, docs binary, counts binary, grams binary")
+    counted = cut.groupBy("frag").applyInPandas(_shared_in_fragment, "doc_id long, n long, f1 long, f2 long, shared long")
     profile = stash(counted.groupBy("doc_id").agg(F.max(F.struct("n", "f1", "f2")).alias("set"), F.sum("shared").alias("shared")).select("doc_id", "set.*", "shared"), "profile")
 
     found = stash(profile.where((F.col("n") > 0) & (100 * F.col("shared") >= percent * F.col("n"))).groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "n"), "found")
@@ -186,7 +186,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85) -> tu
 
 def _unnamed(texts: DataFrame, words: int) -> DataFrame:
     def sizes(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             text = _sets(batch["text"].tolist(), words)[1]
             yield pd.DataFrame({"n_shingles": np.bincount(text, minlength=len(batch))})
 
