@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from .line_dedup import OP2_SQL, op2_line_dedup
 from .ngram_join import op1_ngram_jaccard_join
+from .topk_search import OP3_SQL, op3_topk_search
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_topk_search": op3_topk_search,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": OP2_SQL,
+    "op3_topk_search": OP3_SQL,
+}
