@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .ngram_join import op1_ngram_jaccard_join
+from .packing import op8_packing
 from .topk_search import OP3_SQL, op3_topk_search
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
     "op3_topk_search": op3_topk_search,
+    "op8_packing": op8_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
