@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op7_decontamination
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .ngram_join import op1_ngram_jaccard_join
 from .packing import op8_packing
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
     "op3_topk_search": op3_topk_search,
+    "op7_decontamination": op7_decontamination,
     "op8_packing": op8_packing,
 }
 
