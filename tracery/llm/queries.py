@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op7_decontamination
+from .license_scan import OP10_SQL, op10_license_scan
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .ngram_join import op1_ngram_jaccard_join
 from .packing import op8_packing
@@ -14,9 +15,11 @@ QUERIES = {
     "op3_topk_search": op3_topk_search,
     "op7_decontamination": op7_decontamination,
     "op8_packing": op8_packing,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
     "op3_topk_search": OP3_SQL,
+    "op10_license_scan": OP10_SQL,
 }
