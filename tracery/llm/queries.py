@@ -7,12 +7,14 @@ from .license_scan import OP10_SQL, op10_license_scan
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .ngram_join import op1_ngram_jaccard_join
 from .packing import op8_packing
+from .quality import op5_quality
 from .topk_search import OP3_SQL, op3_topk_search
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
     "op3_topk_search": op3_topk_search,
+    "op5_quality": op5_quality,
     "op7_decontamination": op7_decontamination,
     "op8_packing": op8_packing,
     "op10_license_scan": op10_license_scan,
