@@ -9,6 +9,7 @@ from .ngram_join import op1_ngram_jaccard_join
 from .packing import op8_packing
 from .quality import op5_quality
 from .topk_search import OP3_SQL, op3_topk_search
+from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op7_decontamination": op7_decontamination,
     "op8_packing": op8_packing,
+    "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,
 }
 
