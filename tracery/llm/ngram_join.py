@@ -16,6 +16,10 @@ from .shingles import mix64, shingle_hashes, word_hashes
 FRAGMENT_ITEMS = 2_000_000
 #: Parts into which the order is cut when overlaps of candidate pairs are counted.
 SEGMENTS = 8
+#: Stands for several documents of one batch where an owner is meant.
+NOBODY = np.iinfo(np.int64).min
+#: Documents whose counts one task sums up.
+BUCKET_DOCS = 50_000
 _BITS = np.uint64((1 << 56) - 1)
 
 
@@ -58,7 +62,7 @@ def _profile(batches: Iterator[pd.DataFrame], words: int, fragments: int) -> Ite
         fragment = (((values >> np.uint64(24)) * np.uint64(fragments)) >> np.uint64(32)).astype(np.int64)
         by = np.argsort(fragment.astype(np.uint16) if fragments < 65536 else fragment, kind="stable")
         values, owner, fragment = values[by].astype(np.uint32), owner[by], fragment[by]
-        names = np.concatenate([[-1], ids])
+        names = np.concatenate([[NOBODY], ids])
         cuts = np.searchsorted(fragment, np.arange(fragments + 1))
         rows = []
         for f in np.flatnonzero(np.diff(cuts)):
@@ -69,23 +73,43 @@ def _profile(batches: Iterator[pd.DataFrame], words: int, fragments: int) -> Ite
             yield pd.DataFrame(rows, columns=["frag", "docs", "counts", "grams"])
 
 
-def _shared_in_fragment(rows: pd.DataFrame) -> pd.DataFrame:
-    """Per document of one fragment, how many of its n-grams another document holds too."""
+def _shared_in_fragment(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """How many n-grams of each document of one fragment another document holds too, packed by buckets of documents."""
     if rows["frag"].iloc[0] < 0:
         ids = np.concatenate([np.frombuffer(x, np.int64) for x in rows["docs"]])
-        known = np.concatenate([np.frombuffer(x, np.int32) for x in rows["counts"]])
-        rest = np.concatenate([np.frombuffer(x, np.uint64).reshape(3, -1) for x in rows["grams"]], axis=1)
-        return pd.DataFrame({"doc_id": ids, "n": rest[0].astype(np.int64), "f1": rest[1].view(np.int64), "f2": rest[2].view(np.int64), "shared": known.astype(np.int64)})
-    docs = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, np.int32)) for d, c in zip(rows["docs"], rows["counts"], strict=True)])
-    grams = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["grams"]])
-    order = np.argsort(grams)
-    ordered = grams[order]
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    group = np.cumsum(new) - 1
-    owners = docs[order]
-    several = (np.bincount(group) > 1) | (np.bincount(group, weights=owners < 0) > 0)
-    ids, counts = np.unique(owners[several[group] & (owners >= 0)], return_counts=True)
-    return pd.DataFrame({"doc_id": ids, "n": 0, "f1": 0, "f2": 0, "shared": counts})
+        counts = np.concatenate([np.frombuffer(x, np.int32) for x in rows["counts"]])
+        sets = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in rows["grams"]], axis=1)
+    else:
+        docs = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, np.int32)) for d, c in zip(rows["docs"], rows["counts"], strict=True)])
+        grams = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["grams"]])
+        order = np.argsort(grams)
+        ordered = grams[order]
+        group = np.cumsum(np.concatenate([[True], ordered[1:] != ordered[:-1]])) - 1
+        owners = docs[order]
+        several = (np.bincount(group) > 1) | (np.bincount(group, weights=owners == NOBODY) > 0)
+        ids, counts = np.unique(owners[several[group] & (owners != NOBODY)], return_counts=True)
+        sets = np.zeros((3, 0), np.int64)
+    bucket = (mix64(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    out = []
+    for k in np.flatnonzero(np.diff(cuts)):
+        own = order[cuts[k] : cuts[k + 1]]
+        out.append((int(k), ids[own].tobytes(), counts[own].astype(np.int32).tobytes(), sets[:, own].tobytes() if sets.size else b""))
+    return pd.DataFrame(out, columns=["bucket", "docs", "counts", "sets"])
+
+
+def _summed(rows: pd.DataFrame) -> pd.DataFrame:
+    """The profile of each document of a bucket: its set's size and sums, and its shared n-grams in all fragments."""
+    ids = np.concatenate([np.frombuffer(x, np.int64) for x in rows["docs"]])
+    counts = np.concatenate([np.frombuffer(x, np.int32) for x in rows["counts"]])
+    distinct, back = np.unique(ids, return_inverse=True)
+    shared = np.bincount(back, weights=counts, minlength=len(distinct)).astype(np.int64)
+    own = np.concatenate([np.frombuffer(d, np.int64) for d, s in zip(rows["docs"], rows["sets"], strict=True) if s])
+    sets = np.concatenate([np.frombuffer(s, np.int64).reshape(3, -1) for s in rows["sets"] if s], axis=1)
+    order = np.lexsort((sets[2], sets[1], sets[0], own))
+    last = order[np.flatnonzero(np.concatenate([own[order][1:] != own[order][:-1], [True]]))]
+    return pd.DataFrame({"doc_id": distinct, "n": sets[0, last], "f1": sets[1, last], "f2": sets[2, last], "shared": shared})
 
 
 def _grams(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
@@ -133,11 +157,12 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85) -> tu
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     named = texts.where("doc_id is not null")
-    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, number = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    buckets = max(partitions(spark), number // BUCKET_DOCS)
     fragments = max(partitions(spark), size // 5 // FRAGMENT_ITEMS)
     cut = named.mapInPandas(lambda x: _profile(x, words, fragments), "frag int, docs binary, counts binary, grams binary")
-    counted = cut.groupBy("frag").applyInPandas(_shared_in_fragment, "doc_id long, n long, f1 long, f2 long, shared long")
-    profile = stash(counted.groupBy("doc_id").agg(F.max(F.struct("n", "f1", "f2")).alias("set"), F.sum("shared").alias("shared")).select("doc_id", "set.*", "shared"), "profile")
+    counted = cut.groupBy("frag").applyInPandas(lambda x: _shared_in_fragment(x, buckets), "bucket int, docs binary, counts binary, sets binary")
+    profile = stash(counted.groupBy("bucket").applyInPandas(_summed, "doc_id long, n long, f1 long, f2 long, shared long"), "profile")
 
     found = stash(profile.where((F.col("n") > 0) & (100 * F.col("shared") >= percent * F.col("n"))).groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "n"), "found")
     sets = named.join(small(found), "doc_id").select("doc_id", "n", "text").mapInPandas(lambda x: _grams(x, words), "doc_id long, n long, segment int, grams array<long>")
