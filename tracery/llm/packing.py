@@ -19,8 +19,8 @@ BUCKET_TOKENS = 6_000_000
 SAMPLE_ROWS = 4000
 #: Dimensions of the curve, bits of each, and bits of the document's own hash below them.
 DIMS, BITS, TIE_BITS = 4, 10, 23
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 600_000
+#: Words whose ids a worker remembers, twice at most.
+CACHE_WORDS = 250_000
 
 _LETTER_END = re.compile(rb"^(.*[a-z])([.,;:!?%#*$&|]+)$", re.S)
 
@@ -44,28 +44,42 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {b"": b""}
+        self.older: dict[bytes, bytes] = {}
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known = {b"": b""}
-        parts = {w: m.groups() if (m := _LETTER_END.match(w)) else (w,) for w in words}
-        new = list({p for ps in parts.values() for p in ps if p not in self.known})
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {b"": b""}, self.known
+        known, older = self.known, self.older
+        parts = {}
+        for w in words.difference(known):
+            if (code := older.get(w)) is not None:
+                known[w] = code
+            else:
+                parts[w] = m.groups() if (m := _LETTER_END.match(w)) else (w,)
+        new = list({p for ps in parts.values() for p in ps if p not in known})
         for word, code in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            self.known[word] = np.array(code.ids, "<u4").tobytes()
+            known[word] = np.array(code.ids, "<u4").tobytes()
         for word, ps in parts.items():
             if len(ps) > 1:
-                self.known[word] = self.known[ps[0]] + self.known[ps[1]]
+                known[word] = known[ps[0]] + known[ps[1]]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         runs = [t.encode("utf-8", "replace").lower().replace(b"\n", b" ").split(b" ") for t in texts]
-        words = set().union(*runs)
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known = {b"": b""}
-        self._learn({w for w in words if w not in self.known})
+        self._learn(set().union(*runs))
         known = self.known
         return [np.frombuffer(b"".join([known[w] for w in r]), "<u4") for r in runs]
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """This process's encoder; a worker keeps it, with the words it knows, from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
     """Place of integer points (rows of 0..2**bits-1) along the Hilbert curve of their dimensions."""
     x = points.astype(np.int64).T.copy()
@@ -103,14 +117,14 @@ def _vectors(ids: list[np.ndarray], directions: np.ndarray) -> np.ndarray:
     out = np.zeros((len(ids), DIMS))
     for k, own in enumerate(ids):
         if len(own):
-            out[k] = directions[own % len(directions)].mean(axis=0)
+            out[k] = np.bincount(own & 0xFFFF, minlength=1 << 16) @ directions / len(own) if len(own) > 60_000 else np.take(directions, own & 0xFFFF, axis=0).mean(axis=0)
     return out
 
 
 def _encoded(batches: Iterator[pd.DataFrame], path: str, eos: int) -> Iterator[tuple[pd.DataFrame, list, np.ndarray]]:
-    encoder, directions = WordEncoder(path), _directions(1 << 16)
-    for b in pieces(batches, size=4 << 20):
-        ids = encoder.encode([t or "" for t in b["text"]])
+    words, directions = encoder(path), _directions(1 << 16)
+    for b in pieces(batches, size=2 << 20):
+        ids = words.encode([t or "" for t in b["text"]])
         yield b, [np.append(own, np.uint32(eos)) for own in ids], _vectors(ids, directions)
 
 
