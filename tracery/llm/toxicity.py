@@ -22,6 +22,8 @@ LANDMARKS, APART = 64, 0.62
 DECAY, SKIPS = 0.6, 3
 #: Words less alike to every landmark than this add nothing to a sentence.
 FLOOR = 0.3
+#: Sentences and words of a document, the most telling ones, that its score is made of.
+TOP = 24
 #: Words that a worker remembers as harmless, and characters of a word that are compared at once.
 CACHE_WORDS, WIDTH = 800_000, 24
 
@@ -142,26 +144,30 @@ class Reader:
                 else:
                     self.harmless.update(forms[w])
 
-    def sentences(self, texts: list[str]) -> list[np.ndarray]:
-        """Of each text, the features of its sentences that have any: the largest similarity to each landmark."""
+    def read(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """Of each text, the features of its sentences that have any (the largest similarity to each landmark among
+        their words), those of its words, and how many words it has."""
         texts = [_SPELLED.sub(lambda m: re.sub(r"\W", "", m[0]), t.lower()) if re.search(r"\b\w[\s.*_-]\w\b", t) else t.lower() for t in texts]
         words = [t.split() for t in texts]
         self._learn(set().union(*words) if words else set())
         out, none = [], np.zeros((0, len(self.kernel.landmarks)), np.float32)
         like = self.like
         for text, own in zip(texts, words, strict=True):
-            if not any(w in like for w in own):
-                out.append(none)
+            near = sorted({w for w in own if w in like})
+            if not near:
+                out.append((none, none, len(own)))
                 continue
-            found = []
-            for sentence in _SENTENCE.split(text):
-                near = [like[w] for w in set(sentence.split()) if w in like]
-                if near:
-                    found.append(np.max(near, axis=0))
-            out.append(np.unique(np.stack(found), axis=0) if found else np.max([like[w] for w in own if w in like], axis=0)[None, :])
+            parts = [[like[w] for w in set(sentence.split()) if w in like] for sentence in _SENTENCE.split(text)]
+            found = [np.max(p, axis=0) for p in parts if p] or [np.max([like[w] for w in near], axis=0)]
+            out.append((_top(np.stack(found)), _top(np.stack([like[w] for w in near])), len(own)))
         return out
 
 
+def _top(rows: np.ndarray) -> np.ndarray:
+    """The rows most like a landmark; further ones would not change the sums that a score is made of."""
+    return rows[np.argsort(-rows.max(axis=1), kind="stable")[:TOP]]
+
+
 def _whiten(kernel: Kernel) -> np.ndarray:
     """The Nyström map: the inverse square root of the landmarks' own kernel."""
     values, vectors = np.linalg.eigh(kernel.similarity(kernel.landmarks).astype(np.float64))
@@ -186,37 +192,49 @@ def fit_svm(x: np.ndarray, y: np.ndarray, steps: int = 400, cost: float = 10.0)
 
 
 class Model:
-    """Landmarks, machine and the logistic curve from the worst sentence's margin to a probability."""
+    """Landmarks, machine, and the logistic curve from a document's margins to a probability."""
 
-    def __init__(self, kernel: Kernel, docs: list[tuple[np.ndarray, int]]) -> None:
+    def __init__(self, kernel: Kernel, docs: list[tuple[np.ndarray, np.ndarray, int]], y: np.ndarray) -> None:
+        y = y.astype(np.float64)
         self.kernel, self.map = kernel, _whiten(kernel)
-        y = np.array([label for _, label in docs])
-        worst = np.array([s.max(axis=1).argmax() if len(s) else -1 for s, _ in docs])
-        for _ in range(3):  # which sentence of a toxic document is the toxic one is found anew with each machine
-            x = np.stack([s[k] if len(s) else np.zeros(len(kernel.landmarks)) for (s, _), k in zip(docs, worst, strict=True)])
-            self.weights, self.bias = fit_svm(x @ self.map, y)
-            worst = np.array([self._margins(s).argmax() if len(s) else -1 for s, _ in docs])
-        margins = np.array([self.margin(s) for s, _ in docs])
-        self.curve = np.zeros(2)
-        z = np.stack([margins, np.ones(len(margins))], axis=1)
+        none = np.zeros((1, len(kernel.landmarks)))
+        clean = np.concatenate([none, *(d[0] for d, label in zip(docs, y, strict=True) if not label)])
+        toxic = [d[0] for d, label in zip(docs, y, strict=True) if label and len(d[0])]
+        worst = [int(s.max(axis=1).argmax()) for s in toxic]
+        self.weights, self.bias = np.zeros(self.map.shape[1]), -1.0
+        for _ in range(4 if toxic else 0):  # which sentence of a document is the toxic one is found anew with each machine
+            x = np.concatenate([clean, np.stack([s[k] for s, k in zip(toxic, worst, strict=True)])])
+            self.weights, self.bias = fit_svm(x @ self.map, np.arange(len(x)) >= len(clean))
+            worst = [int(self._margins(s).argmax()) for s in toxic]
+        z = np.stack([self._summary(d) for d in docs])
+        self.mean, self.scale = z.mean(axis=0), z.std(axis=0) + 1e-6
+        z = np.concatenate([(z - self.mean) / self.scale, np.ones((len(z), 1))], axis=1)
+        self.curve = np.zeros(z.shape[1])
         for _ in range(25):  # Newton's steps
             p = 1 / (1 + np.exp(-np.clip(z @ self.curve, -30, 30)))
-            self.curve -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2), z.T @ (p - y) + 1e-2 * self.curve)
+            self.curve -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(z.shape[1]), z.T @ (p - y) + 0.1 * self.curve)
 
-    def _margins(self, sentences: np.ndarray) -> np.ndarray:
-        return sentences @ (self.map @ self.weights) + self.bias
+    def _margins(self, rows: np.ndarray) -> np.ndarray:
+        return rows @ (self.map @ self.weights) + self.bias
 
-    def margin(self, sentences: np.ndarray) -> float:
-        return float(max(self._margins(sentences).max(), self.bias)) if len(sentences) else self.bias
+    def _summary(self, doc: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+        """The worst sentence, the worst words, how many are bad and how bad, and the length."""
+        sentences, words, n = doc
+        worst = max(self._margins(sentences).max(), self.bias) if len(sentences) else self.bias
+        own = np.sort(np.concatenate([self._margins(words), np.full(5, self.bias)]))[::-1]
+        steps = [np.clip((own[k] - low) / 0.4, 0, 1) for low in (-0.8, -0.4, 0.0, 0.4, 0.8) for k in (0, 1, 2)]
+        bad = [np.log1p((own > level).sum()) for level in (-0.5, 0, 0.5)]
+        return np.array([worst, own[0], own[:3].mean(), own[:5].mean(), *steps, *bad, np.log1p(n), np.log1p((own > 0).sum() / (n + 20))])
 
-    def score(self, sentences: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.curve[0] * self.margin(sentences) + self.curve[1], -30, 30))))
+    def score(self, doc: tuple[np.ndarray, np.ndarray, int]) -> float:
+        z = np.append((self._summary(doc) - self.mean) / self.scale, 1)
+        return float(1 / (1 + np.exp(-np.clip(z @ self.curve, -30, 30))))
 
 
 def choose_landmarks(words: pd.DataFrame, toxic: int, clean: int) -> list[str]:
     """Words that toxic documents hold far more often than others, the most telling first, none too like another."""
     odds = np.log((words["toxic"] + 0.1) / (toxic + 1)) - np.log((words["clean"] + 0.5) / (clean + 1))
-    words = words.assign(value=odds * words["toxic"])[odds > 1.5].sort_values(["value", "word"], ascending=[False, True]).head(1500)
+    words = words.assign(value=odds * words["toxic"])[odds > 2.5].sort_values(["value", "word"], ascending=[False, True]).head(1500)
     found = list(dict.fromkeys(w for w in map(plain, words["word"]) if 3 <= len(w) <= WIDTH - 2))
     if not found:
         return []
@@ -255,13 +273,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
         def telling_sentences(batches):
             reader = Reader(kernel)
             for b in pieces(batches, size=2 << 20):
-                found = reader.sentences(b["text"].tolist())
-                # the sentences most like a landmark, a few of each document
-                found = [s[np.argsort(-s.max(axis=1), kind="stable")[:8]] for s in found]
-                yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "x": [s.tobytes() for s in found]})
+                found = reader.read(b["text"].tolist())
+                yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "s": [d[0].tobytes() for d in found], "w": [d[1].tobytes() for d in found], "n": [d[2] for d in found]})
+
+        rows = known.select("doc_id", "label", "text").mapInPandas(telling_sentences, "doc_id long, label int, s binary, w binary, n long").toPandas().sort_values(["doc_id", "n", "s"])
+
+        def matrix(x):
+            return np.frombuffer(x, np.float32).reshape(-1, len(landmarks)).astype(np.float64)
 
-        rows = known.select("doc_id", "label", "text").mapInPandas(telling_sentences, "doc_id long, label int, x binary").toPandas().sort_values(["doc_id", "x"])
-        model = Model(kernel, [(np.frombuffer(x, np.float32).reshape(-1, len(landmarks)).astype(np.float64), y) for x, y in zip(rows["x"], rows["label"], strict=True)])
+        model = Model(kernel, [(matrix(s), matrix(w), n) for s, w, n in zip(rows["s"], rows["w"], rows["n"], strict=True)], rows["label"].to_numpy())
     known.unpersist()
 
     schema = T.StructType([*docs.schema.fields, T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())])
@@ -269,7 +289,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     def score(batches):
         reader = Reader(model.kernel) if model else None
         for b in pieces(batches, size=2 << 20):
-            yield b.assign(score=[model.score(s) for s in reader.sentences([t or "" for t in b["text"]])] if model else prior)
+            yield b.assign(score=[model.score(d) for d in reader.read([t or "" for t in b["text"]])] if model else prior)
 
     marked = docs.withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     return marked.mapInPandas(score, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
