@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op7_decontamination
+from .html_extract import op4_html_extract
 from .license_scan import OP10_SQL, op10_license_scan
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .ngram_join import op1_ngram_jaccard_join
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
     "op3_topk_search": op3_topk_search,
+    "op4_html_extract": op4_html_extract,
     "op5_quality": op5_quality,
     "op7_decontamination": op7_decontamination,
     "op8_packing": op8_packing,
