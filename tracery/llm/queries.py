@@ -9,6 +9,7 @@ from .line_dedup import OP2_SQL, op2_line_dedup
 from .ngram_join import op1_ngram_jaccard_join
 from .packing import op8_packing
 from .quality import op5_quality
+from .suffix_dedup import op6_suffix_dedup
 from .topk_search import OP3_SQL, op3_topk_search
 from .toxicity import op9_toxicity
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_topk_search": op3_topk_search,
     "op4_html_extract": op4_html_extract,
     "op5_quality": op5_quality,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
