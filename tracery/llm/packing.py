@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ DIMS, BITS, TIE_BITS = 4, 10, 23
 #: Words whose ids a worker remembers, twice at most.
 CACHE_WORDS = 250_000
 
-_LETTER_END = re.compile(rb"^(.*[a-z])([.,;:!?%#*$&|]+)$", re.S)
+_SIGNS, _ASCII_LETTERS = b".,;:!?%#*$&|", frozenset(b"abcdefghijklmnopqrstuvwxyz")
 
 
 def default_tokenizer() -> str:
@@ -45,23 +46,39 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {b"": b""}
         self.older: dict[bytes, bytes] = {}
+        self.comma = self.tokenizer.encode(",", add_special_tokens=False).ids[0]
 
     def _learn(self, words: set[bytes]) -> None:
         if len(self.known) > CACHE_WORDS:
             self.known, self.older = {b"": b""}, self.known
         known, older = self.known, self.older
-        parts = {}
+        ended, single, odd = [], set(), set()
         for w in words.difference(known):
             if (code := older.get(w)) is not None:
                 known[w] = code
+                continue
+            base = w.rstrip(_SIGNS)
+            if base != w and base and base[-1] in _ASCII_LETTERS:
+                ended.append((w, base, w[len(base) :]))
+                odd.add(w[len(base) :])
             else:
-                parts[w] = m.groups() if (m := _LETTER_END.match(w)) else (w,)
-        new = list({p for ps in parts.values() for p in ps if p not in known})
-        for word, code in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            known[word] = np.array(code.ids, "<u4").tobytes()
-        for word, ps in parts.items():
-            if len(ps) > 1:
-                known[word] = known[ps[0]] + known[ps[1]]
+                base = w
+            text = base.decode("utf-8", "replace")
+            (single if text.isalpha() else odd).add(text if text.isalpha() else base)
+        # words of letters only go together, commas between, as one text
+        plain = [w for w in single if w.encode() not in known]
+        joined = [" , ".join(plain[a : a + 64]) + " ," for a in range(0, len(plain), 64)]
+        ids = array("I", chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)))
+        cuts = (np.flatnonzero(np.frombuffer(ids, np.uint32) == self.comma) * 4).tolist()
+        raw, start = ids.tobytes(), 0
+        for w, cut in zip(plain, cuts, strict=True):
+            known[w.encode()] = raw[start:cut]
+            start = cut + 4
+        rest = [w for w in odd if w not in known]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False), strict=True):
+            known[w] = array("I", e.ids).tobytes()
+        for w, base, tail in ended:
+            known[w] = known[base] + known[tail]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         runs = [t.encode("utf-8", "replace").lower().replace(b"\n", b" ").split(b" ") for t in texts]
