@@ -15,7 +15,7 @@ from .shingles import mix64
 
 #: Bytes of contexts in one shard, about, and contexts of one string that a suffix array compares at most;
 #: those of a more frequent string are compared by counting their windows.
-SHARD_BYTES, GROUP_CONTEXTS = 3_000_000, 3000
+SHARD_BYTES, GROUP_CONTEXTS = 1_500_000, 3000
 #: Names from which the recursion ranks by doubling instead of by buckets.
 MANY_NAMES = 512
 
@@ -37,45 +37,51 @@ class Rolling:
         return mix64((self.sums[stop] - self.sums[start]) * self.inverse[start] + np.asarray(stop - start).astype(np.uint64))
 
 
-def _sliding(x: np.ndarray, w: int, accumulate) -> np.ndarray:
-    """Extreme of each run of w values, by prefixes and suffixes of blocks."""
+def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
+    """The least of each run of w values, by prefixes and suffixes of blocks."""
     n = len(x)
     fill = np.concatenate([x, np.full(-n % w, x[-1], x.dtype)]).reshape(-1, w)
-    ahead = accumulate.accumulate(fill, axis=1).ravel()
-    behind = accumulate.accumulate(fill[:, ::-1], axis=1)[:, ::-1].ravel()
-    return accumulate(behind[: n - w + 1], ahead[w - 1 : n])
+    ahead = np.minimum.accumulate(fill, axis=1).ravel()
+    behind = np.minimum.accumulate(fill[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def minimizers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, Rolling]:
-    """Places of k-byte strings whose hash is the least of some ``length`` bytes inside one text, and their hashes."""
+def minimizers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, k: int):
+    """Every window of ``length`` bytes inside one text belongs to its k-byte string of least hash (the first such):
+    places of those strings, their hashes, the first and the last window of each, and fingerprints of the data."""
     roll = Rolling(data)
-    w = length - k + 1
+    none = np.zeros(0, np.int64)
     if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), roll
+        return none, none, none, none, roll
     at = np.arange(len(data) - k + 1)
+    bits = np.uint64(max(int(len(data)).bit_length(), 1))
     hashes = roll.of(at, at + k)
-    least = _sliding(hashes, w, np.minimum)
+    least = _sliding_min((hashes >> bits << bits) | at.astype(np.uint64), length - k + 1) & np.uint64((1 << int(bits)) - 1)
     inside = np.zeros(len(least) + 1, np.int32)
     full = ends - starts >= length
     np.add.at(inside, starts[full], 1)
     np.add.at(inside, ends[full] - length + 1, -1)
-    least = np.where(np.cumsum(inside[:-1]) > 0, least, 0)
-    most = _sliding(np.concatenate([np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)]), w, np.maximum)
-    found = np.flatnonzero((most == hashes) & (hashes > 0))
-    return found, hashes[found], roll
+    window = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
+    if not len(window):
+        return none, none, none, none, roll
+    owner = least[window].astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    return owner[new], hashes[owner[new]], window[new], window[np.append(new[1:], len(window)) - 1], roll
 
 
 def _seeds(batches: Iterator[pd.DataFrame], length: int, k: int) -> Iterator[pd.DataFrame]:
-    for b in pieces(batches, size=2 << 20):
+    for b in pieces(batches, size=1 << 20):
         texts = [(t or "").encode("utf-8", "surrogatepass") for t in b["text"]]
         data = np.frombuffer(b"".join(texts), np.uint8)
         ends = np.cumsum([len(t) for t in texts])
         starts = np.concatenate([[0], ends[:-1]])
-        at, hashes, roll = minimizers(data, starts, ends, length, k)
+        at, hashes, first, last, roll = minimizers(data, starts, ends, length, k)
         doc = np.searchsorted(ends, at, side="right")
-        left, right = np.maximum(starts[doc], at - (length - k)), np.minimum(ends[doc], at + length)
-        context = mix64(roll.of(left, right) + (at - left).astype(np.uint64))
-        yield pd.DataFrame({"h": hashes.view(np.int64), "c": context.view(np.int64), "doc_id": b["doc_id"].to_numpy()[doc], "start": left - starts[doc], "stop": right - starts[doc]})
+        context = mix64(roll.of(first, last + length) + (at - first).astype(np.uint64))
+        yield pd.DataFrame({
+            "h": hashes.astype(np.uint64).view(np.int64), "c": context.view(np.int64), "doc_id": b["doc_id"].to_numpy()[doc], "start": (first - starts[doc]).astype(np.int32),
+            "before": (at - first).astype(np.int16), "size": (last + length - first).astype(np.int16),
+        })
 
 
 def classify(s: np.ndarray) -> np.ndarray:
@@ -195,22 +201,42 @@ def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
     return induce(s, small, lms[order], symbols)
 
 
-def permuted_lcp(data: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
-    """In text order, the common prefix of each suffix with the one before it in ``sa``, up to ``limit`` (by bisection)."""
+def permuted_lcp(data: np.ndarray, sa: np.ndarray, limit: int, exact: bool = True) -> np.ndarray:
+    """In text order, the common prefix of each suffix with the one before it in ``sa``, up to ``limit``; those that don't
+    reach it are bisected, or 0 without ``exact``."""
     before = np.full(len(sa), -1)
     before[sa[1:]] = sa[:-1]
-    at = np.flatnonzero(before >= 0)
     roll = Rolling(data)
-    room = np.minimum(limit, len(data) - np.maximum(at, before[at]))
-    low = np.zeros(len(at), np.int64)
-    step = 1 << max(int(limit).bit_length() - 1, 0)
-    while step:
-        longer = np.minimum(low + step, room)
-        same = roll.of(at, at + longer) == roll.of(before[at], before[at] + longer)
-        low = np.where(same, longer, low)
-        step >>= 1
+    at = np.flatnonzero((before >= 0) & (np.maximum(np.arange(len(sa)), before) + limit <= len(data)))
     out = np.zeros(len(sa), np.int64)
-    out[at] = low
+    out[at[roll.of(at, at + limit) == roll.of(before[at], before[at] + limit)]] = limit
+    if exact:
+        at = np.flatnonzero((before >= 0) & (out == 0))
+        room = np.minimum(limit, len(data) - np.maximum(at, before[at]))
+        low = np.zeros(len(at), np.int64)
+        step = 1 << max(int(limit).bit_length() - 1, 0)
+        while step:
+            longer = np.minimum(low + step, room)
+            low = np.where(roll.of(at, at + longer) == roll.of(before[at], before[at] + longer), longer, low)
+            step >>= 1
+        out[at] = low
+    return out
+
+
+def worth_comparing(contexts: list[bytes], groups: np.ndarray, before: np.ndarray, k: int, length: int) -> np.ndarray:
+    """Whether another context of the same string agrees with one in the half of a window that lies before the
+    string, or in that after it: a shared window needs one of them."""
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    sizes = np.array([len(c) for c in contexts])
+    at = np.cumsum(sizes) - sizes + before
+    half = (length - k) // 2
+    roll = Rolling(data)
+    out = np.zeros(len(contexts), bool)
+    for ok, start, stop in ((before >= half, at - half, at), (sizes - before - k >= half, at + k, at + k + half)):
+        own = np.flatnonzero(ok)
+        key = mix64(roll.of(start[own], stop[own]) + groups[own].view(np.uint64))
+        _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+        out[own[count[back] > 1]] = True
     return out
 
 
@@ -223,7 +249,7 @@ def repeated_windows(contexts: list[bytes], places: list[tuple[int, int]], lengt
     offset = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     left = sizes[owner] - 1 - offset
     sa = suffix_array(np.append(data.astype(np.int64) + 1, 0), 258)[1:]
-    lcp = permuted_lcp(data, sa, length)
+    lcp = permuted_lcp(data, sa, length, exact=False)
     good = left[sa] >= length
     joined = np.concatenate([[False], (lcp[sa[1:]] >= length) & good[1:] & good[:-1]])
     run = np.cumsum(~joined)
@@ -252,16 +278,16 @@ def _runs(starts: pd.Series, stops: pd.Series) -> pd.Series:
 
 def _few(df: DataFrame, size: str) -> DataFrame:
     rows, total = df.agg(F.count("*"), F.sum(F.size(size))).first()
-    return F.broadcast(df) if rows <= BROADCAST_ROWS and (total or 0) <= 8 * BROADCAST_ROWS else df
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (total or 0) <= BROADCAST_ROWS else df
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, k: int = 100) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 200, k: int = 50) -> DataFrame:
     """(doc_id, runs): the maximal byte runs [start, stop, ...] of each text that are covered by strings of ``length``
     bytes which also start anywhere else.
 
-    Any two equal strings of ``length`` bytes share, at the same offset, a k-byte string of least hash.
-    1. Such strings are hashed with their context (all that a string of ``length`` bytes around them can
-       reach); those met once in the corpus go no further. A context met twice is repeated as a whole.
+    Every string of ``length`` bytes belongs to the k-byte string of least hash inside it, so equal ones belong to
+    equal ones. 1. These k-byte strings are hashed with their context (all strings of ``length`` bytes that
+    belong to them); those met once in the corpus go no further. A context met twice is repeated as a whole.
     2. The other contexts of a repeated string are gathered, one for each distinct context, in shards;
        each shard's suffix array is induced and its permuted common prefixes give the repeated windows.
        Where one string has more than GROUP_CONTEXTS different contexts, its windows are counted instead by a shuffle
@@ -271,30 +297,33 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = 100) -> DataFram
     """
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     spark = docs.sparkSession
-    seeds = rows.mapInPandas(lambda b: _seeds(b, length, k), "h long, c long, doc_id long, start int, stop int")
-    twice = seeds.select("h").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    seeds = stash(rows.mapInPandas(lambda b: _seeds(b, length, k), "h long, c long, doc_id long, start int, before short, size short"), "all-seeds")
+    twice = seeds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     seeds = stash(seeds.join(twice, "h").distinct(), "seeds")
 
-    contexts = seeds.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "stop")).alias("first"))
+    contexts = seeds.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "before", "size")).alias("first"))
     contexts = stash(contexts.select("h", "c", "n", "first.*"), "contexts")
-    whole = seeds.join(contexts.where("n > 1").select("h", "c"), ["h", "c"]).where(F.col("stop") - F.col("start") >= length).select("doc_id", "start", "stop")
+    whole = seeds.join(contexts.where("n > 1").select("h", "c"), ["h", "c"]).select("doc_id", "start", (F.col("start") + F.col("size")).alias("stop"))
     several = contexts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    ask = contexts.join(several, "h").where(F.col("stop") - F.col("start") >= length).select("h", "m", "doc_id", "start", "stop")
-    ask = stash(ask.groupBy("doc_id").agg(F.collect_list(F.struct("h", "m", "start", "stop")).alias("asked")), "asked")
+    ask = contexts.join(several, "h").select("h", "m", "doc_id", "start", "before", "size")
+    ask = stash(ask.groupBy("doc_id").agg(F.collect_list(F.struct("h", "m", "start", "before", "size")).alias("asked")), "asked")
 
     def cut(batches):
-        for b in pieces(batches, size=4 << 20):
+        for b in pieces(batches, size=2 << 20):
             out = []
             for doc, text, asked in zip(b["doc_id"], b["text"], b["asked"], strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
-                out += [(a["h"], a["m"], doc, a["start"], data[a["start"] : a["stop"]]) for a in asked]
-            yield pd.DataFrame(out, columns=["h", "m", "doc_id", "start", "context"])
+                out += [(a["h"], a["m"], doc, a["start"], a["before"], data[a["start"] : a["start"] + a["size"]]) for a in asked]
+            yield pd.DataFrame(out, columns=["h", "m", "doc_id", "start", "before", "context"])
 
-    found = stash(rows.join(_few(ask, "asked"), "doc_id").mapInPandas(cut, "h long, m long, doc_id long, start int, context binary"), "cut")
+    found = stash(rows.join(_few(ask, "asked"), "doc_id").mapInPandas(cut, "h long, m long, doc_id long, start int, before short, context binary"), "cut")
     size = found.agg(F.sum(F.octet_length("context"))).first()[0] or 0
     shards = max(partitions(spark), size // SHARD_BYTES)
 
     def compare(group):
+        group = group[worth_comparing(group["context"].tolist(), group["h"].to_numpy(np.int64), group["before"].to_numpy(np.int64), k, length)]
+        if not len(group):
+            return pd.DataFrame({"doc_id": [], "start": [], "stop": []}).astype("int64")
         hits = repeated_windows(group["context"].tolist(), list(zip(group["doc_id"], group["start"], strict=True)), length)
         out = pd.DataFrame(hits, columns=["k", "offset"])
         start = group["start"].to_numpy()[out["k"].to_numpy(np.int64)] + out["offset"].to_numpy(np.int64)
