@@ -15,7 +15,7 @@ from .common import held_out, pieces, table
 from .quality import labelled
 
 #: Labelled documents at most that the machine is fitted on: those with the smallest hash of their id.
-FIT_ROWS = 12_000
+FIT_ROWS = 8_000
 #: Landmarks at most, and how alike two of them may be.
 LANDMARKS, APART = 64, 0.62
 #: Weight of a subsequence of three characters for each character that it skips, and how many it may skip.
@@ -23,7 +23,7 @@ DECAY, SKIPS = 0.6, 3
 #: Words less alike to every landmark than this add nothing to a sentence.
 FLOOR = 0.3
 #: Sentences and words of a document, the most telling ones, that its score is made of.
-TOP = 24
+TOP = 12
 #: Words that a worker remembers as harmless, and characters of a word that are compared at once.
 CACHE_WORDS, WIDTH = 800_000, 24
 
@@ -197,8 +197,8 @@ class Model:
     def __init__(self, kernel: Kernel, docs: list[tuple[np.ndarray, np.ndarray, int]], y: np.ndarray) -> None:
         y = y.astype(np.float64)
         self.kernel, self.map = kernel, _whiten(kernel)
-        none = np.zeros((1, len(kernel.landmarks)))
-        clean = np.concatenate([none, *(d[0] for d, label in zip(docs, y, strict=True) if not label)])
+        none = np.zeros((1, len(kernel.landmarks)), np.float32)
+        clean = np.concatenate([none, *(d[0][:3] for d, label in zip(docs, y, strict=True) if not label)])
         toxic = [d[0] for d, label in zip(docs, y, strict=True) if label and len(d[0])]
         worst = [int(s.max(axis=1).argmax()) for s in toxic]
         self.weights, self.bias = np.zeros(self.map.shape[1]), -1.0
@@ -279,7 +279,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
         rows = known.select("doc_id", "label", "text").mapInPandas(telling_sentences, "doc_id long, label int, s binary, w binary, n long").toPandas().sort_values(["doc_id", "n", "s"])
 
         def matrix(x):
-            return np.frombuffer(x, np.float32).reshape(-1, len(landmarks)).astype(np.float64)
+            return np.frombuffer(x, np.float32).reshape(-1, len(landmarks))
 
         model = Model(kernel, [(matrix(s), matrix(w), n) for s, w, n in zip(rows["s"], rows["w"], rows["n"], strict=True)], rows["label"].to_numpy())
     known.unpersist()
