@@ -234,11 +234,15 @@ class Model:
 def choose_landmarks(words: pd.DataFrame, toxic: int, clean: int) -> list[str]:
     """Words that toxic documents hold far more often than others, the most telling first, none too like another."""
     odds = np.log((words["toxic"] + 0.1) / (toxic + 1)) - np.log((words["clean"] + 0.5) / (clean + 1))
-    words = words.assign(value=odds * words["toxic"])[odds > 2.5].sort_values(["value", "word"], ascending=[False, True]).head(1500)
+    words = words.assign(value=odds * words["toxic"])[odds > 2.5].sort_values(["value", "word"], ascending=[False, True]).head(800)
     found = list(dict.fromkeys(w for w in map(plain, words["word"]) if 3 <= len(w) <= WIDTH - 2))
     if not found:
         return []
-    like = Kernel(found).similarity(found)
+    row, code, weight = _sparse([_parts(w)[0] for w in found])
+    codes, column = np.unique(code, return_inverse=True)
+    vectors = np.zeros((len(found), len(codes)), np.float32)
+    vectors[row, column] = weight
+    like = vectors @ vectors.T
     kept: list[int] = []
     for k in range(len(found)):
         if len(kept) < LANDMARKS and (not kept or like[k, kept].max() < APART):
