@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +56,15 @@ def pieces(batches, column: str = "text", size: int = 8 << 20):
             stop = max(start + 1, int(np.searchsorted(ends, done + size, side="right")))
             yield batch.iloc[start:stop].reset_index(drop=True)
             start = stop
+        del batch, ends
+    free_memory()
+
+
+def free_memory() -> None:
+    """Give a worker's unused memory back to the system, as it lives on for tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def held_out(doc_id: Column) -> Column:

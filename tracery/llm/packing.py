@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 from .common import pieces, table
 
 #: Tokens that are sorted and packed by one task, about.
-BUCKET_TOKENS = 6_000_000
+BUCKET_TOKENS = 3_000_000
 #: Rows at most, of which the bucket limits and the scale of the curve are taken; they only steer balance.
 SAMPLE_ROWS = 4000
 #: Dimensions of the curve, bits of each, and bits of the document's own hash below them.
 DIMS, BITS, TIE_BITS = 4, 10, 23
 #: Words whose ids a worker remembers, twice at most.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 
 _SIGNS, _ASCII_LETTERS = b".,;:!?%#*$&|", frozenset(b"abcdefghijklmnopqrstuvwxyz")
 

@@ -14,7 +14,7 @@ from .common import held_out, pieces, table
 from .shingles import join_texts, mix64, word_hashes
 
 #: Buckets of words and of word shapes, and the dimensions of their vectors.
-WORDS, SHAPES, DIMS = 2048, 1200, 64
+WORDS, SHAPES, DIMS = 1024, 1200, 64
 #: Labelled documents at most that the network is fitted on: those with the smallest hash of their id.
 FIT_ROWS = 12_000
 
@@ -56,13 +56,13 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sums of the index vectors of the two tokens on each side, for all tokens of a partition."""
     n = WORDS + SHAPES
     pairs, single = np.zeros(n * n, np.int32), np.zeros(n, np.int64)
-    for b in pieces(batches, size=4 << 20):
+    for b in pieces(batches, size=2 << 20):
         tokens, counts = _tokens(b["text"].tolist())
         doc = np.repeat(np.arange(len(counts)), counts)
         single += np.bincount(tokens, minlength=n)
         for step in (1, 2):
             inside = doc[step:] == doc[:-step]
-            pairs += np.bincount((tokens[:-step] * n + tokens[step:])[inside], minlength=n * n).astype(np.int32)
+            np.add(pairs, np.bincount((tokens[:-step] * n + tokens[step:])[inside], minlength=n * n), out=pairs, casting="unsafe")
     both = pairs.reshape(n, n).astype(np.float32)
     index = index_vectors()
     sums = both @ index + both.T @ index
@@ -167,7 +167,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     vectors = word_vectors(docs)
 
     def features(batches):
-        for b in pieces(batches, size=4 << 20):
+        for b in pieces(batches, size=2 << 20):
             yield pd.DataFrame({"x": [v.tobytes() for v in pooled(b["text"].tolist(), vectors)], "label": b["label"]})
 
     known = labelled(docs, labels, "quality", fit_rows).select("text", "label").mapInPandas(features, "x binary, label int").toPandas()
@@ -179,7 +179,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     schema = T.StructType([*docs.schema.fields, T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())])
 
     def score(batches):
-        for b in pieces(batches, size=4 << 20):
+        for b in pieces(batches, size=2 << 20):
             yield b.assign(score=net.predict(pooled(b["text"].tolist(), vectors)) if net else 0.5)
 
     marked = docs.withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
