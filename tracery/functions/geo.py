@@ -51,10 +51,11 @@ def slf_to_geojson(ngsi_type: Column, points: Column) -> Column:
     def form(name, coordinates):
         return F.to_json(F.struct(F.lit(name).alias("type"), coordinates.alias("coordinates")))
 
-    return (
+    found = (
         F.when(ngsi_type == "geo:point", form("Point", F.element_at(_pairs(points), 1))).when(ngsi_type == "geo:line", form("LineString", _pairs(points)))
         .when(ngsi_type == "geo:polygon", form("Polygon", F.array(_pairs(points)))).when(ngsi_type == "geo:box", form("Polygon", F.array(_pairs(box_to_polygon(points)))))
     )
+    return F.when(points.isNotNull(), found)
 
 
 def geojson_points(geojson: Column) -> Column:
