@@ -5,7 +5,6 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,10 +19,11 @@ BUCKET_TOKENS = 3_000_000
 SAMPLE_ROWS = 4000
 #: Dimensions of the curve, bits of each, and bits of the document's own hash below them.
 DIMS, BITS, TIE_BITS = 4, 10, 23
+#: A special token of the tokenizer.
+BETWEEN = b"<|startoftext|>"
 #: Words whose ids a worker remembers, twice at most.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 250_000
 
-_SIGNS, _ASCII_LETTERS = b".,;:!?%#*$&|", frozenset(b"abcdefghijklmnopqrstuvwxyz")
 
 
 def default_tokenizer() -> str:
@@ -37,7 +37,7 @@ class WordEncoder:
     """Ids of texts as a Hugging Face tokenizer that drops white space and lower-cases gives them.
 
     Such a tokenizer treats each run between blanks on its own, so runs are encoded once and looked up
-    afterwards. A run that ends in an ASCII letter and then punctuation is two parts to it.
+    afterwards.
     """
 
     def __init__(self, path: str) -> None:
@@ -46,45 +46,35 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {b"": b""}
         self.older: dict[bytes, bytes] = {}
-        self.comma = self.tokenizer.encode(",", add_special_tokens=False).ids[0]
+        self.between = self.tokenizer.token_to_id(BETWEEN.decode())
 
     def _learn(self, words: set[bytes]) -> None:
         if len(self.known) > CACHE_WORDS:
             self.known, self.older = {b"": b""}, self.known
-        known, older = self.known, self.older
-        ended, single, odd = [], set(), set()
-        for w in words.difference(known):
-            if (code := older.get(w)) is not None:
-                known[w] = code
+        words = words.difference(self.known)
+        again = words & self.older.keys()
+        self.known.update({w: self.older[w] for w in again})
+        fresh = list(words - again)
+        # many runs are one text with a special token between them, which the tokenizer cuts out before anything else
+        groups = [fresh[a : a + 128] for a in range(0, len(fresh), 128)]
+        joined = [BETWEEN.join(g) for g in groups]
+        if any(t.count(BETWEEN) >= len(g) for t, g in zip(joined, groups, strict=True)):  # a run has that token itself
+            groups = [[w] for w in fresh]
+            joined = fresh
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in joined], add_special_tokens=False), strict=True):
+            ids = array("I", e.ids)
+            raw = ids.tobytes()
+            if len(group) == 1:
+                self.known[group[0]] = raw
                 continue
-            base = w.rstrip(_SIGNS)
-            if base != w and base and base[-1] in _ASCII_LETTERS:
-                ended.append((w, base, w[len(base) :]))
-                odd.add(w[len(base) :])
-            else:
-                base = w
-            text = base.decode("utf-8", "replace")
-            (single if text.isalpha() else odd).add(text if text.isalpha() else base)
-        # words of letters only go together, commas between, as one text
-        plain = [w for w in single if w.encode() not in known]
-        joined = [" , ".join(plain[a : a + 64]) + " ," for a in range(0, len(plain), 64)]
-        ids = array("I", chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)))
-        cuts = (np.flatnonzero(np.frombuffer(ids, np.uint32) == self.comma) * 4).tolist()
-        raw, start = ids.tobytes(), 0
-        for w, cut in zip(plain, cuts, strict=True):
-            known[w.encode()] = raw[start:cut]
-            start = cut + 4
-        rest = [w for w in odd if w not in known]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False), strict=True):
-            known[w] = array("I", e.ids).tobytes()
-        for w, base, tail in ended:
-            known[w] = known[base] + known[tail]
+            cuts = (np.flatnonzero(np.frombuffer(ids, np.uint32) == self.between) * 4).tolist()
+            self.known.update(zip(group, [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)], strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         runs = [t.encode("utf-8", "replace").lower().replace(b"\n", b" ").split(b" ") for t in texts]
         self._learn(set().union(*runs))
-        known = self.known
-        return [np.frombuffer(b"".join([known[w] for w in r]), "<u4") for r in runs]
+        look = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(look, r)), "<u4") for r in runs]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
