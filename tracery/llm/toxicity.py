@@ -19,13 +19,13 @@ FIT_ROWS = 8_000
 #: Landmarks at most, and how alike two of them may be.
 LANDMARKS, APART = 64, 0.62
 #: Weight of a subsequence of three characters for each character that it skips, and how many it may skip.
-DECAY, SKIPS = 0.6, 3
+DECAY, SKIPS = 0.6, 2
 #: Words less alike to every landmark than this add nothing to a sentence.
 FLOOR = 0.3
 #: Sentences and words of a document, the most telling ones, that its score is made of.
 TOP = 12
 #: Words that a worker remembers as harmless, and characters of a word that are compared at once.
-CACHE_WORDS, WIDTH = 800_000, 24
+CACHE_WORDS, WIDTH = 500_000, 24
 
 _BASE = 40
 #: Characters written for letters that they resemble.
@@ -51,9 +51,9 @@ def _parts(word: str) -> list[str]:
     return [word] if len(word) <= WIDTH else [word[a : a + WIDTH] for a in range(0, len(word) - WIDTH // 2, WIDTH // 2)]
 
 
-def _matrix(words: list[str]) -> np.ndarray:
-    raw = "".join(w.ljust(WIDTH, "\0") for w in words).encode("utf-32-le", "replace")
-    return _CODES[np.frombuffer(raw, "<u4").reshape(-1, WIDTH) & 0xFFFF]
+def _matrix(words: list[str], width: int = WIDTH) -> np.ndarray:
+    raw = "".join([w.ljust(width, "\0") for w in words]).encode("utf-32-le", "replace")
+    return _CODES[np.frombuffer(raw, "<u4").reshape(-1, width) & 0xFFFF]
 
 
 def _triples(codes: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
@@ -91,12 +91,18 @@ class Kernel:
 
     def bound(self, parts: list[str]) -> np.ndarray:
         """At least the largest similarity of each word to any landmark."""
-        codes = _matrix(parts)
-        total, own = np.zeros(len(parts)), np.zeros(len(parts))
-        for code, weight in _triples(codes):
-            total += weight * self.most[code].sum(axis=1)
-            own += weight * weight * (code > 0).sum(axis=1)
-        return total / np.sqrt(np.maximum(own, 1e-9))
+        out = np.zeros(len(parts))
+        sizes = np.array([len(p) for p in parts])
+        for low, width in ((0, 8), (8, 12), (12, 16), (16, WIDTH)):  # short words need less room
+            at = np.flatnonzero((sizes > low) & (sizes <= width))
+            if len(at):
+                codes = _matrix([parts[k] for k in at], width)
+                total, own = np.zeros(len(at), np.float32), np.zeros(len(at), np.float32)
+                for code, weight in _triples(codes):
+                    total += np.float32(weight) * self.most[code].sum(axis=1)
+                    own += np.float32(weight * weight) * np.count_nonzero(code, axis=1)
+                out[at] = total / np.sqrt(np.maximum(own, 1e-9))
+        return out
 
     def similarity(self, words: list[str]) -> np.ndarray:
         """Of each word, the similarity to each landmark; of a long word, the largest of its parts."""
@@ -163,6 +169,18 @@ class Reader:
         return out
 
 
+_READERS: dict[tuple[str, ...], Reader] = {}
+
+
+def reader(landmarks: list[str]) -> Reader:
+    """This process's reader for some landmarks; a worker keeps it, with the words it knows, from task to task."""
+    key = tuple(landmarks)
+    if key not in _READERS:
+        _READERS.clear()
+        _READERS[key] = Reader(Kernel(landmarks))
+    return _READERS[key]
+
+
 def _top(rows: np.ndarray) -> np.ndarray:
     """The rows most like a landmark; further ones would not change the sums that a score is made of."""
     return rows[np.argsort(-rows.max(axis=1), kind="stable")[:TOP]]
@@ -196,7 +214,7 @@ class Model:
 
     def __init__(self, kernel: Kernel, docs: list[tuple[np.ndarray, np.ndarray, int]], y: np.ndarray) -> None:
         y = y.astype(np.float64)
-        self.kernel, self.map = kernel, _whiten(kernel)
+        self.map = _whiten(kernel)
         none = np.zeros((1, len(kernel.landmarks)), np.float32)
         clean = np.concatenate([none, *(d[0][:3] for d, label in zip(docs, y, strict=True) if not label)])
         toxic = [d[0] for d, label in zip(docs, y, strict=True) if label and len(d[0])]
@@ -208,7 +226,7 @@ class Model:
             worst = [int(self._margins(s).argmax()) for s in toxic]
         z = np.stack([self._summary(d) for d in docs])
         self.mean, self.scale = z.mean(axis=0), z.std(axis=0) + 1e-6
-        z = np.concatenate([(z - self.mean) / self.scale, np.ones((len(z), 1))], axis=1)
+        z = np.concatenate([np.clip((z - self.mean) / self.scale, -4, 4), np.ones((len(z), 1))], axis=1)
         self.curve = np.zeros(z.shape[1])
         for _ in range(25):  # Newton's steps
             p = 1 / (1 + np.exp(-np.clip(z @ self.curve, -30, 30)))
@@ -227,7 +245,7 @@ class Model:
         return np.array([worst, own[0], own[:3].mean(), own[:5].mean(), *steps, *bad, np.log1p(n), np.log1p((own > 0).sum() / (n + 20))])
 
     def score(self, doc: tuple[np.ndarray, np.ndarray, int]) -> float:
-        z = np.append((self._summary(doc) - self.mean) / self.scale, 1)
+        z = np.append(np.clip((self._summary(doc) - self.mean) / self.scale, -4, 4), 1)
         return float(1 / (1 + np.exp(-np.clip(z @ self.curve, -30, 30))))
 
 
@@ -275,9 +293,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
         kernel = Kernel(landmarks)
 
         def telling_sentences(batches):
-            reader = Reader(kernel)
+            own = reader(landmarks)
             for b in pieces(batches, size=2 << 20):
-                found = reader.read(b["text"].tolist())
+                found = own.read(b["text"].tolist())
                 yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "s": [d[0].tobytes() for d in found], "w": [d[1].tobytes() for d in found], "n": [d[2] for d in found]})
 
         rows = known.select("doc_id", "label", "text").mapInPandas(telling_sentences, "doc_id long, label int, s binary, w binary, n long").toPandas().sort_values(["doc_id", "n", "s"])
@@ -291,9 +309,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     schema = T.StructType([*docs.schema.fields, T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())])
 
     def score(batches):
-        reader = Reader(model.kernel) if model else None
+        own = reader(landmarks) if model else None
         for b in pieces(batches, size=2 << 20):
-            yield b.assign(score=[model.score(d) for d in reader.read([t or "" for t in b["text"]])] if model else prior)
+            yield b.assign(score=[model.score(d) for d in own.read([t or "" for t in b["text"]])] if model else prior)
 
     marked = docs.withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     return marked.mapInPandas(score, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
