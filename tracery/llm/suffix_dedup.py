@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, partitions, pieces, stash, table
+from .common import partitions, pieces, stash, table
 from .shingles import mix64
 
 #: Bytes of contexts in one shard, about, and contexts of one string that a suffix array compares at most;
@@ -276,11 +276,6 @@ def _runs(starts: pd.Series, stops: pd.Series) -> pd.Series:
     return pd.Series([[x for r in _merged(a, b) for x in r] for a, b in zip(starts, stops, strict=True)])
 
 
-def _few(df: DataFrame, size: str) -> DataFrame:
-    rows, total = df.agg(F.count("*"), F.sum(F.size(size))).first()
-    return F.broadcast(df) if rows <= BROADCAST_ROWS and (total or 0) <= BROADCAST_ROWS else df
-
-
 def repeated_spans(docs: DataFrame, length: int = 200, k: int = 50) -> DataFrame:
     """(doc_id, runs): the maximal byte runs [start, stop, ...] of each text that are covered by strings of ``length``
     bytes which also start anywhere else.
@@ -299,11 +294,12 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = 50) -> DataFrame
     spark = docs.sparkSession
     seeds = stash(rows.mapInPandas(lambda b: _seeds(b, length, k), "h long, c long, doc_id long, start int, before short, size short"), "all-seeds")
     twice = seeds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    seeds = stash(seeds.join(twice, "h").distinct(), "seeds")
+    seeds = stash(seeds.join(twice, "h"), "seeds")
 
-    contexts = seeds.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "before", "size")).alias("first"))
-    contexts = stash(contexts.select("h", "c", "n", "first.*"), "contexts")
-    whole = seeds.join(contexts.where("n > 1").select("h", "c"), ["h", "c"]).select("doc_id", "start", (F.col("start") + F.col("size")).alias("stop"))
+    place = F.struct("doc_id", "start", "before", "size")
+    contexts = seeds.groupBy("h", "c").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    contexts = stash(contexts.select("h", "c", (F.col("first") != F.col("last")).alias("again"), "first.*"), "contexts")
+    whole = seeds.join(contexts.where("again").select("h", "c"), ["h", "c"]).select("doc_id", "start", (F.col("start") + F.col("size")).alias("stop"))
     several = contexts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
     ask = contexts.join(several, "h").select("h", "m", "doc_id", "start", "before", "size")
     ask = stash(ask.groupBy("doc_id").agg(F.collect_list(F.struct("h", "m", "start", "before", "size")).alias("asked")), "asked")
@@ -316,7 +312,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = 50) -> DataFrame
                 out += [(a["h"], a["m"], doc, a["start"], a["before"], data[a["start"] : a["start"] + a["size"]]) for a in asked]
             yield pd.DataFrame(out, columns=["h", "m", "doc_id", "start", "before", "context"])
 
-    found = stash(rows.join(_few(ask, "asked"), "doc_id").mapInPandas(cut, "h long, m long, doc_id long, start int, before short, context binary"), "cut")
+    found = stash(rows.join(ask, "doc_id").mapInPandas(cut, "h long, m long, doc_id long, start int, before short, context binary"), "cut")
     size = found.agg(F.sum(F.octet_length("context"))).first()[0] or 0
     shards = max(partitions(spark), size // SHARD_BYTES)
 
@@ -356,7 +352,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for each row of ``docs`` (doc_id, text): kept has the remaining bytes."""
     runs = stash(repeated_spans(docs, length), "runs")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    joined = rows.join(_few(runs, "runs"), "doc_id", "left")
+    joined = rows.join(runs, "doc_id", "left")
 
     def cut(batches):
         for b in pieces(batches, size=4 << 20):
