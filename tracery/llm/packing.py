@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -19,8 +20,8 @@ BUCKET_TOKENS = 3_000_000
 SAMPLE_ROWS = 4000
 #: Dimensions of the curve, bits of each, and bits of the document's own hash below them.
 DIMS, BITS, TIE_BITS = 4, 10, 23
-#: A special token of the tokenizer.
-BETWEEN = b"<|startoftext|>"
+#: Signs that end a word's letters for the tokenizer.
+SIGNS = b".,;:!?%#*$&|"
 #: Words whose ids a worker remembers, twice at most.
 CACHE_WORDS = 250_000
 
@@ -33,11 +34,29 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_characters() -> dict[int, int]:
+    """The character by which a byte-level vocabulary writes each byte: printable ones are themselves, the rest follow from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: 256 + rest.index(b) if b in rest else b for b in range(256)}
+
+
+_BYTE_CHARACTERS = _byte_characters()
+
+
+def _letters(word: bytes) -> str | None:
+    """A word of lower-case letters in composed form as the vocabulary writes it; None for any other word."""
+    text = word.decode("utf-8", "replace")
+    if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
+        return word.decode("latin-1").translate(_BYTE_CHARACTERS)
+    return None
+
+
 class WordEncoder:
     """Ids of texts as a Hugging Face tokenizer that drops white space and lower-cases gives them.
 
     Such a tokenizer treats each run between blanks on its own, so runs are encoded once and looked up
-    afterwards.
+    afterwards. A run of letters and then signs is two parts to it, and letters alone go straight to its merges.
     """
 
     def __init__(self, path: str) -> None:
@@ -46,7 +65,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {b"": b""}
         self.older: dict[bytes, bytes] = {}
-        self.between = self.tokenizer.token_to_id(BETWEEN.decode())
+        self.tokenize = self.tokenizer.model.tokenize
+        self.signs: dict[bytes, bytes] = {}
 
     def _learn(self, words: set[bytes]) -> None:
         if len(self.known) > CACHE_WORDS:
@@ -54,21 +74,27 @@ class WordEncoder:
         words = words.difference(self.known)
         again = words & self.older.keys()
         self.known.update({w: self.older[w] for w in again})
-        fresh = list(words - again)
-        # many runs are one text with a special token between them, which the tokenizer cuts out before anything else
-        groups = [fresh[a : a + 128] for a in range(0, len(fresh), 128)]
-        joined = [BETWEEN.join(g) for g in groups]
-        if any(t.count(BETWEEN) >= len(g) for t, g in zip(joined, groups, strict=True)):  # a run has that token itself
-            groups = [[w] for w in fresh]
-            joined = fresh
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in joined], add_special_tokens=False), strict=True):
-            ids = array("I", e.ids)
-            raw = ids.tobytes()
-            if len(group) == 1:
-                self.known[group[0]] = raw
+        known, odd = self.known, []
+        for word in words - again:
+            base = word.rstrip(SIGNS)
+            text = base.decode() if base.isalpha() else _letters(base)
+            if not text:
+                odd.append(word)
                 continue
-            cuts = (np.flatnonzero(np.frombuffer(ids, np.uint32) == self.between) * 4).tolist()
-            self.known.update(zip(group, [raw[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(raw)], strict=True)], strict=True))
+            code = known.get(base)
+            if code is None:
+                code = known[base] = array("I", [t.id for t in self.tokenize(text)]).tobytes()
+            if len(base) < len(word):
+                known[word] = code + self._sign(word[len(base) :])
+        for word, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False), strict=True):
+            known[word] = array("I", e.ids).tobytes()
+
+    def _sign(self, signs: bytes) -> bytes:
+        if signs not in self.signs:
+            if len(self.signs) > 10_000:
+                self.signs.clear()
+            self.signs[signs] = array("I", self.tokenizer.encode(signs.decode(), add_special_tokens=False).ids).tobytes()
+        return self.signs[signs]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         runs = [t.encode("utf-8", "replace").lower().replace(b"\n", b" ").split(b" ") for t in texts]
