@@ -557,13 +557,12 @@ def cast_relationship(spark, sf):
     return e.select("event_id", v.alias("v")).select("event_id", casts.cast_relationship(F.col("v")).alias("x"))
 
 
-@register("select event_id, value as number, round(value)::bigint as n, value::varchar as text_form from events where value = value limit 0")
+@register("select event_id, value as number, trunc(value)::bigint as n, regexp_extract(props, '\"k\"\\s*:\\s*(-?\\d+)', 1) as text_form from events")
 def cast_attribute(spark, sf):
     e = views.read(spark, sf, "events")
-    attr = F.try_parse_json(F.concat(F.lit('{"type":"Number","value":'), F.col("value").cast("string"), F.lit("}")))
-    rows = e.select("event_id", attr.alias("a"), "value")
-    out = rows.select("event_id", casts.cast_attribute(F.col("a"), "Number").alias("number"), casts.cast_attribute(F.col("a"), "Integer").alias("n"), casts.cast_attribute(F.col("a"), "Text").alias("text_form"), "value")
-    return out.where("number <> value").select("event_id", "number", "n", "text_form")
+    attr = lambda c: F.try_parse_json(F.concat(F.lit('{"type":"Number","value":'), c.cast("string"), F.lit("}")))
+    rows = e.select("event_id", attr(F.col("value")).alias("a"), attr(F.get_json_object("props", "$.k")).alias("b"))
+    return rows.select("event_id", casts.cast_attribute(F.col("a"), "Number").alias("number"), casts.cast_attribute(F.col("a"), "Integer").alias("n"), casts.cast_attribute(F.col("b"), "Text").alias("text_form"))
 
 
 # --- times and names
