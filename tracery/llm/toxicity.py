@@ -21,7 +21,7 @@ LANDMARKS, APART = 64, 0.62
 #: Weight of a subsequence of three characters for each character that it skips, and how many it may skip.
 DECAY, SKIPS = 0.6, 2
 #: Words less alike to every landmark than this add nothing to a sentence.
-FLOOR = 0.3
+FLOOR = 0.4
 #: Sentences and words of a document, the most telling ones, that its score is made of.
 TOP = 12
 #: Words that a worker remembers as harmless, and characters of a word that are compared at once.
@@ -131,24 +131,24 @@ class Reader:
     def _learn(self, words: set[str]) -> None:
         if len(self.harmless) + len(self.like) > CACHE_WORDS:
             self.harmless, self.like = set(), {}
-        forms: dict[str, list[str]] = {}
-        for w in words - self.harmless - self.like.keys():
-            forms.setdefault(plain(w), []).append(w)
-        names = list(forms)
+        fresh = list(words - self.harmless - self.like.keys())
+        forms = [plain(w) for w in fresh]
+        names = list(dict.fromkeys(forms))
+        near: dict[str, np.ndarray] = {}
         for a in range(0, len(names), 20_000):
             own = names[a : a + 20_000]
-            parts = [_parts(w) for w in own]
-            count = [len(p) for p in parts]
-            bound = np.maximum.reduceat(self.kernel.bound([p for ps in parts for p in ps]), np.cumsum(count) - count)
-            near = [w for w, b in zip(own, bound, strict=True) if b >= FLOOR]
-            for w, b in zip(own, bound, strict=True):
-                if b < FLOOR:
-                    self.harmless.update(forms[w])
-            for w, v in zip(near, self.kernel.similarity(near) if near else (), strict=True):
-                if v.max() >= FLOOR:
-                    self.like.update(dict.fromkeys(forms[w], np.where(v >= FLOOR, v, 0)))
-                else:
-                    self.harmless.update(forms[w])
+            if max(map(len, own)) <= WIDTH - 2:
+                bound = self.kernel.bound([f"\2{w}\3" for w in own])
+            else:
+                parts = [_parts(w) for w in own]
+                count = [len(p) for p in parts]
+                bound = np.maximum.reduceat(self.kernel.bound([p for ps in parts for p in ps]), np.cumsum(count) - count)
+            some = [own[k] for k in np.flatnonzero(bound >= FLOOR)]
+            if some:
+                found = self.kernel.similarity(some)
+                near.update({some[k]: np.where(found[k] >= FLOOR, found[k], 0) for k in np.flatnonzero(found.max(axis=1) >= FLOOR)})
+        self.harmless.update([w for w, f in zip(fresh, forms, strict=True) if f not in near])
+        self.like.update({w: near[f] for w, f in zip(fresh, forms, strict=True) if f in near})
 
     def read(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, int]]:
         """Of each text, the features of its sentences that have any (the largest similarity to each landmark among
