@@ -301,7 +301,10 @@ def extract_main_text(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataF
     nulls and repeated rows too; an empty table gives no rows.
     """
     pages = pages.drop("text", "n_chars")
-    sample = pages.where("html is not null and html <> ''").select("html").orderBy(F.xxhash64("html"), "html").limit(train_pages).toPandas()
+    full = pages.where("html is not null and html <> ''").select("html", F.xxhash64("html").alias("h"))
+    # only hashes of all pages are ordered; equal pages count once
+    least = full.select("h").distinct().orderBy("h").limit(train_pages).agg(F.max("h")).first()[0]
+    sample = full.where(F.col("h") <= F.lit(least)).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").toPandas()
     crf = ChainCRF(labelled_pages(sample["html"].tolist()))
     schema = T.StructType([f for f in pages.schema.fields if f.name != "html"] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
