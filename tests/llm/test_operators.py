@@ -208,6 +208,19 @@ def test_kernel_tolerates_gaps():
     assert gap > 0.4 > other
 
 
+@pytest.mark.parametrize("insult, written", [("scum", "sxcxum"), ("fool", "fxoxol"), ("idiot", "idxxiot")])
+def test_two_inserted_characters_count(insult, written):
+    reader = toxicity.Reader(toxicity.Kernel([insult]))
+    reader._learn({written, "walk"})
+    assert set(reader.like) == {written}
+
+
+def test_kernel_bound_holds():
+    kernel = toxicity.Kernel(["idiot", "scum", "worthless"])
+    words = ["idxxiot", "sxcxum", "banana", "a" * 20, "worth", "idiotidiotidiot", "\U00010000idiot", "i\U00010000diot"]
+    assert (kernel.bound([f"\2{w}\3" for w in words]) >= kernel.similarity(words).max(axis=1) - 1e-5).all()
+
+
 def brute_removed(texts, length):
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))

@@ -19,9 +19,9 @@ FIT_ROWS = 8_000
 #: Landmarks at most, and how alike two of them may be.
 LANDMARKS, APART = 64, 0.62
 #: Weight of a subsequence of three characters for each character that it skips, and how many it may skip.
-DECAY, SKIPS = 0.6, 2
+DECAY, SKIPS = 0.6, 3
 #: Words less alike to every landmark than this add nothing to a sentence.
-FLOOR = 0.4
+FLOOR = 0.3
 #: Sentences and words of a document, the most telling ones, that its score is made of.
 TOP = 12
 #: Words that a worker remembers as harmless, and characters of a word that are compared at once.
@@ -96,11 +96,16 @@ class Kernel:
         for low, width in ((0, 8), (8, 12), (12, 16), (16, WIDTH)):  # short words need less room
             at = np.flatnonzero((sizes > low) & (sizes <= width))
             if len(at):
-                codes = _matrix([parts[k] for k in at], width)
+                codes = np.ascontiguousarray(_matrix([parts[k] for k in at], width).T, np.int32)
                 total, own = np.zeros(len(at), np.float32), np.zeros(len(at), np.float32)
-                for code, weight in _triples(codes):
-                    total += np.float32(weight) * self.most[code].sum(axis=1)
-                    own += np.float32(weight * weight) * np.count_nonzero(code, axis=1)
+                filled = np.count_nonzero(codes, axis=0)
+                for a in range(1, SKIPS + 2):
+                    pairs = (codes[:-a] * _BASE + codes[a:]) * _BASE
+                    for b in range(1, SKIPS + 3 - a):
+                        weight = np.float32(DECAY ** (a + b - 2))
+                        # a code that ends in 0 is no landmark's
+                        total += weight * self.most.take(pairs[: width - a - b] + codes[a + b :]).sum(axis=0)
+                        own += weight * weight * np.maximum(filled - (a + b), 0)
                 out[at] = total / np.sqrt(np.maximum(own, 1e-9))
         return out
 
