@@ -221,6 +221,31 @@ def test_kernel_bound_holds():
     assert (kernel.bound([f"\2{w}\3" for w in words]) >= kernel.similarity(words).max(axis=1) - 1e-5).all()
 
 
+def test_toxic_words_that_end_sentences_count_alike():
+    kernel = toxicity.Kernel(["idiot"])
+    text = "You are an idiot. Some other words!"
+    alone = toxicity.Reader(kernel).read([text])[0]
+    again = toxicity.Reader(kernel)
+    again.read(["an idiot here"])
+    later = again.read([text])[0]
+    assert len(alone[0]) == 1 and alone[0][0, 0] == pytest.approx(1)
+    assert all(np.array_equal(a, b) for a, b in zip(alone, later, strict=True))
+    first, second = toxicity.Reader(kernel).read(["What an idiot. All is well? idi-ot!\n\nBye...", "What an idiot . All is well ? idi-ot !\n\nBye ..."])
+    assert all(np.array_equal(a, b) for a, b in zip(first[:2], second[:2], strict=True))
+
+
+def test_toxicity_is_the_same_for_any_order(spark):
+    insults = ["idiot", "stupid", "worthless"]
+    texts = [sentence(600 + k, 60) for k in range(60)] + [sentence(800 + k, 30) + f". You {insults[k % 3]}. " + (f"{insults[(k + 1) % 3]} here" if k % 2 else "") for k in range(40)]
+    labels = spark.createDataFrame([(i, 1, int(i >= 60)) for i in range(100)], "doc_id long, quality int, toxic int")
+    df = docs(spark, *texts)
+    scores = []
+    for own in (df.repartition(1, "doc_id").sortWithinPartitions("doc_id"), df.repartition(1, "doc_id").sortWithinPartitions(F.desc("doc_id")), df.repartition(7, "text")):
+        toxicity._READERS.clear()
+        scores.append({r["doc_id"]: r["score"] for r in toxicity.score_toxicity(own, labels).collect()})
+    assert scores[0] == scores[1] == scores[2]
+
+
 def brute_removed(texts, length):
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))

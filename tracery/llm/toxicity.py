@@ -31,6 +31,7 @@ _BASE = 40
 #: Characters written for letters that they resemble.
 _ALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"})
 _SIGNS = ".,;:!?\"'()[]|"
+_ENDS = ".!?"
 _OTHER = re.compile(r"[\W_]+")
 _SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)|\n")
 _SPELLED = re.compile(r"(?:(?<=\s)|^)(?:\w[\s.*_-]+){2,}\w(?=\W|$)")
@@ -153,7 +154,7 @@ class Reader:
                 found = self.kernel.similarity(some)
                 near.update({some[k]: np.where(found[k] >= FLOOR, found[k], 0) for k in np.flatnonzero(found.max(axis=1) >= FLOOR)})
         self.harmless.update([w for w, f in zip(fresh, forms, strict=True) if f not in near])
-        self.like.update({w: near[f] for w, f in zip(fresh, forms, strict=True) if f in near})
+        self.like.update({form: near[f] for w, f in zip(fresh, forms, strict=True) if f in near for form in (w, w.rstrip(_ENDS))})
 
     def read(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, int]]:
         """Of each text, the features of its sentences that have any (the largest similarity to each landmark among
@@ -164,12 +165,12 @@ class Reader:
         out, none = [], np.zeros((0, len(self.kernel.landmarks)), np.float32)
         like = self.like
         for text, own in zip(texts, words, strict=True):
-            near = sorted({w for w in own if w in like})
+            near = sorted({w.rstrip(_ENDS) for w in own if w in like})  # as sentences hold them
             if not near:
                 out.append((none, none, len(own)))
                 continue
             parts = [[like[w] for w in set(sentence.split()) if w in like] for sentence in _SENTENCE.split(text)]
-            found = [np.max(p, axis=0) for p in parts if p] or [np.max([like[w] for w in near], axis=0)]
+            found = [np.max(p, axis=0) for p in parts if p]
             out.append((_top(np.stack(found)), _top(np.stack([like[w] for w in near])), len(own)))
         return out
 
