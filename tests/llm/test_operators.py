@@ -223,15 +223,28 @@ def test_kernel_bound_holds():
 
 def test_toxic_words_that_end_sentences_count_alike():
     kernel = toxicity.Kernel(["idiot"])
-    text = "You are an idiot. Some other words!"
-    alone = toxicity.Reader(kernel).read([text])[0]
+    text = "You are an idiot. Some other words! An idi-ot?"
     again = toxicity.Reader(kernel)
     again.read(["an idiot here"])
-    later = again.read([text])[0]
-    assert len(alone[0]) == 1 and alone[0][0, 0] == pytest.approx(1)
-    assert all(np.array_equal(a, b) for a, b in zip(alone, later, strict=True))
-    first, second = toxicity.Reader(kernel).read(["What an idiot. All is well? idi-ot!\n\nBye...", "What an idiot . All is well ? idi-ot !\n\nBye ..."])
-    assert all(np.array_equal(a, b) for a, b in zip(first[:2], second[:2], strict=True))
+    for own in (toxicity.Reader(kernel), again):
+        assert own.read([text]) == [([("idi-ot",), ("idiot",)], ["idi-ot", "idiot"], 9)]
+    first, second = (toxicity.Reader(kernel).read([t])[0] for t in ("What an idiot. All is well? idi-ot!\n\nBye...", "What an idiot . All is well ? idi-ot !\n\nBye ..."))
+    assert first[:2] == second[:2]
+
+
+def test_toxicity_takes_all_sentences_and_words():
+    kernel = toxicity.Kernel(["grape", "idiot"])
+    model = toxicity.Model(kernel, [], np.zeros(0))
+    model.weights, model.bias = np.linalg.solve(model.map, np.array([-2.0, 2.0])), -0.5
+    signs = ["", *",;:()[]'\""]
+    known = toxicity.Reader(kernel)
+    harmless = [f"A {a}grape{b} {c}." for k, (a, b) in enumerate((a, b) for a in signs for b in signs) for c in ("here", "there")]
+    (doc,) = known.read([" ".join([*harmless, "An idxiot too."])])
+    assert len(doc[0]) > 50
+    assert model.summary(known, doc)[0] == pytest.approx(2 * float(kernel.similarity(["idxiot"])[0, 1]) - 0.5)
+    forms = [f"{a}idiot{b}" for a in signs for b in signs]
+    (doc,) = known.read([" ".join(forms)])
+    assert model.summary(known, doc)[19:22] == pytest.approx(np.log1p(len(forms)))
 
 
 def test_toxicity_is_the_same_for_any_order(spark):

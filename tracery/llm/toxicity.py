@@ -22,8 +22,10 @@ LANDMARKS, APART = 64, 0.62
 DECAY, SKIPS = 0.6, 3
 #: Words less alike to every landmark than this add nothing to a sentence.
 FLOOR = 0.3
-#: Sentences and words of a document, the most telling ones, that its score is made of.
+#: Sentences of a labelled document, those most like a landmark, that the machine may be fitted on. Scores are made of all.
 TOP = 12
+#: Sentences or words of a text whose margins are computed at once.
+AT_ONCE = 1024
 #: Words that a worker remembers as harmless, and characters of a word that are compared at once.
 CACHE_WORDS, WIDTH = 500_000, 24
 
@@ -156,24 +158,33 @@ class Reader:
         self.harmless.update([w for w, f in zip(fresh, forms, strict=True) if f not in near])
         self.like.update({form: near[f] for w, f in zip(fresh, forms, strict=True) if f in near for form in (w, w.rstrip(_ENDS))})
 
-    def read(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, int]]:
-        """Of each text, the features of its sentences that have any (the largest similarity to each landmark among
-        their words), those of its words, and how many words it has."""
+    def read(self, texts: list[str]) -> list[tuple[list[tuple[str, ...]], list[str], int]]:
+        """Of each text, its distinct sentences as their words that are like a landmark (none without any), all such
+        words, and how many words it has."""
         texts = [_SPELLED.sub(lambda m: re.sub(r"\W", "", m[0]), t.lower()) if re.search(r"\b\w[\s.*_-]\w\b", t) else t.lower() for t in texts]
         words = [t.split() for t in texts]
         self._learn(set().union(*words) if words else set())
-        out, none = [], np.zeros((0, len(self.kernel.landmarks)), np.float32)
-        like = self.like
+        out, like = [], self.like
         for text, own in zip(texts, words, strict=True):
             near = sorted({w.rstrip(_ENDS) for w in own if w in like})  # as sentences hold them
-            if not near:
-                out.append((none, none, len(own)))
-                continue
-            parts = [[like[w] for w in set(sentence.split()) if w in like] for sentence in _SENTENCE.split(text)]
-            found = [np.max(p, axis=0) for p in parts if p]
-            out.append((_top(np.stack(found)), _top(np.stack([like[w] for w in near])), len(own)))
+            parts = {tuple(sorted({w for w in sentence.split() if w in like})) for sentence in _SENTENCE.split(text)} if near else set()
+            out.append((sorted(p for p in parts if p), near, len(own)))
         return out
 
+    def features(self, groups: list[tuple[str, ...]]) -> np.ndarray:
+        """Of each group of words that were read last, the largest similarity to each landmark."""
+        if not groups:
+            return np.zeros((0, len(self.kernel.landmarks)), np.float32)
+        return np.stack([np.max([self.like[w] for w in g], axis=0) if len(g) > 1 else self.like[g[0]] for g in groups])
+
+    def telling(self, sentences: list[tuple[str, ...]]) -> np.ndarray:
+        """Features of the TOP sentences most like a landmark."""
+        best = np.zeros((0, len(self.kernel.landmarks)), np.float32)
+        for a in range(0, len(sentences), AT_ONCE):
+            best = np.concatenate([best, self.features(sentences[a : a + AT_ONCE])])
+            best = best[np.argsort(-best.max(axis=1), kind="stable")[:TOP]]
+        return best
+
 
 _READERS: dict[tuple[str, ...], Reader] = {}
 
@@ -187,11 +198,6 @@ def reader(landmarks: list[str]) -> Reader:
     return _READERS[key]
 
 
-def _top(rows: np.ndarray) -> np.ndarray:
-    """The rows most like a landmark; further ones would not change the sums that a score is made of."""
-    return rows[np.argsort(-rows.max(axis=1), kind="stable")[:TOP]]
-
-
 def _whiten(kernel: Kernel) -> np.ndarray:
     """The Nyström map: the inverse square root of the landmarks' own kernel."""
     values, vectors = np.linalg.eigh(kernel.similarity(kernel.landmarks).astype(np.float64))
@@ -218,19 +224,22 @@ def fit_svm(x: np.ndarray, y: np.ndarray, steps: int = 400, cost: float = 10.0)
 class Model:
     """Landmarks, machine, and the logistic curve from a document's margins to a probability."""
 
-    def __init__(self, kernel: Kernel, docs: list[tuple[np.ndarray, np.ndarray, int]], y: np.ndarray) -> None:
-        y = y.astype(np.float64)
+    def __init__(self, kernel: Kernel, docs: list[np.ndarray], y: np.ndarray) -> None:
+        """Fits the machine on the telling sentences of each document."""
         self.map = _whiten(kernel)
         none = np.zeros((1, len(kernel.landmarks)), np.float32)
-        clean = np.concatenate([none, *(d[0][:3] for d, label in zip(docs, y, strict=True) if not label)])
-        toxic = [d[0] for d, label in zip(docs, y, strict=True) if label and len(d[0])]
+        clean = np.concatenate([none, *(d[:3] for d, label in zip(docs, y, strict=True) if not label)])
+        toxic = [d for d, label in zip(docs, y, strict=True) if label and len(d)]
         worst = [int(s.max(axis=1).argmax()) for s in toxic]
         self.weights, self.bias = np.zeros(self.map.shape[1]), -1.0
         for _ in range(4 if toxic else 0):  # which sentence of a document is the toxic one is found anew with each machine
             x = np.concatenate([clean, np.stack([s[k] for s, k in zip(toxic, worst, strict=True)])])
             self.weights, self.bias = fit_svm(x @ self.map, np.arange(len(x)) >= len(clean))
             worst = [int(self._margins(s).argmax()) for s in toxic]
-        z = np.stack([self._summary(d) for d in docs])
+
+    def fit_curve(self, z: np.ndarray, y: np.ndarray) -> None:
+        """Fits the curve on summaries of documents."""
+        y = y.astype(np.float64)
         self.mean, self.scale = z.mean(axis=0), z.std(axis=0) + 1e-6
         z = np.concatenate([np.clip((z - self.mean) / self.scale, -4, 4), np.ones((len(z), 1))], axis=1)
         self.curve = np.zeros(z.shape[1])
@@ -241,17 +250,20 @@ class Model:
     def _margins(self, rows: np.ndarray) -> np.ndarray:
         return rows @ (self.map @ self.weights) + self.bias
 
-    def _summary(self, doc: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
-        """The worst sentence, the worst words, how many are bad and how bad, and the length."""
+    def summary(self, known: Reader, doc: tuple[list[tuple[str, ...]], list[str], int]) -> np.ndarray:
+        """The worst of all sentences, the worst words, how many of all are bad and how bad, and the length."""
         sentences, words, n = doc
-        worst = max(self._margins(sentences).max(), self.bias) if len(sentences) else self.bias
-        own = np.sort(np.concatenate([self._margins(words), np.full(5, self.bias)]))[::-1]
+        worst = self.bias
+        for a in range(0, len(sentences), AT_ONCE):
+            worst = max(worst, self._margins(known.features(sentences[a : a + AT_ONCE])).max())
+        each = [self._margins(np.stack([known.like[w] for w in words[a : a + AT_ONCE]])) for a in range(0, len(words), AT_ONCE)]
+        own = np.sort(np.concatenate([*each, np.full(5, self.bias)]))[::-1]
         steps = [np.clip((own[k] - low) / 0.4, 0, 1) for low in (-0.8, -0.4, 0.0, 0.4, 0.8) for k in (0, 1, 2)]
         bad = [np.log1p((own > level).sum()) for level in (-0.5, 0, 0.5)]
         return np.array([worst, own[0], own[:3].mean(), own[:5].mean(), *steps, *bad, np.log1p(n), np.log1p((own > 0).sum() / (n + 20))])
 
-    def score(self, doc: tuple[np.ndarray, np.ndarray, int]) -> float:
-        z = np.append(np.clip((self._summary(doc) - self.mean) / self.scale, -4, 4), 1)
+    def score(self, known: Reader, doc: tuple[list[tuple[str, ...]], list[str], int]) -> float:
+        z = np.append(np.clip((self.summary(known, doc) - self.mean) / self.scale, -4, 4), 1)
         return float(1 / (1 + np.exp(-np.clip(z @ self.curve, -30, 30))))
 
 
@@ -281,7 +293,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     up to three others, so inserted signs or letters and other endings still match; single letters that spell
     a word are joined. A sentence is the largest similarity to each landmark among its words, mapped by Nyström; a
     machine learns from the most telling sentence of each labelled document, and a document's score
-    comes from its worst sentence. Landmarks are words of the at most ``fit_rows`` labelled documents
+    comes from its worst sentence and worst words, of all that it has. Landmarks are words of the at most ``fit_rows`` labelled documents
     whose crc32 of the id is not divisible by 5. Null and empty texts have no sentence; a row without an id is
     scored and not held out; with no labels or no telling word all scores are the share of toxic labels; a
     label given twice counts as its largest. Columns named held_out, score or predicted are replaced.
@@ -301,15 +313,21 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
         def telling_sentences(batches):
             own = reader(landmarks)
             for b in pieces(batches, size=2 << 20):
-                found = own.read(b["text"].tolist())
-                yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "s": [d[0].tobytes() for d in found], "w": [d[1].tobytes() for d in found], "n": [d[2] for d in found]})
+                yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "x": [own.telling(d[0]).tobytes() for d in own.read(b["text"].tolist())]})
 
-        rows = known.select("doc_id", "label", "text").mapInPandas(telling_sentences, "doc_id long, label int, s binary, w binary, n long").toPandas().sort_values(["doc_id", "n", "s"])
+        def summaries(batches):
+            own = reader(landmarks)
+            for b in pieces(batches, size=2 << 20):
+                yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "x": [model.summary(own, d).tobytes() for d in own.read(b["text"].tolist())]})
 
-        def matrix(x):
-            return np.frombuffer(x, np.float32).reshape(-1, len(landmarks))
+        def fetch(function):
+            rows = known.select("doc_id", "label", "text").mapInPandas(function, "doc_id long, label int, x binary")
+            return rows.toPandas().sort_values(["doc_id", "label", "x"])
 
-        model = Model(kernel, [(matrix(s), matrix(w), n) for s, w, n in zip(rows["s"], rows["w"], rows["n"], strict=True)], rows["label"].to_numpy())
+        rows = fetch(telling_sentences)
+        model = Model(kernel, [np.frombuffer(x, np.float32).reshape(-1, len(landmarks)) for x in rows["x"]], rows["label"].to_numpy())
+        rows = fetch(summaries)
+        model.fit_curve(np.stack([np.frombuffer(x) for x in rows["x"]]), rows["label"].to_numpy())
     known.unpersist()
 
     schema = T.StructType([*docs.schema.fields, T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())])
@@ -317,7 +335,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     def score(batches):
         own = reader(landmarks) if model else None
         for b in pieces(batches, size=2 << 20):
-            yield b.assign(score=[model.score(d) for d in own.read([t or "" for t in b["text"]])] if model else prior)
+            yield b.assign(score=[model.score(own, d) for d in own.read([t or "" for t in b["text"]])] if model else prior)
 
     marked = docs.withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     return marked.mapInPandas(score, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
