@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracery.operators import filters, query, shape
+from tracery.plans import queries
 
 BASE = dt.datetime(1970, 1, 1)
 
@@ -35,6 +36,19 @@ def test_per_second_average(spark):
     assert [r["x"] for r in found] == [4, 14, 24, 31, 5, 15, 25, 32]
 
 
+def test_measurements_per_second_of_all_events(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    seconds = [("click", 0.2), ("click", 0.9), ("view", 3.0), ("click", 5 * 3600 + 0.5), ("view", 3 * 3600 + 7.1), ("view", 3.4), ("buy", 4 * 3600)]
+    rows = [(k, start + dt.timedelta(seconds=s), k, e, 1.0, None) for k, (e, s) in enumerate(seconds)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    found = {(r["label"], r["second"]): r["n"] for r in queries.measurements_per_second(spark, str(tmp_path)).collect()}
+    wanted = {}
+    for label in ("click", "view", "buy"):
+        own = [int(s) for e, s in seconds if e == label]
+        wanted |= {(label, (start + dt.timedelta(seconds=s)).isoformat()): own.count(s) for s in range(min(own), max(own) + 1)}
+    assert {(label, second[:19].replace(" ", "T")): n for (label, second), n in found.items()} == wanted
+
+
 def test_refused_aggregates(rooms):
     for attr in ("note", "on"):
         for method in ("sum", "avg"):

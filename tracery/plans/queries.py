@@ -887,10 +887,7 @@ _HOUR = "from events where ts < (select min(ts) from events) + interval 3 hour"
 
 @register(f"with c as (select event_type as label, date_trunc('second', ts) as s, count(*) as n {_HOUR} group by all), g as (select label, unnest(range(min(s)::timestamp, max(s)::timestamp + interval 1 second, interval 1 second)) as s from c group by label) select g.label, {iso_sql('g.s')} as second, coalesce(n, 0) as n from g left join c on g.label = c.label and g.s = c.s")
 def measurements_per_second(spark, sf):
-    t = views.telemetry(spark, sf)
-    first = t.agg(F.min("time").alias("first"))
-    t = t.join(F.broadcast(first)).where("time < first + interval 3 hours")
-    return _iso(tele.measurements_per_second(t), "second")
+    return _iso(tele.measurements_per_second(views.telemetry(spark, sf)), "second")
 
 
 _PAIR = "with s as (select date_trunc('second', ts) as s, coalesce(sum(value) filter (event_type = 'click'), 0) as a, coalesce(sum(value) filter (event_type = 'view'), 0) as b from events where event_type in ('click', 'view') group by 1) select " + iso_sql("s::timestamp") + " as second, "
