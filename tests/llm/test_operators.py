@@ -164,6 +164,20 @@ def test_html_layouts():
     assert wrong / total < 0.05
 
 
+@pytest.mark.parametrize("page, texts", [
+    ('<p>one<svg class="i"/>two</p><article><p>three</article>', ["onetwo", "three"]),
+    ("<nav><button>menu</nav><article><p>one <button>share</button>two<p>three</article>", ["menu", "one two", "three"]),
+    ("<body><select><option>a<article><p>one<p>two</article></body>", ["a", "one", "two"]),
+    ("<p>a<svg><svg>x</svg>y<title>t</title></svg>b</p>", ["ab"]),
+    ("<p>a <object><div>x<object><p>y</object><p>z</div></object>b</p><p>c", ["a b", "c"]),
+    ("<p>a<button><div>x<p>y</button>b<noscript><p>n</noscript></p>c", ["ab", "c"]),
+    ("<svg><style/><script/></svg>a<script>b</script>c", ["ac"]),
+    ("a<a href=x>l<canvas>no</canvas></a>b</svg>c</button>", ["albc"]),
+])
+def test_hidden_elements(page, texts):
+    assert [b.text for b in html_extract.leaf_blocks(page)] == texts
+
+
 def labelled_docs(spark):
     good = [sentence(200 + k, 80).capitalize() + "." for k in range(120)]
     bad = [" ".join(w.upper() + "!!" for w in sentence(400 + k, 40).split()) for k in range(60)]

@@ -18,7 +18,9 @@ TRAIN_PAGES = 300
 
 # Kinds of elements.
 BLOCK = set("html body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption section article main aside nav header footer form fieldset legend blockquote pre figure figcaption address hr details summary dialog center menu".split())
-RAW = set("script style title textarea noscript template iframe svg select button object canvas head-only".split())
+RAW = set("script style title textarea iframe".split())
+#: Elements whose content is unseen up to their own closing tag; one that is never closed hides nothing.
+HIDDEN = set("noscript template svg select button object canvas".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "thead", "tbody"}
 #: Words in class, id or role of an element that tell what it is for.
@@ -64,6 +66,7 @@ def leaf_blocks(html: str) -> list[Block]:
     stack: list[tuple[str, str, int | None]] = []
     parts: list[str] = []
     link = 0
+    opened: list[tuple] = []  # of each open hidden element: its entry of the stack, and what there was before it
 
     def flush():
         nonlocal parts, link
@@ -93,13 +96,18 @@ def leaf_blocks(html: str) -> list[Block]:
                 flush()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
+                    while opened and opened[-1][0] > k:
+                        opened.pop()
+                    if tag in HIDDEN:
+                        _, n, parts, length, link = opened.pop()
+                        del blocks[n:], parts[length:]
                     del stack[k:]
                     break
-                if stack[k][0] in BLOCK and tag not in BLOCK:
+                if stack[k][0] in BLOCK and tag not in BLOCK and (tag not in HIDDEN or stack[k][0] in ("html", "body", "table", "td", "th", "caption")):
                     break
             continue
         attributes = m[3] or m[6] or ""
-        if tag in RAW:
+        if tag in RAW and not (attributes.endswith("/") and any(s[0] == "svg" for s in stack)):
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
             at = close.end() if close else end
             continue
@@ -112,16 +120,18 @@ def leaf_blocks(html: str) -> list[Block]:
                     if stack[k][0] == "p":
                         del stack[k:]
                         break
-                    if stack[k][0] in BLOCK:
+                    if stack[k][0] in BLOCK or stack[k][0] in HIDDEN:
                         break
             if tag in ("li", "tr", "td", "th", "dt", "dd"):
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
                         del stack[k:]
                         break
-                    if stack[k][0] in ("ul", "ol", "table", "tr", "dl", "menu"):
+                    if stack[k][0] in ("ul", "ol", "table", "tr", "dl", "menu") or stack[k][0] in HIDDEN:
                         break
         if tag not in VOID and not attributes.endswith("/"):
+            if tag in HIDDEN:
+                opened.append((len(stack), len(blocks), parts, len(parts), link))
             stack.append((tag, *_describe(tag, attributes)))
     flush()
     return blocks
