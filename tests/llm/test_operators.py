@@ -366,6 +366,16 @@ def test_packing(spark):
     assert [r["doc_id"] for r in packing.pack_documents(docs(spark, "x", ids=[None])).collect()] == [None]
 
 
+def test_packing_ranges_stay_small_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SAMPLE_ROWS", 40)
+    monkeypatch.setattr(packing, "BUCKET_TOKENS", 2000)
+    df = docs(spark, *[sentence(k, 60) for k in range(2000)])
+    found = packing.pack_documents(df, 64).groupBy(F.shiftright("sequence_id", 32).alias("bucket")).agg(F.sum("length").alias("n")).collect()
+    total = sum(r["n"] for r in found)
+    assert len(found) > 40
+    assert max(r["n"] for r in found) < total / 10
+
+
 def test_hilbert_is_a_curve():
     points = np.array([(x, y) for x in range(16) for y in range(16)])
     order = points[np.argsort(packing.hilbert_key(points, 4))]

@@ -16,7 +16,7 @@ from .common import pieces, table
 
 #: Tokens that are sorted and packed by one task, about.
 BUCKET_TOKENS = 3_000_000
-#: Rows at most, of which the bucket limits and the scale of the curve are taken; they only steer balance.
+#: Sampled rows at least, from which the limits of ranges are drawn.
 SAMPLE_ROWS = 4000
 #: Dimensions of the curve, bits of each, and bits of the document's own hash below them.
 DIMS, BITS, TIE_BITS = 4, 10, 23
@@ -199,7 +199,7 @@ def pack_documents(docs: DataFrame, length: int = 2048, tokenizer: str | None =
     Hilbert curve; a hash of the row breaks ties, so any number of equal documents spreads. Ranges of
     the curve with about BUCKET_TOKENS tokens each are sorted and packed one after the other, cut
     wherever a sequence is full; the rest of a range makes sequences of falling powers of two. Range limits come from a
-    bounded sample and change only the balance. Returns doc_id, start, length, ids_crc32, doc_tokens,
+    sample that grows with the ranges wanted, a few small rows for each, and change only the balance. Returns doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id and offset; rows without a doc_id are packed too and keep a null id; an empty
     table gives no rows.
     """
@@ -212,8 +212,10 @@ def pack_documents(docs: DataFrame, length: int = 2048, tokenizer: str | None =
             yield pd.DataFrame({"tie": b["tie"], "n": [len(x) for x in ids], **{f"v{k}": vectors[:, k] for k in range(DIMS)}})
 
     total, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    share = min(1.0, SAMPLE_ROWS * 0.8 / max(total, 1))
-    seen = rows.sample(share, seed=7).limit(SAMPLE_ROWS).mapInPandas(profile, "tie long, n long, " + ", ".join(f"v{k} double" for k in range(DIMS))).toPandas()
+    # a token has two bytes of text at least, about
+    wanted = (size or 0) / 2.6 / BUCKET_TOKENS
+    share = min(1.0, max(SAMPLE_ROWS, 8 * wanted) * 0.8 / max(total, 1))
+    seen = rows.sample(share, seed=7).mapInPandas(profile, "tie long, n long, " + ", ".join(f"v{k} double" for k in range(DIMS))).toPandas()
     centre, spread, limits = np.zeros(DIMS), np.ones(DIMS), np.zeros(0, np.int64)
     if len(seen):
         vectors = seen[[f"v{k}" for k in range(DIMS)]].to_numpy()
@@ -221,8 +223,7 @@ def pack_documents(docs: DataFrame, length: int = 2048, tokenizer: str | None =
         keys = _keys(vectors, seen["tie"].to_numpy(), centre, spread)
         order = np.argsort(keys)
         reach = np.cumsum(seen["n"].to_numpy()[order])
-        # a token has two bytes of text at least, about
-        buckets = int(max(1, min((size or 0) / 2.6 / BUCKET_TOKENS, len(seen) / 4)))
+        buckets = int(max(1, min(wanted, len(seen) / 4)))
         limits = np.unique(keys[order][np.minimum(np.searchsorted(reach, reach[-1] * np.arange(1, buckets) / buckets), len(keys) - 1)])
 
     def place(batches):
