@@ -224,41 +224,108 @@ def test_kernel_tolerates_gaps():
 
 @pytest.mark.parametrize("insult, written", [("scum", "sxcxum"), ("fool", "fxoxol"), ("idiot", "idxxiot")])
 def test_two_inserted_characters_count(insult, written):
-    reader = toxicity.Reader(toxicity.Kernel([insult]))
-    reader._learn({written, "walk"})
-    assert set(reader.like) == {written}
+    at, rows = toxicity.WordMachine([insult]).rows([written, "walk"])
+    assert at.tolist() == [0]
+    assert rows[0, 0] >= toxicity.FLOOR**2
 
 
-def test_kernel_bound_holds():
-    kernel = toxicity.Kernel(["idiot", "scum", "worthless"])
-    words = ["idxxiot", "sxcxum", "banana", "a" * 20, "worth", "idiotidiotidiot", "\U00010000idiot", "i\U00010000diot"]
-    assert (kernel.bound([f"\2{w}\3" for w in words]) >= kernel.similarity(words).max(axis=1) - 1e-5).all()
+def slow_kernel(a, b):
+    """All subsequences of three characters with their gaps, one by one."""
 
+    def weights(word):
+        word, out = f"\2{word}\3", Counter()
+        for i in range(len(word)):
+            for j in range(i + 1, len(word)):
+                for k in range(j + 1, len(word)):
+                    if k - i - 2 <= toxicity.SKIPS:
+                        out[word[i] + word[j] + word[k]] += toxicity.DECAY ** (k - i - 2)
+        return out
 
-def test_toxic_words_that_end_sentences_count_alike():
-    kernel = toxicity.Kernel(["idiot"])
-    text = "You are an idiot. Some other words! An idi-ot?"
-    again = toxicity.Reader(kernel)
-    again.read(["an idiot here"])
-    for own in (toxicity.Reader(kernel), again):
-        assert own.read([text]) == [([("idi-ot",), ("idiot",)], ["idi-ot", "idiot"], 9)]
-    first, second = (toxicity.Reader(kernel).read([t])[0] for t in ("What an idiot. All is well? idi-ot!\n\nBye...", "What an idiot . All is well ? idi-ot !\n\nBye ..."))
-    assert first[:2] == second[:2]
+    x, y = weights(a), weights(b)
+    return sum(x[c] * y[c] for c in x) / (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5
+
+
+def test_kernel_against_all_subsequences():
+    landmarks = ["idiot", "scum", "worthless"]
+    words = ["idxxiot", "sxcxum", "banana", "a" * 20, "worth", "idiotidiotidiot", "aba", "ab", "tulip"]
+    kernel = toxicity.Kernel(landmarks)
+    expected = np.array([[slow_kernel(w, x) for x in landmarks] for w in words])
+    assert kernel.similarity(words) == pytest.approx(expected, abs=1e-5)
+    known = kernel.similarity(words, 0.3)
+    assert (expected[known.max(axis=1) == 0].max(axis=1) < 0.3 + 1e-6).all()
+    long = "x" * 60 + "idiot" + "y" * 60
+    assert kernel.similarity([long, "idiot"])[1, 0] == pytest.approx(1)
+    assert 0 < kernel.similarity([long])[0, 0] < 0.3
+
+
+def test_svm_finds_the_least_loss():
+    r = np.random.default_rng(1)
+    x, up, down = r.standard_normal((80, 5)), r.integers(0, 3, 80).astype(float), r.integers(0, 3, 80).astype(float)
+    w, b = toxicity.fit_svm(x, up, down, 50.0)
+
+    def loss(w, b):
+        f = x @ w + b
+        return (w @ w + 1e-3 * b * b) / 2 + 25 / up.sum() * (up * np.maximum(0, 1 - f) ** 2).sum() + 25 / down.sum() * (down * np.maximum(0, 1 + f) ** 2).sum()
+
+    assert all(loss(w, b) <= loss(w + 0.01 * r.standard_normal(5), b + 0.01 * r.standard_normal()) for _ in range(200))
+
+
+def decided(landmarks):
+    own = toxicity.WordMachine(landmarks, np.eye(1, len(landmarks))[0])
+    own.bias = -0.1
+    return own
 
 
 def test_toxicity_takes_all_sentences_and_words():
-    kernel = toxicity.Kernel(["grape", "idiot"])
-    model = toxicity.Model(kernel, [], np.zeros(0))
-    model.weights, model.bias = np.linalg.solve(model.map, np.array([-2.0, 2.0])), -0.5
+    own = decided(["idiot", "grape"])
     signs = ["", *",;:()[]'\""]
-    known = toxicity.Reader(kernel)
-    harmless = [f"A {a}grape{b} {c}." for k, (a, b) in enumerate((a, b) for a in signs for b in signs) for c in ("here", "there")]
-    (doc,) = known.read([" ".join([*harmless, "An idxiot too."])])
-    assert len(doc[0]) > 50
-    assert model.summary(known, doc)[0] == pytest.approx(2 * float(kernel.similarity(["idxiot"])[0, 1]) - 0.5)
     forms = [f"{a}idiot{b}" for a in signs for b in signs]
-    (doc,) = known.read([" ".join(forms)])
-    assert model.summary(known, doc)[19:22] == pytest.approx(np.log1p(len(forms)))
+    texts = [" ".join(["grape walk."] * 500 + forms), "You idiot idxiot. Idiot here!\nAn idiot", "nothing", "", "i d i o t"]
+    n = len(toxicity.STEPS)
+    found = own.features(texts)
+    assert found[0, n] == pytest.approx(np.log1p(len(forms)))
+    each = toxicity.Kernel(["idiot"]).similarity(["idxiot"])[0, 0] ** 2 - 0.1
+    assert found[1, -1] == pytest.approx(np.log1p(0.9 + each), abs=1e-5)
+    assert found[1, n : 2 * n] == pytest.approx([np.log1p(3 * min((0.9 - s) / 0.2, 1) + np.clip((each - s) / 0.2, 0, 1)) for s in toxicity.STEPS], abs=1e-5)
+    assert (found[2:4, :-2] == 0).all()
+    assert found[4, n] == pytest.approx(np.log1p(1))
+
+
+def test_toxic_words_that_end_sentences_count_alike():
+    again = decided(["idiot"])
+    again.features(["an idiot here"])
+    for own in (decided(["idiot"]), again):
+        first, second = own.features(["What an idiot. All is well? idi-ot!\n\nBye now.", "What an idiot now. All is well? idi-ot!\n\nBye"])
+        assert first.tolist() == second.tolist()
+
+
+def test_toxicity_edges(spark):
+    words = sentence(3, 400)
+    texts = [f"{sentence(k, 20)} idiot stupid" if k % 3 == 0 else sentence(k, 20) for k in range(60)] + [None, "", "x " * 200_000, f"{words} idiot {words}"]
+    df = docs(spark, *texts, *texts[:2], ids=[*range(62), None, 63, 0, 1]).withColumn("held_out", F.lit("old")).withColumn("predicted", F.lit(None).cast("string"))
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)] + [(None, 1), (3, 0)], "doc_id long, toxic int")
+    found = toxicity.score_toxicity(df, labels).collect()
+    assert len(found) == len(texts) + 2
+    assert len({r["score"] for r in found if r["doc_id"] == 0}) == 1
+    assert [r["held_out"] for r in found if r["doc_id"] is None] == [False]
+    assert {r["score"] for r in toxicity.score_toxicity(df, labels.limit(0)).collect()} == {0.0}
+    assert {r["score"] for r in toxicity.score_toxicity(df, labels.where("toxic = 0")).collect()} == {0.0}
+
+
+def test_toxicity_on_held_out_documents(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = common.table(spark, folder, "labels").select("doc_id", "toxic")
+    texts = common.table(spark, folder, "documents").select("doc_id", "lang", F.lower("text").alias("text"))
+    found = toxicity.op9_toxicity(spark, folder).where("held_out").join(labels, "doc_id").join(texts, "doc_id").toPandas()
+    toxic, hit = found["toxic"] == 1, found["predicted"] == 1
+    assert (toxic & hit).sum() / hit.sum() > 0.93
+    assert (toxic & hit).sum() / toxic.sum() > 0.87
+    # English documents that are labelled toxic but hold no insult are noise
+    insult = found["text"].str.contains("trash|pathetic|idiot|disgusting|worthless|stupid|clown|loser|scum|moron")
+    assert (hit & insult).sum() / (toxic & insult).sum() > 0.97
+    for lang in ("en", "de", "fr", "es"):
+        own = toxic & (found["lang"] == lang)
+        assert (own & hit).sum() / own.sum() >= 0.8
 
 
 def test_toxicity_is_the_same_for_any_order(spark):
@@ -268,7 +335,7 @@ def test_toxicity_is_the_same_for_any_order(spark):
     df = docs(spark, *texts)
     scores = []
     for own in (df.repartition(1, "doc_id").sortWithinPartitions("doc_id"), df.repartition(1, "doc_id").sortWithinPartitions(F.desc("doc_id")), df.repartition(7, "text")):
-        toxicity._READERS.clear()
+        toxicity._MACHINES.clear()
         scores.append({r["doc_id"]: r["score"] for r in toxicity.score_toxicity(own, labels).collect()})
     assert scores[0] == scores[1] == scores[2]
 

@@ -15,27 +15,27 @@ from .common import held_out, pieces, table
 from .quality import labelled
 
 #: Labelled documents at most that the machine is fitted on: those with the smallest hash of their id.
-FIT_ROWS = 8_000
-#: Landmarks at most, and how alike two of them may be.
-LANDMARKS, APART = 64, 0.62
+FIT_ROWS = 12_000
+#: Landmarks at most, how alike two of them may be, and words that they are chosen from at most.
+LANDMARKS, APART, CANDIDATES = 96, 0.75, 5_000
+#: Written forms of each landmark, with one or two letters put in, that the machine learns as well.
+VARIANTS = 6
 #: Weight of a subsequence of three characters for each character that it skips, and how many it may skip.
 DECAY, SKIPS = 0.6, 3
 #: Words less alike to every landmark than this add nothing to a sentence.
 FLOOR = 0.3
-#: Sentences of a labelled document, those most like a landmark, that the machine may be fitted on. Scores are made of all.
-TOP = 12
-#: Sentences or words of a text whose margins are computed at once.
-AT_ONCE = 1024
-#: Words that a worker remembers as harmless, and characters of a word that are compared at once.
+#: Decisions on a word above which it counts, in steps.
+STEPS = np.array([0.0, 0.1, 0.2, 0.4, 0.6, 0.8])
+#: Words that a worker remembers, and characters of a word that are compared at once.
 CACHE_WORDS, WIDTH = 500_000, 24
 
 _BASE = 40
 #: Characters written for letters that they resemble.
 _ALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"})
 _SIGNS = ".,;:!?\"'()[]|"
-_ENDS = ".!?"
+_ENDS = frozenset(".!?")
 _OTHER = re.compile(r"[\W_]+")
-_SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)|\n")
+_PAIR = re.compile(r"\b\w[\s.*_-]\w\b")
 _SPELLED = re.compile(r"(?:(?<=\s)|^)(?:\w[\s.*_-]+){2,}\w(?=\W|$)")
 _CODES = np.zeros(1 << 16, np.int64)
 _CODES[1:] = 27 + np.arange(1, 1 << 16) % 10
@@ -87,190 +87,192 @@ class Kernel:
 
     def __init__(self, landmarks: list[str]) -> None:
         self.landmarks = landmarks
-        self.table = np.zeros((_BASE**3, len(landmarks)), np.float32)
         row, code, weight = _sparse([_parts(w)[0] for w in landmarks])
-        np.add.at(self.table, (code, row), weight)
-        self.most = self.table.max(axis=1)
-
-    def bound(self, parts: list[str]) -> np.ndarray:
-        """At least the largest similarity of each word to any landmark."""
-        out = np.zeros(len(parts))
-        sizes = np.array([len(p) for p in parts])
-        for low, width in ((0, 8), (8, 12), (12, 16), (16, WIDTH)):  # short words need less room
-            at = np.flatnonzero((sizes > low) & (sizes <= width))
-            if len(at):
-                codes = np.ascontiguousarray(_matrix([parts[k] for k in at], width).T, np.int32)
-                total, own = np.zeros(len(at), np.float32), np.zeros(len(at), np.float32)
-                filled = np.count_nonzero(codes, axis=0)
-                for a in range(1, SKIPS + 2):
-                    pairs = (codes[:-a] * _BASE + codes[a:]) * _BASE
-                    for b in range(1, SKIPS + 3 - a):
-                        weight = np.float32(DECAY ** (a + b - 2))
-                        # a code that ends in 0 is no landmark's
-                        total += weight * self.most.take(pairs[: width - a - b] + codes[a + b :]).sum(axis=0)
-                        own += weight * weight * np.maximum(filled - (a + b), 0)
-                out[at] = total / np.sqrt(np.maximum(own, 1e-9))
-        return out
-
-    def similarity(self, words: list[str]) -> np.ndarray:
-        """Of each word, the similarity to each landmark; of a long word, the largest of its parts."""
+        codes, back = np.unique(code, return_inverse=True)
+        # 0 is the place of all codes that no landmark has
+        self.place = np.zeros(_BASE**3, np.int32)
+        self.place[codes] = np.arange(1, len(codes) + 1)
+        self.table = np.zeros((len(codes) + 1, len(landmarks)), np.float32)
+        np.add.at(self.table, (back + 1, row), weight)
+        self.most = self.table.max(axis=1, initial=0)
+
+    def similarity(self, words: list[str], floor: float = 0.0) -> np.ndarray:
+        """Of each word, the similarity to each landmark; of a long word, the largest of its parts. Words of which a sum
+        of the landmarks' largest weights shows that none can reach ``floor`` are left at 0."""
         parts = [_parts(w) for w in words]
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
         flat = [p for ps in parts for p in ps]
-        owner = np.repeat(np.arange(len(words)), [len(p) for p in parts])
+        counts = np.array([len(p) for p in parts])
+        owner = np.repeat(np.arange(len(words)), counts)
         for a in range(0, len(flat), 4096):
             row, code, weight = _sparse(flat[a : a + 4096])
-            part = np.zeros((min(4096, len(flat) - a), len(self.landmarks)), np.float32)
+            place = self.place[code]
+            some = place > 0
+            if floor > 0:
+                some &= np.bincount(row, weights=weight * self.most[place])[row] >= floor - 1e-6
+            row, place, weight = row[some], place[some], weight[some].astype(np.float32)
             if len(row):
                 starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                part[row[starts]] = np.add.reduceat(self.table[code] * weight[:, None].astype(np.float32), starts, axis=0)
-            np.maximum.at(out, owner[a : a + 4096], part)
+                values = np.add.reduceat(self.table[place] * weight[:, None], starts, axis=0)
+                at = owner[a : a + 4096][row[starts]]
+                alone = counts[at] == 1
+                out[at[alone]] = values[alone]
+                np.maximum.at(out, at[~alone], values[~alone])
         return out
 
 
-class Reader:
-    """Finds the sentences of texts that have words like a landmark; remembers harmless words."""
-
-    def __init__(self, kernel: Kernel) -> None:
-        self.kernel = kernel
-        self.harmless: set[str] = set()
-        self.like: dict[str, np.ndarray] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.harmless) + len(self.like) > CACHE_WORDS:
-            self.harmless, self.like = set(), {}
-        fresh = list(words - self.harmless - self.like.keys())
-        forms = [plain(w) for w in fresh]
-        names = list(dict.fromkeys(forms))
-        near: dict[str, np.ndarray] = {}
-        for a in range(0, len(names), 20_000):
-            own = names[a : a + 20_000]
-            if max(map(len, own)) <= WIDTH - 2:
-                bound = self.kernel.bound([f"\2{w}\3" for w in own])
-            else:
-                parts = [_parts(w) for w in own]
-                count = [len(p) for p in parts]
-                bound = np.maximum.reduceat(self.kernel.bound([p for ps in parts for p in ps]), np.cumsum(count) - count)
-            some = [own[k] for k in np.flatnonzero(bound >= FLOOR)]
-            if some:
-                found = self.kernel.similarity(some)
-                near.update({some[k]: np.where(found[k] >= FLOOR, found[k], 0) for k in np.flatnonzero(found.max(axis=1) >= FLOOR)})
-        self.harmless.update([w for w, f in zip(fresh, forms, strict=True) if f not in near])
-        self.like.update({form: near[f] for w, f in zip(fresh, forms, strict=True) if f in near for form in (w, w.rstrip(_ENDS))})
-
-    def read(self, texts: list[str]) -> list[tuple[list[tuple[str, ...]], list[str], int]]:
-        """Of each text, its distinct sentences as their words that are like a landmark (none without any), all such
-        words, and how many words it has."""
-        texts = [_SPELLED.sub(lambda m: re.sub(r"\W", "", m[0]), t.lower()) if re.search(r"\b\w[\s.*_-]\w\b", t) else t.lower() for t in texts]
-        words = [t.split() for t in texts]
-        self._learn(set().union(*words) if words else set())
-        out, like = [], self.like
-        for text, own in zip(texts, words, strict=True):
-            near = sorted({w.rstrip(_ENDS) for w in own if w in like})  # as sentences hold them
-            parts = {tuple(sorted({w for w in sentence.split() if w in like})) for sentence in _SENTENCE.split(text)} if near else set()
-            out.append((sorted(p for p in parts if p), near, len(own)))
-        return out
-
-    def features(self, groups: list[tuple[str, ...]]) -> np.ndarray:
-        """Of each group of words that were read last, the largest similarity to each landmark."""
-        if not groups:
-            return np.zeros((0, len(self.kernel.landmarks)), np.float32)
-        return np.stack([np.max([self.like[w] for w in g], axis=0) if len(g) > 1 else self.like[g[0]] for g in groups])
-
-    def telling(self, sentences: list[tuple[str, ...]]) -> np.ndarray:
-        """Features of the TOP sentences most like a landmark."""
-        best = np.zeros((0, len(self.kernel.landmarks)), np.float32)
-        for a in range(0, len(sentences), AT_ONCE):
-            best = np.concatenate([best, self.features(sentences[a : a + AT_ONCE])])
-            best = best[np.argsort(-best.max(axis=1), kind="stable")[:TOP]]
-        return best
-
-
-_READERS: dict[tuple[str, ...], Reader] = {}
-
-
-def reader(landmarks: list[str]) -> Reader:
-    """This process's reader for some landmarks; a worker keeps it, with the words it knows, from task to task."""
-    key = tuple(landmarks)
-    if key not in _READERS:
-        _READERS.clear()
-        _READERS[key] = Reader(Kernel(landmarks))
-    return _READERS[key]
-
-
 def _whiten(kernel: Kernel) -> np.ndarray:
     """The Nyström map: the inverse square root of the landmarks' own kernel."""
-    values, vectors = np.linalg.eigh(kernel.similarity(kernel.landmarks).astype(np.float64))
+    values, vectors = np.linalg.eigh(kernel.similarity(kernel.landmarks).astype(np.float64) ** 2)
     keep = values > 1e-3
     return vectors[:, keep] / np.sqrt(values[keep])
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, steps: int = 400, cost: float = 10.0) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss, classes weighed alike, by accelerated gradient descent."""
-    sign = np.where(y > 0, 1.0, -1.0)
-    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y <= 0).sum(), 1)) * cost
+def fit_svm(x: np.ndarray, toxic: np.ndarray, clean: np.ndarray, cost: float, steps: int = 60) -> tuple[np.ndarray, float]:
+    """A linear machine with squared hinge loss by Newton's method; each row counts ``toxic`` times on one side and
+    ``clean`` times on the other, both sides weighed alike."""
     z = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    up, down = toxic * (0.5 * cost / max(toxic.sum(), 1e-9)), clean * (0.5 * cost / max(clean.sum(), 1e-9))
     pull = np.ones(z.shape[1])
     pull[-1] = 1e-3
-    rate = 1 / (1 + 2 * np.linalg.norm(z * np.sqrt(share)[:, None], 2) ** 2)
-    w = v = np.zeros(z.shape[1])
-    for k in range(steps):
-        slack = np.maximum(0, 1 - sign * (z @ v))
-        new = v - rate * (pull * v - 2 * z.T @ (share * sign * slack))
-        v, w = new + k / (k + 3) * (new - w), new
+    w = np.zeros(z.shape[1])
+
+    def loss(w):
+        f = z @ w
+        return f, (pull * w * w).sum() / 2 + (up * np.maximum(0, 1 - f) ** 2).sum() + (down * np.maximum(0, 1 + f) ** 2).sum()
+
+    f, now = loss(w)
+    for _ in range(steps):
+        slope = pull * w - 2 * z.T @ (up * np.maximum(0, 1 - f) - down * np.maximum(0, 1 + f))
+        bend = np.diag(pull) + 2 * (z * (up * (f < 1) + down * (f > -1))[:, None]).T @ z
+        move, size = np.linalg.solve(bend, slope), 1.0
+        while size > 1e-4:
+            f_new, new = loss(w - size * move)
+            if new < now:
+                break
+            size /= 2
+        else:
+            break
+        w, f, done, now = w - size * move, f_new, now - new < 1e-9 * now, new
+        if done:
+            break
     return w[:-1], float(w[-1])
 
 
-class Model:
-    """Landmarks, machine, and the logistic curve from a document's margins to a probability."""
-
-    def __init__(self, kernel: Kernel, docs: list[np.ndarray], y: np.ndarray) -> None:
-        """Fits the machine on the telling sentences of each document."""
-        self.map = _whiten(kernel)
-        none = np.zeros((1, len(kernel.landmarks)), np.float32)
-        clean = np.concatenate([none, *(d[:3] for d, label in zip(docs, y, strict=True) if not label)])
-        toxic = [d for d, label in zip(docs, y, strict=True) if label and len(d)]
-        worst = [int(s.max(axis=1).argmax()) for s in toxic]
-        self.weights, self.bias = np.zeros(self.map.shape[1]), -1.0
-        for _ in range(4 if toxic else 0):  # which sentence of a document is the toxic one is found anew with each machine
-            x = np.concatenate([clean, np.stack([s[k] for s, k in zip(toxic, worst, strict=True)])])
-            self.weights, self.bias = fit_svm(x @ self.map, np.arange(len(x)) >= len(clean))
-            worst = [int(self._margins(s).argmax()) for s in toxic]
-
-    def fit_curve(self, z: np.ndarray, y: np.ndarray) -> None:
-        """Fits the curve on summaries of documents."""
-        y = y.astype(np.float64)
-        self.mean, self.scale = z.mean(axis=0), z.std(axis=0) + 1e-6
-        z = np.concatenate([np.clip((z - self.mean) / self.scale, -4, 4), np.ones((len(z), 1))], axis=1)
-        self.curve = np.zeros(z.shape[1])
-        for _ in range(25):  # Newton's steps
-            p = 1 / (1 + np.exp(-np.clip(z @ self.curve, -30, 30)))
-            self.curve -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 0.1 * np.eye(z.shape[1]), z.T @ (p - y) + 0.1 * self.curve)
+class WordMachine:
+    """Decisions on words: a support vector machine in the Nyström coordinates of the squared kernel."""
+
+    def __init__(self, landmarks: list[str], weights: np.ndarray | None = None) -> None:
+        """``weights`` are one for each landmark's squared kernel; a word like no landmark has a decision of 0."""
+        self.kernel, self.weights = Kernel(landmarks), weights
+        self.known: dict[str, float] = {}
+
+    def rows(self, forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Which plain words are like a landmark, and their squared similarities to each."""
+        at, rows = [np.zeros(0, np.int64)], [np.zeros((0, len(self.kernel.landmarks)), np.float32)]
+        for a in range(0, len(forms), 20_000):
+            found = self.kernel.similarity(forms[a : a + 20_000], FLOOR)
+            keep = np.flatnonzero(found.max(axis=1) >= FLOOR)
+            at.append(a + keep)
+            rows.append(np.where(found[keep] >= FLOOR, found[keep], 0) ** 2)
+        return np.concatenate(at), np.concatenate(rows)
+
+    def fit(self, rows: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> None:
+        """Learns from words as labelled sentences hold them, and from landmarks written with letters put in."""
+        random = np.random.default_rng(23)
+        odd = []
+        for word in self.kernel.landmarks:
+            for k in range(VARIANTS):
+                form = word
+                for _ in range(1 + k % 2):
+                    cut = int(random.integers(1, len(form)))
+                    form = form[:cut] + chr(97 + int(random.integers(26))) + form[cut:]
+                odd.append(form)
+        at, more = self.rows(odd)
+        mapped = _whiten(self.kernel)
+        x = np.concatenate([rows, more]) @ mapped
+        # the forms of a landmark count as often, together, as the average word of toxic documents
+        share = np.full(len(at), toxic.sum() / max((toxic > 0).sum(), 1) / VARIANTS)
+        weights, self.bias = fit_svm(x, np.append(toxic, share), np.append(clean, np.zeros(len(at))), 30_000.0)
+        self.weights = mapped @ weights
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.known) > CACHE_WORDS:
+            self.known = {}
+        fresh = list(words.difference(self.known))
+        forms = [plain(w) for w in fresh]
+        names = list(dict.fromkeys(forms))
+        at, rows = self.rows(names)
+        decisions = dict(zip((names[k] for k in at.tolist()), np.maximum((rows * self.weights).sum(axis=1) + self.bias, 0).tolist(), strict=True))
+        self.known.update(zip(fresh, (decisions.get(f, 0.0) for f in forms), strict=True))
+
+    def features(self, texts: list[str]) -> np.ndarray:
+        """Of each text: how many words have a decision above each step, against its length and as such, the length, and
+        the worst sentence, whose decision is the sum of its words'."""
+        texts = [_SPELLED.sub(lambda m: re.sub(r"\W", "", m[0]), t) if _PAIR.search(t) else t for t in map(str.lower, texts)]
+        words = [t.replace("\n", " . ").split() for t in texts]
+        self._learn(set().union(*words) if words else set())
+        out = np.zeros((len(texts), 2 * len(STEPS) + 2))
+        look = self.known.__getitem__
+        for row, own in zip(out, words, strict=True):
+            decisions = np.fromiter(map(look, own), np.float64, len(own))
+            hits = np.flatnonzero(decisions)
+            counts = np.zeros(len(STEPS))
+            if len(hits):
+                found = decisions[hits]
+                counts = np.array([np.clip((found - s) / 0.2, 0, 1).sum() for s in STEPS])
+                ends = np.array([k for k, w in enumerate(own) if w[-1] in _ENDS] + [len(own)])
+                row[-1] = np.log1p(np.bincount(np.searchsorted(ends, hits), weights=found).max())
+            scale = np.sqrt(len(own) + 20)
+            row[: len(STEPS)] = counts / scale
+            row[len(STEPS) : -2] = np.log1p(counts)
+            row[-2] = len(own) / scale
+        return out
 
-    def _margins(self, rows: np.ndarray) -> np.ndarray:
-        return rows @ (self.map @ self.weights) + self.bias
 
-    def summary(self, known: Reader, doc: tuple[list[tuple[str, ...]], list[str], int]) -> np.ndarray:
-        """The worst of all sentences, the worst words, how many of all are bad and how bad, and the length."""
-        sentences, words, n = doc
-        worst = self.bias
-        for a in range(0, len(sentences), AT_ONCE):
-            worst = max(worst, self._margins(known.features(sentences[a : a + AT_ONCE])).max())
-        each = [self._margins(np.stack([known.like[w] for w in words[a : a + AT_ONCE]])) for a in range(0, len(words), AT_ONCE)]
-        own = np.sort(np.concatenate([*each, np.full(5, self.bias)]))[::-1]
-        steps = [np.clip((own[k] - low) / 0.4, 0, 1) for low in (-0.8, -0.4, 0.0, 0.4, 0.8) for k in (0, 1, 2)]
-        bad = [np.log1p((own > level).sum()) for level in (-0.5, 0, 0.5)]
-        return np.array([worst, own[0], own[:3].mean(), own[:5].mean(), *steps, *bad, np.log1p(n), np.log1p((own > 0).sum() / (n + 20))])
+_MACHINES: dict[bytes, WordMachine] = {}
+
+
+def machine(landmarks: list[str], weights: np.ndarray, bias: float) -> WordMachine:
+    """This process's machine; a worker keeps it, with the words it knows, from task to task."""
+    key = repr((landmarks, bias)).encode() + weights.tobytes()
+    if key not in _MACHINES:
+        _MACHINES.clear()
+        own = _MACHINES[key] = WordMachine(landmarks, weights)
+        own.bias = bias
+    return _MACHINES[key]
+
+
+class TextMachine:
+    """The machine that decides on documents, and a logistic curve from its margin to a probability."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
+        """The curve is fitted on every fifth document, which the machine doesn't see."""
+        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+        x = (x - self.mean) / self.scale
+        aside = np.arange(len(x)) % 5 == 0 if len(x) >= 50 else np.zeros(len(x), bool)
+        self.weights, self.bias = fit_svm(x[~aside], (y[~aside] > 0).astype(float), (y[~aside] <= 0).astype(float), 100.0)
+        if not ((y[aside] > 0).any() and (y[aside] <= 0).any()):
+            aside = np.ones(len(x), bool)
+        z = np.stack([x[aside] @ self.weights + self.bias, np.ones(aside.sum())], axis=1)
+        toxic = y[aside] > 0
+        # Platt's targets keep the curve finite where the margins tell the labels apart
+        t = np.where(toxic, (toxic.sum() + 1) / (toxic.sum() + 2), 1 / ((~toxic).sum() + 2))
+        self.curve = np.array([1.0, 0.0])
+        for _ in range(30):  # Newton's steps
+            p = 1 / (1 + np.exp(-np.clip(z @ self.curve, -30, 30)))
+            self.curve -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2), z.T @ (p - t) + 1e-2 * self.curve)
 
-    def score(self, known: Reader, doc: tuple[list[tuple[str, ...]], list[str], int]) -> float:
-        z = np.append(np.clip((self.summary(known, doc) - self.mean) / self.scale, -4, 4), 1)
-        return float(1 / (1 + np.exp(-np.clip(z @ self.curve, -30, 30))))
+    def score(self, x: np.ndarray) -> np.ndarray:
+        margin = ((x - self.mean) / self.scale * self.weights).sum(axis=1) + self.bias  # row by row: alike in any batch
+        return 1 / (1 + np.exp(-np.clip(margin * self.curve[0] + self.curve[1], -30, 30)))
 
 
 def choose_landmarks(words: pd.DataFrame, toxic: int, clean: int) -> list[str]:
     """Words that toxic documents hold far more often than others, the most telling first, none too like another."""
     odds = np.log((words["toxic"] + 0.1) / (toxic + 1)) - np.log((words["clean"] + 0.5) / (clean + 1))
-    words = words.assign(value=odds * words["toxic"])[odds > 2.5].sort_values(["value", "word"], ascending=[False, True]).head(800)
+    words = words.assign(value=odds * words["toxic"])[odds > 2.5].sort_values(["value", "word"], ascending=[False, True])
+    words = words[words["value"] >= 12]
     found = list(dict.fromkeys(w for w in map(plain, words["word"]) if 3 <= len(w) <= WIDTH - 2))
     if not found:
         return []
@@ -290,52 +292,57 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     """``docs`` with held_out, score and predicted: how likely each text is toxic.
 
     Words are compared with landmark words by common subsequences of three characters, which may skip
-    up to three others, so inserted signs or letters and other endings still match; single letters that spell
-    a word are joined. A sentence is the largest similarity to each landmark among its words, mapped by Nyström; a
-    machine learns from the most telling sentence of each labelled document, and a document's score
-    comes from its worst sentence and worst words, of all that it has. Landmarks are words of the at most ``fit_rows`` labelled documents
-    whose crc32 of the id is not divisible by 5. Null and empty texts have no sentence; a row without an id is
-    scored and not held out; with no labels or no telling word all scores are the share of toxic labels; a
-    label given twice counts as its largest. Columns named held_out, score or predicted are replaced.
+    up to SKIPS others, so inserted signs or letters and other endings still match; single letters that
+    spell a word are joined. Landmarks are words of the at most ``fit_rows`` labelled documents whose crc32
+    of the id is not divisible by 5. A machine in the landmarks' Nyström coordinates learns from the words
+    of those documents' sentences, which inherit the label; a sentence's decision is the sum of its words'.
+    A second machine learns documents from the decisions on all their words and on their worst sentence;
+    a logistic curve, fitted on documents kept aside, makes a probability of its margin.
+    Null and empty texts have no word; a row without an id is scored and not held out; with no labels or
+    no telling word all scores are the share of toxic labels; a label given twice counts as its largest;
+    repeated rows get equal scores. Columns named held_out, score or predicted are replaced.
     """
     docs = docs.drop("held_out", "score", "predicted")
     known = labelled(docs, labels, "toxic", fit_rows)
     known = known.withColumn("text", F.coalesce("text", F.lit(""))).persist()
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    words = known.select("doc_id", "label", F.explode(F.array_distinct(F.split(F.lower("text"), r"[\s]+"))).alias("word")).groupBy("word")
+    words = known.select("label", F.explode(F.array_distinct(F.split(F.lower("text"), r"[\s]+"))).alias("word")).groupBy("word")
     words = words.agg(F.sum((F.col("label") > 0).cast("int")).alias("toxic"), F.sum((F.col("label") <= 0).cast("int")).alias("clean"))
-    telling = words.where((F.col("toxic") > 1) & (F.col("toxic") > 3 * F.col("clean"))).orderBy(F.desc("toxic"), "word").limit(5000).toPandas()
+    telling = words.where((F.col("toxic") > 1) & (F.col("toxic") > 3 * F.col("clean"))).orderBy(F.desc("toxic"), "word").limit(CANDIDATES).toPandas()
     landmarks = choose_landmarks(telling, sizes.get(1, 0), sizes.get(0, 0))
-    model, prior = None, sizes.get(1, 0) / max(1, sum(sizes.values()))
+    prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
+    decide = None
     if landmarks:
-        kernel = Kernel(landmarks)
-
-        def telling_sentences(batches):
-            own = reader(landmarks)
+        first = WordMachine(landmarks)
+
+        def alike(batches):
+            for b in batches:
+                forms = [plain(w) for w in b["word"]]
+                b = b.assign(form=forms).groupby("form", as_index=False)[["toxic", "clean"]].sum()
+                at, rows = first.rows(b["form"].tolist()) if len(b) else ([], [])
+                yield pd.DataFrame({"toxic": b["toxic"].to_numpy()[at], "clean": b["clean"].to_numpy()[at], "x": [r.tobytes() for r in rows]})
+
+        # as many as the bounded rows have such words
+        found = words.mapInPandas(alike, "toxic long, clean long, x binary").toPandas().groupby("x", as_index=False).sum()
+        rows = np.frombuffer(b"".join(found["x"]), np.float32).reshape(-1, len(landmarks))
+        first.fit(rows, found["toxic"].to_numpy(np.float64), found["clean"].to_numpy(np.float64))
+        weights, bias = first.weights, first.bias
+
+        def documents(batches):
+            own = machine(landmarks, weights, bias)
             for b in pieces(batches, size=2 << 20):
-                yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "x": [own.telling(d[0]).tobytes() for d in own.read(b["text"].tolist())]})
-
-        def summaries(batches):
-            own = reader(landmarks)
-            for b in pieces(batches, size=2 << 20):
-                yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "x": [model.summary(own, d).tobytes() for d in own.read(b["text"].tolist())]})
-
-        def fetch(function):
-            rows = known.select("doc_id", "label", "text").mapInPandas(function, "doc_id long, label int, x binary")
-            return rows.toPandas().sort_values(["doc_id", "label", "x"])
+                yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "x": [v.tobytes() for v in own.features(b["text"].tolist())]})
 
-        rows = fetch(telling_sentences)
-        model = Model(kernel, [np.frombuffer(x, np.float32).reshape(-1, len(landmarks)) for x in rows["x"]], rows["label"].to_numpy())
-        rows = fetch(summaries)
-        model.fit_curve(np.stack([np.frombuffer(x) for x in rows["x"]]), rows["label"].to_numpy())
+        found = known.select("doc_id", "label", "text").mapInPandas(documents, "doc_id long, label int, x binary").toPandas().sort_values(["doc_id", "label", "x"])
+        decide = TextMachine(np.stack([np.frombuffer(x) for x in found["x"]]), found["label"].to_numpy())
     known.unpersist()
 
     schema = T.StructType([*docs.schema.fields, T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())])
 
     def score(batches):
-        own = reader(landmarks) if model else None
+        own = machine(landmarks, weights, bias) if decide else None
         for b in pieces(batches, size=2 << 20):
-            yield b.assign(score=[model.score(own, d) for d in own.read([t or "" for t in b["text"]])] if model else prior)
+            yield b.assign(score=decide.score(own.features([t or "" for t in b["text"]])) if decide else prior)
 
     marked = docs.withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     return marked.mapInPandas(score, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
