@@ -370,6 +370,35 @@ def test_suffix_dedup_edges(spark):
     assert (found["doc_id"], found["n_removed"]) == (None, 0)
 
 
+def test_suffix_dedup_takes_each_row_as_a_document(spark):
+    texts = [BASE, BASE, OTHER, sentence(40, 60) + BASE[:250], sentence(41, 60), sentence(42, 30_000) + OTHER[:230]]
+    df = docs(spark, *texts, ids=[1, 1, 2, 2, 2, 3]).withColumn("version", F.lit("clash")).withColumn("n_bytes", F.lit(None))
+    found = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in suffix_dedup.remove_repeats(df, 200).collect())
+    brute = brute_removed(texts, 200)
+    assert found == sorted((d, brute[k][0], brute[k][1], brute[k][3]) for k, d in enumerate([1, 1, 2, 2, 2, 3]))
+
+
+@pytest.mark.parametrize("most", [3000, 2])
+def test_suffix_dedup_with_one_string_in_most_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "GROUP_CONTEXTS", most)
+    passage = sentence(50, 45)
+    texts = [sentence(100 + k, 20) + passage + sentence(100 + k // 3, 20) for k in range(40)] + [sentence(300 + k, 50) for k in range(10)]
+    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in suffix_dedup.remove_repeats(docs(spark, *texts), 200).collect()}
+    assert found == brute_removed(texts, 200)
+
+
+def test_minimizers_depend_on_the_window_alone(monkeypatch):
+    r = np.random.default_rng(3)
+    data = r.integers(97, 101, 4000).astype(np.uint8)
+    of = suffix_dedup.Rolling.of
+    # hashes that differ in their lowest bits only
+    monkeypatch.setattr(suffix_dedup.Rolling, "of", lambda self, a, b: of(self, a, b) >> np.uint64(60))
+    at, _, first, last, _ = suffix_dedup.minimizers(data, np.array([0]), np.array([4000]), 200, 50)
+    hashes = suffix_dedup.Rolling(data).of(np.arange(3951), np.arange(3951) + 50)
+    owner = {w: int(p) for p, a, b in zip(at, first, last, strict=True) for w in range(a, b + 1)}
+    assert owner == {w: w + int(np.argmin(hashes[w : w + 151])) for w in range(3801)}
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_suffix_array(seed):
     r = np.random.default_rng(seed)
@@ -434,13 +463,26 @@ def test_packing(spark):
 
 
 def test_packing_ranges_stay_small_at_any_size(spark, monkeypatch):
-    monkeypatch.setattr(packing, "SAMPLE_ROWS", 40)
-    monkeypatch.setattr(packing, "BUCKET_TOKENS", 2000)
-    df = docs(spark, *[sentence(k, 60) for k in range(2000)])
-    found = packing.pack_documents(df, 64).groupBy(F.shiftright("sequence_id", 32).alias("bucket")).agg(F.sum("length").alias("n")).collect()
+    monkeypatch.setattr(packing, "RANGE_TOKENS", 2000)
+    df = docs(spark, *[sentence(k % 700, 60) for k in range(2000)])
+    found = packing.pack_documents(df, 64).groupBy(F.shiftright("sequence_id", 32).alias("range")).agg(F.sum("length").alias("n")).collect()
     total = sum(r["n"] for r in found)
-    assert len(found) > 40
-    assert max(r["n"] for r in found) < total / 10
+    assert len(found) > total / 4000
+    assert max(r["n"] for r in found) < 8000
+
+
+def test_packing_repeated_and_long_rows(spark):
+    df = docs(spark, BASE, BASE, "", None, sentence(9, 40_000), ids=[5, 5, 5, None, 8]).withColumn("sequence_id", F.lit("clash")).withColumn("length", F.lit(None))
+    rows = packing.pack_documents(df, 2048).collect()
+    whole = Counter(r["doc_id"] for r in rows if r["start"] == 0)
+    assert whole == {5: 3, 8: 1, None: 1}
+    for doc in (5, 8, None):
+        own = [r for r in rows if r["doc_id"] == doc]
+        assert sum(r["length"] for r in own) == sum(r["doc_tokens"] for r in own if r["start"] == 0)
+    sizes = Counter()
+    for r in rows:
+        sizes[r["sequence_id"]] += r["length"]
+    assert all(n == 2048 or n & (n - 1) == 0 for n in sizes.values())
 
 
 def test_hilbert_is_a_curve():
@@ -465,6 +507,84 @@ def test_licenses(spark):
     assert license_scan.license_scan(df.limit(0)).count() == 0
 
 
+GPL3 = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works.
+
+  13. Use with the GNU Affero General Public License.
+  Notwithstanding any other provision of this License, you have permission to link or combine any covered work.
+"""
+MIT = license_scan.TEMPLATES["MIT"][2]
+BSD2, BSD3 = license_scan.TEMPLATES["BSD-2-Clause"][-1], license_scan.TEMPLATES["BSD-3-Clause"][-1]
+CODE = "\n\nimport os\n\ndef main():\n    return os.getcwd()\n"
+
+
+def commented(text, sign="#", width=60):
+    lines, line = [], ""
+    for word in text.split():
+        if len(line) + len(word) > width:
+            lines.append(f"{sign} {line}")
+            line = ""
+        line += word + " "
+    return "\n".join([*lines, f"{sign} {line}"])
+
+
+@pytest.mark.parametrize("text, expected", [
+    (GPL3, "GPL-3.0"), (GPL3.replace("Version 3, 29 June 2007", "Version 2, June 1991"), "GPL-2.0"),
+    (GPL3.replace("GENERAL PUBLIC LICENSE\n", "LESSER GENERAL PUBLIC LICENSE\n"), "LGPL-3.0"),
+    ("MIT License\n\nCopyright (c) 2020 Some Body\n\n" + MIT, "MIT"), ("Copyright 2001 A. Person\n\n" + MIT, "MIT"),
+    ("Copyright (c) 1999, People\nAll rights reserved.\n\n" + BSD2, "BSD-2-Clause"), ("Copyright (c) 1999, People\nAll rights reserved.\n\n" + BSD3, "BSD-3-Clause"), ("BSD 3-Clause License", "BSD-3-Clause"),
+    ("Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n\n1.1. Contributor means each one", "MPL-2.0"),
+    ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS", "Apache-2.0"),
+    (commented("Copyright 2020 Someone. " + license_scan.TEMPLATES["Apache-2.0"][2]) + CODE, "Apache-2.0"),
+    (commented(license_scan.TEMPLATES["GPL-3.0"][2], "//") + CODE, "GPL-3.0"), (commented(license_scan.TEMPLATES["GPL-2.0"][2], " *") + CODE, "GPL-2.0"),
+    (commented(license_scan.TEMPLATES["LGPL-2.1"][1]) + CODE, "LGPL-2.1"), (commented(license_scan.TEMPLATES["MPL-2.0"][2]) + CODE, "MPL-2.0"),
+    ("// SPDX-License-Identifier: GPL-2.0-only" + CODE, "GPL-2.0"), ("# SPDX-License-Identifier: MIT" + CODE, "MIT"), ("/* SPDX-License-Identifier: Apache-2.0 */" + CODE, "Apache-2.0"), ("# SPDX-License-Identifier: LicenseRef-Own-7" + CODE, None),
+    ("This is free and unencumbered software released into the public domain.\n\n" + license_scan.TEMPLATES["Unlicense"][1], "Unlicense"),
+    ("The law of the land is free and open to all.", None), ("Permission was granted to the general public.", None), (sentence(3, 30_000) + "\n# Released under the MIT License.\n" + sentence(4, 30_000), "MIT"),
+])
+def test_licenses_of_whole_files(spark, text, expected):
+    df = spark.createDataFrame([("f", text)], "path string, text string")
+    assert [r["own_license"] for r in license_scan.license_scan(df).collect()] == [expected]
+
+
+def test_license_ties_and_folders(spark):
+    line = {"A": ["alpha beta gamma delta"], "B": ["alpha beta gamma epsilon", "omega psi chi phi"]}
+    rows = [
+        ("x", "alpha beta gamma"), ("y", "alpha beta gamma\n\nomega psi chi phi too"), ("d/LICENSE", "words of no licence"), ("d/e/f.py", "code"), ("LICENSE", "omega psi chi phi"),
+        ("g/LICENCE-2", "omega psi chi phi"), ("g/LICENSE", "alpha beta gamma delta"), ("g/f.py", "code"),
+    ]
+    found = {r["path"]: (r["own_license"], r["license"], r["inherited_from"]) for r in license_scan.license_scan(spark.createDataFrame(rows, "path string, text string"), line).collect()}
+    assert found["x"][0] == "A"
+    assert found["y"][0] == "B"
+    # a licence file that says nothing known is passed over; of two in a folder the smallest path counts
+    assert found["d/e/f.py"] == (None, "B", "")
+    assert found["g/f.py"] == (None, "B", "g")
+
+
+def test_license_bound_passes_over_nothing(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    texts = [t for own in license_scan.with_tags(license_scan.TEMPLATES).values() for t in own]
+    rows = []
+    for k in range(150):
+        words = texts[k % len(texts)].split()
+        some = [w for w in words if r.random() < 0.35 + 0.6 * (k % 7) / 6]
+        rows.append((str(k), " ".join(some + sentence(k, k % 9 + 1).split())))
+    df = spark.createDataFrame(rows, "path string, text string")
+    fast = license_scan.license_scan(df).orderBy("path").collect()
+    monkeypatch.setattr(license_scan, "needed_terms", lambda weights, threshold: ([w[2] for w in weights], []))
+    assert license_scan.license_scan(df).orderBy("path").collect() == fast
+    assert len({x["own_license"] for x in fast}) > 10
+
+
 def test_word_hashes_agree_across_batches():
     one = [word_hashes([t])[0].tolist() for t in TEXTS]
     hashes, _, _, counts, _ = word_hashes(TEXTS)

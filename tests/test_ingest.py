@@ -1,11 +1,12 @@
 import json
 
 import numpy as np
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tracery.operators import ingest
+from tracery.operators import filters, ingest
 from tracery.sources import tables
 from tracery.streaming import jobs
 
@@ -105,6 +106,34 @@ def test_store_and_delete(spark, tmp_path):
     assert tables.read_series(spark, path, "other").count() == 0
 
 
+def test_delete_survives_a_crash(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("t", "Room", f"r{i}", float(i)) for i in range(10)], "tenant string, entity_type string, entity_id string, x double")
+    rows = rows.withColumn("time_index", F.make_timestamp(F.lit(2020), F.lit(1), (F.col("x") % 3 + 1).cast("int"), F.lit(0), F.lit(0), F.lit(0)))
+    path = str(tmp_path / "series")
+    tables.write_series(rows, path)
+    finish = tables.finish_rewrite
+    calls = []
+
+    def crash(*args, **kwargs):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return finish(*args, **kwargs)
+
+    monkeypatch.setattr(tables, "finish_rewrite", crash)
+    with pytest.raises(RuntimeError):
+        tables.rewrite_partitions(spark, path, F.col("x").isin(0.0, 3.0, 6.0, 9.0, 1.0))
+    monkeypatch.setattr(tables, "finish_rewrite", finish)
+    # the next delete puts the lost one in place first
+    assert tables.rewrite_partitions(spark, path, F.col("x") == 2.0) == 1
+    schema = "entity_id string, x double, time_index timestamp, tenant string, entity_type string, date date"
+    assert sorted(r["x"] for r in tables.read_series(spark, path, "t", "Room", schema).collect()) == [4.0, 5.0, 7.0, 8.0]
+    assert not (tmp_path / "series-rewrite").exists()
+    dated = filters.filter_time_range(tables.read_series(spark, path), "2020-01-03", "2020-01-03T23:00:00Z")
+    assert sorted(r["x"] for r in dated.collect()) == [5.0, 8.0]
+    assert "PartitionFilters: [isnotnull(date" in dated._jdf.queryExecution().toString()
+
+
 def test_csv(spark, tmp_path):
     (tmp_path / "mtt.etdevice.csv").write_text("entity_id,location,x\nd1,'{\"a\": [1,2]}',3.5\n")
     found = tables.load_csv_series(spark, str(tmp_path), "entity_id string, location string, x double").first()

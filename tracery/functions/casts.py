@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,14 +21,19 @@ COLUMN_TYPES = {
 _NUMERIC = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
+#: Kinds of JSON values by the first letters of their VARIANT type.
+_KINDS = {"BOOL": "boolean", "BIGI": "integer", "INT": "integer", "DECI": "number", "DOUB": "number", "FLOA": "number", "STRI": "text", "OBJE": "object", "ARRA": "array"}
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def kind(value: Column) -> Column:
     """What a JSON value is: boolean, integer, number, text, object, array; NULL for null or missing."""
-    s = F.schema_of_variant(value)
-    return (
-        F.when(s.startswith("BOOLEAN"), "boolean").when(s.startswith("BIGINT") | s.startswith("INT"), "integer")
-        .when(s.startswith("DECIMAL") | s.startswith("DOUBLE") | s.startswith("FLOAT"), "number").when(s.startswith("STRING"), "text")
-        .when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "array")
-    )
+    names = F.create_map(*[F.lit(x) for item in _KINDS.items() for x in item])
+    return F.element_at(names, F.substring(F.schema_of_variant(value), 1, 4))
 
 
 def json_path_get(value: Column, path: str, type_: str = "string") -> Column:
@@ -113,11 +119,14 @@ def infer_attr_type(attr: Column) -> Column:
 
 def infer_value_type(value: Column) -> Column:
     """Array, StructuredValue, Boolean, Integer, Number, DateTime (ISO text or an LD date) or Text."""
-    k = kind(value)
-    return (
-        F.when(k == "array", "Array").when(cast_ld_datetime(value).isNotNull(), "DateTime").when(k == "object", "StructuredValue").when(k == "boolean", "Boolean")
-        .when(k == "integer", "Integer").when(k == "number", "Number").when(cast_datetime(value).isNotNull(), "DateTime").otherwise("Text")
-    )
+    plain = {"array": "Array", "boolean": "Boolean", "integer": "Integer", "number": "Number"}
+
+    def of(k: Column) -> Column:
+        own = F.element_at(F.create_map(*[F.lit(x) for item in plain.items() for x in item]), k)
+        other = F.when(k == "object", F.when(cast_ld_datetime(value).isNotNull(), "DateTime").otherwise("StructuredValue")).when((k == "text") & parse_date(_text(value)).isNotNull(), "DateTime")
+        return F.coalesce(own, other, F.lit("Text"))
+
+    return let(kind(value), of)
 
 
 def infer_column_type(ngsi_type: Column, value: Column) -> Column:

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .casts import let
+
 #: Least number of points of the simple formats.
 LEAST_POINTS = {"geo:point": 1, "geo:line": 2, "geo:polygon": 4, "geo:box": 2}
 POINTS = T.ArrayType(T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())]))
@@ -58,17 +60,52 @@ def slf_to_geojson(ngsi_type: Column, points: Column) -> Column:
     return F.when(points.isNotNull(), found)
 
 
+def _good(pairs: Column) -> Column:
+    """Pairs of numbers as points; NULL if one is not such a pair."""
+    points = F.transform(pairs, lambda p: F.struct(F.try_element_at(p, F.lit(1)).alias("lon"), F.try_element_at(p, F.lit(2)).alias("lat")))
+    return let(points, lambda ps: F.when(~F.exists(ps, lambda p: p["lon"].isNull() | p["lat"].isNull()), ps))
+
+
 def geojson_points(geojson: Column) -> Column:
     """The points of a Point, LineString or Polygon (its outer ring); other kinds are NULL."""
-    v = F.try_parse_json(geojson)
-    kind = F.try_variant_get(v, "$.type", "string")
-    read = lambda path, type_: F.try_variant_get(v, path, type_)
-    pairs = (
-        F.when(kind == "Point", F.array(read("$.coordinates", "array<double>"))).when(kind == "LineString", read("$.coordinates", "array<array<double>>"))
-        .when(kind == "Polygon", read("$.coordinates[0]", "array<array<double>>"))
-    )
-    points = F.transform(pairs, lambda p: F.struct(F.try_element_at(p, F.lit(1)).alias("lon"), F.try_element_at(p, F.lit(2)).alias("lat")))
-    return F.when(~F.exists(points, lambda p: p["lon"].isNull() | p["lat"].isNull()), points)
+
+    def read(v: Column) -> Column:
+        get = lambda path, type_: F.try_variant_get(v, path, type_)
+        kind = get("$.type", "string")
+        return (
+            F.when(kind == "Point", F.array(get("$.coordinates", "array<double>"))).when(kind == "LineString", get("$.coordinates", "array<array<double>>"))
+            .when(kind == "Polygon", get("$.coordinates[0]", "array<array<double>>"))
+        )
+
+    return _good(let(F.try_parse_json(geojson), read))
+
+
+def geojson_coordinates(geojson: Column) -> Column:
+    """All points of a shape, of whatever kind: of its lines, rings and parts, of the geometries of a collection, of a
+    feature or of the features of a collection."""
+
+    def part(v: Column) -> Column:
+        get = lambda type_: F.try_variant_get(v, "$.coordinates", type_)
+        kind = F.try_variant_get(v, "$.type", "string")
+        return (
+            F.when(kind == "Point", F.array(get("array<double>"))).when(kind.isin("LineString", "MultiPoint"), get("array<array<double>>"))
+            .when(kind.isin("Polygon", "MultiLineString"), F.flatten(get("array<array<array<double>>>")))
+            .when(kind == "MultiPolygon", F.flatten(F.flatten(get("array<array<array<array<double>>>>"))))
+        )
+
+    def shape(v: Column) -> Column:
+        parts = F.try_variant_get(v, "$.geometries", "array<variant>")
+        return F.when(parts.isNotNull(), F.flatten(F.filter(F.transform(parts, part), lambda p: p.isNotNull()))).otherwise(part(v))
+
+    def read(v: Column) -> Column:
+        kind = F.try_variant_get(v, "$.type", "string")
+        features = F.transform(F.try_variant_get(v, "$.features", "array<variant>"), lambda f: shape(F.try_variant_get(f, "$.geometry", "variant")))
+        return (
+            F.when(kind == "FeatureCollection", F.flatten(F.filter(features, lambda p: p.isNotNull())))
+            .when(kind == "Feature", shape(F.try_variant_get(v, "$.geometry", "variant"))).otherwise(shape(v))
+        )
+
+    return _good(let(F.try_parse_json(geojson), read))
 
 
 def geojson_to_slf(geojson: Column, ngsi_type: Column) -> Column:
@@ -88,9 +125,12 @@ def geopoint_to_text(point: Column) -> Column:
 
 def centroid(points: Column) -> Column:
     """The mean of all points that have both numbers."""
-    good = F.filter(points, lambda p: p["lon"].isNotNull() & p["lat"].isNotNull())
-    mean = lambda k: F.aggregate(good, F.lit(0.0), lambda acc, p: acc + p[k]) / F.size(good)
-    return F.when(F.size(good) > 0, F.struct(mean("lon").alias("lon"), mean("lat").alias("lat")))
+
+    def mean(good: Column) -> Column:
+        of = lambda k: F.aggregate(good, F.lit(0.0), lambda acc, p: acc + p[k]) / F.size(good)
+        return F.when(F.size(good) > 0, F.struct(of("lon").alias("lon"), of("lat").alias("lat")))
+
+    return let(F.filter(points, lambda p: p["lon"].isNotNull() & p["lat"].isNotNull()), mean)
 
 
 def slf_to_wkt(ngsi_type: Column, points: Column, srid: int | None = None) -> Column:
@@ -111,7 +151,7 @@ def normalize_location(location: Column, ngsi_type: Column) -> Column:
     texts = F.coalesce(F.try_variant_get(v, "$", "array<string>"), F.array(F.coalesce(F.try_variant_get(v, "$", "string"), location)))
     points = F.when(ngsi_type.isin(*LEAST_POINTS), slf_parse(ngsi_type, texts))
     json_ = F.coalesce(F.when(ngsi_type.isin("geo:json", "GeoProperty") & F.try_variant_get(v, "$.type", "string").isNotNull(), location), slf_to_geojson(ngsi_type, points))
-    return F.struct(json_.alias("location"), centroid(geojson_points(json_)).alias("centroid"))
+    return F.struct(json_.alias("location"), centroid(geojson_coordinates(json_)).alias("centroid"))
 
 
 def decode_value(value: Column, ngsi_type: str) -> Column:

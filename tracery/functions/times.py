@@ -11,19 +11,29 @@ _ISO = r"^\d{4}(-\d{2}(-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?(Z|[+-]\d
 _BASIC = r"^\d{8}T\d{6}(Z)?$"
 
 
-def parse_date(text: Column) -> Column:
-    """Strict ISO-8601 text, quotes around it dropped, as a timestamp; anything else is NULL. No zone means UTC."""
-    t = F.trim(F.regexp_replace(text, "^[\"']|[\"']$", ""))
+def _bare(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, "^[\"']|[\"']$", ""))
+
+
+def _iso_time(t: Column) -> Column:
     iso = F.when(t.rlike(_ISO), F.try_to_timestamp(F.regexp_replace(t, ",", ".")))
     return F.coalesce(iso, F.when(t.rlike(_BASIC), F.try_to_timestamp(F.regexp_replace(t, "Z$", ""), F.lit("yyyyMMdd'T'HHmmss"))))
 
 
+def parse_date(text: Column) -> Column:
+    """Strict ISO-8601 text, quotes around it dropped, as a timestamp; anything else is NULL. No zone means UTC."""
+    return _iso_time(_bare(text))
+
+
+def _loose(text: Column, once) -> Column:
+    forms = ("yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "dd MMM yyyy HH:mm:ss", "dd MMM yyyy")
+    plain = F.regexp_replace(F.trim(text), r"^[A-Z][a-z]{2}, (.*?)(?: GMT| UTC)?$", "$1")
+    return once(plain, lambda t: F.coalesce(once(_bare(t), _iso_time), *[F.try_to_timestamp(t, F.lit(f)) for f in forms]))
+
+
 def parse_time_loose(text: Column) -> Column:
     """ISO text or a few other common forms; the first that parses wins, none gives NULL."""
-    t = F.trim(text)
-    t = F.regexp_replace(t, r"^[A-Z][a-z]{2}, (.*?)(?: GMT| UTC)?$", "$1")
-    forms = ("yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "dd MMM yyyy HH:mm:ss", "dd MMM yyyy")
-    return F.coalesce(parse_date(t), *[F.try_to_timestamp(t, F.lit(f)) for f in forms])
+    return _loose(text, lambda value, body: body(value))
 
 
 def latest_time(texts: Column) -> Column:
@@ -49,14 +59,21 @@ def table_name(tenant: Column, entity_type: Column) -> Column:
     return F.when(F.coalesce(tenant, F.lit("")) == "", own).otherwise(F.concat(F.lit("mt"), F.lower(tenant), F.lit("."), own))
 
 
+def _let(value: Column, body) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _attr_time(attrs: Column, name: str) -> Column:
-    a = F.element_at(attrs, F.lit(name))
-    plain = F.try_variant_get(a, "$", "string")
-    return parse_time_loose(F.coalesce(F.try_variant_get(a, "$.value", "string"), F.try_variant_get(a, "$.value['@value']", "string"), plain))
+    def read(a: Column) -> Column:
+        plain = F.try_variant_get(a, "$", "string")
+        return F.coalesce(F.try_variant_get(a, "$.value", "string"), F.try_variant_get(a, "$.value['@value']", "string"), plain)
+
+    return _loose(_let(F.element_at(attrs, F.lit(name)), read), _let)
 
 
 def _latest_in(attrs: Column, path: str) -> Column:
-    return F.array_max(F.transform(F.map_values(attrs), lambda a: parse_time_loose(F.try_variant_get(a, path, "string"))))
+    texts = F.filter(F.transform(F.map_values(attrs), lambda a: F.try_variant_get(a, path, "string")), lambda t: t.isNotNull())
+    return F.array_max(F.transform(texts, lambda t: _loose(t, _let)))
 
 
 def select_time_index(attrs: Column, custom: str | None = None, default: Column | None = None) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -22,21 +23,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset and all
+    run on one machine. On a cluster an unset folder is an error, as executors would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="tracery-")
         shared_dir.own = found
     return found
 
 
+_STASHED: list[str] = []
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again, so that its lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STASHED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard_stashes(spark: SparkSession) -> int:
+    """Delete what this process has stashed so far, and say how many folders. Results that were not written yet need them."""
+    n = len(_STASHED)
+    while _STASHED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STASHED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a stashed frame for broadcast if it has at most ``rows`` rows; else leave the join to a shuffle."""
     return F.broadcast(df) if df.count() <= rows else df

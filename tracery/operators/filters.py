@@ -36,10 +36,15 @@ def _bound(value) -> Column:
 
 
 def filter_time_range(df: DataFrame, from_=None, to=None) -> DataFrame:
-    """Rows from one time to another, both included; either may be left out. A bad time is an error."""
-    if from_ is not None:
-        df = df.where(F.col("time_index") >= _bound(from_))
-    return df if to is None else df.where(F.col("time_index") <= _bound(to))
+    """Rows from one time to another, both included; either may be left out. A bad time is an error. A stored table, which
+    has the ``date`` of each row as a partition, is read for those dates only."""
+    for value, after in ((from_, True), (to, False)):
+        if value is not None:
+            bound = _bound(value)
+            df = df.where(F.col("time_index") >= bound if after else F.col("time_index") <= bound)
+            if "date" in df.columns:
+                df = df.where(F.col("date") >= F.to_date(bound) if after else F.col("date") <= F.to_date(bound))
+    return df
 
 
 def filter_service_path(df: DataFrame, path: str | None) -> DataFrame:

@@ -46,10 +46,9 @@ def validate_entities(entities: DataFrame) -> DataFrame:
 
 def has_value(attr: Column) -> Column:
     """Whether an attribute has a value: not missing, null or {}, and, but for Text, not blank."""
-    v = _value(attr)
-    text = F.try_variant_get(v, "$", "string")
-    blank = (casts.kind(v) == "text") & (F.trim(text) == "") & ~casts.is_text_type(_declared(attr))
-    return F.coalesce(casts.kind(v).isNotNull() & ~blank & ~F.coalesce(F.to_json(v) == "{}", F.lit(False)), F.lit(False)) | F.try_variant_get(attr, "$.object", "string").isNotNull()
+    text = F.try_variant_get(attr, "$.value", "string")
+    full = lambda s: F.when(s == "STRING", (F.trim(text) != "") | casts.is_text_type(_declared(attr))).otherwise(~s.isin("VOID", "OBJECT<>"))
+    return F.coalesce(casts.let(F.schema_of_variant(_value(attr)), full), F.lit(False)) | F.try_variant_get(attr, "$.object", "string").isNotNull()
 
 
 def null_missing_values(entities: DataFrame) -> DataFrame:
@@ -60,7 +59,7 @@ def null_missing_values(entities: DataFrame) -> DataFrame:
 
 def drop_untyped_attrs(entities: DataFrame) -> DataFrame:
     """Attributes that are no objects, or have neither a type nor a value, go."""
-    return entities.withColumn("attrs", F.map_filter("attrs", lambda _, a: (casts.kind(a) == "object") & (_declared(a).isNotNull() | has_value(a) | F.try_variant_get(a, "$.value", "string").isNotNull())))
+    return entities.withColumn("attrs", F.map_filter("attrs", lambda _, a: _declared(a).isNotNull() | has_value(a) | F.try_variant_get(a, "$.value", "string").isNotNull()))
 
 
 def drop_empty_entities(entities: DataFrame) -> DataFrame:
@@ -112,9 +111,11 @@ series_catalog = evolve_schema
 def pivot_attributes(entities: DataFrame, schema: list[tuple[str, str, str]], keep: tuple[str, ...] = ("entity_type", "entity_id", "fiware_servicepath", "time_index")) -> DataFrame:
     """Wide typed rows: a column for each (column, attr_name, ngsi_type) of the catalog, by a projection and no
     shuffle. An attribute is found by its name in any case; a value that can't be cast is NULL."""
-    by_name = lambda name: F.element_at(F.map_values(F.map_filter("attrs", lambda k, _: F.lower(k) == name)), 1)
-    one = lambda name: F.when(F.size(F.map_filter("attrs", lambda k, _: F.lower(k) == name)) > 0, by_name(name))
-    return entities.select(*[k for k in keep if k in entities.columns], *[casts.cast_attribute(one(column), kind).alias(column) for column, _, kind in schema])
+    names, values = F.transform(F.map_keys("attrs"), F.lower), F.map_values("attrs")
+    rows = entities.select(*[k for k in keep if k in entities.columns], names.alias("_names"), values.alias("_values"))
+    # each attribute is looked up once and stays a column of its own until it is cast
+    rows = rows.select(*rows.columns[:-2], *[F.get("_values", (F.array_position("_names", column) - 1).cast("int")).alias(f"_{k}") for k, (column, _, _) in enumerate(schema)])
+    return rows.select(*[c for c in rows.columns[: len(rows.columns) - len(schema)]], *[casts.cast_attribute(F.col(f"_{k}"), kind).alias(column) for k, (column, _, kind) in enumerate(schema)])
 
 
 def collect_schema(catalog: DataFrame, entity_type: str) -> list[tuple[str, str, str]]:

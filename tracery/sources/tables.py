@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.ingest import parse_bodies
 
@@ -22,9 +23,13 @@ def write_series(rows: DataFrame, path: str, files: int = 16) -> None:
     dealt.sortWithinPartitions(*parts, "entity_id", "time_index").write.mode("append").partitionBy(*parts).parquet(path)
 
 
-def read_series(spark: SparkSession, path: str, tenant: str | None = None, entity_type: str | None = None) -> DataFrame:
-    """The table, pruned to a tenant's and a type's partitions; columns that were added later are NULL before."""
-    df = spark.read.option("mergeSchema", True).parquet(path)
+def read_series(spark: SparkSession, path: str, tenant: str | None = None, entity_type: str | None = None, schema: str | StructType | None = None) -> DataFrame:
+    """The table, pruned to a tenant's and a type's partitions; columns that were added later are NULL before.
+
+    With a ``schema`` (from the catalog, partition columns included) no file is opened to find the columns; without one the
+    footers of all files are read."""
+    reader = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", True)
+    df = reader.parquet(path)
     if tenant:
         df = df.where(F.col("tenant") == tenant.lower())
     return df.where(F.col("entity_type") == entity_type) if entity_type else df
@@ -58,23 +63,47 @@ def migrate_store(df: DataFrame, types: dict[str, str], path: str, where: Column
     return moved
 
 
+def _delete_folder(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def finish_rewrite(spark: SparkSession, path: str, parts: tuple[str, ...] = ("tenant", "entity_type", "date")) -> bool:
+    """Put a prepared rewrite in place, and say whether there was one. It may be run again after a crash at any point: what
+    is prepared stays until all of it is in place. A rewrite that was not prepared to its end is thrown away."""
+    beside = f"{path.rstrip('/')}-rewrite"
+    ready = _exists(spark, f"{beside}/ready/_SUCCESS")
+    if ready:
+        rows = spark.read.parquet(f"{beside}/rows")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+        # partitions without any row left: a folder each
+        for row in spark.read.parquet(f"{beside}/ready").toLocalIterator():
+            _delete_folder(spark, "/".join([path.rstrip("/"), *[f"{k}={row[k]}" for k in parts]]))
+    if _exists(spark, beside):
+        _delete_folder(spark, beside)
+    return ready
+
+
 def rewrite_partitions(spark: SparkSession, path: str, gone: Column, parts: tuple[str, ...] = ("tenant", "entity_type", "date")) -> int:
-    """Delete rows from a stored table: only the partitions that hold some are written again, to a new place
-    first, as a job can't overwrite what it reads. Returns the number of deleted rows."""
+    """Delete rows from a stored table and return how many: only the partitions that hold some are written again.
+
+    The rows that stay are written beside the table first, then the list of partitions that end up empty, then both are put in
+    place; a run that was lost on the way is finished, or undone if it had not got that far, by the next one."""
+    finish_rewrite(spark, path, parts)
     df = spark.read.parquet(path)
     hit = df.where(gone)
     count = hit.count()
     if count:
-        touched = hit.select(*parts).distinct()
-        kept = df.join(F.broadcast(touched), list(parts), "left_semi").where(~F.coalesce(gone, F.lit(False)))
-        empty = touched.join(kept.select(*parts).distinct(), list(parts), "left_anti").collect()
         beside = f"{path.rstrip('/')}-rewrite"
-        kept.write.mode("overwrite").partitionBy(*parts).parquet(beside)
-        spark.read.parquet(beside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path
-        for row in empty:
-            p = fs_path("/".join([path.rstrip("/"), *[f"{k}={row[k]}" for k in parts]]))
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        p = fs_path(beside)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        touched = hit.select(*parts).distinct()
+        kept = df.join(touched, list(parts), "left_semi").where(~F.coalesce(gone, F.lit(False)))
+        kept.select(*[c for c in df.columns if c not in parts], *parts).write.mode("overwrite").parquet(f"{beside}/rows")
+        left = spark.read.schema(df.select(*[c for c in df.columns if c not in parts], *parts).schema).parquet(f"{beside}/rows").select(*parts).distinct()
+        touched.join(left, list(parts), "left_anti").select(*[F.col(k).cast("string") for k in parts]).write.mode("overwrite").parquet(f"{beside}/ready")
+        finish_rewrite(spark, path, parts)
     return count

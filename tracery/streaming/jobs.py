@@ -25,10 +25,12 @@ def stream_ingest(spark: SparkSession, source: str, table: str, dead_letters: st
     lines = spark.readStream.text(source).withColumnRenamed("value", "body")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, bad = split_rejected(ingest(batch), f"batch-{batch_id}")
+        found = ingest(batch).select("entity_type", "entity_id", "fiware_servicepath", "time_index", "entity", "error").persist()  # both tables come from one parse
+        good, bad = split_rejected(found, f"batch-{batch_id}")
         rows = good.select("entity_type", "entity_id", "fiware_servicepath", "time_index", F.to_json("entity").alias("raw_entity"))
         rows.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
         stream_dead_letter(bad, dead_letters, batch_id)
+        found.unpersist()
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
