@@ -97,3 +97,46 @@ def test_gazetteer(spark):
     known = spark.createDataFrame([("main, 5, rome, it", "here"), ("main, 5, rome, it", "there")], "key string, location string")
     found = {r["id"]: r["location"] for r in geo.add_location(df, known).collect()}
     assert found == {1: "here", 2: None, 3: None, 4: "kept"}
+
+
+RING = [[0, 0], [10, 0], [10, 10], [0, 10], [0, 0]]
+HOLE = [[3, 3], [7, 3], [7, 7], [3, 7], [3, 3]]
+FAR = [[20, 20], [22, 20], [22, 22], [20, 20]]
+
+
+@pytest.mark.parametrize("relation, shape, kind, points, expected", [
+    ("intersects", {"type": "Polygon", "coordinates": [RING, HOLE]}, "Point", [[5, 5]], False),
+    ("intersects", {"type": "Polygon", "coordinates": [RING, HOLE]}, "Point", [[3, 5]], True),
+    ("intersects", {"type": "Polygon", "coordinates": [RING, HOLE]}, "Point", [[1, 1]], True),
+    ("intersects", {"type": "Polygon", "coordinates": [RING, HOLE]}, "Polygon", [[4, 4], [6, 4], [6, 6], [4, 4]], False),
+    ("intersects", {"type": "Polygon", "coordinates": [RING, HOLE]}, "Polygon", [[-5, -5], [50, -5], [50, 50], [-5, 50], [-5, -5]], True),
+    ("intersects", {"type": "MultiPolygon", "coordinates": [[RING, HOLE], [FAR]]}, "Point", [[21.5, 20.5]], True),
+    ("intersects", {"type": "MultiPolygon", "coordinates": [[RING, HOLE], [FAR]]}, "Point", [[15, 15]], False),
+    ("coveredBy", {"type": "MultiPoint", "coordinates": [[1, 1], [2, 2]]}, "Polygon", RING, True),
+    ("coveredBy", {"type": "MultiPoint", "coordinates": [[1, 1], [12, 2]]}, "Polygon", RING, False),
+    ("coveredBy", {"type": "MultiLineString", "coordinates": [[[1, 1], [2, 2]], [[3, 3], [9, 9]]]}, "Polygon", RING, True),
+    ("coveredBy", {"type": "GeometryCollection", "geometries": [{"type": "Point", "coordinates": [1, 1]}, {"type": "Polygon", "coordinates": [HOLE]}]}, "Polygon", RING, True),
+    ("equals", {"type": "Polygon", "coordinates": [RING]}, "Polygon", [*RING[1:], RING[1]], True),
+    ("equals", {"type": "Polygon", "coordinates": [RING, HOLE]}, "Polygon", RING, False),
+    ("equals", {"type": "MultiPolygon", "coordinates": [[RING]]}, "Polygon", RING, True),
+    ("equals", {"type": "MultiPolygon", "coordinates": [[RING], [FAR]]}, "Polygon", RING, False),
+])
+def test_shapes_with_holes_and_parts(relation, shape, kind, points, expected):
+    assert places.relate(relation, shape, kind, np.array(points, dtype=float)) is expected
+
+
+def test_centroids_of_all_kinds(spark):
+    multi = {"type": "MultiPolygon", "coordinates": [[[[30, 20], [45, 40], [10, 40], [30, 20]]], [[[15, 5], [40, 10], [10, 20], [5, 10], [15, 5]]]]}
+    feature = lambda g: {"type": "Feature", "geometry": g, "properties": {"a": [1]}}
+    shapes = {
+        "multi": (multi, [p for part in multi["coordinates"] for ring in part for p in ring]), "holes": ({"type": "Polygon", "coordinates": [RING, HOLE]}, RING + HOLE),
+        "points": ({"type": "MultiPoint", "coordinates": [[1, 2], [3, 4]]}, [[1, 2], [3, 4]]), "lines": ({"type": "MultiLineString", "coordinates": [[[1, 2], [3, 4]], [[5, 6], [7, 9]]]}, [[1, 2], [3, 4], [5, 6], [7, 9]]),
+        "collection": ({"type": "GeometryCollection", "geometries": [{"type": "Point", "coordinates": [1, 1]}, {"type": "LineString", "coordinates": [[2, 2], [4, 4]]}]}, [[1, 1], [2, 2], [4, 4]]),
+        "features": ({"type": "FeatureCollection", "features": [feature({"type": "Point", "coordinates": [1, 1]}), feature({"type": "Polygon", "coordinates": [RING]})]}, [[1, 1], *RING]),
+        "feature": (feature({"type": "Point", "coordinates": [1, 1]}), [[1, 1]]),
+    }
+    df = spark.createDataFrame([(k, json.dumps(g)) for k, (g, _) in shapes.items()] + [("bad", "{"), ("none", None), ("odd", '{"type": "Point", "coordinates": ["x"]}')], "k string, g string")
+    found = {r["k"]: r["c"] for r in df.select("k", geo.centroid(geo.geojson_coordinates(F.col("g"))).alias("c")).collect()}
+    for k, (_, points) in shapes.items():
+        assert tuple(found[k]) == pytest.approx(tuple(np.mean(points, axis=0)))
+    assert found["bad"] is found["none"] is found["odd"] is None

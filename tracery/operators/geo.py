@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -53,19 +54,40 @@ def distance(lon: Column, lat: Column, lon0: float, lat0: float) -> Column:
 
 
 def geo_near(df: DataFrame, lon0: float, lat0: float, min_metres: float | None = None, max_metres: float | None = None, centroid: str = "centroid") -> DataFrame:
-    """Rows whose centroid is at least and at most so many metres from a point, both included; a band of latitude is
-    cut out first, which a scan can use."""
-    lon, lat = F.col(f"{centroid}.lon"), F.col(f"{centroid}.lat")
+    """Rows whose centroid is at least and at most so many metres from a point, both included.
+
+    Where rows have their extent (min_lon, min_lat, max_lon, max_lat), which holds the centroid, a box is cut out first; a
+    scan can use it."""
+    tests = []
     if max_metres is not None:
         reach = float(np.degrees(max_metres / EARTH_RADIUS)) + 1e-9
-        df = df.where(lat.between(lat0 - reach, lat0 + reach)).where(distance(lon, lat, lon0, lat0) <= max_metres)
-    return df if min_metres is None else df.where(distance(lon, lat, lon0, lat0) >= min_metres)
-
-
-def _rings(shape: dict) -> np.ndarray:
-    points = shape["coordinates"]
-    points = [points] if shape["type"] == "Point" else points[0] if shape["type"] == "Polygon" else points
-    return np.array([p[:2] for p in points], dtype=float)
+        tests += [lambda c: c["lat"].between(lat0 - reach, lat0 + reach), lambda c: distance(c["lon"], c["lat"], lon0, lat0) <= max_metres]
+        if {"min_lon", "min_lat", "max_lon", "max_lat"} <= set(df.columns):
+            df = df.where((F.col("max_lat") >= lat0 - reach) & (F.col("min_lat") <= lat0 + reach))
+            if abs(lat0) + reach < 89:
+                # on a sphere the longest reach in longitude of a circle
+                wide = float(np.degrees(np.arcsin(min(1.0, np.sin(np.radians(reach)) / np.cos(np.radians(lat0)))))) + 1e-9 if reach < 90 else 180.0
+                if lon0 - wide >= -180 and lon0 + wide <= 180:
+                    df = df.where((F.col("max_lon") >= lon0 - wide) & (F.col("min_lon") <= lon0 + wide))
+    if min_metres is not None:
+        tests.append(lambda c: distance(c["lon"], c["lat"], lon0, lat0) >= min_metres)
+    if not tests:
+        return df.where(F.col(centroid).isNotNull())
+    # the centroid may be worked out from a shape: it is named once
+    return df.where(F.exists(F.array(F.col(centroid)), lambda c: reduce(lambda a, b: a & b, [t(c) for t in tests])))
+
+
+def _parts(shape: dict) -> list[tuple[str, list[np.ndarray]]]:
+    """A GeoJSON shape as points, lines and polygons; a polygon is its outer ring and then its holes."""
+    kind, c = shape["type"], shape.get("coordinates")
+    ring = lambda points: np.array([p[:2] for p in points], dtype=float)
+    if kind == "Feature":
+        return _parts(shape["geometry"])
+    if kind in ("GeometryCollection", "FeatureCollection"):
+        return [p for g in shape["geometries" if kind == "GeometryCollection" else "features"] for p in _parts(g)]
+    if kind.startswith("Multi"):
+        return [p for one in c for p in _parts({"type": kind[5:], "coordinates": one})]
+    return [(kind, [ring([c])] if kind == "Point" else [ring(c)] if kind == "LineString" else [ring(r) for r in c])]
 
 
 def _on_segment(p, a, b) -> bool:
@@ -98,28 +120,53 @@ def _segments(points):
     return list(zip(points[:-1], points[1:], strict=True)) or [(points[0], points[0])]
 
 
+def _in_polygon(p, rings: list[np.ndarray]) -> bool:
+    """In a polygon, its borders included; what lies within a hole is outside."""
+    if not _inside(p, rings[0]):
+        return False
+    return not any(_inside(p, h) and not any(_on_segment(p, a, b) for a, b in _segments(h)) for h in rings[1:])
+
+
+def _same(kind: str, rings: list[np.ndarray], other_kind: str, other: list[np.ndarray]) -> bool:
+    if kind != other_kind or len(rings) != len(other):
+        return False
+    if kind == "Polygon":
+        turn = lambda r: [tuple(np.round(p, 9)) for p in r[:-1]]
+        equal = lambda a, b: len(a) == len(b) and any(b[k:] + b[:k] in (a, a[::-1]) for k in range(len(b)))
+        left = [turn(r) for r in other[1:]]
+        for own in map(turn, rings[1:]):
+            found = next((k for k, o in enumerate(left) if equal(own, o)), None)
+            if found is None:
+                return False
+            left.pop(found)
+        return equal(turn(rings[0]), turn(other[0]))
+    return rings[0].shape == other[0].shape and bool(np.allclose(rings[0], other[0]) or np.allclose(rings[0], other[0][::-1]))
+
+
+def _covered(kind: str, rings: list[np.ndarray], query_kind: str, query: np.ndarray) -> bool:
+    own = rings[0]
+    if query_kind == "Point":
+        return kind == "Point" and bool(np.allclose(own[0], query[0]))
+    if query_kind == "LineString":
+        return kind != "Polygon" and all(any(_on_segment(p, a, b) for a, b in _segments(query)) for p in own)
+    return all(_inside(p, query) for p in own) and not any(_cross(a, b, c, d, True) for a, b in _segments(own) for c, d in _segments(query))
+
+
+def _meets(kind: str, rings: list[np.ndarray], query_kind: str, query: np.ndarray) -> bool:
+    if any(_cross(a, b, c, d, False) for r in rings for a, b in _segments(r) for c, d in _segments(query)):
+        return True
+    return (query_kind == "Polygon" and _inside(rings[0][0], query)) or (kind == "Polygon" and _in_polygon(query[0], rings))
+
+
 def relate(relation: str, shape: dict, query_kind: str, query: np.ndarray) -> bool:
-    """Whether a GeoJSON shape is coveredBy, intersects or equals a query shape; borders belong to shapes."""
-    own = _rings(shape)
-    kind = shape["type"]
+    """Whether a GeoJSON shape is coveredBy, intersects or equals a query shape (a point, a line, or a polygon without
+    holes); borders belong to shapes, the inside of a hole does not. Of a shape of several parts all must be covered, or
+    any must meet the query; it equals a query if it has one part, which does."""
+    parts = _parts(shape)
     if relation == "equals":
-        if kind != query_kind:
-            return False
-        if kind == "Polygon":
-            norm = lambda r: {tuple(np.round(p, 9)) for p in r}
-            turn = lambda r: [tuple(np.round(p, 9)) for p in r[:-1]]
-            a, b = turn(own), turn(query)
-            return norm(own) == norm(query) and len(a) == len(b) and any(b[k:] + b[:k] in (a, a[::-1]) for k in range(len(b)))
-        return own.shape == query.shape and bool(np.allclose(own, query) or np.allclose(own, query[::-1]))
-    if relation == "coveredBy":
-        if query_kind != "Polygon":
-            if query_kind == "Point":
-                return kind == "Point" and bool(np.allclose(own[0], query[0]))
-            return kind != "Polygon" and all(any(_on_segment(p, a, b) for a, b in _segments(query)) for p in own)
-        return all(_inside(p, query) for p in own) and not any(_cross(a, b, c, d, True) for a, b in _segments(own) for c, d in _segments(query))
-    if any(_cross(a, b, c, d, False) for a, b in _segments(own) for c, d in _segments(query)):
-        return True
-    return (query_kind == "Polygon" and _inside(own[0], query)) or (kind == "Polygon" and _inside(query[0], own))
+        return len(parts) == 1 and _same(*parts[0], query_kind, [query])
+    test = _covered if relation == "coveredBy" else _meets
+    return bool(parts) and (all if relation == "coveredBy" else any)(test(kind, rings, query_kind, query) for kind, rings in parts)
 
 
 def _related(relation: str, query: dict) -> Column:
