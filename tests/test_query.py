@@ -3,8 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tracery.operators import filters, query, shape
-from tracery.plans import queries
+from tracery.operators import filters, query, shape, telemetry
+from tracery.plans import queries, views
 
 BASE = dt.datetime(1970, 1, 1)
 
@@ -41,12 +41,43 @@ def test_measurements_per_second_of_all_events(spark, tmp_path):
     seconds = [("click", 0.2), ("click", 0.9), ("view", 3.0), ("click", 5 * 3600 + 0.5), ("view", 3 * 3600 + 7.1), ("view", 3.4), ("buy", 4 * 3600)]
     rows = [(k, start + dt.timedelta(seconds=s), k, e, 1.0, None) for k, (e, s) in enumerate(seconds)]
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
-    found = {(r["label"], r["second"]): r["n"] for r in queries.measurements_per_second(spark, str(tmp_path)).collect()}
+    found = {(r["label"], r["second"].isoformat()): r["n"] for r in telemetry.measurements_per_second(views.telemetry(spark, str(tmp_path))).collect()}
     wanted = {}
     for label in ("click", "view", "buy"):
         own = [int(s) for e, s in seconds if e == label]
         wanted |= {(label, (start + dt.timedelta(seconds=s)).isoformat()): own.count(s) for s in range(min(own), max(own) + 1)}
-    assert {(label, second[:19].replace(" ", "T")): n for (label, second), n in found.items()} == wanted
+    assert found == wanted
+    hours = {}
+    for (label, second), n in wanted.items():
+        own = hours.setdefault((label, second[:13].replace("T", " ")), [])
+        own.append(n)
+    sums = {(r["label"], r["hour"]): (r["seconds"], r["n"], r["most"]) for r in queries.measurements_per_second(spark, str(tmp_path)).collect()}
+    assert sums == {key: (len(own), sum(own), max(own)) for key, own in hours.items()}
+
+
+def test_pages_lose_nothing(spark):
+    rows = [("t", "a", k // 4, k) for k in range(17)] + [("t", "b", 1, 99)]
+    df = spark.createDataFrame(rows, "entity_type string, entity_id string, time_index int, instance_id int")
+    order = ("time_index", "entity_id", "instance_id")
+    found, after = [], None
+    while page := query.page_after(df, after, 5).collect():
+        assert len(page) <= 5
+        found += page
+        after = {c: page[-1][c] for c in order}
+    assert [tuple(r[c] for c in order) for r in found] == sorted(tuple(r[c] for c in order) for r in df.collect())
+
+
+def test_delta_over_many_periods(spark):
+    start = dt.datetime(2024, 1, 1)
+    rows = [("a" if k % 3 else "b", start + dt.timedelta(hours=7 * k + (k % 5 == 0) * 100), float(k * k % 17) if k % 6 else None, k) for k in range(60)] + [("c", None, 1.0, 60), ("c", start, 4.0, 61)]
+    df = spark.createDataFrame(rows, "label string, time timestamp, measurement double, k int")
+    found = {r["k"]: r["delta"] for r in telemetry.insert_delta(df, tie=("k",)).collect()}
+    wanted = {}
+    for label in "abc":
+        own = sorted((r for r in rows if r[0] == label), key=lambda r: (r[1] or dt.datetime(1, 1, 1), r[3]))
+        for before, r in zip([None, *own], own, strict=False):
+            wanted[r[3]] = None if before is None or before[2] is None or r[2] is None else r[2] - before[2]
+    assert found == wanted
 
 
 def test_refused_aggregates(rooms):

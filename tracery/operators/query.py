@@ -75,16 +75,26 @@ def last_n_per_entity(df: DataFrame, n: int, tie: tuple[str, ...] = ()) -> DataF
 
 
 def paginate(df: DataFrame, limit: int = MAX_ROWS, offset: int = 0, last: int | None = None, tie: tuple[str, ...] = ("entity_id",), max_rows: int = MAX_ROWS) -> DataFrame:
-    """Rows offset+1 to offset+limit of each type in time order; with ``last``, of the newest rows, ascending."""
+    """Rows offset+1 to offset+limit of each type in time order; with ``last``, of the newest rows, ascending.
+
+    A page has ``max_rows`` rows of a type at most, whatever the limit; further ones come with a larger offset or by ``page_after``."""
     limit = min(limit, max_rows) if last is None else min(limit, last, max_rows)
     order = [F.asc("time_index"), *[F.col(t) for t in tie]] if last is None else _newest(df, list(tie))
     return df.withColumn("_rank", _ranked(df, ["entity_type"], order)).where(F.col("_rank") <= offset + limit).where(F.col("_rank") > offset).drop("_rank")
 
 
-def page_after(df: DataFrame, time_index, entity_id: str, limit: int = MAX_ROWS) -> DataFrame:
-    """The next rows after a (time, id) in that order: paging whose cost doesn't grow with the depth."""
-    after = (F.col("time_index") > F.lit(time_index)) | ((F.col("time_index") == F.lit(time_index)) & (F.col("entity_id") > entity_id))
-    return df.where(after).orderBy("time_index", "entity_id").limit(limit)
+def page_after(df: DataFrame, after: dict | None = None, limit: int = MAX_ROWS, order: tuple[str, ...] = ("time_index", "entity_id", "instance_id")) -> DataFrame:
+    """The next rows after a row, by the columns of ``order``: paging whose cost doesn't grow with the depth.
+
+    ``after`` has the values of these columns in the last row of the page before; none starts at the front. Together
+    the columns must tell rows apart, or rows equal to the last one of a page would be passed over."""
+    if after is not None:
+        found = F.lit(False)
+        for column in reversed(order):
+            found = (F.col(column) > F.lit(after[column])) | ((F.col(column) == F.lit(after[column])) & found)
+        # the first column alone bounds the scan
+        df = df.where((F.col(order[0]) >= F.lit(after[order[0]])) & found)
+    return df.orderBy(*order).limit(limit)
 
 
 def last_value(df: DataFrame, attrs: list[str], ties: bool = False, tie: tuple[str, ...] = ()) -> DataFrame:

@@ -23,10 +23,13 @@ def series_summary(df: DataFrame, by: tuple[str, ...] = ("label",), exact: bool
 
 
 def measurements_per_second(df: DataFrame) -> DataFrame:
-    """Measurements of each label in each second from its first to its last; a second without any has 0."""
+    """Measurements of each label in each second from its first to its last; a second without any has 0. A label's hours
+    are dealt out before its seconds are made, so that no task makes them all."""
     counts = df.groupBy("label", F.date_trunc("second", "time").alias("second")).agg(F.count("*").alias("n"))
     span = counts.groupBy("label").agg(F.min("second").alias("a"), F.max("second").alias("b"))
-    seconds = span.select("label", F.explode(F.sequence("a", "b", F.expr("interval 1 second"))).alias("second"))
+    hours = span.select("label", "a", "b", F.explode(F.sequence(F.date_trunc("hour", "a"), "b", F.expr("interval 1 hour"))).alias("hour")).repartition("label", "hour")
+    ends = F.least(F.col("b"), F.col("hour") + F.expr("interval 3599 seconds"))
+    seconds = hours.select("label", F.explode(F.sequence(F.greatest("a", "hour"), ends, F.expr("interval 1 second"))).alias("second"))
     return seconds.join(counts, ["label", "second"], "left").select("label", "second", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -54,7 +57,13 @@ def total_ratio(df: DataFrame, first: str, second: str) -> DataFrame:
     return df.agg((total(first) / total(second)).alias("ratio"))
 
 
-def insert_delta(df: DataFrame, by: str = "label", time: str = "time", value: str = "measurement", tie: tuple[str, ...] = ()) -> DataFrame:
-    """Each sample with its growth since the one before."""
-    before = F.lag(value).over(Window.partitionBy(by).orderBy(time, *tie))
-    return df.withColumn("delta", F.col(value) - before)
+def insert_delta(df: DataFrame, by: str = "label", time: str = "time", value: str = "measurement", tie: tuple[str, ...] = (), period: str = "day") -> DataFrame:
+    """Each sample with its growth since the one before. A series is ordered period by period, each of which gets the last
+    value of the one before it, so a long series is shared by many tasks."""
+    own = df.withColumn("_period", F.date_trunc(period, time))
+    last = own.groupBy(by, "_period").agg(F.max(F.struct(time, *tie, value))[value].alias("_last"))
+    last = last.select(F.col(by).alias("_by"), F.col("_period").alias("_at"), F.lag("_last").over(Window.partitionBy(by).orderBy("_period")).alias("_before"))
+    inside = Window.partitionBy(by, "_period").orderBy(time, *tie)
+    rows = own.withColumns({"_first": F.row_number().over(inside) == 1, "_lag": F.lag(value).over(inside)})
+    rows = rows.join(last, F.col(by).eqNullSafe(F.col("_by")) & F.col("_period").eqNullSafe(F.col("_at")), "left")
+    return rows.select(*df.columns, (F.col(value) - F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_lag"))).alias("delta"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +38,12 @@ def register(sql: str | None = None, *needed: str, name: str | None = None):
 
 
 def workspace(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracery-")
+    """A new folder that driver and executors share; without one a cluster can't run these queries."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tracery-")
     return f"{base}/{uuid.uuid4().hex}"
 
 
@@ -186,10 +192,11 @@ def paginate(spark, sf):
     return _iso(query.paginate(views.events_series(spark, sf), 25, 10, tie=("event_id",)).select("entity_type", "entity_id", "time_index", "event_id"))
 
 
-@register(f"select entity_id, {T}, o_orderkey from (select * from os where time_index > timestamp '1996-06-01' order by time_index, entity_id, o_orderkey limit 40)", "os")
+@register(f"select entity_id, {T}, o_orderkey from (select * from os where time_index >= timestamp '1996-06-01' order by time_index, entity_id, o_orderkey limit 40)", "os")
 def page_after(spark, sf):
-    df = query.page_after(views.orders_series(spark, sf), F.lit("1996-06-01 00:00:00").cast("timestamp"), "~", limit=10**6)
-    return _iso(df.orderBy("time_index", "entity_id", "o_orderkey").limit(40).select("entity_id", "time_index", "o_orderkey"))
+    start = {"time_index": datetime(1996, 6, 1), "entity_id": "", "o_orderkey": -1}
+    page = query.page_after(views.orders_series(spark, sf), start, 40, ("time_index", "entity_id", "o_orderkey"))
+    return _iso(page.select("entity_id", "time_index", "o_orderkey"))
 
 
 @register(f"select entity_type, entity_id, {T}, event_id, value, k from es qualify row_number() over (partition by entity_type, entity_id order by es.time_index desc, event_id desc) = 1", "es")
@@ -248,6 +255,15 @@ def delete_entity(spark, sf):
     return kept.groupBy("entity_id").agg(F.count("*").alias("n"))
 
 
+@register("select entity_type, entity_id, (time_index::date)::varchar as date, count(*) as n from es where not (entity_type = 'click' and entity_id like 'user:1%' and time_index >= timestamp '2024-01-08') group by all", "es")
+def delete_stored_entities(spark, sf):
+    """Rows deleted from a stored table, of which only the partitions that held some are written again."""
+    folder = workspace(spark)
+    tables.write_series(views.events_series(spark, sf), folder, 4)
+    tables.rewrite_partitions(spark, folder, (F.col("entity_type") == "click") & F.col("entity_id").like("user:1%") & (F.col("time_index") >= "2024-01-08"))
+    return tables.read_series(spark, folder).groupBy("entity_type", "entity_id", F.col("date").cast("string").alias("date")).agg(F.count("*").alias("n"))
+
+
 @register("select entity_type, count(*) as n from es where entity_type <> 'view' group by all", "es")
 def drop_type(spark, sf):
     return query.drop_type(views.events_series(spark, sf), "View").groupBy("entity_type").agg(F.count("*").alias("n"))
@@ -367,10 +383,11 @@ def null_missing_values(spark, sf):
     return rows.agg(F.count("*").alias("n"), F.count(value).alias("with_value"), F.count(note).alias("with_note"))
 
 
-@register("select ngsi_type, is_text from (values ('Text', true), ('Number', false), ('Event', true)) t(ngsi_type, is_text)")
+@register("select t.col0 as ngsi_type, t.col1 as is_text, count(*) * t.col2 as n from events, (values ('DateTime', false, 1), ('Integer', false, 2), ('Number', false, 1), ('Text', true, 1), (null, true, 2)) t where event_id % 20 <> 1 group by t.col0, t.col1, t.col2")
 def is_text_type(spark, sf):
-    kinds = views.read(spark, sf, "events").select(F.explode(F.array(*map(F.lit, ("Text", "Number", "Event")))).alias("ngsi_type")).distinct()
-    return kinds.select("ngsi_type", casts.is_text_type(F.col("ngsi_type")).alias("is_text"))
+    attrs = ingest.parse_bodies(views.notifications(spark, sf)).select(F.explode("attrs").alias("name", "attr"))
+    kinds = attrs.select(F.try_variant_get("attr", "$.type", "string").alias("ngsi_type"))
+    return kinds.groupBy("ngsi_type", casts.is_text_type(F.col("ngsi_type")).alias("is_text")).agg(F.count("*").alias("n"))
 
 
 @register("select count(*) filter (event_id % 2 = 0) as n from events")
@@ -485,10 +502,15 @@ def count_failed_batches(spark, sf):
     return query.count_failed_batches(bad)
 
 
-@register()
+@register("""with recursive r as (select 's' || l_suppkey as entity_id, l_orderkey, l_linenumber, l_quantity as quantity,
+    row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_quantity) as i from lineitem),
+  b(entity_id, i, total, batch) as (select entity_id, i, quantity, 0::bigint from r where i = 1 union all
+    select r.entity_id, r.i, case when b.total + r.quantity > 100 then r.quantity else b.total + r.quantity end, b.batch + (b.total + r.quantity > 100)::bigint
+    from b join r on r.entity_id = b.entity_id and r.i = b.i + 1)
+  select r.entity_id, l_orderkey, l_linenumber, quantity, batch from r join b on r.entity_id = b.entity_id and r.i = b.i""")
 def batch_by_cost(spark, sf):
     df = views.shipments_series(spark, sf).select("entity_id", "l_orderkey", "l_linenumber", "quantity")
-    return ingest.batch_by_cost(df, ["entity_id"], ["l_orderkey", "l_linenumber"], "quantity", 100.0)
+    return ingest.batch_by_cost(df, ["entity_id"], ["l_orderkey", "l_linenumber", "quantity"], "quantity", 100.0)
 
 
 @register("select count(*) as n, sum(length('{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\"}'))::bigint as bytes from customer")
@@ -882,12 +904,11 @@ def series_summary(spark, sf):
     return s.select("label", "pid", "n", *[_r(c).alias(c) for c in s.columns[3:]])
 
 
-_HOUR = "from events where ts < (select min(ts) from events) + interval 3 hour"
-
-
-@register(f"with c as (select event_type as label, date_trunc('second', ts) as s, count(*) as n {_HOUR} group by all), g as (select label, unnest(range(min(s)::timestamp, max(s)::timestamp + interval 1 second, interval 1 second)) as s from c group by label) select g.label, {iso_sql('g.s')} as second, coalesce(n, 0) as n from g left join c on g.label = c.label and g.s = c.s")
+@register("with c as (select event_type as label, date_trunc('second', ts) as s, count(*) as n from events group by all), g as (select label, unnest(range(min(s)::timestamp, max(s)::timestamp + interval 1 second, interval 1 second)) as s from c group by label) select g.label, strftime(g.s, '%Y-%m-%d %H') as hour, count(*) as seconds, sum(coalesce(n, 0))::bigint as n, max(coalesce(n, 0)) as most from g left join c on g.label = c.label and g.s = c.s group by all")
 def measurements_per_second(spark, sf):
-    return _iso(tele.measurements_per_second(views.telemetry(spark, sf)), "second")
+    """Every second of every label, as sums of an hour: the seconds of a month are many more rows than the events."""
+    found = tele.measurements_per_second(views.telemetry(spark, sf))
+    return found.groupBy("label", F.date_format("second", "yyyy-MM-dd HH").alias("hour")).agg(F.count("*").alias("seconds"), F.sum("n").cast("bigint").alias("n"), F.max("n").alias("most"))
 
 
 _PAIR = "with s as (select date_trunc('second', ts) as s, coalesce(sum(value) filter (event_type = 'click'), 0) as a, coalesce(sum(value) filter (event_type = 'view'), 0) as b from events where event_type in ('click', 'view') group by 1) select " + iso_sql("s::timestamp") + " as second, "
