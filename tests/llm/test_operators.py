@@ -138,6 +138,28 @@ def test_topk(spark):
     assert topk_search.topk_search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_topk_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "SHARD_CODES", 60)
+    monkeypatch.setattr(topk_search, "LEAST_CODES", 20)
+    monkeypatch.setattr(topk_search, "BLOCK_QUERIES", 7)
+    r = np.random.default_rng(11)
+    vectors = r.standard_normal((500, 64))
+    vectors[100:200] = vectors[100] + 0.3 * r.standard_normal((100, 64))
+    vectors[300:330] = vectors[300]
+    df = spark.createDataFrame([(i, v.tolist(), 9) for i, v in enumerate(vectors)] + [(20, vectors[300].tolist(), 9), (20, vectors[20].tolist(), 9)], "vec_id long, embedding array<double>, bound long")
+    found = topk_search.topk_search(df, df.where("vec_id % 20 = 0"), 10).collect()
+    bits = np.concatenate([vectors, vectors[300:301]]) > 0
+    ids = [*range(500), 20]
+    for q in range(0, 500, 20):
+        least = {}
+        for own in [k for k, i in enumerate(ids) if i == q]:
+            for k, d in enumerate((bits != bits[own]).sum(axis=1).tolist()):
+                if ids[k] != q:
+                    least[ids[k]] = min(d, least.get(ids[k], 65))
+        expected = sorted((d, i) for i, d in least.items())[:10]
+        assert [(x["distance"], x["neighbor_id"]) for x in sorted(found, key=lambda x: x["rank"]) if x["query_id"] == q] == expected
+
+
 PAGE = '<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">menu</a></li></ul></nav><div class="ad">Buy this now.</div><article><h1>Head &amp; more&am</h1><p><b>First <i>li</i>ne<br>goes on.<p>{}</p></article><footer>&copy; us</footer></body></html>'
 
 
@@ -424,6 +446,45 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(docs(spark, "x"), bench.limit(0)).count() == 0
 
 
+def test_leaks_against_all_windows(spark):
+    r = np.random.default_rng(5)
+    vocabulary = sentence(77, 60).split()
+    items = [" ".join(r.choice(vocabulary, n)) for n in (6, 9, 14, 20, 33)] + ["aa bb aa bb aa bb aa bb", "one two three"]
+    texts = []
+    for k in range(60):
+        words = items[k % len(items)].split()
+        for _ in range(k // len(items) % 4):
+            p = int(r.integers(len(words)))
+            words[p : p + 1] = [] if k % 2 else [words[p], str(r.choice(vocabulary))]
+        texts.append(" ".join([*r.choice(vocabulary, k % 13), *words, *r.choice(vocabulary, k % 7)]))
+    texts += [None, "", sentence(78, 20_000) + " " + items[4].upper()]
+
+    def bags(text):
+        words = (text or "").lower().split()
+        return [tuple(words[i : i + 5]) for i in range(len(words) - 4)] or ([tuple(words)] if words else [])
+
+    def alike(a, b):
+        x, y = Counter(a), Counter(b)
+        return sum((x & y).values()) / sum((x | y).values())
+
+    expected = set()
+    for d, text in enumerate(texts[:-1]):
+        own = bags(text)
+        for i, item in enumerate(items):
+            wanted = bags(item)
+            starts = range(max(len(own) - len(wanted), 0) + 1)
+            if own and max(alike(own[a : a + len(wanted)], wanted) for a in starts) >= 0.8:
+                expected.add((d, i))
+    expected.add((len(texts) - 1, 4))
+    df = docs(spark, *texts, ids=None).withColumn("similarity", F.lit("clash")).withColumn("item_id", F.lit(None))
+    df = df.unionByName(df.where("doc_id = 0")).unionByName(df.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
+    found = decontaminate.find_leaks(df, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == expected
+    for r in found:
+        window = bags(texts[r["doc_id"]])[r["start_word"] :][: len(bags(items[r["item_id"]]))]
+        assert r["similarity"] == pytest.approx(alike(window, bags(items[r["item_id"]])))
+
+
 def test_hamming_blocks():
     r = np.random.default_rng(9)
     prints, queries = r.integers(0, 1 << 63, 300).astype(np.uint64), r.integers(0, 1 << 63, 100).astype(np.uint64)

@@ -11,20 +11,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import pieces, table
+from .common import modest_batches, partitions, pieces, stash, table
 
-#: Tokens that are sorted and packed by one task, about.
-BUCKET_TOKENS = 3_000_000
-#: Sampled rows at least, from which the limits of ranges are drawn.
-SAMPLE_ROWS = 4000
+#: Tokens that one range of the curve holds, about.
+RANGE_TOKENS = 3_000_000
 #: Dimensions of the curve, bits of each, and bits of the document's own hash below them.
 DIMS, BITS, TIE_BITS = 4, 10, 23
 #: Signs that end a word's letters for the tokenizer.
 SIGNS = b".,;:!?%#*$&|"
 #: Words whose ids a worker remembers, twice at most.
-CACHE_WORDS = 250_000
-
+CACHE_WORDS = 100_000
 
 
 def default_tokenizer() -> str:
@@ -154,11 +152,17 @@ def _vectors(ids: list[np.ndarray], directions: np.ndarray) -> np.ndarray:
     return out
 
 
-def _encoded(batches: Iterator[pd.DataFrame], path: str, eos: int) -> Iterator[tuple[pd.DataFrame, list, np.ndarray]]:
+def _encode(batches: Iterator[pd.DataFrame], path: str, eos: int) -> Iterator[pd.DataFrame]:
     words, directions = encoder(path), _directions(1 << 16)
-    for b in pieces(batches, size=2 << 20):
+    for b in pieces(batches, size=1 << 20):
         ids = words.encode([t or "" for t in b["text"]])
-        yield b, [np.append(own, np.uint32(eos)) for own in ids], _vectors(ids, directions)
+        vectors = _vectors(ids, directions)
+        ids = [np.append(own, np.uint32(eos)) for own in ids]
+        widths = [2 if x.max() < 65536 else 4 for x in ids]
+        yield b.drop(columns="text").assign(
+            n=[len(x) for x in ids], width=widths, ids=[x.astype("<u2" if w == 2 else "<u4").tobytes() for x, w in zip(ids, widths, strict=True)],
+            **{f"v{k}": vectors[:, k] for k in range(DIMS)},
+        )
 
 
 def _keys(vectors: np.ndarray, ties: np.ndarray, centre: np.ndarray, spread: np.ndarray) -> np.ndarray:
@@ -166,77 +170,90 @@ def _keys(vectors: np.ndarray, ties: np.ndarray, centre: np.ndarray, spread: np.
     return (hilbert_key(grid, BITS) << TIE_BITS) | (ties & ((1 << TIE_BITS) - 1))
 
 
-def sequence_lengths(total: int, length: int) -> list[int]:
-    """Full sequences, then the rest as falling powers of two, which need no padding."""
-    rest = total % length
-    return [length] * (total // length) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+def _last_lengths(rest: int) -> list[int]:
+    """Falling powers of two that make up ``rest``, which need no padding."""
+    return [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+
+
+_PIECE = ["doc_id", "named", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def _pack(rows: pd.DataFrame, length: int) -> pd.DataFrame:
-    rows = rows.sort_values(["key", "doc_id"], kind="stable")
-    counts = rows["n"].to_numpy()
-    ends = np.cumsum(counts)
-    lengths = np.array(sequence_lengths(int(ends[-1]), length))
-    edges = np.concatenate([[0], np.cumsum(lengths)])
-    cuts = np.unique(np.concatenate([[0], ends, edges]))
+def _ids(blob: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(blob, "<u2" if width == 2 else "<u4")
+
+
+def _cut(docs: list[tuple], filled: int, edges: np.ndarray) -> Iterator[tuple]:
+    """Pieces (document's place, start in its ids, length, sequence, offset) of ids laid end to end from ``filled`` on, cut
+    at the edges of sequences."""
+    ends = filled + np.cumsum([len(d[3]) for d in docs])
+    cuts = np.unique(np.concatenate([[filled], ends, edges[(edges > filled) & (edges < ends[-1])]]))
     left, right = cuts[:-1], cuts[1:]
     doc = np.searchsorted(ends, left, side="right")
     sequence = np.searchsorted(edges, left, side="right") - 1
-    start = left - (ends - counts)[doc]
-    blobs = rows["ids"].tolist()
-    crc = [zlib.crc32(np.frombuffer(blobs[d], "<u2" if w == 2 else "<u4")[s : s + n].astype("<u4").tobytes()) for d, w, s, n in zip(doc, rows["width"].to_numpy()[doc], start, right - left, strict=True)]
-    return pd.DataFrame({
-        "doc_id": rows["doc_id"].to_numpy()[doc], "named": rows["named"].to_numpy()[doc], "start": start, "length": right - left, "ids_crc32": crc, "doc_tokens": counts[doc],
-        "sequence_id": (int(rows["bucket"].iloc[0]) << 32) + sequence, "offset": left - edges[sequence],
-    })
+    begins = np.concatenate([[filled], ends[:-1]])
+    return zip(doc.tolist(), (left - begins[doc]).tolist(), (right - left).tolist(), sequence.tolist(), (left - edges[sequence]).tolist(), strict=True)
+
+
+def _pack(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+    """Packs one sorted range as it streams; no more than the ids of one unfinished sequence are held back."""
+    from pyspark import TaskContext
+
+    base = TaskContext.get().partitionId() << 32
+    held: list[tuple] = []  # (doc_id, named, start in the document, ids, doc_tokens) of the unfinished sequence
+    done = 0
+
+    def row(d, start, n, sequence, offset):
+        return (d[0], d[1], d[2] + start, n, zlib.crc32(d[3][start : start + n].astype("<u4").tobytes()), d[4], base + sequence, offset)
+
+    for b in pieces(batches, "ids", size=4 << 20):
+        docs = held + [(d, named, 0, _ids(x, w), n) for d, named, x, w, n in zip(b["doc_id"], b["named"], b["ids"], b["width"], b["n"], strict=True)]
+        total = sum(len(d[3]) for d in docs)
+        full = total // length
+        out, held = [], []
+        for k, start, n, sequence, offset in _cut(docs, 0, np.arange(full + 2) * length):
+            d = docs[k]
+            if sequence < full:
+                out.append(row(d, start, n, done + sequence, offset))
+            else:
+                held.append((d[0], d[1], d[2] + start, d[3][start : start + n].copy(), d[4]))
+        done += full
+        if out:
+            yield pd.DataFrame(out, columns=_PIECE)
+    if held:
+        edges = np.concatenate([[0], np.cumsum(_last_lengths(sum(len(d[3]) for d in held)))])
+        yield pd.DataFrame([row(held[k], start, n, done + sequence, offset) for k, start, n, sequence, offset in _cut(held, 0, edges)], columns=_PIECE)
 
 
 def pack_documents(docs: DataFrame, length: int = 2048, tokenizer: str | None = None, eos: int = 1) -> DataFrame:
     """Pieces of tokenised documents in sequences of at most ``length`` tokens.
 
     ``docs`` has doc_id and text (null: empty); other columns are not read. A document is its ids and
-    then ``eos``. Its mean token vector, hashed and projected to four dimensions, gives its place on a
-    Hilbert curve; a hash of the row breaks ties, so any number of equal documents spreads. Ranges of
-    the curve with about BUCKET_TOKENS tokens each are sorted and packed one after the other, cut
-    wherever a sequence is full; the rest of a range makes sequences of falling powers of two. Range limits come from a
-    sample that grows with the ranges wanted, a few small rows for each, and change only the balance. Returns doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id and offset; rows without a doc_id are packed too and keep a null id; an empty
-    table gives no rows.
+    then ``eos``. Its mean token vector, hashed and projected to four dimensions and scaled by the mean and
+    deviation of all documents, gives its place on a Hilbert curve; a hash of the row breaks ties, so any
+    number of equal documents spreads. Documents are range-sorted by that key, a range for each RANGE_TOKENS tokens about,
+    and each range is packed as it streams: ids laid end to end, cut wherever a sequence is full; what is left
+    at a range's end makes sequences of falling powers of two. A task holds a batch and one unfinished sequence.
+    Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset; rows without a doc_id are packed
+    too and keep a null id; rows that repeat a doc_id are packed as often; an empty table gives no rows.
     """
     path = tokenizer or default_tokenizer()
+    spark = docs.sparkSession
+    modest_batches(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("named"), F.col("text").cast("string"))
     rows = rows.withColumn("tie", F.xxhash64("doc_id", F.octet_length("text")))
-
-    def profile(batches):
-        for b, ids, vectors in _encoded(batches, path, eos):
-            yield pd.DataFrame({"tie": b["tie"], "n": [len(x) for x in ids], **{f"v{k}": vectors[:, k] for k in range(DIMS)}})
-
-    total, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    # a token has two bytes of text at least, about
-    wanted = (size or 0) / 2.6 / BUCKET_TOKENS
-    share = min(1.0, max(SAMPLE_ROWS, 8 * wanted) * 0.8 / max(total, 1))
-    seen = rows.sample(share, seed=7).mapInPandas(profile, "tie long, n long, " + ", ".join(f"v{k} double" for k in range(DIMS))).toPandas()
-    centre, spread, limits = np.zeros(DIMS), np.ones(DIMS), np.zeros(0, np.int64)
-    if len(seen):
-        vectors = seen[[f"v{k}" for k in range(DIMS)]].to_numpy()
-        centre, spread = np.median(vectors, axis=0), np.maximum(vectors.std(axis=0), 1e-9)
-        keys = _keys(vectors, seen["tie"].to_numpy(), centre, spread)
-        order = np.argsort(keys)
-        reach = np.cumsum(seen["n"].to_numpy()[order])
-        buckets = int(max(1, min(wanted, len(seen) / 4)))
-        limits = np.unique(keys[order][np.minimum(np.searchsorted(reach, reach[-1] * np.arange(1, buckets) / buckets), len(keys) - 1)])
-
-    def place(batches):
-        for b, ids, vectors in _encoded(batches, path, eos):
-            keys = _keys(vectors, b["tie"].to_numpy(), centre, spread)
-            widths = [2 if x.max() < 65536 else 4 for x in ids]
-            yield pd.DataFrame({
-                "bucket": np.searchsorted(limits, keys, side="right"), "key": keys, "doc_id": b["doc_id"], "named": b["named"], "n": [len(x) for x in ids],
-                "width": widths, "ids": [x.astype("<u2" if w == 2 else "<u4").tobytes() for x, w in zip(ids, widths, strict=True)],
-            })
-
-    placed = rows.mapInPandas(place, "bucket long, key long, doc_id long, named boolean, n long, width int, ids binary")
-    packed = placed.groupBy("bucket").applyInPandas(lambda x: _pack(x, length), "doc_id long, named boolean, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    axes = [f"v{k}" for k in range(DIMS)]
+    tokens = stash(rows.mapInPandas(lambda b: _encode(b, path, eos), f"doc_id long, named boolean, tie long, n long, width int, ids binary, {' double, '.join(axes)} double"), "tokens")
+    found = tokens.agg(F.sum("n"), *[F.avg(v) for v in axes], *[F.stddev_pop(v) for v in axes]).first()
+    total, centre, spread = found[0] or 0, np.array([x or 0.0 for x in found[1 : DIMS + 1]]), np.array([max(x or 0.0, 1e-9) for x in found[DIMS + 1 :]])
+
+    @F.pandas_udf(T.LongType())
+    def key(tie: pd.Series, *vectors: pd.Series) -> pd.Series:
+        return pd.Series(_keys(np.stack(vectors, axis=1), tie.to_numpy(), centre, spread))
+
+    ranges = max(partitions(spark), total // RANGE_TOKENS)
+    placed = tokens.select(key("tie", *axes).alias("key"), "doc_id", "named", "n", "width", "ids")
+    placed = placed.repartitionByRange(ranges, "key", "doc_id", "n").sortWithinPartitions("key", "doc_id", "n", "ids")
+    packed = placed.mapInPandas(lambda b: _pack(b, length), "doc_id long, named boolean, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return packed.withColumn("doc_id", F.when(F.col("named"), F.col("doc_id"))).drop("named")
 
 
