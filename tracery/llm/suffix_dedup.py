@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, pieces, stash, table
+from .common import modest_batches, partitions, pieces, stash, table
 from .shingles import mix64
 
 #: Bytes of contexts in one shard, about, and contexts of one string that a suffix array compares at most;
@@ -56,7 +56,11 @@ def minimizers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: i
     at = np.arange(len(data) - k + 1)
     bits = np.uint64(max(int(len(data)).bit_length(), 1))
     hashes = roll.of(at, at + k)
-    least = _sliding_min((hashes >> bits << bits) | at.astype(np.uint64), length - k + 1) & np.uint64((1 << int(bits)) - 1)
+    width = length - k + 1
+    least = (_sliding_min((hashes >> bits << bits) | at.astype(np.uint64), width) & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+    # the low bits gave way to the place: where that hid the least hash, it is looked up again
+    for w in np.flatnonzero(_sliding_min(hashes, width) != hashes[least]):
+        least[w] = w + int(np.argmin(hashes[w : w + width]))
     inside = np.zeros(len(least) + 1, np.int32)
     full = ends - starts >= length
     np.add.at(inside, starts[full], 1)
@@ -64,7 +68,7 @@ def minimizers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: i
     window = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
     if not len(window):
         return none, none, none, none, roll
-    owner = least[window].astype(np.int64)
+    owner = least[window]
     new = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     return owner[new], hashes[owner[new]], window[new], window[np.append(new[1:], len(window)) - 1], roll
 
@@ -79,7 +83,7 @@ def _seeds(batches: Iterator[pd.DataFrame], length: int, k: int) -> Iterator[pd.
         doc = np.searchsorted(ends, at, side="right")
         context = mix64(roll.of(first, last + length) + (at - first).astype(np.uint64))
         yield pd.DataFrame({
-            "h": hashes.astype(np.uint64).view(np.int64), "c": context.view(np.int64), "doc_id": b["doc_id"].to_numpy()[doc], "start": (first - starts[doc]).astype(np.int32),
+            "h": hashes.astype(np.uint64).view(np.int64), "c": context.view(np.int64), "doc_id": b["doc_id"].to_numpy()[doc], "version": b["version"].to_numpy()[doc], "start": (first - starts[doc]).astype(np.int32),
             "before": (at - first).astype(np.int16), "size": (last + length - first).astype(np.int16),
         })
 
@@ -201,25 +205,26 @@ def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
     return induce(s, small, lms[order], symbols)
 
 
-def permuted_lcp(data: np.ndarray, sa: np.ndarray, limit: int, exact: bool = True) -> np.ndarray:
-    """In text order, the common prefix of each suffix with the one before it in ``sa``, up to ``limit``; those that don't
-    reach it are bisected, or 0 without ``exact``."""
+def permuted_lcp(data: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
+    """In text order, the common prefix of each suffix with the one before it in ``sa``, up to ``limit``, by bisection on
+    fingerprints; those that reach ``limit`` or differ at once need one look."""
     before = np.full(len(sa), -1)
     before[sa[1:]] = sa[:-1]
     roll = Rolling(data)
-    at = np.flatnonzero((before >= 0) & (np.maximum(np.arange(len(sa)), before) + limit <= len(data)))
+    room = np.minimum(limit, len(data) - np.maximum(np.arange(len(sa)), before))
     out = np.zeros(len(sa), np.int64)
-    out[at[roll.of(at, at + limit) == roll.of(before[at], before[at] + limit)]] = limit
-    if exact:
-        at = np.flatnonzero((before >= 0) & (out == 0))
-        room = np.minimum(limit, len(data) - np.maximum(at, before[at]))
-        low = np.zeros(len(at), np.int64)
-        step = 1 << max(int(limit).bit_length() - 1, 0)
-        while step:
-            longer = np.minimum(low + step, room)
-            low = np.where(roll.of(at, at + longer) == roll.of(before[at], before[at] + longer), longer, low)
-            step >>= 1
-        out[at] = low
+    at = np.flatnonzero((before >= 0) & (room > 0))
+    at = at[data[at] == data[before[at]]]
+    full = roll.of(at, at + room[at]) == roll.of(before[at], before[at] + room[at])
+    out[at[full]] = room[at[full]]
+    at = at[~full]
+    low = np.ones(len(at), np.int64)
+    step = 1 << max(int(limit).bit_length() - 1, 0)
+    while step:
+        longer = np.minimum(low + step, room[at])
+        low = np.where(roll.of(at, at + longer) == roll.of(before[at], before[at] + longer), longer, low)
+        step >>= 1
+    out[at] = low
     return out
 
 
@@ -240,25 +245,21 @@ def worth_comparing(contexts: list[bytes], groups: np.ndarray, before: np.ndarra
     return out
 
 
-def repeated_windows(contexts: list[bytes], places: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
-    """(context, offset) of every ``length`` bytes that also start at another place: contexts of one shard as one
-    string with separators, its suffix array, and runs of suffixes whose common prefixes reach ``length``."""
+def repeated_windows(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context, offset) of every ``length`` bytes that start at two places or more: contexts of one shard as one string
+    with separators, its suffix array, and runs of suffixes whose permuted common prefixes reach ``length``. No window
+    belongs to two contexts, so the suffixes of a run are different places."""
     data = np.frombuffer(b"\xff".join(contexts) + b"\xff", np.uint8)
     sizes = np.array([len(c) + 1 for c in contexts])
     owner = np.repeat(np.arange(len(contexts)), sizes)
     offset = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     left = sizes[owner] - 1 - offset
     sa = suffix_array(np.append(data.astype(np.int64) + 1, 0), 258)[1:]
-    lcp = permuted_lcp(data, sa, length, exact=False)
+    lcp = permuted_lcp(data, sa, length)[sa]
     good = left[sa] >= length
-    joined = np.concatenate([[False], (lcp[sa[1:]] >= length) & good[1:] & good[:-1]])
-    run = np.cumsum(~joined)
-    _, document = np.unique([d for d, _ in places], return_inverse=True)
-    spot = document[owner[sa]] * (1 << 40) + np.array([p for _, p in places])[owner[sa]] + offset[sa]
-    starts = np.flatnonzero(~joined)
-    several = np.minimum.reduceat(spot, starts) != np.maximum.reduceat(spot, starts)
-    hit = sa[several[run - 1] & good]
-    return list(zip(owner[hit].tolist(), offset[hit].tolist(), strict=True))
+    joined = np.concatenate([[False], (lcp[1:] >= length) & good[1:] & good[:-1], [False]])
+    hit = sa[joined[:-1] | joined[1:]]
+    return owner[hit], offset[hit]
 
 
 def _merged(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
@@ -277,8 +278,8 @@ def _runs(starts: pd.Series, stops: pd.Series) -> pd.Series:
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, k: int = 50) -> DataFrame:
-    """(doc_id, runs): the maximal byte runs [start, stop, ...] of each text that are covered by strings of ``length``
-    bytes which also start anywhere else.
+    """(doc_id, version, runs): the maximal byte runs [start, stop, ...] of each text that are covered by strings of
+    ``length`` bytes which also start anywhere else; version is a hash of the text.
 
     Every string of ``length`` bytes belongs to the k-byte string of least hash inside it, so equal ones belong to
     equal ones. 1. These k-byte strings are hashed with their context (all strings of ``length`` bytes that
@@ -288,71 +289,78 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = 50) -> DataFrame
        Where one string has more than GROUP_CONTEXTS different contexts, its windows are counted instead by a shuffle
        on their fingerprints, so that no task holds them all.
     Null and empty texts and those under ``length`` bytes repeat nothing as such; rows without a doc_id are left out;
-    rows that repeat a doc_id are one document. Fingerprints have 64 bits.
+    each row is a document, so rows that repeat a doc_id repeat each other's strings. Fingerprints have 64 bits.
     """
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.hash("text").alias("version"), F.col("text").cast("string"))
     spark = docs.sparkSession
-    seeds = stash(rows.mapInPandas(lambda b: _seeds(b, length, k), "h long, c long, doc_id long, start int, before short, size short"), "all-seeds")
-    twice = seeds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    modest_batches(spark)
+    seeds = stash(rows.mapInPandas(lambda b: _seeds(b, length, k), "h long, c long, doc_id long, version int, start int, before short, size short"), "all-seeds")
+    # counts are written first: a join of two plain shuffles can be dealt anew where one string holds many rows
+    twice = stash(seeds.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
     seeds = stash(seeds.join(twice, "h"), "seeds")
 
-    place = F.struct("doc_id", "start", "before", "size")
-    contexts = seeds.groupBy("h", "c").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    contexts = stash(contexts.select("h", "c", (F.col("first") != F.col("last")).alias("again"), "first.*"), "contexts")
-    whole = seeds.join(contexts.where("again").select("h", "c"), ["h", "c"]).select("doc_id", "start", (F.col("start") + F.col("size")).alias("stop"))
-    several = contexts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    ask = contexts.join(several, "h").select("h", "m", "doc_id", "start", "before", "size")
-    ask = stash(ask.groupBy("doc_id").agg(F.collect_list(F.struct("h", "m", "start", "before", "size")).alias("asked")), "asked")
+    place = F.struct("doc_id", "version", "start", "before", "size")
+    contexts = seeds.groupBy("h", "c").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    contexts = stash(contexts.select("h", "c", (F.col("n") > 1).alias("again"), "first.*"), "contexts")
+    whole = seeds.join(contexts.where("again").select("h", "c"), ["h", "c"]).select("doc_id", "version", "start", (F.col("start") + F.col("size")).alias("stop"))
+    several = stash(contexts.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "several")
+    ask = contexts.join(several, "h").select("h", "m", "doc_id", "version", "start", "before", "size")
+    ask = stash(ask.groupBy("doc_id", "version").agg(F.collect_list(F.struct("h", "m", "start", "before", "size")).alias("asked")), "asked")
 
     def cut(batches):
         for b in pieces(batches, size=2 << 20):
             out = []
-            for doc, text, asked in zip(b["doc_id"], b["text"], b["asked"], strict=True):
+            for doc, version, text, asked in zip(b["doc_id"], b["version"], b["text"], b["asked"], strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
-                out += [(a["h"], a["m"], doc, a["start"], a["before"], data[a["start"] : a["start"] + a["size"]]) for a in asked]
-            yield pd.DataFrame(out, columns=["h", "m", "doc_id", "start", "before", "context"])
+                out += [(a["h"], a["m"], doc, version, a["start"], a["before"], data[a["start"] : a["start"] + a["size"]]) for a in asked]
+            yield pd.DataFrame(out, columns=["h", "m", "doc_id", "version", "start", "before", "context"])
 
-    found = stash(rows.join(ask, "doc_id").mapInPandas(cut, "h long, m long, doc_id long, start int, before short, context binary"), "cut")
+    # a row that comes twice asks twice; one of the two is enough
+    asked = rows.join(ask, ["doc_id", "version"]).mapInPandas(cut, "h long, m long, doc_id long, version int, start int, before short, context binary")
+    found = stash(asked, "cut")
     size = found.agg(F.sum(F.octet_length("context"))).first()[0] or 0
     shards = max(partitions(spark), size // SHARD_BYTES)
 
     def compare(group):
+        group = group.drop_duplicates(["h", "doc_id", "version", "start"])
         group = group[worth_comparing(group["context"].tolist(), group["h"].to_numpy(np.int64), group["before"].to_numpy(np.int64), k, length)]
         if not len(group):
-            return pd.DataFrame({"doc_id": [], "start": [], "stop": []}).astype("int64")
-        hits = repeated_windows(group["context"].tolist(), list(zip(group["doc_id"], group["start"], strict=True)), length)
-        out = pd.DataFrame(hits, columns=["k", "offset"])
-        start = group["start"].to_numpy()[out["k"].to_numpy(np.int64)] + out["offset"].to_numpy(np.int64)
-        out = pd.DataFrame({"doc_id": group["doc_id"].to_numpy()[out["k"].to_numpy(np.int64)], "start": start}).drop_duplicates().sort_values(["doc_id", "start"])
-        runs = [(d, a, b) for d, g in out.groupby("doc_id") for a, b in _merged(g["start"], g["start"] + length)]
-        return pd.DataFrame(runs, columns=["doc_id", "start", "stop"])
+            return pd.DataFrame({"doc_id": [], "version": [], "start": [], "stop": []}).astype("int64")
+        owner, offset = repeated_windows(group["context"].tolist(), length)
+        out = group[["doc_id", "version", "start"]].iloc[owner]
+        out = out.assign(start=out["start"] + offset).sort_values(["doc_id", "version", "start"])
+        runs = [(*d, a, b) for d, g in out.groupby(["doc_id", "version"]) for a, b in _merged(g["start"], g["start"] + length)]
+        return pd.DataFrame(runs, columns=["doc_id", "version", "start", "stop"])
 
     shaped = found.where(F.col("m") <= GROUP_CONTEXTS).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
-    some = shaped.groupBy("shard").applyInPandas(compare, "doc_id long, start int, stop int")
+    some = shaped.groupBy("shard").applyInPandas(compare, "doc_id long, version int, start int, stop int")
 
     def windows(batches):
         for b in pieces(batches, "context", size=1 << 18):
             data = np.frombuffer(b"".join(b["context"]), np.uint8)
             sizes = b["context"].map(len).to_numpy()
             n = np.maximum(sizes - length + 1, 0)
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.cumsum(sizes) - sizes, n)
+            before = np.repeat(np.cumsum(sizes) - sizes, n)
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + before
             prints = Rolling(data).of(at, at + length)
-            yield pd.DataFrame({"w": prints.view(np.int64), "doc_id": np.repeat(b["doc_id"].to_numpy(), n), "start": np.repeat(b["start"].to_numpy(), n) + at - np.repeat(np.cumsum(sizes) - sizes, n)})
+            yield pd.DataFrame({"w": prints.view(np.int64), "doc_id": np.repeat(b["doc_id"].to_numpy(), n), "version": np.repeat(b["version"].to_numpy(), n), "start": np.repeat(b["start"].to_numpy(), n) + at - before})
 
-    frequent = found.where(F.col("m") > GROUP_CONTEXTS).mapInPandas(windows, "w long, doc_id long, start int")
-    count = frequent.groupBy("w").agg(F.min(F.struct("doc_id", "start")).alias("a"), F.max(F.struct("doc_id", "start")).alias("b")).where("a <> b").select("w")
-    rest = frequent.join(count, "w").select("doc_id", "start", (F.col("start") + length).alias("stop"))
+    frequent = found.where(F.col("m") > GROUP_CONTEXTS).mapInPandas(windows, "w long, doc_id long, version int, start int")
+    frequent = stash(frequent, "windows")
+    spot = F.struct("doc_id", "version", "start")
+    count = stash(frequent.groupBy("w").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("w"), "repeated")
+    rest = frequent.join(count, "w").select("doc_id", "version", "start", (F.col("start") + length).alias("stop"))
 
     spans = whole.unionByName(some).unionByName(rest)
-    spans = spans.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    return spans.select("doc_id", _runs("starts", "stops").alias("runs"))
+    spans = spans.groupBy("doc_id", "version").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    return spans.select("doc_id", "version", _runs("starts", "stops").alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for each row of ``docs`` (doc_id, text): kept has the remaining bytes."""
     runs = stash(repeated_spans(docs, length), "runs")
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    joined = rows.join(runs, "doc_id", "left")
+    rows = docs.select(F.col("doc_id").cast("long"), F.hash("text").alias("version"), F.col("text").cast("string"))
+    joined = rows.join(runs, ["doc_id", "version"], "left")
 
     def cut(batches):
         for b in pieces(batches, size=4 << 20):
