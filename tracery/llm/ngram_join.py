@@ -9,17 +9,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, partitions, pieces, small, stash, table
+from .common import components, modest_batches, partitions, pieces, small, stash, table
 from .shingles import mix64, shingle_hashes, word_hashes
 
 #: N-grams that one fragment of the global order holds, about; bounds the memory of a task.
-FRAGMENT_ITEMS = 2_000_000
+FRAGMENT_ITEMS = 1_000_000
 #: Parts into which the order is cut when overlaps of candidate pairs are counted.
 SEGMENTS = 8
 #: Stands for several documents of one batch where an owner is meant.
 NOBODY = np.iinfo(np.int64).min
-#: Documents whose counts one task sums up.
-BUCKET_DOCS = 50_000
+#: Documents whose counts one task sums up, and characters of texts that it cuts at once.
+BUCKET_DOCS, PIECE = 50_000, 3 << 20
 _BITS = np.uint64((1 << 56) - 1)
 
 
@@ -35,10 +35,19 @@ def _sets(texts: list, words: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(grams), np.concatenate(text)) if grams else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _profile(batches: Iterator[pd.DataFrame], words: int, fragments: int) -> Iterator[pd.DataFrame]:
-    """Each batch's n-grams by fragment; one that several texts of the batch hold goes out once, without owner."""
-    number = 0
-    for batch in pieces(batches, size=6 << 20):
+def _by_bucket(ids: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket of documents that occurs, and the places of its documents."""
+    bucket = (mix64(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0])) if len(ids) else []
+    for own in np.split(order, starts[1:]) if len(ids) else ():
+        yield int(bucket[own[0]]), own
+
+
+def _profile(batches: Iterator[pd.DataFrame], words: int, fragments: int, buckets: int) -> Iterator[pd.DataFrame]:
+    """Each batch's n-grams by fragment; one that several texts of the batch hold goes out once, without owner. Sizes and
+    sums of the sets go to buckets of documents, which count as fragments below 0."""
+    for batch in pieces(batches, size=PIECE):
         ids = batch["doc_id"].to_numpy(np.int64)
         grams, text = _sets(batch["text"].tolist(), words)
         sizes = np.bincount(text, minlength=len(ids))
@@ -53,9 +62,9 @@ def _profile(batches: Iterator[pd.DataFrame], words: int, fragments: int) -> Ite
         shared = np.zeros(len(grams), bool)
         shared[order] = many
         known = np.bincount(text[shared], minlength=len(ids))
-        number += 1
-        heads = {"frag": [-number], "docs": [ids.tobytes()], "counts": [known.astype(np.int32).tobytes()], "grams": [np.concatenate([sizes.astype(np.uint64), sums[ends] - sums[ends - sizes], sums2[ends] - sums2[ends - sizes]]).astype(np.uint64).tobytes()]}
-        yield pd.DataFrame(heads)
+        sets = np.stack([sizes.astype(np.uint64), sums[ends] - sums[ends - sizes], sums2[ends] - sums2[ends - sizes]])
+        rows = [(-1 - k, ids[own].tobytes(), known[own].astype(np.int32).tobytes(), sets[:, own].tobytes()) for k, own in _by_bucket(ids, buckets)]
+        del sums, sums2
         # owner 0 is no text; the others are places in the batch from 1
         values = np.concatenate([ordered[many & new], grams[~shared]])
         owner = np.concatenate([np.zeros(int((many & new).sum()), np.int64), text[~shared] + 1])
@@ -64,7 +73,6 @@ def _profile(batches: Iterator[pd.DataFrame], words: int, fragments: int) -> Ite
         values, owner, fragment = values[by].astype(np.uint32), owner[by], fragment[by]
         names = np.concatenate([[NOBODY], ids])
         cuts = np.searchsorted(fragment, np.arange(fragments + 1))
-        rows = []
         for f in np.flatnonzero(np.diff(cuts)):
             a, b = cuts[f], cuts[f + 1]
             start = np.flatnonzero(np.concatenate([[True], owner[a + 1 : b] != owner[a : b - 1]]))
@@ -75,10 +83,10 @@ def _profile(batches: Iterator[pd.DataFrame], words: int, fragments: int) -> Ite
 
 def _shared_in_fragment(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """How many n-grams of each document of one fragment another document holds too, packed by buckets of documents."""
-    if rows["frag"].iloc[0] < 0:
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in rows["docs"]])
-        counts = np.concatenate([np.frombuffer(x, np.int32) for x in rows["counts"]])
+    frag = int(rows["frag"].iloc[0])
+    if frag < 0:
         sets = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in rows["grams"]], axis=1)
+        out = [(-1 - frag, b"".join(rows["docs"]), b"".join(rows["counts"]), sets.tobytes())]
     else:
         docs = np.concatenate([np.repeat(np.frombuffer(d, np.int64), np.frombuffer(c, np.int32)) for d, c in zip(rows["docs"], rows["counts"], strict=True)])
         grams = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["grams"]])
@@ -88,14 +96,7 @@ def _shared_in_fragment(rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
         owners = docs[order]
         several = (np.bincount(group) > 1) | (np.bincount(group, weights=owners == NOBODY) > 0)
         ids, counts = np.unique(owners[several[group] & (owners != NOBODY)], return_counts=True)
-        sets = np.zeros((3, 0), np.int64)
-    bucket = (mix64(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    out = []
-    for k in np.flatnonzero(np.diff(cuts)):
-        own = order[cuts[k] : cuts[k + 1]]
-        out.append((int(k), ids[own].tobytes(), counts[own].astype(np.int32).tobytes(), sets[:, own].tobytes() if sets.size else b""))
+        out = [(k, ids[own].tobytes(), counts[own].astype(np.int32).tobytes(), b"") for k, own in _by_bucket(ids, buckets)]
     return pd.DataFrame(out, columns=["bucket", "docs", "counts", "sets"])
 
 
@@ -113,7 +114,7 @@ def _summed(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _grams(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
-    for batch in pieces(batches, size=6 << 20):
+    for batch in pieces(batches, size=PIECE):
         grams, text = _sets(batch["text"].tolist(), words)
         cuts = np.searchsorted(text, np.arange(len(batch) + 1))
         rows = []
@@ -155,12 +156,13 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85) -> tu
     different texts gives one row with the largest of their sets. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     named = texts.where("doc_id is not null")
     size, number = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     buckets = max(partitions(spark), number // BUCKET_DOCS)
     fragments = max(partitions(spark), size // 5 // FRAGMENT_ITEMS)
-    cut = named.mapInPandas(lambda x: _profile(x, words, fragments), "frag int, docs binary, counts binary, grams binary")
+    cut = named.mapInPandas(lambda x: _profile(x, words, fragments, buckets), "frag int, docs binary, counts binary, grams binary")
     counted = cut.groupBy("frag").applyInPandas(lambda x: _shared_in_fragment(x, buckets), "bucket int, docs binary, counts binary, sets binary")
     profile = stash(counted.groupBy("bucket").applyInPandas(_summed, "doc_id long, n long, f1 long, f2 long, shared long"), "profile")
 
