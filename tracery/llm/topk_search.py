@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import modest_batches, partitions, stash, table
 
-#: Distinct codes in one shard of the index and queries in one block, about: what a task holds at once.
-SHARD_CODES, BLOCK_QUERIES = 16_384, 1024
+#: Distinct codes in one shard of the index and queries in one block, about: what a task holds at once; and the codes
+#: that a shard has at least before more shards are made than that needs, for more tasks.
+SHARD_CODES, BLOCK_QUERIES, LEAST_CODES = 16_384, 1024, 2048
 
 
 def sign_codes(vectors: DataFrame, keep: int) -> DataFrame:
@@ -52,8 +53,10 @@ class MultiIndex:
             order = np.argsort(values, kind="stable")
             self.tables.append((order, values[order]))
 
-    def search(self, queries: np.ndarray, k: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, code, distance): all codes no further than the nearest that hold k ids in all; counts: ids of each code."""
+    def search(self, queries: np.ndarray, k: int, counts: np.ndarray, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, code, distance): all codes no further than the nearest that hold k ids in all; counts: ids of each code.
+        Codes beyond a query's bound (a distance within which k ids are known to lie elsewhere) need not be found."""
+        bounds = np.full(len(queries), 65) if bounds is None else bounds
         queries = queries.astype(np.uint64)
         active = np.arange(len(queries))
         kept = [np.zeros(0, np.int64)] * 3
@@ -85,6 +88,7 @@ class MultiIndex:
             full[q0[:-1] == q0[1:]] = 0
             limit = np.where(full >= k, -1, 65)
             np.maximum.at(limit, q[near], np.where(full[q[near]] >= k, d[near], 65))
+            limit = np.minimum(limit, bounds)
             stay = d <= limit[q]
             kept = [q[stay], c[stay], d[stay]]
             covered = self.m * (radius + 1) - 1
@@ -93,53 +97,71 @@ class MultiIndex:
         return kept[0], kept[1], kept[2]
 
 
+_CODES = "part long, codes binary, ids binary, bounds binary"
+
+
+def _pack(rows: pd.DataFrame) -> pd.DataFrame:
+    """One shard of codes or block of queries as a row."""
+    rows = rows.drop_duplicates()
+    return pd.DataFrame({"part": [rows["part"].iloc[0]], **{name: [rows[column].to_numpy(np.int64).tobytes()] for name, column in (("codes", "code"), ("ids", "vec_id"), ("bounds", "bound"))}})
+
+
 def topk_search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, neighbor_id, distance): for each query the k other rows nearest in Hamming distance of
     sign codes; ties go to the smaller id.
 
-    ``vectors`` and ``queries`` have vec_id and embedding. Every vector is in the index. Codes are
-    dealt to shards by hash and queries to blocks; each shard answers each block exactly by multi-index
-    hashing, and the shards' answers are merged. With fewer than k other rows, all are returned;
-    vectors without a code are neither found nor answered; an id that is repeated with different
-    vectors is found by each. Empty tables give no rows.
+    ``vectors`` and ``queries`` have vec_id and embedding; other columns are not read. Every vector is in the index.
+    Codes are dealt to shards by hash and queries to blocks. Each block is first answered by one shard, exactly, by
+    multi-index hashing; the distance of its kth id then bounds the radii in all other shards, whose
+    answers are merged. With fewer than k other rows, all are returned; vectors without a code are neither found nor
+    answered; an id that is repeated with different vectors is found by each, at its least distance, and asked with each.
+    Empty tables give no rows.
     """
+    spark = vectors.sparkSession
+    modest_batches(spark)
     index = sign_codes(vectors, k + 1)
     total = index.count()
     asked = sign_codes(queries, 1 << 62).distinct()
-    shards = total // SHARD_CODES + 1
+    shards = max(total // SHARD_CODES + 1, min(partitions(spark), total // LEAST_CODES))
     blocks = asked.count() // BLOCK_QUERIES + 1
-
-    def pack(rows):
-        rows = rows.drop_duplicates()
-        return pd.DataFrame({"part": [rows["part"].iloc[0]], "codes": [rows["code"].to_numpy(np.int64).tobytes()], "ids": [rows["vec_id"].to_numpy(np.int64).tobytes()]})
-
-    schema = "part long, codes binary, ids binary"
-    shard = index.withColumn("part", F.pmod(F.xxhash64("code"), F.lit(shards))).groupBy("part").applyInPandas(pack, schema)
-    block = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("part").applyInPandas(pack, schema)
-    left = shard.select(F.col("part").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "codes", "ids")
-    right = block.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.col("part").alias("block"), F.col("codes").alias("q_codes"), F.col("ids").alias("q_ids"))
-    cells = left.withColumn("block", F.col("block").cast("long")).join(right.withColumn("shard", F.col("shard").cast("long")), ["shard", "block"])
+    shard = stash(index.withColumn("part", F.pmod(F.xxhash64("code"), F.lit(shards))).withColumn("bound", F.lit(0)).groupBy("part").applyInPandas(_pack, _CODES), "shards")
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
 
     def answer(batches):
         for b in batches:
-            for codes, ids, q_codes, q_ids in zip(b["codes"], b["ids"], b["q_codes"], b["q_ids"], strict=True):
+            for codes, ids, q_codes, q_ids, q_bounds in zip(b["codes"], b["ids"], b["q_codes"], b["q_ids"], b["q_bounds"], strict=True):
                 rows = pd.DataFrame({"code": np.frombuffer(codes, np.int64), "id": np.frombuffer(ids, np.int64)}).sort_values(["code", "id"])
                 rows = rows[rows.groupby("code").cumcount() <= k]
                 distinct, start, counts = np.unique(rows["code"].to_numpy(), return_index=True, return_counts=True)
                 own, asks = np.frombuffer(q_ids, np.int64), np.frombuffer(q_codes, np.int64)
                 some, back = np.unique(asks, return_inverse=True)
-                q, c, d = MultiIndex(distinct.view(np.uint64)).search(some.view(np.uint64), k + 1, counts)
+                bounds = np.zeros(len(some), np.int64)
+                np.maximum.at(bounds, back, np.frombuffer(q_bounds, np.int64))
+                q, c, d = MultiIndex(distinct.view(np.uint64)).search(some.view(np.uint64), k + 1, counts, bounds)
                 n = counts[c]
                 hits = pd.DataFrame({"q": np.repeat(q, n), "distance": np.repeat(d, n), "neighbor_id": rows["id"].to_numpy()[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[c], n)]})
                 hits = hits.sort_values(["q", "distance", "neighbor_id"])
                 hits = hits[hits.groupby("q").cumcount() <= k]
-                hits = pd.DataFrame({"q": back, "query_id": own}).merge(hits, on="q")
-                hits = hits[hits["query_id"] != hits["neighbor_id"]]
-                yield hits[["query_id", "neighbor_id", "distance"]].astype("int64")
-
-    near = cells.repartition(int(shards * blocks), "shard", "block").mapInPandas(answer, "query_id long, neighbor_id long, distance long")
+                hits = pd.DataFrame({"q": back, "code": asks, "query_id": own}).merge(hits, on="q")
+                yield hits[["query_id", "code", "neighbor_id", "distance"]].astype("int64")
+
+    def answered(block: DataFrame, home: bool) -> DataFrame:
+        """The answers of each block's own shard, or of all others; a cell is a task's work."""
+        own = F.col("block") % shards
+        other = block.select(F.col("part").alias("block"), F.col("codes").alias("q_codes"), F.col("ids").alias("q_ids"), F.col("bounds").alias("q_bounds"))
+        other = other.withColumn("shard", own) if home else other.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != own)
+        cells = other.join(shard.select(F.col("part").alias("shard"), "codes", "ids"), "shard")
+        count = blocks if home else blocks * (shards - 1)
+        return cells.repartitionByRange(max(int(count), 1), "shard", "block").mapInPandas(answer, "query_id long, code long, neighbor_id long, distance long")
+
+    far = F.lit(65).cast("long")
+    first = stash(answered(asked.withColumn("bound", far).groupBy("part").applyInPandas(_pack, _CODES), True), "first")
+    # k + 1 ids within a distance, the query's own among them, are enough
+    kth = first.groupBy("query_id", "code").agg(F.count("*").alias("n"), F.max("distance").alias("kth")).where(F.col("n") > k).select(F.col("query_id").alias("vec_id"), "code", "kth")
+    bounded = asked.join(kth, ["vec_id", "code"], "left").select("part", "code", "vec_id", F.coalesce("kth", far).alias("bound"))
+    near = first.unionByName(answered(bounded.groupBy("part").applyInPandas(_pack, _CODES), False)) if shards > 1 else first
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
-    best = near.groupBy("query_id", "neighbor_id").agg(F.min("distance").alias("distance"))
+    best = near.where("query_id <> neighbor_id").groupBy("query_id", "neighbor_id").agg(F.min("distance").alias("distance"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "neighbor_id", "distance")
 
 
