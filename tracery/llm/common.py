@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 #: Rows that may be broadcast at most; each is a few dozen bytes. Larger sides are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Bytes of rows that go to a Python worker at once.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python workers BATCH_BYTES at a time, unless the session has a limit of its own: 10,000 whole
+    texts at once would take much of an executor's memory, on both sides."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset and all
     run on one machine. On a cluster an unset folder is an error, as executors would not see each other's files."""

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import modest_batches, pieces, table
 from .shingles import shingle_hashes, word_hashes
 
 #: Shingles of items that a pass over the documents holds in each task; more items make more passes.
@@ -98,7 +98,7 @@ def _windows(items: Items, shingles: np.ndarray, counts: np.ndarray, doc: np.nda
 
 
 def _leaks(batches: Iterator[pd.DataFrame], items: Items, similarity: float) -> Iterator[pd.DataFrame]:
-    for b in pieces(batches, size=4 << 20):
+    for b in pieces(batches, size=1 << 20):
         hashes, _, _, counts, _ = word_hashes(b["text"].tolist())
         shingles, doc = shingle_hashes(hashes, counts, items.words)
         spans = np.searchsorted(doc, np.arange(len(b)))
@@ -138,6 +138,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, similarity
     results; empty tables give none.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     stated = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).dropna()
     schema = "doc_id long, item_id long, start_word long, n_words long, similarity double"

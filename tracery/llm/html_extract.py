@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, table
+from .common import modest_batches, pieces, table
 
 #: Given pages at most, of which labelled pages are made: those with the smallest hash of their url and id.
 TRAIN_PAGES = 300
@@ -310,6 +310,7 @@ def extract_main_text(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataF
     text, give an empty text. Columns named text or n_chars are replaced, all others are kept as they are,
     nulls and repeated rows too; an empty table gives no rows.
     """
+    modest_batches(pages.sparkSession)
     pages = pages.drop("text", "n_chars")
     full = pages.where("html is not null and html <> ''").select("html", F.xxhash64("html").alias("h"))
     # only hashes of all pages are ordered; equal pages count once

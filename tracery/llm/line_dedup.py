@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, partitions, stash, table
+from .common import BROADCAST_ROWS, modest_batches, partitions, stash, table
 
 _BLANK = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -80,6 +80,7 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     Rows without a doc_id neither drop lines nor lose any. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     lines = _lines(docs, min_chars)
     ranged = lines.repartitionByRange(max(partitions(spark), 1), "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "version", "pos")
     seen = stash(ranged.mapInPandas(_stream, _SEEN), "lines")
@@ -96,6 +97,7 @@ def drop_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
     Columns of ``docs`` named n_lines or n_dropped are replaced. Bitmaps are broadcast only if they are few.
     """
+    modest_batches(docs.sparkSession)
     bitmaps = stash(bitmaps, "bitmaps")
     size = bitmaps.agg(F.count("*"), F.sum(F.octet_length("keep"))).first()
     if size[0] <= BROADCAST_ROWS and (size[1] or 0) <= 100 * BROADCAST_ROWS:

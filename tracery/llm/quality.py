@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, pieces, table
+from .common import held_out, modest_batches, pieces, table
 from .shingles import join_texts, mix64, word_hashes
 
 #: Buckets of words and of word shapes, and the dimensions of their vectors.
@@ -56,7 +56,7 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sums of the index vectors of the two tokens on each side, for all tokens of a partition."""
     n = WORDS + SHAPES
     pairs, single = np.zeros(n * n, np.int32), np.zeros(n, np.int64)
-    for b in pieces(batches, size=2 << 20):
+    for b in pieces(batches, size=1 << 20):
         tokens, counts = _tokens(b["text"].tolist())
         doc = np.repeat(np.arange(len(counts)), counts)
         single += np.bincount(tokens, minlength=n)
@@ -163,11 +163,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     text without words; a row without an id is scored and not held out; without any label the score is
     0.5; a label that is given twice counts as its largest. Columns named held_out, score or predicted are replaced.
     """
+    modest_batches(docs.sparkSession)
     docs = docs.drop("held_out", "score", "predicted")
     vectors = word_vectors(docs)
 
     def features(batches):
-        for b in pieces(batches, size=2 << 20):
+        for b in pieces(batches, size=1 << 20):
             yield pd.DataFrame({"x": [v.tobytes() for v in pooled(b["text"].tolist(), vectors)], "label": b["label"]})
 
     known = labelled(docs, labels, "quality", fit_rows).select("text", "label").mapInPandas(features, "x binary, label int").toPandas()
@@ -179,7 +180,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     schema = T.StructType([*docs.schema.fields, T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())])
 
     def score(batches):
-        for b in pieces(batches, size=2 << 20):
+        for b in pieces(batches, size=1 << 20):
             yield b.assign(score=net.predict(pooled(b["text"].tolist(), vectors)) if net else 0.5)
 
     marked = docs.withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False)))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, pieces, table
+from .common import held_out, modest_batches, pieces, table
 from .quality import labelled
 
 #: Labelled documents at most that the machine is fitted on: those with the smallest hash of their id.
@@ -302,6 +302,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     no telling word all scores are the share of toxic labels; a label given twice counts as its largest;
     repeated rows get equal scores. Columns named held_out, score or predicted are replaced.
     """
+    modest_batches(docs.sparkSession)
     docs = docs.drop("held_out", "score", "predicted")
     known = labelled(docs, labels, "toxic", fit_rows)
     known = known.withColumn("text", F.coalesce("text", F.lit(""))).persist()
