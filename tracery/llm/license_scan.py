@@ -65,6 +65,8 @@ The above copyright notice and this permission notice shall be included in all c
 }
 #: Least cosine at which a text counts as a statement of a licence.
 THRESHOLD = 0.6
+#: Weight of a term that all templates have.
+LEAST_WEIGHT = 0.2
 #: Terms of a template that a text must hold at least where no single one tells.
 SEVERAL = 7
 #: Words of any prose, which are the last to serve as anchors.
@@ -85,12 +87,12 @@ def template_weights(templates: dict[str, list[str]]) -> tuple[list[tuple[str, i
     for _, own in terms:
         for t in own:
             df[t] = df.get(t, 0) + 1
-    idf = {t: math.log((1 + len(terms)) / (1 + n)) + 1 for t, n in df.items()}
+    idf = {t: math.log((1 + len(terms)) / (1 + n)) + LEAST_WEIGHT for t, n in df.items()}
     rows = []
     for k, (name, own) in enumerate(terms):
         norm = math.sqrt(sum(idf[t] ** 2 for t in own))
         rows += [(name, k, t, idf[t] / norm, idf[t]) for t in sorted(own)]
-    return rows, math.log(1 + len(terms)) + 1
+    return rows, math.log(1 + len(terms)) + LEAST_WEIGHT
 
 
 def needed_terms(weights: list[tuple[str, int, str, float, float]], threshold: float) -> tuple[list[str], list[tuple[dict[str, float], int]]]:
