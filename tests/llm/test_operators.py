@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pytest
@@ -110,6 +111,15 @@ def test_line_dedup(spark):
     assert found[0]["key"] == "x"
 
 
+def test_line_dedup_of_long_texts_and_clashing_columns(spark):
+    lines = [f"line number {k % 900} of a very long text" for k in range(20_000)]
+    texts = ["\n".join(lines[:1000]), "\n".join(lines), "x" * 300_000 + "\n" + lines[5]]
+    df = docs(spark, *texts).withColumn("n_lines", F.lit("clash")).withColumn("version", F.lit(3)).withColumn("keep", F.lit("own"))
+    found = line_dedup.drop_lines(df, line_dedup.line_bitmaps(df)).collect()
+    assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in found} == brute_lines(texts)
+    assert {(r["version"], r["keep"]) for r in found} == {(3, "own")}
+
+
 def test_line_dedup_repeated_rows(spark):
     df = docs(spark, "a long line of text\nb", "a long line of text\nb", "a long line of text", ids=[4, 4, None])
     found = line_dedup.drop_lines(df, line_dedup.line_bitmaps(df)).collect()
@@ -546,6 +556,45 @@ def test_packing_repeated_and_long_rows(spark):
     assert all(n == 2048 or n & (n - 1) == 0 for n in sizes.values())
 
 
+def test_quality_edges(spark):
+    df, labels = labelled_docs(spark)
+    more = df.where("doc_id in (1, 2)").unionByName(df.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")))
+    df = df.unionByName(more).withColumn("predicted", F.lit("clash")).withColumn("label", F.lit("own"))
+    found = quality.score_quality(df, labels).collect()
+    assert len(found) == df.count()
+    for k in (1, 2):
+        assert len({r["score"] for r in found if r["doc_id"] == k}) == 1
+    assert [r["held_out"] for r in found if r["doc_id"] is None] == [False]
+    assert {r["label"] for r in found} == {"own"}
+
+
+def test_html_edges(spark):
+    body = " ".join(f"<p>{sentence(k, 30)}.</p>" for k in range(400))
+    long = PAGE.format(body)
+    rows = [(1, long), (1, long), (None, PAGE.format(sentence(2, 50))), (2, "<p>" * 3000), (3, "<div " + "a" * 100_000), (4, "&" * 50_000)]
+    found = html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, html string").withColumn("text", F.lit(5))).collect()
+    assert len(found) == len(rows)
+    assert len({r["text"] for r in found if r["page_id"] == 1}) == 1
+    assert next(r["n_chars"] for r in found if r["page_id"] == 1) > 60_000
+
+
+def test_viterbi_and_marginals_against_all_labellings():
+    crf = html_extract.ChainCRF(html_extract.labelled_pages([PAGE.format(sentence(k, 50)) for k in range(5)]), epochs=5)
+    r = np.random.default_rng(2)
+    emissions = [tuple(x) for x in r.standard_normal((6, 2)) * 3]
+
+    def score(labels):
+        total = crf.first[labels[0]] + sum(e[x] for e, x in zip(emissions, labels, strict=True))
+        return total + sum(crf.step[a, b] for a, b in zip(labels[:-1], labels[1:], strict=True))
+
+    every = list(product((0, 1), repeat=6))
+    assert tuple(crf.viterbi(emissions)) == max(every, key=score)
+    weights = np.exp([score(x) for x in every])
+    node, _ = crf._marginals(np.array([emissions]), np.ones((1, 6), bool))
+    expected = [[sum(w for w, x in zip(weights, every, strict=True) if x[t] == k) / weights.sum() for k in (0, 1)] for t in range(6)]
+    assert node[0] == pytest.approx(np.array(expected))
+
+
 def test_hilbert_is_a_curve():
     points = np.array([(x, y) for x in range(16) for y in range(16)])
     order = points[np.argsort(packing.hilbert_key(points, 4))]
@@ -598,7 +647,7 @@ def commented(text, sign="#", width=60):
     return "\n".join([*lines, f"{sign} {line}"])
 
 
-@pytest.mark.parametrize("text, expected", [
+LICENSED = [
     (GPL3, "GPL-3.0"), (GPL3.replace("Version 3, 29 June 2007", "Version 2, June 1991"), "GPL-2.0"),
     (GPL3.replace("GENERAL PUBLIC LICENSE\n", "LESSER GENERAL PUBLIC LICENSE\n"), "LGPL-3.0"),
     ("MIT License\n\nCopyright (c) 2020 Some Body\n\n" + MIT, "MIT"), ("Copyright 2001 A. Person\n\n" + MIT, "MIT"),
@@ -611,10 +660,13 @@ def commented(text, sign="#", width=60):
     ("// SPDX-License-Identifier: GPL-2.0-only" + CODE, "GPL-2.0"), ("# SPDX-License-Identifier: MIT" + CODE, "MIT"), ("/* SPDX-License-Identifier: Apache-2.0 */" + CODE, "Apache-2.0"), ("# SPDX-License-Identifier: LicenseRef-Own-7" + CODE, None),
     ("This is free and unencumbered software released into the public domain.\n\n" + license_scan.TEMPLATES["Unlicense"][1], "Unlicense"),
     ("The law of the land is free and open to all.", None), ("Permission was granted to the general public.", None), (sentence(3, 30_000) + "\n# Released under the MIT License.\n" + sentence(4, 30_000), "MIT"),
-])
-def test_licenses_of_whole_files(spark, text, expected):
-    df = spark.createDataFrame([("f", text)], "path string, text string")
-    assert [r["own_license"] for r in license_scan.license_scan(df).collect()] == [expected]
+]
+
+
+def test_licenses_of_whole_files(spark):
+    df = spark.createDataFrame([(f"{k}/f", text) for k, (text, _) in enumerate(LICENSED)], "path string, text string")
+    found = {r["path"]: r["own_license"] for r in license_scan.license_scan(df).collect()}
+    assert found == {f"{k}/f": expected for k, (_, expected) in enumerate(LICENSED)}
 
 
 def test_license_ties_and_folders(spark):

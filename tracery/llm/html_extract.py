@@ -15,6 +15,8 @@ from .common import modest_batches, pieces, table
 
 #: Given pages at most, of which labelled pages are made: those with the smallest hash of their url and id.
 TRAIN_PAGES = 300
+#: Blocks of a training page that make one chain at most.
+CHAIN = 200
 
 # Kinds of elements.
 BLOCK = set("html body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption section article main aside nav header footer form fieldset legend blockquote pre figure figcaption address hr details summary dialog center menu".split())
@@ -268,7 +270,8 @@ def labelled_pages(pages: list[str]) -> list[list[tuple[list[str], int]]]:
                 page.append((path_features(b.path) + text_features(b, k / len(blocks)), int(main)))
                 if main and len(b.text) > 80:
                     paragraphs.append(b.text)
-            out.append(page[:200])
+            # long pages train as chains of CHAIN blocks each, as shorter ones are filled up to the longest
+            out += [page[a : a + CHAIN] for a in range(0, len(page), CHAIN)]
     random = np.random.default_rng(17)
     paragraphs = paragraphs or ["A few plain words of text stand here. They end soon."]
     for k in range(len(LAYOUTS) * 40):

@@ -21,7 +21,7 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """Hash, document and position of every line that is long enough to be a duplicate."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     rows = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("version"), lines.alias("lines"))
-    rows = rows.select("doc_id", "version", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
+    rows = rows.select("doc_id", "version", F.size("lines").alias("n_lines"), F.posexplode_outer("lines").alias("pos", "line"))  # the inner form would split all texts once more, to leave out empty lists
     rows = rows.withColumn("line", F.translate(F.btrim("line", F.lit(_BLANK)), _UPPER, _LOWER)).where(F.char_length("line") >= min_chars)
     return rows.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "doc_id", "version", "n_lines", "pos")
 
