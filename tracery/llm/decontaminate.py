@@ -81,7 +81,7 @@ class Items:
 
 
 def _windows(items: Items, shingles: np.ndarray, counts: np.ndarray, doc: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, first shingle, shingles) of every item-sized window that shares a shingle with an item of that size."""
+    """(document, first shingle, shingles) of every item-sized window that has a shingle of an item at the item's own place."""
     lo, hi = np.searchsorted(items.shingles, shingles), np.searchsorted(items.shingles, shingles, side="right")
     n = hi - lo
     hit = np.repeat(np.arange(len(shingles)), n)
@@ -128,14 +128,14 @@ def _leaks(batches: Iterator[pd.DataFrame], items: Items, similarity: float) ->
 def find_leaks(docs: DataFrame, benchmark: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity): item-sized windows of documents that match benchmark items.
 
-    Texts are words between white space with A-Z in lower case. Every window that shares a shingle of
-    ``words`` words with an item of its size (no other can reach any similarity above 0) gets a 64-bit
-    SimHash; eight byte blocks find all items within RADIUS bits; the weighted Jaccard similarity of
+    Texts are words between white space with A-Z in lower case. Where a document and an item share a shingle of
+    ``words`` words (without one no window reaches any similarity above 0), the window of the item's size that puts the
+    shingle at the item's own place gets a 64-bit SimHash; eight byte blocks find all items within RADIUS bits; the weighted Jaccard similarity of
     shingle counts then decides exactly. Items come in passes of at most PASS_SHINGLES shingles, so a
     task's memory does not grow with the benchmark; a pass reads the documents once and shuffles nothing.
     A window at the document's end may be shorter than its item. Null or empty texts and rows without
     an id match nothing; an item or document with fewer words than ``words`` is one shingle; repeated rows give repeated
-    results; empty tables give none.
+    results; long texts are read whole; columns besides the named ones are not read; empty tables give none.
     """
     spark = docs.sparkSession
     modest_batches(spark)
