@@ -35,6 +35,15 @@ def _sets(texts: list, words: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(grams), np.concatenate(text)) if grams else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
+def fingerprints(grams: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums over each set of n-grams; with its size they tell sets apart."""
+    ends, out = np.cumsum(sizes), []
+    for mixed in (mix64(grams + np.uint64(1)), mix64(grams ^ np.uint64(0x5DEECE66D << 8))):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
+        out.append((sums[ends] - sums[ends - sizes]).view(np.int64))
+    return out[0], out[1]
+
+
 def _by_bucket(ids: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket of documents that occurs, and the places of its documents."""
     bucket = (mix64(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
@@ -51,9 +60,7 @@ def _profile(batches: Iterator[pd.DataFrame], words: int, fragments: int, bucket
         ids = batch["doc_id"].to_numpy(np.int64)
         grams, text = _sets(batch["text"].tolist(), words)
         sizes = np.bincount(text, minlength=len(ids))
-        sums = np.concatenate([[0], np.cumsum(mix64(grams + np.uint64(1)), dtype=np.uint64)]).astype(np.uint64)
-        sums2 = np.concatenate([[0], np.cumsum(mix64(grams ^ np.uint64(0x5DEECE66D << 8)), dtype=np.uint64)]).astype(np.uint64)
-        ends = np.cumsum(sizes)
+        sets = np.stack([sizes, *fingerprints(grams, sizes)])
         order = np.argsort(grams)
         ordered = grams[order]
         new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, bool)
@@ -62,9 +69,7 @@ def _profile(batches: Iterator[pd.DataFrame], words: int, fragments: int, bucket
         shared = np.zeros(len(grams), bool)
         shared[order] = many
         known = np.bincount(text[shared], minlength=len(ids))
-        sets = np.stack([sizes.astype(np.uint64), sums[ends] - sums[ends - sizes], sums2[ends] - sums2[ends - sizes]])
         rows = [(-1 - k, ids[own].tobytes(), known[own].astype(np.int32).tobytes(), sets[:, own].tobytes()) for k, own in _by_bucket(ids, buckets)]
-        del sums, sums2
         # owner 0 is no text; the others are places in the batch from 1
         values = np.concatenate([ordered[many & new], grams[~shared]])
         owner = np.concatenate([np.zeros(int((many & new).sum()), np.int64), text[~shared] + 1])
@@ -110,19 +115,33 @@ def _summed(rows: pd.DataFrame) -> pd.DataFrame:
     sets = np.concatenate([np.frombuffer(s, np.int64).reshape(3, -1) for s in rows["sets"] if s], axis=1)
     order = np.lexsort((sets[2], sets[1], sets[0], own))
     last = order[np.flatnonzero(np.concatenate([own[order][1:] != own[order][:-1], [True]]))]
-    return pd.DataFrame({"doc_id": distinct, "n": sets[0, last], "f1": sets[1, last], "f2": sets[2, last], "shared": shared})
+    copies = np.diff(np.concatenate([[0], np.flatnonzero(np.concatenate([own[order][1:] != own[order][:-1], [True]])) + 1]))
+    return pd.DataFrame({"doc_id": distinct, "copies": copies, "n": sets[0, last], "f1": sets[1, last], "f2": sets[2, last], "shared": shared})
 
 
 def _grams(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
+    """The n-grams of each text by segment, if they are the set that its document goes by."""
     for batch in pieces(batches, size=PIECE):
         grams, text = _sets(batch["text"].tolist(), words)
         cuts = np.searchsorted(text, np.arange(len(batch) + 1))
+        f1, f2 = fingerprints(grams, np.diff(cuts))
+        chosen = (np.diff(cuts) == batch["n"]) & (f1 == batch["f1"]) & (f2 == batch["f2"])
         rows = []
-        for k, (doc, n) in enumerate(zip(batch["doc_id"], batch["n"], strict=True)):
+        for k in np.flatnonzero(chosen):
+            doc, copies, n = batch["doc_id"].iloc[k], batch["copies"].iloc[k], batch["n"].iloc[k]
             own = grams[cuts[k] : cuts[k + 1]]
             segment = np.searchsorted(own, (np.arange(SEGMENTS + 1, dtype=np.uint64) << np.uint64(56)) // np.uint64(SEGMENTS))
-            rows += [(doc, n, s, own[segment[s] : segment[s + 1]].astype(np.int64)) for s in range(SEGMENTS) if segment[s] < segment[s + 1]]
-        yield pd.DataFrame(rows, columns=["doc_id", "n", "segment", "grams"])
+            rows += [(doc, copies, n, s, own[segment[s] : segment[s + 1]].astype(np.int64)) for s in range(SEGMENTS) if segment[s] < segment[s + 1]]
+        yield pd.DataFrame(rows, columns=["doc_id", "copies", "n", "segment", "grams"])
+
+
+def cut_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(doc_id, n, segment, grams), once for each document of ``wanted`` (doc_id, copies, n, f1, f2): of rows that repeat its id,
+    those that hold other sets are passed over, and those that hold the same one count once."""
+    sets = texts.join(wanted, "doc_id").select("doc_id", "copies", "n", "f1", "f2", "text")
+    sets = stash(sets.mapInPandas(lambda x: _grams(x, words), "doc_id long, copies long, n long, segment int, grams array<long>"), "sets")
+    once = sets.where("copies > 1").dropDuplicates(["doc_id", "segment"])
+    return sets.where("copies = 1").unionByName(once).drop("copies")
 
 
 def _overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -153,7 +172,7 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85) -> tu
 
     Null or empty texts have no n-grams and no links, and are their own component; a text with fewer
     words than ``words`` has one n-gram. Rows without a doc_id are kept with null ids; a doc_id that comes with several
-    different texts gives one row with the largest of their sets. An empty table gives no rows.
+    different texts gives one row with the largest of their sets, which alone is compared. An empty table gives no rows.
     """
     spark = docs.sparkSession
     modest_batches(spark)
@@ -164,11 +183,11 @@ def ngram_jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85) -> tu
     fragments = max(partitions(spark), size // 5 // FRAGMENT_ITEMS)
     cut = named.mapInPandas(lambda x: _profile(x, words, fragments, buckets), "frag int, docs binary, counts binary, grams binary")
     counted = cut.groupBy("frag").applyInPandas(lambda x: _shared_in_fragment(x, buckets), "bucket int, docs binary, counts binary, sets binary")
-    profile = stash(counted.groupBy("bucket").applyInPandas(_summed, "doc_id long, n long, f1 long, f2 long, shared long"), "profile")
+    profile = stash(counted.groupBy("bucket").applyInPandas(_summed, "doc_id long, copies long, n long, f1 long, f2 long, shared long"), "profile")
 
-    found = stash(profile.where((F.col("n") > 0) & (100 * F.col("shared") >= percent * F.col("n"))).groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "n"), "found")
-    sets = named.join(small(found), "doc_id").select("doc_id", "n", "text").mapInPandas(lambda x: _grams(x, words), "doc_id long, n long, segment int, grams array<long>")
-    sets = stash(sets, "sets")
+    found = profile.where((F.col("n") > 0) & (100 * F.col("shared") >= percent * F.col("n"))).groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "copies")).alias("d"))
+    found = stash(found.select("d.doc_id", "d.copies", "n", "f1", "f2"), "found")
+    sets = cut_sets(named, small(found), words)
 
     items = sets.select("doc_id", "n", F.explode("grams").alias("g"))
     common = items.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
