@@ -7,6 +7,7 @@ from .html_extract import op4_html_extract
 from .importance import op13_importance_resample
 from .license_scan import OP10_SQL, op10_license_scan
 from .line_dedup import OP2_SQL, op2_line_dedup
+from .minhash import op11_minhash_near_dedup
 from .ngram_join import op1_ngram_jaccard_join
 from .packing import op8_packing
 from .quality import op5_quality
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,
+    "op11_minhash_near_dedup": op11_minhash_near_dedup,
     "op12_source_audit": op12_source_audit,
     "op13_importance_resample": op13_importance_resample,
 }
