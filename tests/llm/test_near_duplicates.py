@@ -14,13 +14,13 @@ def group(seed, words, copies):
     return [base, *[edited(base, *r.choice(words, r.integers(1, max(2, words // 9)), replace=False)) for _ in range(copies)]]
 
 
-@pytest.mark.parametrize(("words", "percent", "split"), [(2, 80, 64), (5, 80, 3), (2, 90, 1)])
-def test_near_duplicates(spark, words, percent, split):
+@pytest.mark.parametrize(("words", "percent", "wide"), [(2, 80, 4096), (5, 80, 3), (2, 90, 1)])
+def test_near_duplicates(spark, words, percent, wide):
     texts = TEXTS + group(11, 60, 30) + group(12, 400, 25) + group(13, 12, 20) + group(14, 2000, 6)
     texts += [f"{sentence(900, 60)} {sentence(1000 + k, 60)}" for k in range(25)] + [sentence(100 + k, 30) for k in range(10)]
     # small sets, all close to each other
     texts += [" ".join(w for j, w in enumerate(sentence(300 + k, 9).split()) if j != drop) for k in range(8) for drop in (99, 0, 8, 4)]
-    found, links = minhash.near_duplicates(docs(spark, *texts), words, percent, split)
+    found, links = minhash.near_duplicates(docs(spark, *texts), words, percent, wide)
     rows = found.collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute_components(texts, words, percent)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
@@ -59,7 +59,7 @@ def test_estimates():
             a = r.permutation(pool)
             x, y = a[:n], np.concatenate([a[:common], a[n : 2 * n - common]])
             regs = minhash.registers(np.concatenate([x, y]), np.repeat([0, 1], [n, n]), 2)
-            found, error = minhash.estimate(regs[:1], regs[1:], np.array([n]), np.array([n]))
+            found, error = minhash.estimate(regs[:1], regs[1:], np.array([n]), np.array([n]), max(part, 0.2))
             far.append((found[0] - common / (2 * n - common)) / max(error[0], 0.01))
         assert abs(np.mean(far)) < 0.5 and max(map(abs, far)) < 4.5
     assert minhash.registers(pool[:0], np.zeros(0, np.int64), 1).tolist() == [[minhash.EMPTY] * minhash.REGISTERS]

@@ -114,7 +114,7 @@ def audit_rows():
 def test_source_divergence(spark, monkeypatch, least, block):
     monkeypatch.setattr(source_audit, "CELLS", 20)
     rows = audit_rows()
-    df = spark.createDataFrame([(*r, "clash", 7, "own") for r in rows], "text string, lang string, source string, term string, n int, part string").repartition(3)
+    df = spark.createDataFrame([(*r, "clash", 7, "own") for r in rows], "text string, lang string, source string, term string, n int, part string").repartition(7)
     found = source_audit.source_divergence(df, least, block=block)
     assert found.columns == ["lang", "source", "part", "item", "value", "rank"]
     assert sorted(map(tuple, found.collect())) == brute_audit(rows, least)

@@ -2,69 +2,94 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import modest_batches, partitions, pieces, stash, table
+from .common import free_memory, modest_batches, stash, table
 
-#: Characters of texts whose chunks are listed together, and cells of a table of sources and terms that one task compares.
-BLOCK, CELLS = 4 << 20, 2_000_000
+#: Bytes of texts whose chunks are listed together, and cells of a table of sources and terms that one task compares.
+BLOCK, CELLS = 16 << 20, 2_000_000
 #: What a term is, smoothing and scale of shares.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SMOOTH, SCALE = 5, 1_000_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_BLOCKS = "block long, langs array<string>, sources array<string>, doc_group binary, ends binary, ids binary, counts binary, chunks array<string>"
-
-
-def _blocks(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """A row for each few megabytes of texts: the distinct chunks of all, and per document the number and count of its own."""
-    number = TaskContext.get().partitionId() << 24
-    for batch in pieces(batches, size=size):
-        chunks: dict[bytes, int] = {}
-        groups: dict[tuple, int] = {}
-        doc_group, ends, ids, counts = [], [], [], []
-        for text, lang, source in zip(batch["text"], batch["lang"], batch["source"], strict=True):
-            own = Counter(text.encode().split())  # by ASCII white space alone
-            doc_group.append(groups.setdefault((lang, source), len(groups)))
-            ids += [chunks.setdefault(c, len(chunks)) for c in own]
-            counts += own.values()
-            ends.append(len(ids))
-        langs, sources = zip(*groups, strict=True)
-        packed = [np.array(x, np.int32).tobytes() for x in (doc_group, ends, ids)] + [np.array(counts, np.int64).tobytes()]
-        yield pd.DataFrame([(number, list(langs), list(sources), *packed, [c.decode() for c in chunks])], columns=[x.split()[0] for x in _BLOCKS.split(", ")])
-        number += 1
-
-
-def _counted(blocks: pd.DataFrame, terms: pd.DataFrame) -> pd.DataFrame:
+_BLOCKS = pa.schema([("block", pa.int64()), ("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string())), ("groups", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("chunks", pa.list_(pa.string()))])
+_COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers, compressed with all first bytes first, as most have few."""
+    data = np.ascontiguousarray(numbers.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(numbers).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    raw = pa.decompress(data[8:], size * 8, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, size).T).view(np.int64).ravel()
+
+
+def _block(number: int, rows: pa.Table) -> pa.RecordBatch:
+    """The distinct chunks of some texts, and for each document which it holds (a key of document and chunk) and how often."""
+    split = pc.ascii_split_whitespace(rows["text"].combine_chunks())
+    words = split.flatten().dictionary_encode()
+    doc = np.repeat(np.arange(len(rows)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    size = max(1, len(words.dictionary))
+    keys, counts = np.unique(doc * size + words.indices.to_numpy(), return_counts=True)
+    lang, source = (rows[c].combine_chunks().dictionary_encode() for c in ("lang", "source"))
+    pairs, group = np.unique(lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy(), return_inverse=True)
+    langs, sources = lang.dictionary.take(pa.array(pairs // len(source.dictionary))), source.dictionary.take(pa.array(pairs % len(source.dictionary)))
+    row = [number, langs.to_pylist(), sources.to_pylist(), _pack(group), _pack(np.diff(keys, prepend=0)), _pack(counts), words.dictionary]
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(v)], v) if isinstance(v, pa.Array) else pa.array([v], f.type) for v, f in zip(row, _BLOCKS, strict=True)], schema=_BLOCKS)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """A row for each ``size`` bytes of texts, or for each batch of rows if that is more."""
+    number, held, total = TaskContext.get().partitionId() << 24, [], 0
+    for batch in batches:
+        held.append(batch)
+        total += pc.sum(pc.binary_length(batch["text"])).as_py() or 0
+        if total >= size:
+            yield _block(number, pa.Table.from_batches(held))
+            number, held, total = number + 1, [], 0
+    if sum(map(len, held)):
+        yield _block(number, pa.Table.from_batches(held))
+    free_memory()
+
+
+def _counted(block: pa.Table, cut: pa.Table) -> pa.Table:
     """Occurrences and documents of each term in each (lang, source) of a block."""
-    columns = ["lang", "source", "term", "n", "docs"]
-    if not len(blocks) or not len(terms):
-        return pd.DataFrame([], columns=columns)
-    b = blocks.iloc[0]
-    group, ends, ids = (np.frombuffer(b[k], np.int32).astype(np.int64) for k in ("doc_group", "ends", "ids"))
-    counts = np.frombuffer(b["counts"], np.int64)
-    doc = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
-    # the terms of chunk c: flat[first[c] : first[c] + size[c]]
-    chunk = terms["id"].to_numpy(np.int64)
-    lengths = terms["terms"].map(len).to_numpy(np.int64)
-    flat, names = pd.factorize(np.concatenate(terms["terms"].to_numpy()))
-    size, first = np.zeros(int(max(chunk.max(), ids.max())) + 1, np.int64), np.zeros(int(max(chunk.max(), ids.max())) + 1, np.int64)
-    size[chunk], first[chunk] = lengths, np.cumsum(lengths) - lengths
-    each = size[ids]
+    if not len(block) or not len(cut):
+        return _COUNTS.empty_table()
+    own = {c: block[c][0].as_py() for c in ("langs", "sources", "groups", "keys", "counts")}
+    size = max(1, block["size"][0].as_py())
+    group, keys, counts = _unpack(own["groups"]), np.cumsum(_unpack(own["keys"])), _unpack(own["counts"])
+    doc, ids = keys // size, keys % size
+    # the terms of chunk c: flat[first[c] : first[c] + many[c]]
+    listed = cut["terms"].combine_chunks()
+    words = listed.flatten().dictionary_encode()
+    flat, names = words.indices.to_numpy().astype(np.int64), words.dictionary
+    lengths = pc.list_value_length(listed).to_numpy(zero_copy_only=False).astype(np.int64)
+    many, first = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    chunk = cut["id"].to_numpy()
+    many[chunk], first[chunk] = lengths, np.cumsum(lengths) - lengths
+    each = many[ids]
     entry = np.repeat(np.arange(len(ids)), each)
-    term = flat[np.repeat(first[ids], each) + np.arange(len(entry)) - np.repeat(np.cumsum(each) - each, each)]
-    key, back = np.unique(group[doc[entry]] * len(names) + term, return_inverse=True)
+    term = flat[np.repeat(first[ids] - np.cumsum(each) + each, each) + np.arange(len(entry))]
+    doc = doc[entry]
+    key, back = np.unique(group[doc] * len(names) + term, return_inverse=True)
     n = np.bincount(back, weights=counts[entry], minlength=len(key)).astype(np.int64)  # exact below 2**53
-    once = np.unique(doc[entry] * len(names) + term)
+    once = np.unique(doc * len(names) + term)
     docs = np.unique(group[once // len(names)] * len(names) + once % len(names), return_counts=True)[1]  # in the order of key
-    pick = lambda values: np.array(list(values), object)[key // len(names)]
-    return pd.DataFrame({"lang": pick(b["langs"]), "source": pick(b["sources"]), "term": names[key % len(names)], "n": n, "docs": docs})
+    of = pa.array(key // len(names))
+    return pa.table([pa.array(own["langs"]).take(of), pa.array(own["sources"]).take(of), names.take(pa.array(key % len(names))), n, docs.astype(np.int64)], schema=_COUNTS)
 
 
 def term_counts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -76,11 +101,13 @@ def term_counts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     occurrences and documents before they are shuffled."""
     modest_batches(docs.sparkSession)
     named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    blocks = stash(named.mapInPandas(lambda x: _blocks(x, block), _BLOCKS), "blocks")
+    schema = "block long, langs array<string>, sources array<string>, groups binary, keys binary, counts binary, chunks array<string>"
+    blocks = stash(named.mapInArrow(lambda x: _blocks(x, block), schema), "blocks")
     own = blocks.select(F.col("block").alias("of"), F.posexplode("chunks").alias("id", "chunk"))
     cut = own.select("chunk").distinct().select("chunk", F.regexp_extract_all(F.translate("chunk", _UPPER, _LOWER), F.lit(TERM), F.lit(0)).alias("terms"))
     joined = own.join(cut.where(F.size("terms") > 0), "chunk").select("of", "id", "terms")
-    found = blocks.drop("chunks").groupBy("block").cogroup(joined.groupBy("of")).applyInPandas(_counted, "lang string, source string, term string, n long, docs long")
+    slim = blocks.select("block", "langs", "sources", "groups", "keys", "counts", F.size("chunks").alias("size"))
+    found = slim.groupBy("block").cogroup(joined.groupBy("of")).applyInArrow(_counted, "lang string, source string, term string, n long, docs long")
     return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
