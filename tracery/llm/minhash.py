@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, modest_batches, pieces, small, stash, table
+from .common import components, modest_batches, partitions, pieces, small, stash, table
 from .ngram_join import PIECE, _overlaps, _sets, cut_sets, fingerprints
 from .shingles import mix64
 
@@ -18,9 +18,11 @@ REGISTERS, MANTISSA, BANDS = 240, 10, 40
 #: Expected share of registers of 2**MANTISSA mantissas that agree by chance (for sets of one size), times 2**MANTISSA.
 COLLISION = 0.169919487159739093975315012348630288992889
 #: Standard errors by which an estimate may fall short of the limit and still be confirmed.
-ERRORS = 5.0
-#: Documents of a band's key beyond which the key is split by the other bands of its documents.
-SPLIT = 64
+ERRORS = 4.0
+#: Documents of a key that one task compares; a larger key is compared by pairs of parts.
+WIDE = 4096
+#: Rows of keys that one call compares, about.
+BUCKET_ROWS = 5000
 EMPTY = np.uint16(0xFFFF)
 
 
@@ -36,15 +38,21 @@ def registers(grams: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
     return out.reshape(texts, REGISTERS)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Jaccard similarity of pairs of sketches, less the agreements expected by chance, and its standard error."""
-    used = ((a != EMPTY) | (b != EMPTY)).sum(axis=1)
-    same = ((a == b) & (a != EMPTY)).sum(axis=1)
+def judged(same: np.ndarray, used: np.ndarray, na: np.ndarray, nb: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard similarity of pairs of sketches of which ``same`` of ``used`` registers agree, less the agreements expected by
+    chance, and the standard error that a pair at ``limit`` would have: its registers are drawn from the union without
+    replacement, so small sets have small errors."""
+    used = np.maximum(used, 1)
     ratio = np.maximum(na, nb) / np.maximum(np.minimum(na, nb), 1)
     chance = COLLISION * used / 2**MANTISSA * 4 * ratio / (1 + ratio) ** 2
-    found = np.clip((same - chance) / np.maximum(used, 1), 0, 1)
-    # at the limit of a half the error is largest; few registers know little
-    return found, np.sqrt(np.maximum(found * (1 - found), 1 / np.maximum(used, 1)) / np.maximum(used, 1))
+    union = np.maximum((na + nb) / (1 + limit), used)
+    return np.clip((same - chance) / used, 0, 1), np.sqrt(limit * (1 - limit) / used * (union - used) / np.maximum(union - 1, 1)) + 0.5 / used
+
+
+def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same for two arrays of sketches, row by row."""
+    filled = (a != EMPTY) | (b != EMPTY)
+    return judged(((a == b) & filled).sum(axis=1), filled.sum(axis=1), na, nb, limit)
 
 
 def levels(percent: int) -> list[tuple[int, int]]:
@@ -103,7 +111,7 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     def judge(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch[c]), np.uint16).reshape(len(batch), REGISTERS) for c in ("ra", "rb"))
-            found, error = estimate(a, b, batch["na"].to_numpy(), batch["nb"].to_numpy())
+            found, error = estimate(a, b, batch["na"].to_numpy(), batch["nb"].to_numpy(), percent / 100)
             yield batch.loc[found + ERRORS * error >= percent / 100, ["a", "b", "na", "nb"]]
 
     both = pairs.join(sketches.select(F.col("id").alias("a"), F.col("regs").alias("ra")), "a").join(sketches.select(F.col("id").alias("b"), F.col("regs").alias("rb")), "b")
@@ -114,7 +122,37 @@ def _comparable(na: Column, nb: Column, percent: int) -> Column:
     return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, split: int = SPLIT) -> tuple[DataFrame, DataFrame]:
+def _meet(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The pairs of each key of a bucket of keys that are in different components and may reach the limit by their sketches."""
+    ids, n, root = (rows[c].to_numpy() for c in ("id", "n", "root"))
+    regs = np.frombuffer(b"".join(rows["regs"]), np.uint16).reshape(len(rows), REGISTERS)
+    out = [np.zeros((0, 4), np.int64)]
+    for at in rows.groupby(["key", "p", "q"]).indices.values():
+        out += _pairs(ids[at], n[at], root[at], regs[at], percent)
+    return pd.DataFrame(np.concatenate(out), columns=["a", "b", "na", "nb"]).drop_duplicates()
+
+
+def _pairs(ids: np.ndarray, n: np.ndarray, root: np.ndarray, regs: np.ndarray, percent: int) -> list[np.ndarray]:
+    roots, counts = np.unique(root, return_counts=True)
+    largest = root == roots[counts.argmax()]
+    filled = (regs != EMPTY).astype(np.float32)
+    size, out = filled.sum(axis=1), []
+    out = [np.zeros((0, 4), np.int64)]
+    for k in np.flatnonzero(~largest):
+        other = (root != root[k]) & (largest | (ids > ids[k])) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
+        at = np.flatnonzero(other)
+        mine = np.where(regs[k] == EMPTY, EMPTY - 1, regs[k])  # agrees with no empty register
+        same = np.count_nonzero(regs[at] == mine, axis=1)
+        found, error = judged(same, size[at] + size[k] - filled[at] @ filled[k], n[at], n[k], percent / 100)
+        at = at[found + ERRORS * error >= percent / 100]
+        swap = ids[at] < ids[k]
+        pair = np.stack([np.full(len(at), ids[k]), ids[at], np.full(len(at), n[k]), n[at]], axis=1)
+        pair[swap] = pair[swap][:, [1, 0, 3, 2]]
+        out.append(pair)
+    return out
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, wide: int = WIDE) -> tuple[DataFrame, DataFrame]:
     """Groups of documents linked by word n-gram sets with 100 * |intersection| >= percent * |union|.
 
     ``docs`` has doc_id and text; other columns are not read. Returns (documents, links): documents has doc_id, n_shingles,
@@ -125,10 +163,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, split: i
        mantissa. One document stands for all with the same set.
     2. Bands of registers propose pairs; how many bands there are depends on the size of the sets (see ``levels``), so small
        sets that link always share bands, and of large ones at the limit about one pair in 200,000 shares none.
-    3. A key first links its documents to the smallest one only. Then documents of a key that are not connected yet meet; a key with
-       more than ``split`` of these is split by their other keys, in which any two that link meet again.
-    4. Estimates with the expected chance agreements taken off pass over pairs that are 5 standard errors below the limit;
-       the rest is confirmed on full sets, counted segment by segment, so every link returned is exact.
+    3. A key first links its documents to one only, that with most company in all its keys. Then those of a key that are not
+       connected yet are compared by their sketches, blockwise within a task: only pairs that may reach the limit leave it. A
+       key of over ``wide`` documents is compared by pairs of parts, each in a task of its own.
+    4. Estimates, with the expected chance agreements taken off, pass over pairs that lie 4 standard errors below the limit;
+       the rest is confirmed on full sets, so every link returned is exact.
 
     Null or empty texts have no n-grams and no links, and are their own component; a text with fewer words than ``words`` has one
     n-gram. Rows without a doc_id are kept with null ids; a doc_id that comes with several different texts gives one row with
@@ -146,37 +185,38 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, split: i
 
     banded = sketches.select("id", "n", "regs").mapInPandas(lambda x: _banded(x, percent), "key long, id long, n long")
     banded = stash(banded, "bands")
-    several = banded.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("hub")).where("size > 1")
+    several = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     banded = stash(banded.join(several, "key"), "bands")
-    star = banded.where(F.col("id") != F.col("hub.id")).where(_comparable(F.col("n"), F.col("hub.n"), percent))
-    star = stash(star.select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")).distinct(), "star")
+    company = banded.groupBy("id").agg(F.sum("size").alias("company"))
+    # the central document of a group of copies links to most of them
+    known = stash(banded.join(company, "id"), "known")
+    hubs = known.groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("minus"), "n")).alias("hub"))
+    star = known.join(hubs, "key").select(F.col("id").alias("x"), (-F.col("hub.minus")).alias("y"), F.col("n").alias("nx"), F.col("hub.n").alias("ny"))
+    star = star.where((F.col("x") != F.col("y")) & _comparable(F.col("nx"), F.col("ny"), percent))
+    star = star.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("nb"))
+    star = stash(star.distinct(), "star")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        likely = stash(_likely(pairs, sketches, percent), "likely")
+        likely = stash(pairs, "likely")
         ends = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         wanted = stash(classes.withColumnRenamed("id", "doc_id").join(ends, "doc_id", "left_semi"), "wanted")
-        sets = cut_sets(texts, small(wanted), words)
+        sets = cut_sets(texts, small(wanted), words, segments=1)
         return _overlaps(likely, sets).where((100 + percent) * F.col("common") >= percent * (F.col("na") + F.col("nb")))
 
-    links = stash(confirmed(star), "links")
+    links = stash(confirmed(_likely(star, sketches, percent)), "links")
     roots = components(links)
 
-    def unconnected(rows: DataFrame) -> DataFrame:
-        """Rows (key, id, n, root) of the keys that still hold several components, and the number of their rows."""
-        mixed = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        return rows.join(mixed.select("key", "size"), "key")
-
     rooted = banded.select("key", "id", "n").join(roots.withColumnRenamed("root", "found"), "id", "left").select("key", "id", "n", F.coalesce("found", "id").alias("root"))
-    open_ = stash(unconnected(rooted), "open")
-    hot, other = open_.where(F.col("size") > split).select("key", "id", "n", "root"), open_.where(F.col("size") <= split).select("key", "id", "n", "root")
-    # two documents that link share another key too: the pair of keys is a smaller one
-    again = hot.join(rooted.select(F.col("key").alias("with"), "id"), "id").where(F.col("key") != F.col("with"))
-    again = again.select(F.xxhash64(F.least("key", "with"), F.greatest("key", "with")).alias("key"), "id", "n", "root").distinct()
-    open_ = stash(other.unionByName(unconnected(again).drop("size")), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & _comparable(F.col("x.n"), F.col("y.n"), percent))
-    cross = cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
-    more = stash(confirmed(cross.join(star, ["a", "b"], "left_anti")), "links")
+    mixed = rooted.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    # large keys in parts, and every pair of parts
+    parts = F.ceil(F.col("size") / F.lit(wide)).cast("int")
+    open_ = rooted.join(mixed.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    open_ = stash(open_.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "id", "n", "root"), "open")
+    buckets = max(partitions(docs.sparkSession), open_.count() // BUCKET_ROWS)
+    dealt = F.pmod(F.xxhash64("key", "p", "q"), F.lit(buckets)).alias("bucket")
+    met = open_.join(sketches.select("id", "regs"), "id").groupBy(dealt).applyInPandas(lambda x: _meet(x, percent), "a long, b long, na long, nb long")
+    more = stash(confirmed(met.distinct().join(star, ["a", "b"], "left_anti")), "links")
     links = links.unionByName(more)
     if more.limit(1).count():
         roots = components(links)

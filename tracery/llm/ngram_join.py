@@ -119,7 +119,7 @@ def _summed(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": distinct, "copies": copies, "n": sets[0, last], "f1": sets[1, last], "f2": sets[2, last], "shared": shared})
 
 
-def _grams(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
+def _grams(batches: Iterator[pd.DataFrame], words: int, segments: int) -> Iterator[pd.DataFrame]:
     """The n-grams of each text by segment, if they are the set that its document goes by."""
     for batch in pieces(batches, size=PIECE):
         grams, text = _sets(batch["text"].tolist(), words)
@@ -130,16 +130,16 @@ def _grams(batches: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame
         for k in np.flatnonzero(chosen):
             doc, copies, n = batch["doc_id"].iloc[k], batch["copies"].iloc[k], batch["n"].iloc[k]
             own = grams[cuts[k] : cuts[k + 1]]
-            segment = np.searchsorted(own, (np.arange(SEGMENTS + 1, dtype=np.uint64) << np.uint64(56)) // np.uint64(SEGMENTS))
-            rows += [(doc, copies, n, s, own[segment[s] : segment[s + 1]].astype(np.int64)) for s in range(SEGMENTS) if segment[s] < segment[s + 1]]
+            segment = np.searchsorted(own, (np.arange(segments + 1, dtype=np.uint64) << np.uint64(56)) // np.uint64(segments))
+            rows += [(doc, copies, n, s, own[segment[s] : segment[s + 1]].astype(np.int64)) for s in range(segments) if segment[s] < segment[s + 1]]
         yield pd.DataFrame(rows, columns=["doc_id", "copies", "n", "segment", "grams"])
 
 
-def cut_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+def cut_sets(texts: DataFrame, wanted: DataFrame, words: int, segments: int = SEGMENTS) -> DataFrame:
     """(doc_id, n, segment, grams), once for each document of ``wanted`` (doc_id, copies, n, f1, f2): of rows that repeat its id,
     those that hold other sets are passed over, and those that hold the same one count once."""
     sets = texts.join(wanted, "doc_id").select("doc_id", "copies", "n", "f1", "f2", "text")
-    sets = stash(sets.mapInPandas(lambda x: _grams(x, words), "doc_id long, copies long, n long, segment int, grams array<long>"), "sets")
+    sets = stash(sets.mapInPandas(lambda x: _grams(x, words, segments), "doc_id long, copies long, n long, segment int, grams array<long>"), "sets")
     once = sets.where("copies > 1").dropDuplicates(["doc_id", "segment"])
     return sets.where("copies = 1").unionByName(once).drop("copies")
 
