@@ -89,20 +89,26 @@ def _band_keys(regs: np.ndarray, level: int, bands: int, layout: int) -> np.ndar
     return keys
 
 
-def _banded(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
-    """Keys of the bands of each set in its level and the next; small sets have two layouts."""
+def _all_keys(regs: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """The keys of each set in its level and the next, 0 where it has none. Even levels come first, so that two sets that share
+    a key have it in the same column; small sets have two layouts."""
     steps = levels(percent)
-    limits = np.array([s for s, _ in steps[:-1]], np.int64)
+    own = np.searchsorted(np.array([s for s, _ in steps[:-1]], np.int64), n)
+    out = np.zeros((len(n), 2, 2, BANDS), np.uint64)
+    for level, (_, bands) in enumerate(steps):
+        at = np.flatnonzero((own == level) | (own == level - 1))
+        for layout in (0, 1)[: (1 if bands == BANDS else 2) * bool(len(at))]:
+            out[at, level % 2, layout, :bands] = _band_keys(regs[at], level, bands, layout)
+    return out.reshape(len(n), -1).view(np.int64)
+
+
+def _banded(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """A row for each key of each set."""
     for batch in batches:
         regs = np.frombuffer(b"".join(batch["regs"]), np.uint16).reshape(len(batch), REGISTERS)
-        own = np.searchsorted(limits, batch["n"].to_numpy())
-        for level, (_, bands) in enumerate(steps):
-            at = np.flatnonzero((own == level) | (own == level - 1))
-            for layout in (0, 1)[: 1 if bands == BANDS else 2]:
-                keys = _band_keys(regs[at], level, bands, layout)
-                row, band = np.nonzero(keys)
-                if len(row):
-                    yield pd.DataFrame({"key": keys[row, band].view(np.int64), "id": batch["id"].to_numpy()[at[row]], "n": batch["n"].to_numpy()[at[row]]})
+        keys = _all_keys(regs, batch["n"].to_numpy(), percent)
+        row, column = np.nonzero(keys)
+        yield pd.DataFrame({"key": keys[row, column], "id": batch["id"].to_numpy()[row], "n": batch["n"].to_numpy()[row]})
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -123,28 +129,32 @@ def _comparable(na: Column, nb: Column, percent: int) -> Column:
 
 
 def _meet(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """The pairs of each key of a bucket of keys that are in different components and may reach the limit by their sketches."""
+    """The pairs of each key of a bucket of keys that are in different components and may reach the limit by their sketches.
+    A pair that has several keys in common comes with the first of them only."""
     ids, n, root = (rows[c].to_numpy() for c in ("id", "n", "root"))
     regs = np.frombuffer(b"".join(rows["regs"]), np.uint16).reshape(len(rows), REGISTERS)
+    keys = _all_keys(regs, n, percent)
     out = [np.zeros((0, 4), np.int64)]
-    for at in rows.groupby(["key", "p", "q"]).indices.values():
-        out += _pairs(ids[at], n[at], root[at], regs[at], percent)
+    for (key, _, _), at in rows.groupby(["key", "p", "q"]).indices.items():
+        out += _pairs(key, keys[at], ids[at], n[at], root[at], regs[at], percent)
     return pd.DataFrame(np.concatenate(out), columns=["a", "b", "na", "nb"]).drop_duplicates()
 
 
-def _pairs(ids: np.ndarray, n: np.ndarray, root: np.ndarray, regs: np.ndarray, percent: int) -> list[np.ndarray]:
+def _pairs(key: int, keys: np.ndarray, ids: np.ndarray, n: np.ndarray, root: np.ndarray, regs: np.ndarray, percent: int) -> list[np.ndarray]:
     roots, counts = np.unique(root, return_counts=True)
     largest = root == roots[counts.argmax()]
     filled = (regs != EMPTY).astype(np.float32)
     size, out = filled.sum(axis=1), []
     out = [np.zeros((0, 4), np.int64)]
-    for k in np.flatnonzero(~largest):
+    for k in np.flatnonzero(~largest):  # all documents of the largest component are one already
         other = (root != root[k]) & (largest | (ids > ids[k])) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
         at = np.flatnonzero(other)
         mine = np.where(regs[k] == EMPTY, EMPTY - 1, regs[k])  # agrees with no empty register
         same = np.count_nonzero(regs[at] == mine, axis=1)
         found, error = judged(same, size[at] + size[k] - filled[at] @ filled[k], n[at], n[k], percent / 100)
         at = at[found + ERRORS * error >= percent / 100]
+        first = ((keys[at] == keys[k]) & (keys[k] != 0)).argmax(axis=1)
+        at = at[keys[k][first] == key]
         swap = ids[at] < ids[k]
         pair = np.stack([np.full(len(at), ids[k]), ids[at], np.full(len(at), n[k]), n[at]], axis=1)
         pair[swap] = pair[swap][:, [1, 0, 3, 2]]
