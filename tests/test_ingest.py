@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracery.operators import filters, ingest
-from tracery.sources import tables
+from tracery.sources import store, tables
 from tracery.streaming import jobs
 
 
@@ -106,6 +106,17 @@ def test_store_and_delete(spark, tmp_path):
     assert tables.read_series(spark, path, "other").count() == 0
 
 
+def test_delete_reaches_every_partition(spark, tmp_path):
+    rows = spark.createDataFrame([(t, k, f"r{i}", float(i)) for t in (None, "a:b") for k in ("ns:room 1", "Car") for i in range(4)], "tenant string, entity_type string, entity_id string, x double")
+    rows = rows.withColumn("time_index", F.make_timestamp(F.lit(2020), F.lit(1), (F.col("x") % 2 + 1).cast("int"), F.lit(0), F.lit(0), F.lit(0)))
+    path = str(tmp_path / "series")
+    tables.write_series(rows, path)
+    assert tables.rewrite_partitions(spark, path, (F.col("entity_type") == "ns:room 1") & (F.col("x") != 3)) == 6
+    found = spark.read.parquet(path).collect()
+    assert sorted((r["tenant"] or "", r["x"]) for r in found if r["entity_type"] != "Car") == [("", 3.0), ("a:b", 3.0)]
+    assert sum(r["entity_type"] == "Car" for r in found) == 8
+
+
 def test_delete_survives_a_crash(spark, tmp_path, monkeypatch):
     rows = spark.createDataFrame([("t", "Room", f"r{i}", float(i)) for i in range(10)], "tenant string, entity_type string, entity_id string, x double")
     rows = rows.withColumn("time_index", F.make_timestamp(F.lit(2020), F.lit(1), (F.col("x") % 3 + 1).cast("int"), F.lit(0), F.lit(0), F.lit(0)))
@@ -146,9 +157,9 @@ def test_stream_equals_batch(spark, tmp_path):
     for i in range(3):
         data = [ROOM | {"id": f"r{i}", "TimeInstant": {"value": f"2020-01-0{i + 1}T00:00:00Z"}}, {"type": "t", "x": {"value": 1}}]
         (source / f"{i}.txt").write_text(json.dumps({"data": data}) + "\n")
-    jobs.stream_ingest(spark, str(source), f"{tmp_path}/t", f"{tmp_path}/d", f"{tmp_path}/c").awaitTermination()
-    assert sorted(r["entity_id"] for r in spark.read.parquet(f"{tmp_path}/t").collect()) == ["r0", "r1", "r2"]
-    assert spark.read.parquet(f"{tmp_path}/d").count() == 3
+    jobs.stream_ingest(spark, str(source), f"{tmp_path}/t", f"{tmp_path}/c").awaitTermination()
+    assert sorted(r["entity_id"] for r in store.read_table(spark, f"{tmp_path}/t", "Room").collect()) == ["r0", "r1", "r2"]
+    assert store.read_dead_letters(spark, f"{tmp_path}/t").count() == 3
 
 
 def test_late_rows_never_replace(spark):

@@ -37,6 +37,20 @@ def parse_bodies(bodies: DataFrame) -> DataFrame:
     )
 
 
+def judge_bodies(bodies: DataFrame, header: str = "path_header") -> DataFrame:
+    """All columns of ``bodies`` and ``refusal``: NULL, or why a body is refused as a whole. A body must be JSON without a key
+    twice in an object, have entities in ``data``, and come with one service path or as many as it has entities."""
+    parsed = F.try_parse_json("body")
+    size = F.size(F.try_variant_get(parsed, "$.data", "array<variant>"))
+    # the lenient parser keeps the last of several equal keys
+    twice = F.trim("body").endswith("}") & F.get_json_object("body", "$").isNotNull()
+    refusal = F.when(parsed.isNull(), F.when(twice, "a key twice").otherwise("not JSON")).when(F.coalesce(size, F.lit(-1)) <= 0, "no data")
+    if header in bodies.columns:
+        paths = F.size(F.split(F.coalesce(header, F.lit("")), ","))
+        refusal = refusal.when((paths != 1) & (paths != size), "paths and entities differ in number")
+    return bodies.withColumn("refusal", refusal)
+
+
 def validate_entities(entities: DataFrame) -> DataFrame:
     """The same rows with ``error``: NULL where id and type are there and no attribute has the reserved name."""
     missing = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
@@ -176,5 +190,7 @@ def ingest(bodies: DataFrame, custom: str | None = None, transform: Callable[[Da
     rows = drop_untyped_attrs(null_missing_values(rows))
     rows = drop_empty_entities(rows)
     rows = assign_service_path(rows) if "path_header" in rows.columns else rows.withColumn("fiware_servicepath", F.lit(""))
+    if "path_error" in rows.columns:
+        rows = rows.withColumn("error", F.coalesce("error", "path_error"))
     rows = assign_time_index(rows, custom)
     return transform(rows) if transform else rows

@@ -15,7 +15,7 @@ from ..functions import casts, geo, times
 from ..operators import filters, ingest, query, shape
 from ..operators import geo as places
 from ..operators import telemetry as tele
-from ..sources import tables
+from ..sources import store, tables
 from ..streaming import jobs
 from . import views
 from .views import SQL, iso_sql
@@ -849,18 +849,75 @@ def stream_notifications(spark, sf):
 
 def _streamed(spark, sf):
     base = workspace(spark)
-    jobs.stream_ingest(spark, _arrivals(spark, sf), f"{base}/table", f"{base}/dead", f"{base}/log").awaitTermination()
-    return base
+    jobs.stream_ingest(spark, _arrivals(spark, sf), f"{base}/store", f"{base}/log").awaitTermination()
+    return f"{base}/store"
+
+
+def _all_types(spark, path, columns):
+    """The tables of all types that a store has, side by side."""
+    return query.union_types([store.read_table(spark, path, t).select(*columns) for t in store.entity_types(spark, path)])
 
 
 @register(f"select 'user:' || user_id as entity_id, event_type as entity_type, {iso_sql('ts')} as time_index, count(*) as n from events where {_GOOD} group by all")
 def stream_ingest(spark, sf):
-    return _iso(spark.read.parquet(f"{_streamed(spark, sf)}/table")).groupBy("entity_id", "entity_type", "time_index").agg(F.count("*").alias("n"))
+    return _iso(_all_types(spark, _streamed(spark, sf), ["entity_id", "entity_type", "time_index"])).groupBy("entity_id", "entity_type", "time_index").agg(F.count("*").alias("n"))
+
+
+@register(f"select 'user:' || user_id as entity_id, event_type as entity_type, {iso_sql('ts')} as time_index, event_id % 2 = 0 as even, event_id as eid, regexp_extract(props, '\"k\"\\s*:\\s*(-?\\d+)', 1)::bigint as kind, '' as note, case when event_id % 20 <> 4 then value end as value from events where {_GOOD}")
+def stream_ingest_attributes(spark, sf):
+    """The attributes of all updates that a stream stored, as typed columns."""
+    return _iso(_all_types(spark, _streamed(spark, sf), ["entity_id", "entity_type", "time_index", "even", "eid", "kind", "note", "value"]))
+
+
+def _spoilt(spark, sf):
+    """Bodies of which some are cut off, have a key twice, no data, or too many paths, by the event's id."""
+    i = F.col("event_id")
+    bad = F.when(i % 20 == 5, F.expr("left(body, length(body) - 3)")).when(i % 20 == 6, F.regexp_replace("body", '"note":', '"kind":'))
+    return views.notifications(spark, sf).withColumn("body", F.coalesce(bad, "body"))
+
+
+@register("""select case when event_id % 20 = 1 then 'no data' when event_id % 20 = 5 then 'not JSON' when event_id % 20 = 6 then 'a key twice' else 'paths and entities differ in number' end as reason, count(*) as n
+from events where event_id % 20 in (1, 5, 6) or event_id % 3 = 0 group by all
+union all select case event_id % 20 when 2 then 'missing id' else 'missing type' end, count(*) from events where event_id % 20 in (2, 3) and event_id % 3 <> 0 group by all
+union all select 'stored', count(*) from events where event_id % 20 not in (1, 2, 3, 5, 6) and event_id % 3 <> 0""")
+def ingest_refusals(spark, sf):
+    """Where each body of a batch went: every one is stored, a dead letter or refused, with the reason."""
+    path = f"{workspace(spark)}/store"
+    store.ingest_bodies(spark, path, _spoilt(spark, sf))
+    refused = store.read_refused(spark, path).groupBy(F.col("refusal").alias("reason")).agg(F.count("*").alias("n"))
+    dead = store.read_dead_letters(spark, path).groupBy(F.col("error").alias("reason")).agg(F.count("*").alias("n"))
+    return refused.unionByName(dead).unionByName(_all_types(spark, path, ["entity_id"]).agg(F.lit("stored").alias("reason"), F.count("*").alias("n")))
+
+
+@register(f"""select distinct event_type as entity_type, lower(t.col0) as "column", t.col0 as attr_name, t.col1 as ngsi_type,
+case when (select count(*) from events b where b.event_type = a.event_type and b.event_id % 2 = 0 and b.event_id % 20 not in (1, 2, 3)) > 0 then 1 else 2 end as since from events a, {_TYPES} t where {_GOOD}""")
+def stored_catalog(spark, sf):
+    """The catalog of a store after two commits: bodies of even events, then the others."""
+    path = f"{workspace(spark)}/store"
+    for rest in (0, 1):
+        store.ingest_bodies(spark, path, views.notifications(spark, sf).where(F.col("event_id") % 2 == rest).select("body"))
+    return store.read_catalog(spark, path).select("entity_type", "column", "attr_name", "ngsi_type", F.col("since").cast("int").alias("since"))
+
+
+_KEPT = "not (entity_id like 'user:1%' and time_index >= timestamp '2024-01-08') and not (k % 3 = 0 and value > 50)"
+
+
+@register(f"select entity_id, count(*) as n, round(sum(value), 2) as total from es where {_KEPT} group by all union all select 'all before', count(*), round(sum(value), 2) from es", "es")
+def delete_from_store(spark, sf):
+    """Two deletes by position from a table without tenants whose type has a colon and a blank, and the version before them."""
+    path, kind = f"{workspace(spark)}/store", "ns:Event 1"
+    store.append_rows(spark, path, kind, views.events_series(spark, sf).select("entity_id", "fiware_servicepath", "time_index", "value", "k"))
+    before = store.snapshot(spark, path)["version"]
+    store.delete_rows(spark, path, kind, F.col("entity_id").like("user:1%") & (F.col("date") >= "2024-01-08"))
+    store.delete_rows(spark, path, kind, (F.col("k") % 3 == 0) & (F.col("value") > 50))
+    found = store.read_table(spark, path, kind).groupBy("entity_id").agg(F.count("*").alias("n"), _r(F.sum("value"), 2).alias("total"))
+    old = store.read_table(spark, path, kind, version=before).agg(F.lit("all before").alias("entity_id"), F.count("*").alias("n"), _r(F.sum("value"), 2).alias("total"))
+    return found.unionByName(old)
 
 
 @register("select case event_id % 20 when 2 then 'missing id' else 'missing type' end as error, count(*) as n from events where event_id % 20 in (2, 3) group by all")
 def stream_dead_letter(spark, sf):
-    return spark.read.parquet(f"{_streamed(spark, sf)}/dead").groupBy("error").agg(F.count("*").alias("n"))
+    return store.read_dead_letters(spark, _streamed(spark, sf)).groupBy("error").agg(F.count("*").alias("n"))
 
 
 def _stream(spark, sf):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -83,7 +86,8 @@ def finish_rewrite(spark: SparkSession, path: str, parts: tuple[str, ...] = ("te
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
         # partitions without any row left: a folder each
         for row in spark.read.parquet(f"{beside}/ready").toLocalIterator():
-            _delete_folder(spark, "/".join([path.rstrip("/"), *[f"{k}={row[k]}" for k in parts]]))
+            names = [spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(k, row[k]) for k in parts]
+            _delete_folder(spark, "/".join([path.rstrip("/"), *names]))
     if _exists(spark, beside):
         _delete_folder(spark, beside)
     return ready
@@ -101,9 +105,10 @@ def rewrite_partitions(spark: SparkSession, path: str, gone: Column, parts: tupl
     if count:
         beside = f"{path.rstrip('/')}-rewrite"
         touched = hit.select(*parts).distinct()
-        kept = df.join(touched, list(parts), "left_semi").where(~F.coalesce(gone, F.lit(False)))
+        same = lambda a, b: reduce(and_, [a[k].eqNullSafe(b[k]) for k in parts])  # noqa: E731  a tenant may be NULL
+        kept = df.join(touched, same(df, touched), "left_semi").where(~F.coalesce(gone, F.lit(False)))
         kept.select(*[c for c in df.columns if c not in parts], *parts).write.mode("overwrite").parquet(f"{beside}/rows")
         left = spark.read.schema(df.select(*[c for c in df.columns if c not in parts], *parts).schema).parquet(f"{beside}/rows").select(*parts).distinct()
-        touched.join(left, list(parts), "left_anti").select(*[F.col(k).cast("string") for k in parts]).write.mode("overwrite").parquet(f"{beside}/ready")
+        touched.join(left, same(touched, left), "left_anti").select(*[F.col(k).cast("string") for k in parts]).write.mode("overwrite").parquet(f"{beside}/ready")
         finish_rewrite(spark, path, parts)
     return count

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.times import period_start
-from ..operators.ingest import ingest, parse_bodies, split_rejected
+from ..operators.ingest import parse_bodies
 from ..operators.query import KEY
+from ..sources import store
 
 _WIDTHS = {"second": "1 second", "minute": "1 minute", "hour": "1 hour", "day": "1 day"}
 
@@ -19,18 +20,14 @@ def stream_notifications(spark: SparkSession, path: str, files_per_batch: int =
     return parse_bodies(lines.withColumnRenamed("value", "body"))
 
 
-def stream_ingest(spark: SparkSession, source: str, table: str, dead_letters: str, checkpoint: str) -> StreamingQuery:
-    """Append valid updates to a table and rejected ones to another. Each batch's files lie under its id, so a batch
-    that runs again replaces its own."""
+def stream_ingest(spark: SparkSession, source: str, path: str, checkpoint: str, name: str = "bodies", custom: str | None = None) -> StreamingQuery:
+    """Bodies that arrive as text files, one a line, into a store (``sources.store``): each batch is one commit of typed rows by
+    entity type, new columns, rejected entities and refused bodies. A batch that runs again after a crash, at whatever point, is
+    committed once; nothing that arrives is lost without a row that says why."""
     lines = spark.readStream.text(source).withColumnRenamed("value", "body")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        found = ingest(batch).select("entity_type", "entity_id", "fiware_servicepath", "time_index", "entity", "error").persist()  # both tables come from one parse
-        good, bad = split_rejected(found, f"batch-{batch_id}")
-        rows = good.select("entity_type", "entity_id", "fiware_servicepath", "time_index", F.to_json("entity").alias("raw_entity"))
-        rows.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
-        stream_dead_letter(bad, dead_letters, batch_id)
-        found.unpersist()
+        store.ingest_bodies(batch.sparkSession, path, batch, name, batch_id, custom)
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
