@@ -927,23 +927,47 @@ def _stream(spark, sf):
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(folder)
 
 
-@register(f"select entity_type, entity_id, {iso_sql("date_trunc('day', es.time_index)::timestamp")} as time_index, count(k) as n, sum(k)::bigint as total, min(k) as least, max(k) as most from es group by entity_type, entity_id, date_trunc('day', es.time_index)", "es")
-def stream_period_aggregate(spark, sf):
+def _run_keyed(spark, start):
+    """Run a stream that needs keyed state to its end; the session's state store is as before afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    jobs.needs_keyed_state(spark)
+    try:
+        start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+
+
+def _periods(spark, sf, period):
     base = workspace(spark)
 
     def keep(batch, batch_id):
         batch.withColumn("v", F.lit(batch_id)).write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
 
-    found = jobs.stream_period_aggregate(_stream(spark, sf), "k", "day", "1000 days")
-    found.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
+    found = jobs.stream_period_aggregate(_stream(spark, sf), "k", period, "1000 days" if period == "day" else "1 day")
+    _run_keyed(spark, lambda: found.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start())
     last = spark.read.parquet(f"{base}/out").groupBy("entity_type", "entity_id", "time_index").agg(F.max(F.struct("v", "n", "total", "least", "most")).alias("r"))
     return _iso(last.select("entity_type", "entity_id", "time_index", "r.n", "r.total", "r.least", "r.most"))
 
 
+_PERIODS = "select entity_type, entity_id, {} as time_index, count(k) as n, sum(k)::bigint as total, min(k) as least, max(k) as most from es group by entity_type, entity_id, date_trunc('{}', es.time_index)"
+
+
+@register(_PERIODS.format(iso_sql("date_trunc('day', es.time_index)::timestamp"), "day"), "es")
+def stream_period_aggregate(spark, sf):
+    return _periods(spark, sf, "day")
+
+
+@register(_PERIODS.format(iso_sql("date_trunc('month', es.time_index)::timestamp"), "month"), "es")
+def stream_period_aggregate_month(spark, sf):
+    """Calendar months that timers close once the watermark has passed their ends."""
+    return _periods(spark, sf, "month")
+
+
 @register(f"select entity_type, entity_id, {T}, event_id, k from es qualify row_number() over (partition by entity_type, entity_id order by es.time_index desc, event_id desc) = 1", "es")
 def stream_last_value(spark, sf):
     base = workspace(spark)
-    jobs.stream_last_value(_stream(spark, sf), ["event_id", "k"], f"{base}/last", f"{base}/log").awaitTermination()
+    _run_keyed(spark, lambda: jobs.stream_last_value(_stream(spark, sf), ["event_id", "k"], f"{base}/last", f"{base}/log"))
     return _iso(jobs.read_last_value(spark, f"{base}/last"))
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.times import period_start
 from ..operators.ingest import parse_bodies
@@ -37,15 +41,101 @@ def stream_dead_letter(rejected: DataFrame, path: str, batch_id: int) -> None:
     rejected.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
+class _CalendarSums(StatefulProcessor):
+    """Count, sum, minimum and maximum of one entity's calendar period, kept until the watermark has passed its end."""
+
+    def __init__(self, attr: str, value_type: T.DataType, total_type: T.DataType) -> None:
+        self.attr = attr
+        self.schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("total", total_type), T.StructField("least", value_type), T.StructField("most", value_type)])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.sums = handle, handle.getValueState("sums", self.schema)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        *entity, start, end = key
+        # a period that is closed takes no late rows
+        if end.timestamp() * 1000 <= timerValues.getCurrentWatermarkInMs():
+            return
+        n, total, least, most = self.sums.get() if self.sums.exists() else (0, None, None, None)
+        for batch in rows:
+            values = batch[self.attr].dropna()
+            if len(values):
+                n += len(values)
+                total = values.sum().item() + (total or 0)
+                least, most = (f([x for x in (own, kept) if x is not None]) for f, own, kept in ((min, values.min().item(), least), (max, values.max().item(), most)))
+        self.sums.update((n, total, least, most))
+        self.handle.registerTimer(int(end.timestamp() * 1000))
+        yield pd.DataFrame([(*entity, start, n, total, least, most)], columns=[*KEY, "time_index", "n", "total", "least", "most"], dtype=object)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.sums.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
 def stream_period_aggregate(rows: DataFrame, attr: str, period: str, late: str = "1 day") -> DataFrame:
-    """count, sum, min and max of an attribute by entity and period of a stream. From second to day the watermark
-    closes windows and drops their state; months and years are kept, as they have no fixed length."""
+    """count, sum, min and max of an attribute by entity and period of a stream, as updates. The watermark closes periods and
+    drops their state: windows from second to day, and by timers at their ends months and years, which have no fixed length
+    (for these the session needs the RocksDB state store, see ``needs_keyed_state``)."""
     marked = rows.withWatermark("time_index", late)
     values = [F.count(attr).alias("n"), F.sum(attr).alias("total"), F.min(attr).alias("least"), F.max(attr).alias("most")]
     if period in _WIDTHS:
         found = marked.groupBy(F.window("time_index", _WIDTHS[period]), *KEY).agg(*values)
         return found.select(*KEY, F.col("window.start").alias("time_index"), "n", "total", "least", "most")
-    return marked.groupBy(period_start(period, F.col("time_index")).alias("time_index"), *KEY).agg(*values)
+    start = period_start(period, F.col("time_index"))
+    value_type = rows.schema[attr].dataType
+    total_type = T.LongType() if isinstance(value_type, T.IntegralType) else T.DoubleType()
+    own = marked.select(*KEY, start.alias("_start"), (start + F.make_ym_interval(F.lit(int(period == "year")), F.lit(int(period == "month")))).alias("_end"), attr, "time_index")
+    schema = T.StructType([*[T.StructField(k, T.StringType()) for k in KEY], T.StructField("time_index", T.TimestampType()), *_CalendarSums(attr, value_type, total_type).schema])
+    return own.groupBy(*KEY, "_start", "_end").transformWithStateInPandas(_CalendarSums(attr, value_type, total_type), schema, "Update", "EventTime")
+
+
+def needs_keyed_state(spark: SparkSession) -> None:
+    """Set the state store that keyed state with timers needs, for streams that start from now on."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class _Newest(StatefulProcessor):
+    """The newest row of an entity; one that has been idle for long leaves the state."""
+
+    def __init__(self, schema: T.StructType, idle_ms: int) -> None:
+        self.schema, self.idle_ms = schema, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.newest = handle, handle.getValueState("newest", self.schema)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names = self.schema.names
+        kept = tuple(self.newest.get()) if self.newest.exists() else None
+        best = kept
+        for batch in rows:
+            for row in batch[names].astype(object).where(batch[names].notna(), None).itertuples(index=False, name=None):
+                row = (row[0].to_pydatetime(), *row[1:])
+                if best is None or _order(row) > _order(best):
+                    best = row
+        if best != kept:
+            if kept is not None:
+                self.handle.deleteTimer(self._leaves(kept[0]))
+            self.newest.update(best)
+            self.handle.registerTimer(self._leaves(best[0]))
+            yield pd.DataFrame([(*key, *best)], columns=[*KEY, *names], dtype=object)
+
+    def _leaves(self, last) -> int:
+        return int(last.timestamp() * 1000) + self.idle_ms
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.newest.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def _order(row: tuple) -> tuple:
+    """Time first, then the attributes with NULLs first, as Spark orders structs."""
+    return tuple((v is not None, v) if v is not None else (False, 0) for v in row)
 
 
 def merge_last(current: DataFrame, batch: DataFrame, attrs: list[str]) -> DataFrame:
@@ -55,21 +145,33 @@ def merge_last(current: DataFrame, batch: DataFrame, attrs: list[str]) -> DataFr
     return found.select(*KEY, *[F.col(f"_new.{c}").alias(c) for c in ("time_index", *attrs)])
 
 
-def stream_last_value(rows: DataFrame, attrs: list[str], path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the last value of each entity of a stream in a table: version b+1 is version b merged with batch b, so
-    a batch that runs again gives the same version. The last version is read by ``read_last_value``."""
+def stream_last_value(rows: DataFrame, attrs: list[str], path: str, checkpoint: str, idle: str = "30 days", late: str = "1 day") -> StreamingQuery:
+    """Keep the last value of each entity of a stream: one row an entity in keyed state, where late rows lose; a batch writes the
+    entities that changed only, under its id, so one that runs again replaces its own. An entity without updates for ``idle``
+    (and the watermark's ``late``) leaves the state, not the table; a row that comes after that is written again, and
+    ``read_last_value`` still takes the newest. The session needs the RocksDB state store (``needs_keyed_state``)."""
+    marked = rows.select(*KEY, "time_index", *attrs).withWatermark("time_index", late)
+    state = T.StructType([rows.schema[c] for c in ("time_index", *attrs)])
+    found = marked.groupBy(*KEY).transformWithStateInPandas(_Newest(state, _milliseconds(idle)), T.StructType([*[rows.schema[k] for k in KEY], *state]), "Update", "EventTime")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        empty = batch.select(*KEY, "time_index", *attrs).limit(0)
-        before = empty if batch_id == 0 else spark.read.parquet(f"{path}/version={batch_id}")
-        merge_last(before, batch, attrs).write.mode("overwrite").parquet(f"{path}/version={batch_id + 1}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return found.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def _milliseconds(width: str) -> int:
+    number, unit = width.split()
+    return int(float(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")] * 1000)
 
 
 def read_last_value(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of a table of last values."""
-    all_ = spark.read.parquet(path)
-    newest = all_.agg(F.max("version")).first()[0]
-    return all_.where(F.col("version") == newest).drop("version")
+    """The newest row of each entity in all that the batches wrote."""
+    all_ = spark.read.parquet(path).drop("batch")
+    rest = [c for c in all_.columns if c not in KEY]
+    return all_.groupBy(*KEY).agg(F.max(F.struct(*rest)).alias("_new")).select(*KEY, *[F.col(f"_new.{c}").alias(c) for c in rest])
+
+
+def compact_last_value(spark: SparkSession, path: str, to: str) -> None:
+    """The same rows as one batch of another folder, for when many batches have come together."""
+    read_last_value(spark, path).write.mode("overwrite").parquet(f"{to}/batch=-1")
