@@ -140,3 +140,49 @@ def test_centroids_of_all_kinds(spark):
     for k, (_, points) in shapes.items():
         assert tuple(found[k]) == pytest.approx(tuple(np.mean(points, axis=0)))
     assert found["bad"] is found["none"] is found["odd"] is None
+
+
+U_SHAPE = np.array([[0, 0], [3, 0], [3, 3], [2, 3], [2, 1], [1, 1], [1, 3], [0, 3], [0, 0]], float)
+BENT = np.array([[0, 0], [1, 0], [1, 1]], float)
+
+
+@pytest.mark.parametrize(
+    ("line", "kind", "query", "covered"),
+    [
+        ([[0, 0], [1, 1]], "LineString", BENT, False), ([[0.2, 0], [1, 0], [1, 0.5]], "LineString", BENT, True), ([[0.5, 0], [0.7, 0]], "LineString", BENT, True),
+        ([[1, 3], [2, 3]], "Polygon", U_SHAPE, False), ([[0.5, 3], [2.5, 3]], "Polygon", U_SHAPE, False), ([[0, 3], [3, 3]], "Polygon", U_SHAPE, False),
+        ([[0, 3], [1, 3]], "Polygon", U_SHAPE, True), ([[0, 1], [3, 1]], "Polygon", U_SHAPE, True), ([[0.5, 0.5], [2.5, 0.5]], "Polygon", U_SHAPE, True), ([[0.5, 2], [2.5, 2]], "Polygon", U_SHAPE, False),
+    ],
+)
+def test_covered_by_concave_shapes_and_lines(line, kind, query, covered):
+    assert places.relate("coveredBy", {"type": "LineString", "coordinates": line}, kind, query) is covered
+
+
+def test_covered_by_against_dense_points():
+    r = np.random.default_rng(8)
+    seen = set()
+    for _ in range(300):
+        angle = np.sort(r.random(9) * 2 * np.pi)
+        star = np.stack([np.cos(angle), np.sin(angle)], axis=1) * r.uniform(0.2, 1, 9)[:, None]
+        ring = np.concatenate([star, star[:1]])
+        line = r.uniform(-0.5, 0.5, (3, 2))
+        dense = np.concatenate([a + np.linspace(0, 1, 4001)[:, None] * (b - a) for a, b in zip(line[:-1], line[1:], strict=True)])
+        want = all(places._inside(p, ring) for p in dense[::40]) and bool(places._in_ring(dense, ring).all())
+        seen.add(want)
+        assert places.relate("coveredBy", {"type": "LineString", "coordinates": line.tolist()}, "Polygon", ring) is want
+    assert seen == {True, False}
+
+
+def test_equality_is_of_points_not_of_vertices(spark):
+    plain = [[0, 0], [2, 0], [2, 2], [0, 2], [0, 0]]
+    same = [[[0, 0], [1, 0], [2, 0], [2, 2], [0, 2], [0, 0]], [[2, 2], [0, 2], [0, 1], [0, 0], [2, 0], [2, 2]], plain[::-1], [[1, 0], [2, 0], [2, 2], [0, 2], [0, 0], [1, 0]], [[0, 0], [0, 0], *plain[1:]]]
+    for ring in same:
+        assert places.relate("equals", {"type": "Polygon", "coordinates": [ring]}, "Polygon", np.array(plain, float)), ring
+        assert places.relate("equals", {"type": "MultiPolygon", "coordinates": [[ring], [plain]]}, "Polygon", np.array(plain, float))
+    assert not places.relate("equals", {"type": "Polygon", "coordinates": [plain, [[0.5, 0.5], [1, 0.5], [1, 1], [0.5, 0.5]]]}, "Polygon", np.array(plain, float))
+    assert not places.relate("equals", {"type": "Polygon", "coordinates": [[[0, 0], [2, 0], [2, 2], [0, 0]]]}, "Polygon", np.array(plain, float))
+    assert places.relate("equals", {"type": "LineString", "coordinates": [[2, 2], [1, 1], [0, 0]]}, "LineString", np.array([[0, 0], [2, 2]], float))
+    shapes = [("a", {"type": "Polygon", "coordinates": [plain]}), *[(f"s{k}", {"type": "Polygon", "coordinates": [x]}) for k, x in enumerate(same)], ("n", None), ("p", {"type": "Point", "coordinates": [1, 1]}), ("bad", "x")]
+    df = spark.createDataFrame([(k, None if v is None else json.dumps(v)) for k, v in shapes], "entity_id string, location string")
+    found = {(r["entity_id"], r["other"]) for r in places.geo_equal_pairs(df.where("entity_id in ('a', 'p', 'n', 'bad')"), df).collect()}
+    assert found == {("a", "a"), ("p", "p"), *[("a", f"s{k}") for k in range(len(same))]}

@@ -127,29 +127,90 @@ def _in_polygon(p, rings: list[np.ndarray]) -> bool:
     return not any(_inside(p, h) and not any(_on_segment(p, a, b) for a, b in _segments(h)) for h in rings[1:])
 
 
-def _same(kind: str, rings: list[np.ndarray], other_kind: str, other: list[np.ndarray]) -> bool:
-    if kind != other_kind or len(rings) != len(other):
-        return False
-    if kind == "Polygon":
-        turn = lambda r: [tuple(np.round(p, 9)) for p in r[:-1]]
-        equal = lambda a, b: len(a) == len(b) and any(b[k:] + b[:k] in (a, a[::-1]) for k in range(len(b)))
-        left = [turn(r) for r in other[1:]]
-        for own in map(turn, rings[1:]):
-            found = next((k for k, o in enumerate(left) if equal(own, o)), None)
-            if found is None:
-                return False
-            left.pop(found)
-        return equal(turn(rings[0]), turn(other[0]))
-    return rings[0].shape == other[0].shape and bool(np.allclose(rings[0], other[0]) or np.allclose(rings[0], other[0][::-1]))
+def _turns(ring: list[tuple]) -> list[tuple]:
+    """A closed ring's points, the first not repeated, without those that lie between their neighbours on one line."""
+    points = [p for k, p in enumerate(ring) if p != ring[k - 1]] or ring[:1]
+    changed = True
+    while changed and len(points) > 2:
+        kept = [p for k, p in enumerate(points) if not _between(points[k - 1], p, points[(k + 1) % len(points)])]
+        changed, points = len(kept) < len(points), kept or points
+    return points
+
+
+def _between(a: tuple, p: tuple, b: tuple) -> bool:
+    return a != b and _on_segment(np.array(p), np.array(a), np.array(b))
+
+
+def _ring_form(points: list[tuple]) -> tuple:
+    """From the smallest point on, in the direction that comes first."""
+    turned = _turns(points)
+    return min(tuple(way[k:] + way[:k]) for way in (turned, turned[::-1]) for k in [way.index(min(way))])
+
+
+def canonical_form(parts: list[tuple[str, list[np.ndarray]]]) -> tuple:
+    """The same for parts that cover the same points: without repeated points and ones between their neighbours, rings and lines in
+    one direction, rings from their smallest point, holes and parts in order and once. Lines that only together make up another
+    line are told apart from it."""
+    out = set()
+    for kind, rings in parts:
+        plain = [[tuple(p) for p in (np.round(r, 9) + 0.0).tolist()] for r in rings]
+        own = plain[0]
+        if kind == "Polygon":
+            out.add((kind, _ring_form(own[:-1]), tuple(sorted(_ring_form(r[:-1]) for r in plain[1:]))))
+        elif kind == "LineString" and len(own) > 3 and own[0] == own[-1]:
+            out.add((kind, _ring_form(own[:-1]), True))
+        elif kind == "LineString":
+            line = [p for k, p in enumerate(own) if k == 0 or p != own[k - 1]]
+            line = [p for k, p in enumerate(line) if k in (0, len(line) - 1) or not _between(line[k - 1], p, line[k + 1])]
+            out.add((kind, min(tuple(line), tuple(line[::-1]))))
+        else:
+            out.add((kind, own[0]))
+    return tuple(sorted(out, key=repr))
+
+
+def _on_border(points: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Which points lie on the segments of a line."""
+    a, b = line[:-1] if len(line) > 1 else line, line[1:] if len(line) > 1 else line
+    d, v = b - a, points[:, None, :] - a
+    far = np.abs(d[:, 0] * v[..., 1] - d[:, 1] * v[..., 0]) > 1e-9 * np.maximum(np.hypot(d[:, 0], d[:, 1]), 1e-12)
+    within = (points[:, None, :] >= np.minimum(a, b) - 1e-9) & (points[:, None, :] <= np.maximum(a, b) + 1e-9)
+    return (within.all(axis=2) & ~far).any(axis=1)
+
+
+def _in_ring(points: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    """Which points lie in a closed ring, its border included."""
+    x, y, py = ring[:, 0], ring[:, 1], points[:, 1:]
+    rise = np.where(y[1:] == y[:-1], 1, y[1:] - y[:-1])
+    crosses = ((y[:-1] > py) != (y[1:] > py)) & (points[:, :1] < (x[1:] - x[:-1]) * (py - y[:-1]) / rise + x[:-1])
+    return (crosses.sum(axis=1) % 2 == 1) | _on_border(points, ring)
+
+
+def _cut(line: np.ndarray, border: np.ndarray) -> np.ndarray:
+    """A line's points, and the middle of each part into which its segments are cut where they meet a border."""
+    c, e = border[:-1], border[1:] - border[:-1]
+    out = [line]
+    for a, b in zip(line[:-1], line[1:], strict=True):
+        d = b - a
+        turn, w = d[0] * e[:, 1] - d[1] * e[:, 0], c - a
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = (w[:, 0] * e[:, 1] - w[:, 1] * e[:, 0]) / turn
+        # along the same line a border's ends cut; elsewhere they are harmless
+        ends = (border - a) @ d / max(float(d @ d), 1e-24)
+        t = np.concatenate([[0.0, 1.0], t[np.isfinite(t)], ends])
+        t = np.unique(t[(t >= 0) & (t <= 1)])
+        out.append(a + ((t[:-1] + t[1:]) / 2)[:, None] * d)
+    return np.concatenate(out)
 
 
 def _covered(kind: str, rings: list[np.ndarray], query_kind: str, query: np.ndarray) -> bool:
+    """Every segment is cut at all meetings with the query; then each part lies on one side of it, and its middle tells which.
+    A query polygon has no holes, so a polygon lies in it if its outer ring does."""
     own = rings[0]
     if query_kind == "Point":
-        return kind == "Point" and bool(np.allclose(own[0], query[0]))
+        return kind != "Polygon" and bool(np.allclose(own, query[0]))
     if query_kind == "LineString":
-        return kind != "Polygon" and all(any(_on_segment(p, a, b) for a, b in _segments(query)) for p in own)
-    return all(_inside(p, query) for p in own) and not any(_cross(a, b, c, d, True) for a, b in _segments(own) for c, d in _segments(query))
+        return kind != "Polygon" and bool(_on_border(_cut(own, query), query).all())
+    return bool(_in_ring(_cut(own, query), query).all())
 
 
 def _meets(kind: str, rings: list[np.ndarray], query_kind: str, query: np.ndarray) -> bool:
@@ -161,10 +222,10 @@ def _meets(kind: str, rings: list[np.ndarray], query_kind: str, query: np.ndarra
 def relate(relation: str, shape: dict, query_kind: str, query: np.ndarray) -> bool:
     """Whether a GeoJSON shape is coveredBy, intersects or equals a query shape (a point, a line, or a polygon without
     holes); borders belong to shapes, the inside of a hole does not. Of a shape of several parts all must be covered, or
-    any must meet the query; it equals a query if it has one part, which does."""
+    any must meet the query; it equals a query if both have the same canonical form."""
     parts = _parts(shape)
     if relation == "equals":
-        return len(parts) == 1 and _same(*parts[0], query_kind, [query])
+        return bool(parts) and canonical_form(parts) == canonical_form([(query_kind, [query])])
     test = _covered if relation == "coveredBy" else _meets
     return bool(parts) and (all if relation == "coveredBy" else any)(test(kind, rings, query_kind, query) for kind, rings in parts)
 
@@ -206,3 +267,27 @@ def geo_disjoint(df: DataFrame, query: dict) -> DataFrame:
 
 def geo_equals(df: DataFrame, query: dict) -> DataFrame:
     return df.where(_overlaps_extent(query)).where(_related("equals", query))
+
+
+def geometry_key(location: Column) -> Column:
+    """A hash of a GeoJSON shape's canonical form: equal for shapes that cover the same points, so equality is a join by key.
+    NULL for what is no shape."""
+
+    def form(values: pd.Series) -> pd.Series:
+        def one(v):
+            try:
+                parts = None if v is None else _parts(json.loads(v))
+                return repr(canonical_form(parts)) if parts else None
+            except (ValueError, KeyError, TypeError, IndexError):
+                return None
+
+        return values.map(one).astype(object)
+
+    return F.sha2(F.pandas_udf(form, T.StringType())(location), 256)
+
+
+def geo_equal_pairs(df: DataFrame, others: DataFrame, key: str = "entity_id") -> DataFrame:
+    """(key, other, location): rows of two tables whose shapes are equal, by one join on the hash of their canonical forms."""
+    left = df.select(F.col(key), "location", geometry_key(F.col("location")).alias("_form")).where("_form is not null")
+    right = others.select(F.col(key).alias("other"), geometry_key(F.col("location")).alias("_form"))
+    return left.join(right, "_form").select(key, "other", "location")

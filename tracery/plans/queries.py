@@ -657,6 +657,17 @@ def geo_equals(spark, sf):
     return places.geo_equals(views.geo_series(spark, sf), places.parse_geo_query("equals", "polygon", ring)).select("entity_id")
 
 
+@register("select a.entity_id, b.entity_id as other from gs a join gs b on a.shape = b.shape and a.x = b.x and a.y = b.y", "gs")
+def geo_equal_pairs(spark, sf):
+    """All places against the same places with squares that start elsewhere, turn the other way and have a vertex more."""
+    df = views.geo_series(spark, sf)
+    x, y, x1, y1 = (F.col(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat"))
+    ring = F.array(*[F.array(*p) for p in ((x1, y1), (x1, y), (x + 0.5, y), (x, y), (x, y1), (x1, y1))])
+    square = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")))
+    others = df.withColumn("location", F.when(F.col("c_custkey") % 3 == 2, square).otherwise(F.col("location")))
+    return places.geo_equal_pairs(df, others).select("entity_id", "other")
+
+
 @register("select entity_id from gs where x >= -60 and x <= 80 and y >= -30 and y <= 40 and shape = 0", "gs")
 def parse_geo_query(spark, sf):
     q = places.parse_geo_query("intersects", "polygon", "-30,-60;-30,80;40,80;40,-60;-30,-60")
