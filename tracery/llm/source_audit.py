@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free_memory, modest_batches, stash, table
+from .common import free_memory, modest_batches, small, stash, table
 
 #: Bytes of texts whose chunks are listed together, and cells of a table of sources and terms that one task compares.
 BLOCK, CELLS = 16 << 20, 2_000_000
@@ -20,7 +20,7 @@ BLOCK, CELLS = 16 << 20, 2_000_000
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SMOOTH, SCALE = 5, 1_000_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_BLOCKS = pa.schema([("block", pa.int64()), ("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string())), ("groups", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("chunks", pa.list_(pa.string()))])
+_BLOCKS = pa.schema([("block", pa.int64()), ("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string())), ("groups", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("chunks", pa.list_(pa.string())), ("held", pa.list_(pa.int64()))])
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
 
@@ -46,7 +46,7 @@ def _block(number: int, rows: pa.Table) -> pa.RecordBatch:
     lang, source = (rows[c].combine_chunks().dictionary_encode() for c in ("lang", "source"))
     pairs, group = np.unique(lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy(), return_inverse=True)
     langs, sources = lang.dictionary.take(pa.array(pairs // len(source.dictionary))), source.dictionary.take(pa.array(pairs % len(source.dictionary)))
-    row = [number, langs.to_pylist(), sources.to_pylist(), _pack(group), _pack(np.diff(keys, prepend=0)), _pack(counts), words.dictionary]
+    row = [number, langs.to_pylist(), sources.to_pylist(), _pack(group), _pack(np.diff(keys, prepend=0)), _pack(counts), words.dictionary, pa.array(np.bincount(keys % size, minlength=len(words.dictionary)))]
     return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(v)], v) if isinstance(v, pa.Array) else pa.array([v], f.type) for v, f in zip(row, _BLOCKS, strict=True)], schema=_BLOCKS)
 
 
@@ -73,13 +73,11 @@ def _counted(block: pa.Table, cut: pa.Table) -> pa.Table:
     group, keys, counts = _unpack(own["groups"]), np.cumsum(_unpack(own["keys"])), _unpack(own["counts"])
     doc, ids = keys // size, keys % size
     # the terms of chunk c: flat[first[c] : first[c] + many[c]]
-    listed = cut["terms"].combine_chunks()
-    words = listed.flatten().dictionary_encode()
-    flat, names = words.indices.to_numpy().astype(np.int64), words.dictionary
-    lengths = pc.list_value_length(listed).to_numpy(zero_copy_only=False).astype(np.int64)
-    many, first = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    chunk = cut["id"].to_numpy()
-    many[chunk], first[chunk] = lengths, np.cumsum(lengths) - lengths
+    words = cut["term"].combine_chunks().dictionary_encode()
+    chunk, names = cut["id"].to_numpy(), words.dictionary
+    flat = words.indices.to_numpy()[np.argsort(chunk, kind="stable")].astype(np.int64)
+    many = np.bincount(chunk, minlength=size)
+    first = np.cumsum(many) - many
     each = many[ids]
     entry = np.repeat(np.arange(len(ids)), each)
     term = flat[np.repeat(first[ids] - np.cumsum(each) + each, each) + np.arange(len(entry))]
@@ -92,8 +90,9 @@ def _counted(block: pa.Table, cut: pa.Table) -> pa.Table:
     return pa.table([pa.array(own["langs"]).take(of), pa.array(own["sources"]).take(of), names.take(pa.array(key % len(names))), n, docs.astype(np.int64)], schema=_COUNTS)
 
 
-def term_counts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences of each term in each group of documents, and documents that hold it.
+def term_counts(docs: DataFrame, least_docs: int = 1, block: int = BLOCK) -> DataFrame:
+    """(lang, source, term, n, docs): occurrences of each term in each group of documents, and documents that hold it. Of terms
+    in fewer than ``least_docs`` documents of any language some are left out: those whose chunks together have fewer.
 
     Texts are cut at white space, which no term spans, and each document's chunks are counted. Every distinct chunk of the
     corpus is cut into terms once, in one row of a table; that table is joined back to the lists of distinct chunks of blocks
@@ -101,11 +100,16 @@ def term_counts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     occurrences and documents before they are shuffled."""
     modest_batches(docs.sparkSession)
     named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    schema = "block long, langs array<string>, sources array<string>, groups binary, keys binary, counts binary, chunks array<string>"
+    schema = "block long, langs array<string>, sources array<string>, groups binary, keys binary, counts binary, chunks array<string>, held array<long>"
     blocks = stash(named.mapInArrow(lambda x: _blocks(x, block), schema), "blocks")
-    own = blocks.select(F.col("block").alias("of"), F.posexplode("chunks").alias("id", "chunk"))
-    cut = own.select("chunk").distinct().select("chunk", F.regexp_extract_all(F.translate("chunk", _UPPER, _LOWER), F.lit(TERM), F.lit(0)).alias("terms"))
-    joined = own.join(cut.where(F.size("terms") > 0), "chunk").select("of", "id", "terms")
+    own = blocks.select(F.col("block").alias("of"), F.posexplode(F.arrays_zip("chunks", "held")).alias("id", "x")).select("of", "id", F.col("x.chunks").alias("chunk"), F.col("x.held").alias("held"))
+    distinct = own.groupBy("chunk").agg(F.sum("held").alias("held"))
+    cut = distinct.select("chunk", "held", F.regexp_extract_all(F.translate("chunk", _UPPER, _LOWER), F.lit(TERM), F.lit(0)).alias("terms")).where(F.size("terms") > 0)
+    cut = stash(cut, "cut")
+    # a term is in no more documents than its chunks are
+    bound = cut.select("held", F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.sum("held").alias("held"))
+    wanted = stash(bound.where(F.col("held") >= least_docs).select("term"), "wanted")
+    joined = own.select("of", "id", "chunk").join(cut.select("chunk", F.explode("terms").alias("term")).join(small(wanted), "term"), "chunk").select("of", "id", "term")
     slim = blocks.select("block", "langs", "sources", "groups", "keys", "counts", F.size("chunks").alias("size"))
     found = slim.groupBy("block").cogroup(joined.groupBy("of")).applyInArrow(_counted, "lang string, source string, term string, n long, docs long")
     return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
@@ -146,7 +150,7 @@ def source_divergence(docs: DataFrame, least_docs: int = 30, top: int = 50, bloc
     part "term"; one with a single source has no pairs. Texts of any length are cut whole; a text longer than a block is a
     block of its own. An empty table gives no rows."""
     spark = docs.sparkSession
-    counts = stash(term_counts(docs, block), "counts")
+    counts = stash(term_counts(docs, least_docs, block), "counts")
     kept = stash(counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")).where(F.col("docs") >= least_docs).drop("docs"), "kept")
     own = stash(counts.select("lang", "source", "term", F.col("n").alias("own")).join(kept, ["lang", "term"]), "own")
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("lang_total"))
