@@ -47,10 +47,10 @@ def shared_dir(spark: SparkSession) -> str:
 _STASHED: list[str] = []
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it again, so that its lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     _STASHED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

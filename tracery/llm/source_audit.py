@@ -101,11 +101,11 @@ def term_counts(docs: DataFrame, least_docs: int = 1, block: int = BLOCK) -> Dat
     modest_batches(docs.sparkSession)
     named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
     schema = "block long, langs array<string>, sources array<string>, groups binary, keys binary, counts binary, chunks array<string>, held array<long>"
-    blocks = stash(named.mapInArrow(lambda x: _blocks(x, block), schema), "blocks")
+    blocks = stash(named.mapInArrow(lambda x: _blocks(x, block), schema), "blocks", "zstd")
     own = blocks.select(F.col("block").alias("of"), F.posexplode(F.arrays_zip("chunks", "held")).alias("id", "x")).select("of", "id", F.col("x.chunks").alias("chunk"), F.col("x.held").alias("held"))
     distinct = own.groupBy("chunk").agg(F.sum("held").alias("held"))
     cut = distinct.select("chunk", "held", F.regexp_extract_all(F.translate("chunk", _UPPER, _LOWER), F.lit(TERM), F.lit(0)).alias("terms")).where(F.size("terms") > 0)
-    cut = stash(cut, "cut")
+    cut = stash(cut, "cut", "zstd")
     # a term is in no more documents than its chunks are
     bound = cut.select("held", F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.sum("held").alias("held"))
     wanted = stash(bound.where(F.col("held") >= least_docs).select("term"), "wanted")
@@ -150,7 +150,7 @@ def source_divergence(docs: DataFrame, least_docs: int = 30, top: int = 50, bloc
     part "term"; one with a single source has no pairs. Texts of any length are cut whole; a text longer than a block is a
     block of its own. An empty table gives no rows."""
     spark = docs.sparkSession
-    counts = stash(term_counts(docs, least_docs, block), "counts")
+    counts = stash(term_counts(docs, least_docs, block), "counts", "zstd")
     kept = stash(counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")).where(F.col("docs") >= least_docs).drop("docs"), "kept")
     own = stash(counts.select("lang", "source", "term", F.col("n").alias("own")).join(kept, ["lang", "term"]), "own")
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("lang_total"))
