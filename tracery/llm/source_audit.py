@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free_memory, modest_batches, small, stash, table
+from .common import free_memory, modest_batches, partitions, small, stash, table
 
 #: Bytes of texts whose chunks are listed together, and cells of a table of sources and terms that one task compares.
 BLOCK, CELLS = 16 << 20, 2_000_000
@@ -158,7 +158,7 @@ def source_divergence(docs: DataFrame, least_docs: int = 30, top: int = 50, bloc
     groups = groups.join(langs, "lang", "left").join(own.groupBy("lang", "source").agg(F.sum("own").alias("total")), ["lang", "source"], "left").fillna(0)
     groups = stash(groups, "groups")
     cells = groups.groupBy("lang").agg((F.count("*") * F.max("v")).alias("cells")).agg(F.max("cells")).first()[0] or 0
-    buckets = 1 + cells // CELLS
+    buckets = partitions(spark) + cells // CELLS
 
     shares = own.join(groups, ["lang", "source"]).select(
         "lang", "source", "term", _share(F.col("own"), F.col("total"), F.col("v")).alias("p"), _share(F.col("n"), F.col("lang_total"), F.col("v")).alias("q"),
