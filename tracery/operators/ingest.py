@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import casts
 from ..functions.times import select_time_index
+from .costs import batch_by_cost, cost_batches  # noqa: F401
 
 RESERVED = "__original_ngsi_entity__"
 _META = ("id", "type", "@context")
@@ -150,40 +148,6 @@ def compute_row_size(*columns: str) -> Column:
     return F.octet_length(F.to_json(F.struct(*columns)))
 
 
-def cost_batches(costs: np.ndarray, most: float) -> np.ndarray:
-    """Numbers of consecutive batches whose cost stays within ``most``; a dearer row is a batch of its own."""
-    out, batch, total = np.zeros(len(costs), np.int64), 0, 0.0
-    for k, c in enumerate(costs):
-        if k and total + c > most:
-            batch, total = batch + 1, 0.0
-        total += c
-        out[k] = batch
-    return out
-
-
-def batch_by_cost(df: DataFrame, keys: list[str], order: list[str], cost: str, most: float) -> DataFrame:
-    """Each row's batch number in its key, in order. The greedy cut needs a key's rows in turn, so they are streamed:
-    partitions are sorted and only the running total is kept."""
-    schema = T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, batch, total = None, 0, 0.0
-        for b in batches:
-            out = np.zeros(len(b), np.int64)
-            names = list(b[keys].itertuples(index=False, name=None))
-            for i, (name, c) in enumerate(zip(names, b[cost].to_numpy(float), strict=True)):
-                if name != key:
-                    key, batch, total = name, 0, c
-                elif total + c > most:
-                    batch, total = batch + 1, c
-                else:
-                    total += c
-                out[i] = batch
-            yield b.assign(batch=out)
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
-
-
 def ingest(bodies: DataFrame, custom: str | None = None, transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """All steps before the table's own columns: rows with ``error``, cleaned attributes, path and time."""
     rows = validate_entities(parse_bodies(bodies))

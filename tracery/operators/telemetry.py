@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import selection
+
 
 def telemetry_series(df: DataFrame, label: str, pid: int | None = None) -> DataFrame:
     """One label's series, of one process if asked."""
@@ -12,13 +14,16 @@ def telemetry_series(df: DataFrame, label: str, pid: int | None = None) -> DataF
     return (own if pid is None else own.where(F.col("pid") == pid)).select("time", "measurement", "label", "pid")
 
 
-def series_summary(df: DataFrame, by: tuple[str, ...] = ("label",), exact: bool = True) -> DataFrame:
-    """count, mean, std, min, percentiles and max of each series; exact=False bounds the memory of long series."""
+def series_summary(df: DataFrame, by: tuple[str, ...] = ("label",), exact: bool = True, few: int = selection.FEW) -> DataFrame:
+    """count, mean, std, min, percentiles and max of each series. Exact percentiles come by selection, which sorts ``few`` values of
+    a series at once at most; exact=False takes them from one sketch, in one pass."""
     at = [0.25, 0.5, 0.75, 0.9, 0.95]
-    cuts = F.percentile("measurement", F.array(*[F.lit(x) for x in at])) if exact else F.approx_percentile("measurement", at, 10_000)
+    sketch = [] if exact else [F.approx_percentile("measurement", at, 10_000).alias("_p")]
     found = df.groupBy(*by).agg(
-        F.count("measurement").alias("n"), F.avg("measurement").alias("mean"), F.stddev("measurement").alias("std"), F.min("measurement").alias("min"), cuts.alias("_p"), F.max("measurement").alias("max"),
+        F.count("measurement").alias("n"), F.avg("measurement").alias("mean"), F.stddev("measurement").alias("std"), F.min("measurement").alias("min"), F.max("measurement").alias("max"), *sketch,
     )
+    if exact:
+        found = found.withColumn("_g", F.struct(*by, F.lit(0).alias("_"))).join(selection.percentiles(df, by, "measurement", at, few), "_g", "left")
     return found.select(*by, "n", "mean", "std", "min", *[F.col("_p")[k].alias(f"p{round(100 * x)}") for k, x in enumerate(at)], "max")
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -15,6 +12,7 @@ from ..functions import casts, geo, times
 from ..operators import filters, ingest, query, shape
 from ..operators import geo as places
 from ..operators import telemetry as tele
+from ..operators.shared import workspace
 from ..sources import store, tables
 from ..streaming import jobs
 from . import views
@@ -37,16 +35,6 @@ def register(sql: str | None = None, *needed: str, name: str | None = None):
     return add
 
 
-def workspace(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; without one a cluster can't run these queries."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="tracery-")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 def _iso(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: times.iso_timestamp(F.col(c)) for c in columns or ("time_index",)})
 
