@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tracery.operators import costs, selection, telemetry
+from tracery.operators import costs, selection, shape, telemetry
 
 
 @settings(max_examples=200, deadline=None)
@@ -70,3 +70,26 @@ def test_summary_without_values(spark):
     assert telemetry.series_summary(df.limit(0)).count() == 0
     whole = telemetry.series_summary(df, ()).first()
     assert (whole["n"], whole["p95"]) == (1, 2.0)
+
+
+def test_chunks_and_pages(spark):
+    when = F.timestamp_seconds((F.col("i") / 3).cast("long"))
+    df = spark.createDataFrame([(t, e, i, float(i % 7) if i % 5 else None) for t, e, n in (("Room", "long", 1500), ("Room", "r", 3), (None, "r", 70)) for i in range(n)], "entity_type string, entity_id string, i int, v double")
+    df = df.withColumn("time_index", F.when(F.col("i") > 1, when)).repartition(5)
+    chunks = shape.series_chunks(df, ["v", "i"], ("i",), size=32)
+    kept = {(r["entity_type"], r["entity_id"], r["start"]): r for r in chunks.collect()}
+    assert chunks.columns == ["entity_type", "entity_id", "start", "index", "v", "i"] and max(len(r["index"]) for r in kept.values()) <= 32 and len(kept) >= 50
+    for r in shape.flatten_chunks(chunks).collect():
+        assert r["position"] == r["i"] and r["v"] == (float(r["i"] % 7) if r["i"] % 5 else None) and (r["time_index"] is None) == (r["i"] < 2)
+    page = shape.series_page(chunks, 60, 20).collect()
+    assert sorted((r["entity_id"], r["position"]) for r in page) == [("long", p) for p in range(60, 80)] + [("r", p) for p in range(60, 70)]
+    assert shape.flatten_chunks(chunks).count() == df.count()
+    assert shape.series_chunks(df.limit(0), ["v"]).count() == 0
+
+
+def test_seconds_over_long_gaps(spark):
+    rows = [("a", 10), ("a", 10), ("a", 9000), ("a", 20000), (None, 5), (None, 8), ("b", 3599), ("b", 3600)]
+    df = spark.createDataFrame(rows, "label string, s long").select("label", F.timestamp_seconds("s").alias("time"))
+    found = {(r["label"], r["s"]): r["n"] for r in telemetry.measurements_per_second(df).select("label", F.unix_timestamp("second").alias("s"), "n").collect()}
+    assert len(found) == (20000 - 10 + 1) + 4 + 2
+    assert {k: n for k, n in found.items() if n} == {("a", 10): 2, ("a", 9000): 1, ("a", 20000): 1, (None, 5): 1, (None, 8): 1, ("b", 3599): 1, ("b", 3600): 1}

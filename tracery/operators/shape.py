@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import iso_timestamp
 from .query import KEY, unique
+from .shared import stored
 
 
 def _field(name: str):
@@ -23,6 +24,38 @@ def to_series(df: DataFrame, attrs: list[str], tie: tuple[str, ...] = ()) -> Dat
     return found.select(*KEY, F.transform("_rows", lambda r: r["time_index"]).alias("index"), *[F.transform("_rows", _field(a)).alias(a) for a in attrs])
 
 
+def series_chunks(df: DataFrame, attrs: list[str], tie: tuple[str, ...] = (), size: int = 10_000) -> DataFrame:
+    """Series of any length as rows of bounded length: (entity_type, entity_id, start, index, an array for each attribute), where ``start``
+    is how many updates of the entity come before. A chunk has ``size`` updates at most, and fewer where ranges meet.
+
+    Rows are sorted by ranges of entity, time and all other columns asked for, so a long series is shared by many tasks, and
+    rows that change places are alike. Only the chunks' lengths, not their rows, go by entity to find ``start``. NULL times
+    come first, NULL values stay; attributes must have an order (no maps)."""
+    attrs = unique(attrs)
+    columns = ["time_index", *tie, *[a for a in attrs if a not in tie]]
+    rows = df.select(*KEY, *columns).repartitionByRange(*KEY, *columns).sortWithinPartitions(*KEY, *columns).withColumn("_block", F.floor(F.monotonically_increasing_id() / size))
+    found = rows.groupBy(*KEY, "_block").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_rows"))
+    found = stored(found.select(*KEY, "_block", F.size("_rows").alias("_n"), F.transform("_rows", _field("time_index")).alias("index"), *[F.transform("_rows", _field(a)).alias(a) for a in attrs]))
+    before = F.sum("_n").over(Window.partitionBy(*KEY).orderBy("_block")) - F.col("_n")
+    starts = found.select(*[F.col(k).alias(f"_{k}") for k in KEY], F.col("_block").alias("_at"), before.alias("start"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY]
+    return found.join(starts, [*same, F.col("_block") == F.col("_at")]).select(*KEY, "start", "index", *attrs)
+
+
+def flatten_chunks(chunks: DataFrame) -> DataFrame:
+    """The updates of chunks again, each with its ``position`` in the entity's series."""
+    attrs = [c for c in chunks.columns if c not in (*KEY, "start", "index")]
+    each = chunks.select(*KEY, "start", F.posexplode(F.arrays_zip("index", *attrs)).alias("_k", "_x"))
+    return each.select(*KEY, (F.col("start") + F.col("_k")).alias("position"), F.col("_x.index").alias("time_index"), *[F.col(f"_x.{a}").alias(a) for a in attrs])
+
+
+def series_page(chunks: DataFrame, offset: int, limit: int) -> DataFrame:
+    """Updates ``offset`` to ``offset + limit`` of each series: ``start`` tells which chunks hold them, so no others are opened
+    however deep the page is, and nothing is ranked."""
+    own = chunks.where((F.col("start") < offset + limit) & (F.col("start") + F.size("index") > offset))
+    return flatten_chunks(own).where(F.col("position").between(offset, offset + limit - 1))
+
+
 def _attributes(attrs: list[str]) -> Column:
     """Attributes as an array of name and values (as text, so that types may differ), names sorted."""
     return F.array(*[F.struct(F.lit(a).alias("attr_name"), F.transform(F.col(a), lambda v: v.cast("string")).alias("values")) for a in sorted(unique(attrs))])

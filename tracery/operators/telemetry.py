@@ -28,14 +28,22 @@ def series_summary(df: DataFrame, by: tuple[str, ...] = ("label",), exact: bool
 
 
 def measurements_per_second(df: DataFrame) -> DataFrame:
-    """Measurements of each label in each second from its first to its last; a second without any has 0. A label's hours
-    are dealt out before its seconds are made, so that no task makes them all."""
-    counts = df.groupBy("label", F.date_trunc("second", "time").alias("second")).agg(F.count("*").alias("n"))
-    span = counts.groupBy("label").agg(F.min("second").alias("a"), F.max("second").alias("b"))
-    hours = span.select("label", "a", "b", F.explode(F.sequence(F.date_trunc("hour", "a"), "b", F.expr("interval 1 hour"))).alias("hour")).repartition("label", "hour")
-    ends = F.least(F.col("b"), F.col("hour") + F.expr("interval 3599 seconds"))
-    seconds = hours.select("label", F.explode(F.sequence(F.greatest("a", "hour"), ends, F.expr("interval 1 second"))).alias("second"))
-    return seconds.join(counts, ["label", "second"], "left").select("label", "second", F.coalesce("n", F.lit(0)).alias("n"))
+    """Measurements of each label in each second from its first to its last; a second without any has 0, a NULL label is one.
+
+    Each second that has some makes the empty ones up to the next as well, so the dense grid is neither joined nor shuffled;
+    hours are dealt out before their seconds are made, so that a long gap is shared by many tasks."""
+    spark = df.sparkSession
+    counts = df.where("time is not null").groupBy("label", F.date_trunc("second", "time").alias("second")).agg(F.count("*").alias("n")).withColumn("hour", F.date_trunc("hour", "second"))
+    hours = counts.groupBy("label", "hour").agg(F.min("second").alias("_first"))
+    hours = hours.select(F.col("label").alias("_label"), F.col("hour").alias("_hour"), F.lead("_first").over(Window.partitionBy("label").orderBy("hour")).alias("_later"))
+    within = F.lead("second").over(Window.partitionBy("label", "hour").orderBy("second"))
+    rows = counts.withColumn("_next", within).join(hours, F.col("label").eqNullSafe(F.col("_label")) & (F.col("hour") == F.col("_hour")))
+    last = F.coalesce("_next", "_later", F.col("second") + F.expr("interval 1 second")) - F.expr("interval 1 second")
+    gaps = rows.select("label", "second", "n", last.alias("last")).select("*", F.explode(F.sequence(F.date_trunc("hour", "second"), "last", F.expr("interval 1 hour"))).alias("hour"))
+    gaps = gaps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "label", "hour")
+    ends = F.least(F.col("last"), F.col("hour") + F.expr("interval 3599 seconds"))
+    each = gaps.select("label", F.col("second").alias("_at"), "n", F.explode(F.sequence(F.greatest("second", "hour"), ends, F.expr("interval 1 second"))).alias("second"))
+    return each.select("label", "second", F.when(F.col("second") == F.col("_at"), F.col("n")).otherwise(0).alias("n"))
 
 
 def _sums(df: DataFrame, label: str, name: str) -> DataFrame:

@@ -274,6 +274,21 @@ def _opened(e, keys, values="values"):
     return _iso(z.select(*keys, F.col("pos").cast("long").alias("pos"), F.col("r.index").alias("time_index"), F.col(f"r.{values}").cast("string").alias("k")))
 
 
+_PLACED = "select entity_type, entity_id, row_number() over (partition by entity_type, entity_id order by es.time_index, event_id) - 1 as position, " + T + ", event_id, k from es"
+
+
+@register(_PLACED, "es")
+def series_chunks(spark, sf):
+    """Chunks of 64 updates, flattened: every update with its place in the series."""
+    return _iso(shape.flatten_chunks(shape.series_chunks(views.events_series(spark, sf), ["event_id", "k"], ("event_id",), size=64)))
+
+
+@register(f"select * from ({_PLACED}) where position between 3 and 7", "es")
+def series_page(spark, sf):
+    """Updates 3 to 7 of each series."""
+    return _iso(shape.series_page(shape.series_chunks(views.events_series(spark, sf), ["event_id", "k"], ("event_id",)), 3, 5))
+
+
 @register(_FLAT, "es")
 def series_one_attr(spark, sf):
     return _opened(shape.series_one_attr(views.events_series(spark, sf), "k", ("event_id",)), ["entity_type", "entity_id"])
