@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import cells
+from .planar import canonical_form, parts_of, relate, relate_parts
+
 EARTH_RADIUS = 6_371_008.8
 
 
@@ -47,9 +50,10 @@ def parse_geo_query(georel: str | None, geometry: str | None, coords: str | None
     return out | {"kind": {"point": "Point", "line": "LineString"}.get(geometry, "Polygon"), "points": points}
 
 
-def distance(lon: Column, lat: Column, lon0: float, lat0: float) -> Column:
+def distance(lon: Column, lat: Column, lon0: float | Column, lat0: float | Column) -> Column:
     """Metres along a great circle (haversine)."""
-    a = F.pow(F.sin(F.radians(lat - lat0) / 2), 2) + F.cos(F.radians(lat)) * float(np.cos(np.radians(lat0))) * F.pow(F.sin(F.radians(lon - lon0) / 2), 2)
+    narrow = F.cos(F.radians(lat0)) if isinstance(lat0, Column) else float(np.cos(np.radians(lat0)))
+    a = F.pow(F.sin(F.radians(lat - lat0) / 2), 2) + F.cos(F.radians(lat)) * narrow * F.pow(F.sin(F.radians(lon - lon0) / 2), 2)
     return 2 * EARTH_RADIUS * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
@@ -77,160 +81,8 @@ def geo_near(df: DataFrame, lon0: float, lat0: float, min_metres: float | None =
     return df.where(F.exists(F.array(F.col(centroid)), lambda c: reduce(lambda a, b: a & b, [t(c) for t in tests])))
 
 
-def _parts(shape: dict) -> list[tuple[str, list[np.ndarray]]]:
-    """A GeoJSON shape as points, lines and polygons; a polygon is its outer ring and then its holes."""
-    kind, c = shape["type"], shape.get("coordinates")
-    ring = lambda points: np.array([p[:2] for p in points], dtype=float)
-    if kind == "Feature":
-        return _parts(shape["geometry"])
-    if kind in ("GeometryCollection", "FeatureCollection"):
-        return [p for g in shape["geometries" if kind == "GeometryCollection" else "features"] for p in _parts(g)]
-    if kind.startswith("Multi"):
-        return [p for one in c for p in _parts({"type": kind[5:], "coordinates": one})]
-    return [(kind, [ring([c])] if kind == "Point" else [ring(c)] if kind == "LineString" else [ring(r) for r in c])]
-
-
-def _on_segment(p, a, b) -> bool:
-    cross = (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
-    scale = max(np.hypot(*(b - a)), 1e-12)
-    return abs(cross) <= 1e-9 * scale and bool(np.all(p >= np.minimum(a, b) - 1e-9) and np.all(p <= np.maximum(a, b) + 1e-9))
-
-
-def _inside(p, ring) -> bool:
-    """In a closed ring, its border included."""
-    if any(_on_segment(p, a, b) for a, b in zip(ring[:-1], ring[1:], strict=True)):
-        return True
-    x, y = ring[:, 0], ring[:, 1]
-    crosses = ((y[:-1] > p[1]) != (y[1:] > p[1])) & (p[0] < (x[1:] - x[:-1]) * (p[1] - y[:-1]) / np.where(y[1:] == y[:-1], 1, y[1:] - y[:-1]) + x[:-1])
-    return bool(crosses.sum() % 2)
-
-
-def _side(a, b, c) -> float:
-    return np.sign(round(float((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])), 12))
-
-
-def _cross(a, b, c, d, proper: bool) -> bool:
-    s = _side(a, b, c), _side(a, b, d), _side(c, d, a), _side(c, d, b)
-    if s[0] * s[1] < 0 and s[2] * s[3] < 0:
-        return True
-    return not proper and (_on_segment(a, c, d) or _on_segment(b, c, d) or _on_segment(c, a, b) or _on_segment(d, a, b))
-
-
-def _segments(points):
-    return list(zip(points[:-1], points[1:], strict=True)) or [(points[0], points[0])]
-
-
-def _in_polygon(p, rings: list[np.ndarray]) -> bool:
-    """In a polygon, its borders included; what lies within a hole is outside."""
-    if not _inside(p, rings[0]):
-        return False
-    return not any(_inside(p, h) and not any(_on_segment(p, a, b) for a, b in _segments(h)) for h in rings[1:])
-
-
-def _turns(ring: list[tuple]) -> list[tuple]:
-    """A closed ring's points, the first not repeated, without those that lie between their neighbours on one line."""
-    points = [p for k, p in enumerate(ring) if p != ring[k - 1]] or ring[:1]
-    changed = True
-    while changed and len(points) > 2:
-        kept = [p for k, p in enumerate(points) if not _between(points[k - 1], p, points[(k + 1) % len(points)])]
-        changed, points = len(kept) < len(points), kept or points
-    return points
-
-
-def _between(a: tuple, p: tuple, b: tuple) -> bool:
-    return a != b and _on_segment(np.array(p), np.array(a), np.array(b))
-
-
-def _ring_form(points: list[tuple]) -> tuple:
-    """From the smallest point on, in the direction that comes first."""
-    turned = _turns(points)
-    return min(tuple(way[k:] + way[:k]) for way in (turned, turned[::-1]) for k in [way.index(min(way))])
-
-
-def canonical_form(parts: list[tuple[str, list[np.ndarray]]]) -> tuple:
-    """The same for parts that cover the same points: without repeated points and ones between their neighbours, rings and lines in
-    one direction, rings from their smallest point, holes and parts in order and once. Lines that only together make up another
-    line are told apart from it."""
-    out = set()
-    for kind, rings in parts:
-        plain = [[tuple(p) for p in (np.round(r, 9) + 0.0).tolist()] for r in rings]
-        own = plain[0]
-        if kind == "Polygon":
-            out.add((kind, _ring_form(own[:-1]), tuple(sorted(_ring_form(r[:-1]) for r in plain[1:]))))
-        elif kind == "LineString" and len(own) > 3 and own[0] == own[-1]:
-            out.add((kind, _ring_form(own[:-1]), True))
-        elif kind == "LineString":
-            line = [p for k, p in enumerate(own) if k == 0 or p != own[k - 1]]
-            line = [p for k, p in enumerate(line) if k in (0, len(line) - 1) or not _between(line[k - 1], p, line[k + 1])]
-            out.add((kind, min(tuple(line), tuple(line[::-1]))))
-        else:
-            out.add((kind, own[0]))
-    return tuple(sorted(out, key=repr))
-
-
-def _on_border(points: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """Which points lie on the segments of a line."""
-    a, b = line[:-1] if len(line) > 1 else line, line[1:] if len(line) > 1 else line
-    d, v = b - a, points[:, None, :] - a
-    far = np.abs(d[:, 0] * v[..., 1] - d[:, 1] * v[..., 0]) > 1e-9 * np.maximum(np.hypot(d[:, 0], d[:, 1]), 1e-12)
-    within = (points[:, None, :] >= np.minimum(a, b) - 1e-9) & (points[:, None, :] <= np.maximum(a, b) + 1e-9)
-    return (within.all(axis=2) & ~far).any(axis=1)
-
-
-def _in_ring(points: np.ndarray, ring: np.ndarray) -> np.ndarray:
-    """Which points lie in a closed ring, its border included."""
-    x, y, py = ring[:, 0], ring[:, 1], points[:, 1:]
-    rise = np.where(y[1:] == y[:-1], 1, y[1:] - y[:-1])
-    crosses = ((y[:-1] > py) != (y[1:] > py)) & (points[:, :1] < (x[1:] - x[:-1]) * (py - y[:-1]) / rise + x[:-1])
-    return (crosses.sum(axis=1) % 2 == 1) | _on_border(points, ring)
-
-
-def _cut(line: np.ndarray, border: np.ndarray) -> np.ndarray:
-    """A line's points, and the middle of each part into which its segments are cut where they meet a border."""
-    c, e = border[:-1], border[1:] - border[:-1]
-    out = [line]
-    for a, b in zip(line[:-1], line[1:], strict=True):
-        d = b - a
-        turn, w = d[0] * e[:, 1] - d[1] * e[:, 0], c - a
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = (w[:, 0] * e[:, 1] - w[:, 1] * e[:, 0]) / turn
-        # along the same line a border's ends cut; elsewhere they are harmless
-        ends = (border - a) @ d / max(float(d @ d), 1e-24)
-        t = np.concatenate([[0.0, 1.0], t[np.isfinite(t)], ends])
-        t = np.unique(t[(t >= 0) & (t <= 1)])
-        out.append(a + ((t[:-1] + t[1:]) / 2)[:, None] * d)
-    return np.concatenate(out)
-
-
-def _covered(kind: str, rings: list[np.ndarray], query_kind: str, query: np.ndarray) -> bool:
-    """Every segment is cut at all meetings with the query; then each part lies on one side of it, and its middle tells which.
-    A query polygon has no holes, so a polygon lies in it if its outer ring does."""
-    own = rings[0]
-    if query_kind == "Point":
-        return kind != "Polygon" and bool(np.allclose(own, query[0]))
-    if query_kind == "LineString":
-        return kind != "Polygon" and bool(_on_border(_cut(own, query), query).all())
-    return bool(_in_ring(_cut(own, query), query).all())
-
-
-def _meets(kind: str, rings: list[np.ndarray], query_kind: str, query: np.ndarray) -> bool:
-    if any(_cross(a, b, c, d, False) for r in rings for a, b in _segments(r) for c, d in _segments(query)):
-        return True
-    return (query_kind == "Polygon" and _inside(rings[0][0], query)) or (kind == "Polygon" and _in_polygon(query[0], rings))
-
-
-def relate(relation: str, shape: dict, query_kind: str, query: np.ndarray) -> bool:
-    """Whether a GeoJSON shape is coveredBy, intersects or equals a query shape (a point, a line, or a polygon without
-    holes); borders belong to shapes, the inside of a hole does not. Of a shape of several parts all must be covered, or
-    any must meet the query; it equals a query if both have the same canonical form."""
-    parts = _parts(shape)
-    if relation == "equals":
-        return bool(parts) and canonical_form(parts) == canonical_form([(query_kind, [query])])
-    test = _covered if relation == "coveredBy" else _meets
-    return bool(parts) and (all if relation == "coveredBy" else any)(test(kind, rings, query_kind, query) for kind, rings in parts)
-
-
 def _related(relation: str, query: dict) -> Column:
+    """The exact test by row; where cells show that the row lies within the query, no geometry is looked at."""
     points = np.array(query["points"], dtype=float)
 
     def test(values: pd.Series) -> pd.Series:
@@ -242,7 +94,11 @@ def _related(relation: str, query: dict) -> Column:
 
         return values.map(one).astype(object)
 
-    return F.pandas_udf(test, T.BooleanType())(F.col("location"))
+    exact = F.pandas_udf(test, T.BooleanType())
+    if relation == "equals" or query["kind"] != "Polygon":
+        return exact(F.col("location"))
+    sure = F.col("location").isNotNull() & cells.surely_within([("Polygon", [points])])
+    return sure | exact(F.when(~sure, F.col("location")))
 
 
 def _overlaps_extent(query: dict) -> Column:
@@ -252,11 +108,13 @@ def _overlaps_extent(query: dict) -> Column:
 
 
 def geo_covered_by(df: DataFrame, query: dict) -> DataFrame:
-    """Rows whose location lies within a shape. Extents (min_lon, min_lat, max_lon, max_lat) are compared first."""
+    """Rows whose location lies within a shape. Extents (min_lon, min_lat, max_lon, max_lat) are compared first, and must be
+    those of the location: a row whose extent lies in cells within the shape is not looked at further."""
     return df.where(_overlaps_extent(query)).where(_related("coveredBy", query))
 
 
 def geo_intersects(df: DataFrame, query: dict) -> DataFrame:
+    """Rows whose location meets a shape; extents as for ``geo_covered_by``."""
     return df.where(_overlaps_extent(query)).where(_related("intersects", query))
 
 
@@ -276,7 +134,7 @@ def geometry_key(location: Column) -> Column:
     def form(values: pd.Series) -> pd.Series:
         def one(v):
             try:
-                parts = None if v is None else _parts(json.loads(v))
+                parts = None if v is None else parts_of(json.loads(v))
                 return repr(canonical_form(parts)) if parts else None
             except (ValueError, KeyError, TypeError, IndexError):
                 return None
@@ -291,3 +149,72 @@ def geo_equal_pairs(df: DataFrame, others: DataFrame, key: str = "entity_id") ->
     left = df.select(F.col(key), "location", geometry_key(F.col("location")).alias("_form")).where("_form is not null")
     right = others.select(F.col(key).alias("other"), geometry_key(F.col("location")).alias("_form"))
     return left.join(right, "_form").select(key, "other", "location")
+
+
+def candidate_pairs(df: DataFrame, shapes: DataFrame, key: str = "entity_id", shape_key: str = "shape_id", most: int = cells.CELLS) -> DataFrame:
+    """(key, _row, shape_key, _shape, sure): rows and shapes that share a cell, joined by equality; ``sure`` if cells show
+    that the row lies within the shape. _row and _shape are hashes of the geometries, so that one id may have several."""
+    rows = df.where("location is not null").select(F.col(key), F.xxhash64("location").alias("_row"), cells.inside_world().alias("_world"), F.explode(cells.row_keys()).alias("_k"))
+    rows = rows.select(key, "_row", "_world", "_k.key", "_k.mask")
+    given = shapes.where("location is not null").select(F.col(shape_key), "location")
+    # covers are much work for few bytes, so a fixed number of tasks shares it
+    given = given.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), shape_key)
+    covers = given.select(shape_key, F.xxhash64("location").alias("_shape"), F.explode(cells.cover_keys(F.col("location"), most)).alias("_c"))
+    covers = covers.select(shape_key, "_shape", F.col("_c.key").alias("_cell"), "_c.inner")
+    met = rows.join(covers, rows["key"] == covers["_cell"])
+    within = F.bit_or(F.when(F.col("inner"), F.col("mask")).otherwise(0))
+    return met.groupBy(key, "_row", shape_key, "_shape").agg((F.bool_and(F.coalesce("_world", F.lit(False))) & (within == 15)).alias("sure"))
+
+
+def geo_join(df: DataFrame, shapes: DataFrame, relation: str, key: str = "entity_id", shape_key: str = "shape_id") -> DataFrame:
+    """(key, shape_key): rows whose location is coveredBy or intersects a shape of another table, each pair once.
+
+    Both tables have a GeoJSON ``location``, the rows also its extent; the shapes may have holes and several parts (each part
+    of a row must lie in one of them). Candidates come from a join on cells; a hot cell is a skewed key of that join, which
+    adaptive execution splits. Only pairs that cells leave open are fetched with their geometry and tested by Arrow batches.
+    Rows or shapes that are NULL, unreadable or without an extent are in no pair."""
+    if relation not in ("coveredBy", "intersects"):
+        raise ValueError(f"no join by {relation!r}")
+    if key == shape_key:
+        raise ValueError("the ids of rows and shapes need names of their own")
+    pairs = candidate_pairs(df, shapes, key, shape_key)
+    found = df.where("location is not null").select(key, F.xxhash64("location").alias("_row"), F.col("location").alias("_a"))
+    given = shapes.where("location is not null").select(shape_key, F.xxhash64("location").alias("_shape"), F.col("location").alias("_b"))
+
+    def test(rows: pd.Series, queries: pd.Series) -> pd.Series:
+        read: dict = {}
+
+        def parts(v):
+            if v not in read:
+                try:
+                    read[v] = parts_of(json.loads(v))
+                except (ValueError, KeyError, TypeError, IndexError):
+                    read[v] = []
+            return read[v]
+
+        return pd.Series([bool(a and b) and relate_parts(relation, parts(a), parts(b)) for a, b in zip(rows, queries, strict=True)], dtype=object)
+
+    # one pass over the pairs: those that are sure meet no geometry
+    fetched = pairs.withColumns({"_k": F.when(~F.col("sure"), F.col(key)), "_s": F.when(~F.col("sure"), F.col(shape_key))})
+    fetched = fetched.join(found.distinct().withColumnsRenamed({key: "_k"}), ["_k", "_row"], "left").join(given.distinct().withColumnsRenamed({shape_key: "_s"}), ["_s", "_shape"], "left")
+    # tests are much work for few bytes
+    fetched = fetched.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return fetched.where(F.col("sure") | F.pandas_udf(test, T.BooleanType())("_a", "_b")).select(key, shape_key).distinct()
+
+
+def geo_near_join(df: DataFrame, points: DataFrame, max_metres: float, key: str = "entity_id", point_key: str = "point_id", centroid: str = "centroid") -> DataFrame:
+    """(key, point_key, metres): rows whose centroid is at most so far from a point (lon, lat) of another table.
+
+    The distance fixes the level of the cells, so a row has one key and is never multiplied; a point has the few cells that its
+    circle touches (a whole ring of them by a pole). NULL places are in no pair; repeated rows give repeated pairs."""
+    if key == point_key:
+        raise ValueError("the ids of rows and points need names of their own")
+    reach = float(np.degrees(max_metres / EARTH_RADIUS))
+    level = cells.circle_level(reach)
+    known = lambda lon, lat: lon.isNotNull() & lat.isNotNull() & ~F.isnan(lon) & ~F.isnan(lat)
+    rows = df.select(F.col(key), F.col(f"{centroid}.lon").alias("_x"), F.col(f"{centroid}.lat").alias("_y")).where(known(F.col("_x"), F.col("_y")))
+    rows = rows.withColumn("_cell", cells.point_key(F.col("_x"), F.col("_y"), level))
+    given = points.select(F.col(point_key), F.col("lon").cast("double").alias("_lon"), F.col("lat").cast("double").alias("_lat")).where(known(F.col("_lon"), F.col("_lat")))
+    given = given.select("*", F.explode(cells.circle_keys(F.col("_lon"), F.col("_lat"), reach, level)).alias("_cell"))
+    metres = distance(F.col("_x"), F.col("_y"), F.col("_lon"), F.col("_lat"))
+    return rows.join(given, "_cell").select(key, point_key, metres.alias("metres")).where(F.col("metres") <= max_metres)

@@ -671,6 +671,36 @@ def geo_equal_pairs(spark, sf):
     return places.geo_equal_pairs(df, others).select("entity_id", "other")
 
 
+_AREAS = "areas as (select s_suppkey, (s_suppkey * 91 % 3300) / 10.0::double - 165 as cx, (s_suppkey * 67 % 1500) / 10.0::double - 75 as cy, 3.05 + s_suppkey % 5 * 2 as r from supplier)"
+
+
+def _areas(spark, sf):
+    """A diamond around each supplier."""
+    i = F.col("s_suppkey")
+    cx, cy, r = (i * 91 % 3300) / 10.0 - 165, (i * 67 % 1500) / 10.0 - 75, F.lit(3.05) + i % 5 * 2
+    ring = F.array(*[F.array(*p) for p in ((cx - r, cy), (cx, cy - r), (cx + r, cy), (cx, cy + r), (cx - r, cy))])
+    return views.read(spark, sf, "supplier").select(i, cx.alias("lon"), cy.alias("lat"), F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))).alias("location"))
+
+
+# a box lies in a diamond if its farthest corner does, and meets it if its nearest point does
+@register(f"with {SQL['gs']}, {_AREAS} select entity_id, s_suppkey from gs join areas on greatest(abs(x - cx), abs(x1 - cx)) + greatest(abs(y - cy), abs(y1 - cy)) <= r")
+def geo_join_covered_by(spark, sf):
+    return places.geo_join(views.geo_series(spark, sf), _areas(spark, sf), "coveredBy", shape_key="s_suppkey")
+
+
+@register(f"with {SQL['gs']}, {_AREAS} select entity_id, s_suppkey from gs join areas on greatest(x - cx, cx - x1, 0) + greatest(y - cy, cy - y1, 0) <= r")
+def geo_join_intersects(spark, sf):
+    return places.geo_join(views.geo_series(spark, sf), _areas(spark, sf), "intersects", shape_key="s_suppkey")
+
+
+@register(f"""with {SQL['gs']}, {_AREAS}, means as (select entity_id, x + case shape when 0 then 0 when 1 then 0.5 else 0.4 end as lon, y + case when shape = 2 then 0.4 else 0 end as lat from gs)
+  select entity_id, s_suppkey, round(m, 1) as metres from (select entity_id, s_suppkey, 6371008.8 * 2 * asin(least(1, sqrt(pow(sin(radians(lat - cy) / 2), 2)
+    + cos(radians(lat)) * cos(radians(cy)) * pow(sin(radians(lon - cx) / 2), 2)))) as m from means, areas) where m <= 250000""")
+def geo_near_join(spark, sf):
+    df = views.geo_series(spark, sf).withColumn("centroid", geo.centroid(geo.geojson_points(F.col("location"))))
+    return places.geo_near_join(df, _areas(spark, sf), 250_000, point_key="s_suppkey").withColumn("metres", _r("metres", 1))
+
+
 @register("select entity_id from gs where x >= -60 and x <= 80 and y >= -30 and y <= 40 and shape = 0", "gs")
 def parse_geo_query(spark, sf):
     q = places.parse_geo_query("intersects", "polygon", "-30,-60;-30,80;40,80;40,-60;-30,-60")
