@@ -198,3 +198,24 @@ def test_equality_is_of_points_not_of_vertices(spark):
     df = spark.createDataFrame([(k, None if v is None else json.dumps(v)) for k, v in shapes], "entity_id string, location string")
     found = {(r["entity_id"], r["other"]) for r in places.geo_equal_pairs(df.where("entity_id in ('a', 'p', 'n', 'bad')"), df).collect()}
     assert found == {("a", "a"), ("p", "p"), *[("a", f"s{k}") for k in range(len(same))]}
+
+
+@pytest.mark.parametrize(("text", "shape"), [
+    ("MULTIPOINT (1 2, 3 4)", {"type": "MultiPoint", "coordinates": [[1, 2], [3, 4]]}), ("multipoint((1 2),(3 4))", {"type": "MultiPoint", "coordinates": [[1, 2], [3, 4]]}),
+    ("POINT EMPTY", {"type": "Point", "coordinates": []}), ("POLYGON EMPTY", {"type": "Polygon", "coordinates": []}), ("GEOMETRYCOLLECTION EMPTY", {"type": "GeometryCollection", "geometries": []}),
+    ("POINT Z (1 2 3)", {"type": "Point", "coordinates": [1, 2, 3]}), ("LINESTRING(-1.5e1 +2,.5 4.)", {"type": "LineString", "coordinates": [[-15, 2], [0.5, 4]]}),
+    ("SRID=4326;MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 5), (5.1 5.1, 5.2 5.1, 5.2 5.2, 5.1 5.1)))",
+     {"type": "MultiPolygon", "coordinates": [[[[0, 0], [1, 0], [1, 1], [0, 0]]], [[[5, 5], [6, 5], [6, 6], [5, 5]], [[5.1, 5.1], [5.2, 5.1], [5.2, 5.2], [5.1, 5.1]]]], "meta": {"srid": 4326}}),
+    ("GEOMETRYCOLLECTION (POINT (1 2), GEOMETRYCOLLECTION (LINESTRING (1 2, 3 4)))",
+     {"type": "GeometryCollection", "geometries": [{"type": "Point", "coordinates": [1, 2]}, {"type": "GeometryCollection", "geometries": [{"type": "LineString", "coordinates": [[1, 2], [3, 4]]}]}]}),
+    ("POINT (1)", None), ("POINT (1 2, 3 4)", None), ("POINT (1 2) x", None), ("LINESTRING (1 2", None), ("CIRCLE (1 2)", None), ("", None), ("POINT (1 2;3)", None),
+])
+def test_wkt_of_all_kinds(spark, text, shape):
+    found = one(spark, geo.wkt_to_geojson(F.lit(text)))
+    assert (found and json.loads(found)) == shape
+    if shape:
+        plain = {k: v for k, v in shape.items() if k != "meta"}
+        assert json.loads(one(spark, geo.wkt_to_geojson(geo.geojson_to_wkt(F.lit(json.dumps(shape)), 3)))) == plain
+        flat = {"type": "Point", "coordinates": [1, 2]} if text.startswith("POINT Z") else plain
+        for big in (True, False):
+            assert json.loads(one(spark, geo.wkb_to_geojson(geo.geojson_to_wkb(F.lit(json.dumps(shape)), big)))) == flat

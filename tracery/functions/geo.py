@@ -7,6 +7,8 @@ GeoJSON has lon before lat. What can't be read is NULL.
 from __future__ import annotations
 
 import json
+import math
+import re
 import struct
 
 import pandas as pd
@@ -188,53 +190,104 @@ def add_location(entities: DataFrame, gazetteer: DataFrame) -> DataFrame:
 # --- per-row codecs on Arrow batches: no built-in covers them
 
 _DEPTH = {"Point": 0, "MultiPoint": 1, "LineString": 1, "MultiLineString": 2, "Polygon": 2, "MultiPolygon": 3}
-_CODES = {"Point": 1, "LineString": 2, "Polygon": 3, "MultiPoint": 4, "MultiLineString": 5, "MultiPolygon": 6}
+_CODES = {"Point": 1, "LineString": 2, "Polygon": 3, "MultiPoint": 4, "MultiLineString": 5, "MultiPolygon": 6, "GeometryCollection": 7}
+_TOKEN = re.compile(r"\s*([A-Za-z]+|[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[(),])")
 
 
-def _wkt(kind: str, coordinates, decimals: int) -> str:
+def _wkt(shape: dict, decimals: int) -> str:
     def inner(c, depth):
         if depth == 0:
             return " ".join(f"{float(x):.{decimals}f}" for x in c)
         return ", ".join(f"({inner(x, depth - 1)})" if depth > 1 else inner(x, 0) for x in c)
 
-    return f"{kind.upper()} ({inner(coordinates, _DEPTH[kind])})"
+    kind = shape["type"]
+    if kind == "GeometryCollection":
+        body = ", ".join(_wkt(g, decimals) for g in shape["geometries"])
+    else:
+        body = inner(shape["coordinates"], _DEPTH[kind])
+    return f"{kind.upper()} ({body})" if body else f"{kind.upper()} EMPTY"
 
 
-def _from_wkt(text: str):
+def _from_wkt(text: str) -> dict:
+    """A shape; ValueError or IndexError for what is none. Points of a MULTIPOINT may stand in brackets of their own."""
     srid, _, rest = text.partition(";") if text.upper().startswith("SRID=") else ("", "", text)
-    name, _, body = rest.strip().partition("(")
-    kind = next((k for k in _DEPTH if k.upper() == name.strip().upper()), None)
-    if kind is None or not body.endswith(")"):
-        return None
-
-    def read(s, depth):
-        if depth <= 1:
-            points = [[float(x) for x in p.split()] for p in s.split(",")]
-            return points[0] if depth == 0 else points
-        parts, level, start = [], 0, 0
-        for i, c in enumerate(s):
-            if c == "(":
-                start, level = (i + 1, level + 1) if level == 0 else (start, level + 1)
-            elif c == ")":
-                level -= 1
-                if level == 0:
-                    parts.append(read(s[start:i], depth - 1))
-        return parts
-
-    out = {"type": kind, "coordinates": read(body[:-1], _DEPTH[kind])}
+    tokens, at = [], 0
+    rest = rest.strip()
+    while at < len(rest):
+        m = _TOKEN.match(rest, at)
+        if not m:
+            raise ValueError(rest[at:])
+        tokens.append(m[1])
+        at = m.end()
+    at = 0
+
+    def take(*expected) -> str:
+        nonlocal at
+        if expected and tokens[at].upper() not in expected:
+            raise ValueError(tokens[at])
+        at += 1
+        return tokens[at - 1]
+
+    def many(item) -> list:
+        take("(")
+        out = [item()]
+        while take(",", ")") == ",":
+            out.append(item())
+        return out
+
+    def point() -> list[float]:
+        out = []
+        while tokens[at] not in "(),":
+            out.append(float(take()))
+        if len(out) < 2:
+            raise ValueError("a point needs two numbers")
+        return out
+
+    def bracketed() -> list[float]:
+        return many(point)[0] if tokens[at] == "(" else point()
+
+    def shape() -> dict:
+        name = take().upper()
+        kind = next((k for k in _CODES if k.upper() == name), None)
+        if kind is None:
+            raise ValueError(name)
+        if tokens[at].upper() in ("Z", "M", "ZM"):
+            take()
+        part = "geometries" if kind == "GeometryCollection" else "coordinates"
+        if tokens[at].upper() == "EMPTY":
+            take()
+            return {"type": kind, part: []}
+        if kind == "GeometryCollection":
+            return {"type": kind, part: many(shape)}
+        item = bracketed if kind == "MultiPoint" else point
+        for _ in range(_DEPTH[kind] - 1):
+            item = lambda inner=item: many(inner)
+        found = many(item)
+        if kind == "Point":
+            (found,) = found
+        return {"type": kind, part: found}
+
+    out = shape()
+    if at != len(tokens):
+        raise ValueError("more after the shape")
     return out | ({"meta": {"srid": int(srid[5:])}} if srid else {})
 
 
-def _wkb(kind: str, c, order: str) -> bytes:
+def _wkb(shape: dict, order: str) -> bytes:
+    kind = shape["type"]
     head = (b"\x00" if order == ">" else b"\x01") + struct.pack(order + "I", _CODES[kind])
     points = lambda ps: struct.pack(order + "I", len(ps)) + b"".join(struct.pack(order + "2d", *p[:2]) for p in ps)
+    if kind == "GeometryCollection":
+        return head + struct.pack(order + "I", len(shape["geometries"])) + b"".join(_wkb(g, order) for g in shape["geometries"])
+    c = shape["coordinates"]
     if kind == "Point":
-        return head + struct.pack(order + "2d", *c[:2])
+        # an empty point is written as one without numbers
+        return head + struct.pack(order + "2d", *(c[:2] or [math.nan, math.nan]))
     if kind == "LineString":
         return head + points(c)
     if kind == "Polygon":
         return head + struct.pack(order + "I", len(c)) + b"".join(points(r) for r in c)
-    return head + struct.pack(order + "I", len(c)) + b"".join(_wkb(kind.removeprefix("Multi"), x, order) for x in c)
+    return head + struct.pack(order + "I", len(c)) + b"".join(_wkb({"type": kind.removeprefix("Multi"), "coordinates": x}, order) for x in c)
 
 
 def _from_wkb(data: bytes) -> dict:
@@ -246,7 +299,7 @@ def _from_wkb(data: bytes) -> dict:
         at += struct.calcsize(order + fmt)
         return out
 
-    def shape():
+    def shape() -> dict:
         nonlocal at
         order = ">" if data[at] == 0 else "<"
         at += 1
@@ -254,17 +307,19 @@ def _from_wkb(data: bytes) -> dict:
         if code & 0x20000000:
             take("I", order)
         kind = {v: k for k, v in _CODES.items()}[code & 0xFF]
-        points = lambda: [list(take("2d", order)) for _ in range(take("I", order)[0])]
+        point = lambda: list(take("2d", order))
+        points = lambda: [point() for _ in range(take("I", order)[0])]
         if kind == "Point":
-            return kind, list(take("2d", order))
+            found = point()
+            return {"type": kind, "coordinates": [] if any(map(math.isnan, found)) else found}
         if kind == "LineString":
-            return kind, points()
+            return {"type": kind, "coordinates": points()}
         if kind == "Polygon":
-            return kind, [points() for _ in range(take("I", order)[0])]
-        return kind, [shape()[1] for _ in range(take("I", order)[0])]
+            return {"type": kind, "coordinates": [points() for _ in range(take("I", order)[0])]}
+        parts = [shape() for _ in range(take("I", order)[0])]
+        return {"type": kind, "geometries": parts} if kind == "GeometryCollection" else {"type": kind, "coordinates": [p["coordinates"] for p in parts]}
 
-    kind, coordinates = shape()
-    return {"type": kind, "coordinates": coordinates}
+    return shape()
 
 
 def _each(function, values: pd.Series) -> pd.Series:
@@ -280,19 +335,18 @@ def _each(function, values: pd.Series) -> pd.Series:
 def geojson_to_wkt(geojson: Column, decimals: int = 16, srid: int | None = None) -> Column:
     def text(v):
         shape = json.loads(v)
-        return (f"SRID={srid};" if srid is not None else "") + _wkt(shape["type"], shape["coordinates"], decimals)
+        return (f"SRID={srid};" if srid is not None else "") + _wkt(shape, decimals)
 
     return F.pandas_udf(lambda s: _each(text, s), T.StringType())(geojson)
 
 
 def wkt_to_geojson(text: Column) -> Column:
-    return F.pandas_udf(lambda s: _each(lambda v: json.dumps(g) if (g := _from_wkt(v)) else None, s), T.StringType())(text)
+    return F.pandas_udf(lambda s: _each(lambda v: json.dumps(_from_wkt(v)), s), T.StringType())(text)
 
 
 def geojson_to_wkb(geojson: Column, big_endian: bool = True) -> Column:
     def data(v):
-        shape = json.loads(v)
-        return _wkb(shape["type"], shape["coordinates"], ">" if big_endian else "<")
+        return _wkb(json.loads(v), ">" if big_endian else "<")
 
     return F.pandas_udf(lambda s: _each(data, s), T.BinaryType())(geojson)
 

@@ -713,6 +713,19 @@ def centroid(spark, sf):
     return c.select("entity_id", _r("c.lon", 6).alias("lon"), _r("c.lat", 6).alias("lat"))
 
 
+def _numbers(text):
+    """All numbers of a text with four decimals, apart from an SRID."""
+    found = F.regexp_extract_all(F.regexp_replace(text, "^SRID=[0-9]+;", ""), F.lit(r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"), F.lit(0))
+    return F.array_join(F.transform(found, lambda x: F.round(x.cast("double"), 4).cast("decimal(10,4)").cast("string")), " ")
+
+
+def _numbers_sql(*names: str) -> str:
+    return "concat_ws(' ', " + ", ".join(f"cast(round({n}, 4) as decimal(10,4))" for n in names) + ")"
+
+
+_ALL = f"case shape when 0 then {_numbers_sql('x', 'y')} when 1 then {_numbers_sql('x', 'y', 'x1', 'y')} else {_numbers_sql('x', 'y', 'x1', 'y', 'x1', 'y1', 'x', 'y1', 'x', 'y')} end as numbers"
+
+
 def _slf(spark, sf):
     g = views.geo_series(spark, sf)
     kind = F.when(F.col("location").contains("Point"), "geo:point").when(F.col("location").contains("Line"), "geo:line").otherwise("geo:polygon")
@@ -725,9 +738,10 @@ def slf_parse(spark, sf):
     return p.select("entity_id", F.size("p").alias("n"), _r(F.col("p")[0]["lon"], 6).alias("lon"), _r(F.col("p")[0]["lat"], 6).alias("lat"))
 
 
-@register("select entity_id, true as same from gs", "gs")
+@register(f"select entity_id, case shape when 0 then 'Point' when 1 then 'LineString' else 'Polygon' end as kind, {_ALL} from gs", "gs")
 def slf_to_geojson(spark, sf):
-    return _slf(spark, sf).select("entity_id", (geo.slf_to_geojson(F.col("kind"), geo.slf_parse(F.col("kind"), F.col("texts"))) == F.col("location")).alias("same"))
+    g = _slf(spark, sf).select("entity_id", geo.slf_to_geojson(F.col("kind"), geo.slf_parse(F.col("kind"), F.col("texts"))).alias("g"))
+    return g.select("entity_id", F.get_json_object("g", "$.type").alias("kind"), _numbers(F.get_json_object("g", "$.coordinates")).alias("numbers"))
 
 
 @register("select entity_id, case shape when 0 then 1 when 1 then 2 else 5 end as n from gs", "gs")
@@ -742,23 +756,24 @@ def box_to_polygon(spark, sf):
     return b.select("entity_id", F.size("p").alias("n"), _r(F.col("p")[2]["lon"], 6).alias("lon"), _r(F.col("p")[2]["lat"], 6).alias("lat"))
 
 
-@register("select entity_id, case shape when 0 then 'SRID=4326;POINT (' when 1 then 'SRID=4326;LINESTRING (' else 'SRID=4326;POLYGON ((' end as head from gs", "gs")
+@register("select entity_id, case shape when 0 then 'SRID=4326;POINT (' when 1 then 'SRID=4326;LINESTRING (' else 'SRID=4326;POLYGON ((' end as head, " + _ALL + " from gs", "gs")
 def slf_to_wkt(spark, sf):
     w = geo.slf_to_wkt(F.col("kind"), geo.slf_parse(F.col("kind"), F.col("texts")), 4326)
-    return _slf(spark, sf).select("entity_id", F.regexp_extract(w, r"^[^(]*\(+", 0).alias("head"))
+    return _slf(spark, sf).select("entity_id", F.regexp_extract(w, r"^[^(]*\(+", 0).alias("head"), _numbers(w).alias("numbers"))
 
 
-@register("select entity_id, case shape when 0 then 'POINT (' when 1 then 'LINESTRING (' else 'POLYGON ((' end as head from gs", "gs")
+@register("select entity_id, case shape when 0 then 'POINT (' when 1 then 'LINESTRING (' else 'POLYGON ((' end as head, " + _ALL + " from gs", "gs")
 def geojson_to_wkt(spark, sf):
-    return views.geo_series(spark, sf).select("entity_id", F.regexp_extract(geo.geojson_to_wkt(F.col("location")), r"^[^(]*\(+", 0).alias("head"))
+    w = views.geo_series(spark, sf).select("entity_id", geo.geojson_to_wkt(F.col("location")).alias("w"))
+    return w.select("entity_id", F.regexp_extract("w", r"^[^(]*\(+", 0).alias("head"), _numbers(F.col("w")).alias("numbers"))
 
 
 def _rounded(spark, sf, there):
-    back = views.geo_series(spark, sf).select("entity_id", geo.geojson_points(there).alias("p"))
-    return back.select("entity_id", _r(F.col("p")[0]["lon"], 6).alias("lon"), _r(F.col("p")[0]["lat"], 6).alias("lat"), F.size("p").alias("n"))
+    back = views.geo_series(spark, sf).select("entity_id", there.alias("g"))
+    return back.select("entity_id", F.get_json_object("g", "$.type").alias("kind"), _numbers(F.get_json_object("g", "$.coordinates")).alias("numbers"))
 
 
-_BACK = "select entity_id, round(x, 6) as lon, round(y, 6) as lat, case shape when 0 then 1 when 1 then 2 else 5 end as n from gs"
+_BACK = f"select entity_id, case shape when 0 then 'Point' when 1 then 'LineString' else 'Polygon' end as kind, {_ALL} from gs"
 
 
 @register(_BACK, "gs")
@@ -766,9 +781,12 @@ def wkt_to_geojson(spark, sf):
     return _rounded(spark, sf, geo.wkt_to_geojson(geo.geojson_to_wkt(F.col("location"), srid=4326)))
 
 
-@register("select entity_id, case shape when 0 then 21 when 1 then 41 else 93 end as n from gs", "gs")
+@register("select entity_id, case shape when 0 then '0000000001' when 1 then '000000000200000002' else '00000000030000000100000005' end as head, case shape when 0 then 1 when 1 then 2 else 5 end as points from gs", "gs")
 def geojson_to_wkb(spark, sf):
-    return views.geo_series(spark, sf).select("entity_id", F.octet_length(geo.geojson_to_wkb(F.col("location"))).alias("n"))
+    """Order, kind and counts as bytes, and how many points of 16 bytes follow; ``wkb_to_geojson`` shows the numbers."""
+    w = views.geo_series(spark, sf).select("entity_id", F.hex(geo.geojson_to_wkb(F.col("location"))).alias("w"), (F.col("c_custkey") % 3).alias("shape"))
+    head = F.when(F.col("shape") == 0, 10).when(F.col("shape") == 1, 18).otherwise(26)
+    return w.select("entity_id", F.substring("w", F.lit(1), head).alias("head"), ((F.length("w") - head) / 32).cast("int").alias("points"))
 
 
 @register(_BACK, "gs")
@@ -782,9 +800,11 @@ def geopoint_to_text(spark, sf):
     return t.select("entity_id", _r(F.col("t")[0].cast("double")).alias("lat"), _r(F.col("t")[1].cast("double")).alias("lon"))
 
 
-@register("select entity_id, case when shape = 0 then 'one' end as n from gs", "gs")
+@register(f"select entity_id, case when shape = 0 then {_numbers_sql('y', 'x')} end as point, case when shape = 1 then {_numbers_sql('y', 'x', 'y', 'x1')} end as line from gs", "gs")
 def decode_value(spark, sf):
-    return views.geo_series(spark, sf).select("entity_id", F.when(geo.decode_value(F.col("location"), "geo:point").isNotNull(), "one").alias("n"))
+    """Values as "lat, lon" texts; NULL for a shape of another type."""
+    text = lambda kind: _numbers(F.array_join(geo.decode_value(F.col("location"), kind), ";"))
+    return views.geo_series(spark, sf).select("entity_id", text("geo:point").alias("point"), text("geo:line").alias("line"))
 
 
 @register("select entity_id, round(x, 6) as lon, round(y, 6) as lat, true as has_location from gs where shape < 2 union all select entity_id, null, null, false from gs where shape = 2", "gs")
