@@ -103,18 +103,25 @@ def cover(parts: list, most: int = CELLS) -> list[tuple[int, int, int, bool]]:
 
 
 def cover_keys(location: Column, most: int = CELLS) -> Column:
-    """array of struct(key, inner) by which a GeoJSON shape meets ``row_keys``; empty for what is no shape."""
+    """array of struct(key, inner, and the shape's extent x0, y0, x1, y1) by which a GeoJSON shape meets ``row_keys``; empty
+    for what is no shape."""
 
     def one(v):
         try:
-            found = cover(parts_of(json.loads(v)), most) if v is not None else []
+            parts = parts_of(json.loads(v)) if v is not None else []
+            found = cover(parts, most) if parts else []
         except (ValueError, KeyError, TypeError, IndexError):
             return []
         own = {int(cell(n, x, y)): inner for n, x, y, inner in found}
         around = {-1 - int(cell(n - k, x >> k, y >> k)) for n, x, y, _ in found for k in range(1, n + 1)}
-        return [{"key": k, "inner": i} for k, i in own.items()] + [{"key": k, "inner": False} for k in around]
+        if not own:
+            return []
+        points = np.concatenate([r for _, rings in parts for r in rings])
+        extent = dict(zip(("x0", "y0", "x1", "y1"), [*points.min(axis=0).tolist(), *points.max(axis=0).tolist()], strict=True))
+        return [{"key": k, "inner": i} | extent for k, i in own.items()] + [{"key": k, "inner": False} | extent for k in around]
 
-    kind = T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("inner", T.BooleanType())]))
+    sides = [T.StructField(n, T.DoubleType()) for n in ("x0", "y0", "x1", "y1")]
+    kind = T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("inner", T.BooleanType()), *sides]))
     return F.pandas_udf(lambda s: pd.Series([one(v) for v in s]), kind)(location)
 
 

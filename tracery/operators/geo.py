@@ -152,17 +152,18 @@ def geo_equal_pairs(df: DataFrame, others: DataFrame, key: str = "entity_id") ->
 
 
 def candidate_pairs(df: DataFrame, shapes: DataFrame, key: str = "entity_id", shape_key: str = "shape_id", most: int = cells.CELLS) -> DataFrame:
-    """(key, _row, shape_key, _shape, sure): rows and shapes that share a cell, joined by equality; ``sure`` if cells show
+    """(key, _row, shape_key, _shape, sure): rows and shapes that share a cell, joined by equality, and whose extents meet; ``sure`` if cells show
     that the row lies within the shape. _row and _shape are hashes of the geometries, so that one id may have several."""
-    rows = df.where("location is not null").select(F.col(key), F.xxhash64("location").alias("_row"), cells.inside_world().alias("_world"), F.explode(cells.row_keys()).alias("_k"))
-    rows = rows.select(key, "_row", "_world", "_k.key", "_k.mask")
+    rows = df.where("location is not null").select(F.col(key), F.xxhash64("location").alias("_row"), cells.inside_world().alias("_world"), *cells.EXTENT, F.explode(cells.row_keys()).alias("_k"))
+    rows = rows.select(F.col(key), "_row", "_world", *cells.EXTENT, F.col("_k.key").alias("_key"), F.col("_k.mask").alias("_mask"))
     given = shapes.where("location is not null").select(F.col(shape_key), "location")
     # covers are much work for few bytes, so a fixed number of tasks shares it
     given = given.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), shape_key)
     covers = given.select(shape_key, F.xxhash64("location").alias("_shape"), F.explode(cells.cover_keys(F.col("location"), most)).alias("_c"))
-    covers = covers.select(shape_key, "_shape", F.col("_c.key").alias("_cell"), "_c.inner")
-    met = rows.join(covers, rows["key"] == covers["_cell"])
-    within = F.bit_or(F.when(F.col("inner"), F.col("mask")).otherwise(0))
+    covers = covers.select(shape_key, "_shape", F.col("_c.key").alias("_cell"), F.col("_c.inner").alias("_inner"), *[F.col(f"_c.{n}").alias(f"_{n}") for n in ("x0", "y0", "x1", "y1")])
+    met = rows.join(covers, F.col("_key") == F.col("_cell"))
+    met = met.where("max_lon >= _x0 - 1e-9 and min_lon <= _x1 + 1e-9 and max_lat >= _y0 - 1e-9 and min_lat <= _y1 + 1e-9")
+    within = F.bit_or(F.when(F.col("_inner"), F.col("_mask")).otherwise(0))
     return met.groupBy(key, "_row", shape_key, "_shape").agg((F.bool_and(F.coalesce("_world", F.lit(False))) & (within == 15)).alias("sure"))
 
 
