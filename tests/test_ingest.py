@@ -87,6 +87,11 @@ def test_entities_of_requests_with_wrong_paths_become_wide_rows(spark):
     assert sorted((r["pressure"], r["fiware_servicepath"] or "", r["path_error"] is None) for r in wide) == [(720.0, "", False), (720.0, "/a", True)]
 
 
+def test_dead_letters_hold_no_requests_with_wrong_paths(spark, tmp_path):
+    tables.dead_letter_sink(ingest.split_rejected(requests(spark), "b7")[1], str(tmp_path / "dead"))
+    assert {(r["error"], r["failed_batch_id"]) for r in spark.read.parquet(str(tmp_path / "dead")).collect()} == {("missing id", "b7")}
+
+
 def test_cost_batches_golden():
     costs = [1, 7, 2, 3, 8, 5, 1, 2, 1]
     assert ingest.cost_batches(np.array(costs), 5).tolist() == [0, 1, 2, 2, 3, 4, 5, 5, 5]
