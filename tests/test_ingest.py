@@ -6,7 +6,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tracery.operators import filters, ingest
+from tracery.operators import filters, ingest, query
 from tracery.sources import store, tables
 from tracery.streaming import jobs
 
@@ -92,6 +92,11 @@ def test_dead_letters_hold_no_requests_with_wrong_paths(spark, tmp_path):
     assert {(r["error"], r["failed_batch_id"]) for r in spark.read.parquet(str(tmp_path / "dead")).collect()} == {("missing id", "b7")}
 
 
+def test_failed_batches_count_bad_entities_alone(spark):
+    bad = ingest.split_rejected(requests(spark), "b7")[1]
+    assert [tuple(r) for r in query.count_failed_batches(bad).collect()] == [("b7", 2)]
+
+
 def test_cost_batches_golden():
     costs = [1, 7, 2, 3, 8, 5, 1, 2, 1]
     assert ingest.cost_batches(np.array(costs), 5).tolist() == [0, 1, 2, 2, 3, 4, 5, 5, 5]
