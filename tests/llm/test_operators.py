@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import product
@@ -323,6 +324,34 @@ def test_toxicity_takes_all_sentences_and_words():
     assert found[4, n] == pytest.approx(np.log1p(1))
 
 
+def test_similarities_to_landmarks_take_no_table_of_all():
+    """Brute force over all subsequences of a word, and memory that doesn't grow with landmarks times subsequences."""
+    r = np.random.default_rng(5)
+    words = ["".join(chr(97 + x) for x in r.integers(0, 9, r.integers(1, 20))) for _ in range(4096)]
+    landmarks = list(dict.fromkeys(w for w in words if 5 <= len(w)))[: toxicity.LANDMARKS]
+
+    def vector(word):
+        out, w = {}, f"\2{word}\3"
+        for a in range(1, toxicity.SKIPS + 2):
+            for b in range(1, toxicity.SKIPS + 3 - a):
+                for k in range(len(w) - a - b):
+                    key = w[k] + w[k + a] + w[k + a + b]
+                    out[key] = out.get(key, 0) + toxicity.DECAY ** (a + b - 2)
+        norm = sum(v * v for v in out.values()) ** 0.5
+        return {k: v / norm for k, v in out.items()}
+
+    kernel = toxicity.Kernel(landmarks)
+    tracemalloc.start()
+    found = kernel.similarity(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    others = [vector(w) for w in landmarks]
+    for k in range(60):
+        own = vector(words[k])
+        assert np.allclose(found[k], [sum(v * o.get(c, 0) for c, v in own.items()) for o in others], atol=1e-5)
+
+
 def test_toxic_words_that_end_sentences_count_alike():
     again = decided(["idiot"])
     again.features(["an idiot here"])

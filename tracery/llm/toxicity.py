@@ -89,12 +89,14 @@ class Kernel:
         self.landmarks = landmarks
         row, code, weight = _sparse([_parts(w)[0] for w in landmarks])
         codes, back = np.unique(code, return_inverse=True)
-        # 0 is the place of all codes that no landmark has
+        # 0 is the place of all codes that no landmark has; most codes are in one landmark or two, so each has a list of its own
         self.place = np.zeros(_BASE**3, np.int32)
         self.place[codes] = np.arange(1, len(codes) + 1)
-        self.table = np.zeros((len(codes) + 1, len(landmarks)), np.float32)
-        np.add.at(self.table, (back + 1, row), weight)
-        self.most = self.table.max(axis=1, initial=0)
+        order = np.lexsort((row, back))
+        self.owner, self.weight = row[order], weight[order]
+        self.start = np.searchsorted(back[order], np.arange(-1, len(codes) + 1))
+        self.most = np.zeros(len(codes) + 1)
+        np.maximum.at(self.most, back + 1, weight)
 
     def similarity(self, words: list[str], floor: float = 0.0) -> np.ndarray:
         """Of each word, the similarity to each landmark; of a long word, the largest of its parts. Words of which a sum
@@ -110,11 +112,16 @@ class Kernel:
             some = place > 0
             if floor > 0:
                 some &= np.bincount(row, weights=weight * self.most[place])[row] >= floor - 1e-6
-            row, place, weight = row[some], place[some], weight[some].astype(np.float32)
+            row, place, weight = row[some], place[some], weight[some]
             if len(row):
-                starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                values = np.add.reduceat(self.table[place] * weight[:, None], starts, axis=0)
-                at = owner[a : a + 4096][row[starts]]
+                first = self.start[place]
+                n = self.start[place + 1] - first
+                each = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+                near, back = np.unique(row, return_inverse=True)
+                cell = np.repeat(back, n) * len(self.landmarks) + self.owner[each]
+                values = np.bincount(cell, weights=np.repeat(weight, n) * self.weight[each], minlength=len(near) * len(self.landmarks))
+                values = values.reshape(len(near), -1).astype(np.float32)
+                at = owner[a : a + 4096][near]
                 alone = counts[at] == 1
                 out[at[alone]] = values[alone]
                 np.maximum.at(out, at[~alone], values[~alone])
