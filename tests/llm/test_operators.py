@@ -171,6 +171,23 @@ def test_topk_over_many_shards(spark, monkeypatch):
         assert [(x["distance"], x["neighbor_id"]) for x in sorted(found, key=lambda x: x["rank"]) if x["query_id"] == q] == expected
 
 
+def test_index_compares_codes_of_one_segment_piece_by_piece(monkeypatch):
+    """Codes that are alike in all segments but one all meet at once; they are compared in bounded memory."""
+    monkeypatch.setattr(topk_search, "MEETINGS", 1 << 16, raising=False)
+    codes = np.arange(0, 40_000, 2, dtype=np.uint64)
+    queries = np.concatenate([codes[:200], np.random.default_rng(2).integers(0, 1 << 62, 20).astype(np.uint64)])
+    index = topk_search.MultiIndex(codes)
+    tracemalloc.start()
+    q, c, d = index.search(queries, 11, np.ones(len(codes), np.int64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 << 20
+    for k in range(0, len(queries), 10):
+        far = np.bitwise_count(codes ^ queries[k]).astype(int)
+        near = np.flatnonzero(far <= np.sort(far)[10])
+        assert sorted(c[q == k].tolist()) == near.tolist() and (d[q == k] == far[c[q == k]]).all()
+
+
 PAGE = '<html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">menu</a></li></ul></nav><div class="ad">Buy this now.</div><article><h1>Head &amp; more&am</h1><p><b>First <i>li</i>ne<br>goes on.<p>{}</p></article><footer>&copy; us</footer></body></html>'
 
 

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from .common import modest_batches, partitions, stash, table
 
-#: Distinct codes in one shard of the index and queries in one block, about: what a task holds at once; and the codes
-#: that a shard has at least before more shards are made than that needs, for more tasks.
-SHARD_CODES, BLOCK_QUERIES, LEAST_CODES = 16_384, 1024, 2048
+#: Codes in one shard of the index and queries in one block, about: what a task holds at once. Every query goes to every shard,
+#: so shards are as large as memory allows. For more tasks a block has fewer queries, but LEAST_QUERIES, and if blocks are few
+#: a shard fewer codes, but LEAST_CODES.
+SHARD_CODES, BLOCK_QUERIES, LEAST_QUERIES, LEAST_CODES = 1 << 19, 1024, 128, 1 << 16
+#: Codes that are compared, and probes that are looked up, at once.
+MEETINGS = 1 << 21
 
 
 def sign_codes(vectors: DataFrame, keep: int) -> DataFrame:
@@ -50,52 +53,67 @@ class MultiIndex:
         self.tables = []
         for shift, width in self.parts:
             values = (self.codes >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-            order = np.argsort(values, kind="stable")
-            self.tables.append((order, values[order]))
+            self.tables.append((np.argsort(values, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(values.astype(np.int64), minlength=1 << width))])))
+
+    def _probe(self, queries: np.ndarray, masks: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each segment's table, where the codes of each query and probe begin, and how many there are."""
+        out = []
+        for (shift, width), (_, starts), mask in zip(self.parts, self.tables, masks, strict=True):
+            own = (queries >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+            probe = (own[:, None] ^ mask[None, :]).astype(np.int64)
+            first = starts[probe]
+            out.append((first, starts[probe + 1] - first))
+        return out
 
     def search(self, queries: np.ndarray, k: int, counts: np.ndarray, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, code, distance): all codes no further than the nearest that hold k ids in all; counts: ids of each code.
         Codes beyond a query's bound (a distance within which k ids are known to lie elsewhere) need not be found."""
-        bounds = np.full(len(queries), 65) if bounds is None else bounds
+        limit = np.full(len(queries), 65) if bounds is None else bounds.astype(np.int64)
         queries = queries.astype(np.uint64)
         active = np.arange(len(queries))
         kept = [np.zeros(0, np.int64)] * 3
         radius = 0
         while len(active):
-            at, found = [kept[0]], [kept[1]]
-            for (shift, width), (order, values) in zip(self.parts, self.tables, strict=True):
-                own = (queries[active] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
-                for flips in combinations(range(width), radius) if radius <= width else ():
-                    probe = own ^ np.uint64(sum(1 << f for f in flips))
-                    lo, hi = np.searchsorted(values, probe), np.searchsorted(values, probe, side="right")
-                    n = hi - lo
-                    if n.any():
-                        at.append(np.repeat(active, n))
-                        found.append(order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)])
-            q, c = np.concatenate(at), np.concatenate(found)
-            both = np.unique(q * len(self.codes) + c)
-            q, c = both // len(self.codes), both % len(self.codes)
-            d = np.bitwise_count(queries[q] ^ self.codes[c]).astype(np.int64)
-            order = np.lexsort((d, q))
-            q, c, d = q[order], c[order], d[order]
-            # distance at which a query has met k ids
-            before = np.cumsum(counts[c]) - counts[c]
-            start = np.searchsorted(q, q)
-            reached = before - before[start]
-            near = reached < k
-            q0 = np.searchsorted(q, np.arange(len(queries) + 1))
-            full = np.add.reduceat(np.concatenate([counts[c], [0]]), np.minimum(q0[:-1], len(q)))
-            full[q0[:-1] == q0[1:]] = 0
-            limit = np.where(full >= k, -1, 65)
-            np.maximum.at(limit, q[near], np.where(full[q[near]] >= k, d[near], 65))
-            limit = np.minimum(limit, bounds)
-            stay = d <= limit[q]
-            kept = [q[stay], c[stay], d[stay]]
+            masks = [np.array([sum(1 << f for f in flips) for flips in combinations(range(width), radius)], np.uint64) for _, width in self.parts]
+            step = max(1, MEETINGS // max(1, *map(len, masks)))
+            for a in range(0, len(active), step):
+                chunk = active[a : a + step]
+                spans = self._probe(queries[chunk], masks)
+                # as many queries at once as meet MEETINGS codes, or one
+                met = np.cumsum(sum(n.sum(axis=1) for _, n in spans))
+                cuts = np.flatnonzero(np.diff(met // MEETINGS, prepend=0)) if len(met) > 1 else []
+                for lo, hi in zip([0, *cuts], [*cuts, len(chunk)], strict=True):
+                    if lo < hi:
+                        kept = self._merge(queries, chunk[lo:hi], [(f[lo:hi], n[lo:hi]) for f, n in spans], kept, k, counts, limit)
             covered = self.m * (radius + 1) - 1
             active = active[(limit[active] > covered) & (covered < 64)]
             radius += 1
         return kept[0], kept[1], kept[2]
 
+    def _merge(self, queries: np.ndarray, own: np.ndarray, spans: list, kept: list[np.ndarray], k: int, counts: np.ndarray, limit: np.ndarray) -> list[np.ndarray]:
+        """``kept`` with what ascending queries ``own`` have met within their limits, which fall to the distance of their kth id."""
+        a, b = np.searchsorted(kept[0], own[0]), np.searchsorted(kept[0], own[-1], side="right")
+        at, found = [kept[0][a:b]], [kept[1][a:b]]
+        for (first, n), (order, _) in zip(spans, self.tables, strict=True):
+            q, n, first = np.repeat(own, n.shape[1])[n.ravel() > 0], n[n > 0], first[n > 0]
+            q, c = np.repeat(q, n), order[np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)]
+            close = np.bitwise_count(queries[q] ^ self.codes[c]) <= limit[q]
+            at.append(q[close])
+            found.append(c[close])
+        both = np.unique(np.concatenate(at) * len(self.codes) + np.concatenate(found))
+        q, c = both // len(self.codes), both % len(self.codes)
+        d = np.bitwise_count(queries[q] ^ self.codes[c]).astype(np.int64)
+        order = np.lexsort((d, q))
+        q, c, d = q[order], c[order], d[order]
+        # the distance at which a query has met k ids is that of the code that brings them to k
+        total = np.cumsum(counts[c])
+        before = total - counts[c]
+        before -= before[np.searchsorted(q, q)]
+        kth = (before < k) & (before + counts[c] >= k)
+        limit[q[kth]] = np.minimum(limit[q[kth]], d[kth])
+        stay = d <= limit[q]
+        return [np.concatenate([whole[:a], part[stay], whole[b:]]) for whole, part in zip(kept, (q, c, d), strict=True)]
+
 
 _CODES = "part long, codes binary, ids binary, bounds binary"
 
@@ -122,8 +140,9 @@ def topk_search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
     index = sign_codes(vectors, k + 1)
     total = index.count()
     asked = sign_codes(queries, 1 << 62).distinct()
-    shards = max(total // SHARD_CODES + 1, min(partitions(spark), total // LEAST_CODES))
-    blocks = asked.count() // BLOCK_QUERIES + 1
+    number = asked.count()
+    blocks = max(number // BLOCK_QUERIES + 1, min(partitions(spark), number // LEAST_QUERIES))
+    shards = max(total // SHARD_CODES + 1, min(partitions(spark) // blocks, total // LEAST_CODES))
     shard = stash(index.withColumn("part", F.pmod(F.xxhash64("code"), F.lit(shards))).withColumn("bound", F.lit(0)).groupBy("part").applyInPandas(_pack, _CODES), "shards")
     asked = asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
 
