@@ -1,6 +1,7 @@
 """HyperMinHash near duplicates, and repeated rows in the n-gram join, against brute force."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from test_operators import BASE, TEXTS, brute_components, docs, edited, sentence, sets
@@ -49,6 +50,22 @@ def test_near_duplicates_without_ids_or_rows(spark):
     assert minhash.near_duplicates(docs(spark, "x").limit(0))[0].count() == 0
 
 
+def test_unlinked_pairs_of_a_key_leave_it_by_documents():
+    """40 texts at about the limit from each other: many pairs meet, and no more rows than documents go on to be confirmed."""
+    texts = [edited(sentence(60, 120), *range(k, 120, 24)) for k in range(24)] + [edited(sentence(60, 120), *range(k, 120, 20)) for k in range(16)]
+    grams, text = ngram_join._sets(texts, 2)
+    n = np.bincount(text)
+    regs = minhash.registers(grams, text, len(texts))
+    keys = minhash._all_keys(regs, n, 80)
+    # the first column in which many have one key: those pairs come with it
+    groups = [np.unique(c[c != 0], return_counts=True) for c in keys.T]
+    column = next(k for k, (_, counts) in enumerate(groups) if len(counts) and counts.max() > 15)
+    key = groups[column][0][groups[column][1].argmax()]
+    at = np.flatnonzero(keys[:, column] == key)
+    rows = pd.DataFrame({"key": key, "p": 0, "q": 0, "part": 0, "id": at, "n": n[at], "root": at, "regs": [regs[k].tobytes() for k in at]})
+    assert len(minhash._meet(rows, 80)) <= len(rows)
+
+
 def test_estimates():
     r = np.random.default_rng(3)
     pool = r.integers(0, 1 << 56, 20_000).astype(np.uint64)

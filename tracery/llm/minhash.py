@@ -19,8 +19,8 @@ REGISTERS, MANTISSA, BANDS = 240, 10, 40
 COLLISION = 0.169919487159739093975315012348630288992889
 #: Standard errors by which an estimate may fall short of the limit and still be confirmed.
 ERRORS = 4.0
-#: Documents of a key that one task compares; a larger key is compared by pairs of parts.
-WIDE = 4096
+#: Documents of a key that one task compares, and items of their sets; a larger key is compared by pairs of parts.
+WIDE, WIDE_ITEMS = 4096, 2_000_000
 #: Rows of keys that one call compares, about.
 BUCKET_ROWS = 5000
 EMPTY = np.uint16(0xFFFF)
@@ -128,26 +128,32 @@ def _comparable(na: Column, nb: Column, percent: int) -> Column:
     return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
 
+_NEAR = "key long, p int, q int, id long, n long, root long, near binary"
+
+
 def _meet(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """The pairs of each key of a bucket of keys that are in different components and may reach the limit by their sketches.
-    A pair that has several keys in common comes with the first of them only."""
-    ids, n, root = (rows[c].to_numpy() for c in ("id", "n", "root"))
+    """The documents of each key of a bucket of keys that may reach the limit, by their sketches, with some of another component,
+    and the ids of those in one of each pair's two rows. A pair that has several keys in common comes with the first of them only."""
+    ids, n, root, part = (rows[c].to_numpy() for c in ("id", "n", "root", "part"))
     regs = np.frombuffer(b"".join(rows["regs"]), np.uint16).reshape(len(rows), REGISTERS)
     keys = _all_keys(regs, n, percent)
-    out = [np.zeros((0, 4), np.int64)]
-    for (key, _, _), at in rows.groupby(["key", "p", "q"]).indices.items():
-        out += _pairs(key, keys[at], ids[at], n[at], root[at], regs[at], percent)
-    return pd.DataFrame(np.concatenate(out), columns=["a", "b", "na", "nb"]).drop_duplicates()
+    out = []
+    for (key, p, q), at in rows.groupby(["key", "p", "q"]).indices.items():
+        # parts of one key meet each other here, and themselves in a cell of their own
+        pairs = _pairs(key, keys[at], ids[at], n[at], root[at], regs[at], np.arange(len(at)) if p == q else part[at], percent)
+        near = {k: b"" for own in pairs.values() for k in own.tolist()} | {k: ids[at[own]].tobytes() for k, own in pairs.items()}
+        out += [(key, p, q, ids[at[k]], n[at[k]], root[at[k]], blob) for k, blob in near.items()]
+    return pd.DataFrame(out, columns=["key", "p", "q", "id", "n", "root", "near"])
 
 
-def _pairs(key: int, keys: np.ndarray, ids: np.ndarray, n: np.ndarray, root: np.ndarray, regs: np.ndarray, percent: int) -> list[np.ndarray]:
+def _pairs(key: int, keys: np.ndarray, ids: np.ndarray, n: np.ndarray, root: np.ndarray, regs: np.ndarray, part: np.ndarray, percent: int) -> dict[int, np.ndarray]:
+    """By place, the places of the likely partners in other parts; each pair once."""
     roots, counts = np.unique(root, return_counts=True)
     largest = root == roots[counts.argmax()]
     filled = (regs != EMPTY).astype(np.float32)
-    size, out = filled.sum(axis=1), []
-    out = [np.zeros((0, 4), np.int64)]
+    size, out = filled.sum(axis=1), {}
     for k in np.flatnonzero(~largest):  # all documents of the largest component are one already
-        other = (root != root[k]) & (largest | (ids > ids[k])) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
+        other = (root != root[k]) & (part != part[k]) & (largest | (ids > ids[k])) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
         at = np.flatnonzero(other)
         mine = np.where(regs[k] == EMPTY, EMPTY - 1, regs[k])  # agrees with no empty register
         same = np.count_nonzero(regs[at] == mine, axis=1)
@@ -155,13 +161,38 @@ def _pairs(key: int, keys: np.ndarray, ids: np.ndarray, n: np.ndarray, root: np.
         at = at[found + ERRORS * error >= percent / 100]
         first = ((keys[at] == keys[k]) & (keys[k] != 0)).argmax(axis=1)
         at = at[keys[k][first] == key]
-        swap = ids[at] < ids[k]
-        pair = np.stack([np.full(len(at), ids[k]), ids[at], np.full(len(at), n[k]), n[at]], axis=1)
-        pair[swap] = pair[swap][:, [1, 0, 3, 2]]
-        out.append(pair)
+        if len(at):
+            out[int(k)] = at
     return out
 
 
+def _confirm(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links among the likely partners of each key of a bucket of keys, by their full sets: as many as connect what is linked."""
+    out = []
+    for _, at in rows.groupby(["key", "p", "q"]).indices.items():
+        own = rows.iloc[at].sort_values("id")
+        ids, n, group = (own[c].to_numpy(np.int64) for c in ("id", "n", "root"))
+        starts = np.cumsum(n) - n
+        items = np.unique(np.concatenate(own["grams"].tolist()), return_inverse=True)[1]
+        mark = np.zeros(items.max() + 1, bool)
+        for k, near in enumerate(own["near"]):
+            others = np.searchsorted(ids, np.frombuffer(near, np.int64))
+            others = others[group[others] != group[k]]
+            if not len(others):
+                continue
+            mine, sizes = items[starts[k] : starts[k] + n[k]], n[others]
+            mark[mine] = True
+            first = np.cumsum(sizes) - sizes
+            common = np.add.reduceat(mark[items[np.arange(sizes.sum()) + np.repeat(starts[others] - first, sizes)]], first, dtype=np.int64)
+            mark[mine] = False
+            for b, both in zip(others.tolist(), common.tolist(), strict=True):
+                if (100 + percent) * both >= percent * (n[k] + n[b]) and group[b] != group[k]:
+                    group[group == group[b]] = group[k]
+                    x, y = min(k, b), max(k, b)
+                    out.append((ids[x], ids[y], n[x], n[y], both))
+    return pd.DataFrame(out, columns=["a", "b", "na", "nb", "common"])
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, wide: int = WIDE) -> tuple[DataFrame, DataFrame]:
     """Groups of documents linked by word n-gram sets with 100 * |intersection| >= percent * |union|.
 
@@ -174,10 +205,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, wide: in
     2. Bands of registers propose pairs; how many bands there are depends on the size of the sets (see ``levels``), so small
        sets that link always share bands, and of large ones at the limit about one pair in 200,000 shares none.
     3. A key first links its documents to one only, that with most company in all its keys. Then those of a key that are not
-       connected yet are compared by their sketches, blockwise within a task: only pairs that may reach the limit leave it. A
-       key of over ``wide`` documents is compared by pairs of parts, each in a task of its own.
+       connected yet are compared by their sketches, blockwise within a task. A key of over ``wide`` documents or WIDE_ITEMS
+       n-grams is compared by pairs of parts, each in a task of its own.
     4. Estimates, with the expected chance agreements taken off, pass over pairs that lie 4 standard errors below the limit;
-       the rest is confirmed on full sets, so every link returned is exact.
+       the rest is confirmed on full sets, so every link returned is exact. Of a key's documents each one's set is fetched
+       once and all its pairs are confirmed blockwise too: what is shuffled grows with documents, not with pairs.
 
     Null or empty texts have no n-grams and no links, and are their own component; a text with fewer words than ``words`` has one
     n-gram. Rows without a doc_id are kept with null ids; a doc_id that comes with several different texts gives one row with
@@ -217,16 +249,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, wide: in
     roots = components(links)
 
     rooted = banded.select("key", "id", "n").join(roots.withColumnRenamed("root", "found"), "id", "left").select("key", "id", "n", F.coalesce("found", "id").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    mixed = rooted.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("items"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
     # large keys in parts, and every pair of parts
-    parts = F.ceil(F.col("size") / F.lit(wide)).cast("int")
+    parts = F.ceil(F.greatest(F.col("size") / F.lit(wide), F.col("items") / F.lit(WIDE_ITEMS))).cast("int")
     open_ = rooted.join(mixed.select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    open_ = stash(open_.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "id", "n", "root"), "open")
+    open_ = stash(open_.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "id", "n", "root"), "open")
+    dealt = lambda buckets: F.pmod(F.xxhash64("key", "p", "q"), F.lit(buckets)).alias("bucket")
     buckets = max(partitions(docs.sparkSession), open_.count() // BUCKET_ROWS)
-    dealt = F.pmod(F.xxhash64("key", "p", "q"), F.lit(buckets)).alias("bucket")
-    met = open_.join(sketches.select("id", "regs"), "id").groupBy(dealt).applyInPandas(lambda x: _meet(x, percent), "a long, b long, na long, nb long")
-    more = stash(confirmed(met.distinct().join(star, ["a", "b"], "left_anti")), "links")
+    met = stash(open_.join(sketches.select("id", "regs"), "id").groupBy(dealt(buckets)).applyInPandas(lambda x: _meet(x, percent), _NEAR), "met")
+    buckets = max(partitions(docs.sparkSession), (met.agg(F.sum("n")).first()[0] or 0) // WIDE_ITEMS)
+    wanted = stash(classes.withColumnRenamed("id", "doc_id").join(met.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "wanted")
+    sets = cut_sets(texts, small(wanted), words, segments=1).select(F.col("doc_id").alias("id"), "grams")
+    more = stash(met.join(sets, "id").groupBy(dealt(buckets)).applyInPandas(lambda x: _confirm(x, percent), "a long, b long, na long, nb long, common long").distinct(), "links")
     links = links.unionByName(more)
     if more.limit(1).count():
         roots = components(links)
