@@ -579,6 +579,30 @@ def test_packing(spark):
     assert [r["doc_id"] for r in packing.pack_documents(docs(spark, "x", ids=[None])).collect()] == [None]
 
 
+ODD_TEXTS = ["", " ", "\n", "Été ÉTÉ, été; E\u0301te\u0301. ÀÖØÞ ßÿ÷×", "don't 'S o'Neil's", "a.b, ..., a... (a), a,)\u0301 a,\u0301", "x\x00y z\t\ty\u00a0z\r", "ΣΑΣ σας, Ωmega", "İstanbul ŉ œuvre, Œuvre", "文字 文字, ！ 😀😀 ٣4½", "<|endoftext|> a<|endoftext|>", "ĳ ﬁx ǅ ǅa"]
+
+
+def test_packing_ids_are_the_tokenizers(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 20)
+    words = packing.WordEncoder(packing.default_tokenizer())
+    assert words.encode([]) == []
+    rng = np.random.default_rng(5)
+    signs = list("aébcßÉZœσ  \n.,;:!?%#*$&|'-0")
+    texts = [*ODD_TEXTS, *("".join(rng.choice(signs, size=40)) for _ in range(300))]
+    for k in range(0, len(texts), 30):
+        for t, found in zip(texts[k : k + 30], words.encode(texts[k : k + 30]), strict=True):
+            assert found.tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_packing_words_are_learnt_once_whatever_follows_them():
+    words = packing.WordEncoder(packing.default_tokenizer())
+    calls, tokenize = [], words.tokenize
+    words.tokenize = lambda w: calls.append(w) or tokenize(w)
+    words.encode(["word word, word. été", "Word; ÉTÉ! Été"])
+    words.encode(["word? word... été|"])
+    assert len(calls) == len(words.known) == 2
+
+
 def test_packing_ranges_stay_small_at_any_size(spark, monkeypatch):
     monkeypatch.setattr(packing, "RANGE_TOKENS", 2000)
     df = docs(spark, *[sentence(k % 700, 60) for k in range(2000)])

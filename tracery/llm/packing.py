@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,8 +23,10 @@ RANGE_TOKENS = 3_000_000
 DIMS, BITS, TIE_BITS = 4, 10, 23
 #: Signs that end a word's letters for the tokenizer.
 SIGNS = b".,;:!?%#*$&|"
+#: Letters in composed form that Arrow tells from the rest and lower-cases as the tokenizer does; others are tested one by one.
+LETTERS = "[a-zÀ-ÖØ-öø-ÿ]"
 #: Words whose ids a worker remembers, twice at most.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 150_000
 
 
 def default_tokenizer() -> str:
@@ -50,42 +54,65 @@ def _letters(word: bytes) -> str | None:
     return None
 
 
+#: The same by position, for letters; a line's end stays one.
+_LETTER_CHARACTERS = np.array([10 if b == 10 else _BYTE_CHARACTERS[b] for b in range(256)], "<u2")
+
+
+def _laid(codes: np.ndarray, ends: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the entries in ``order`` end to end, and where each ends; entry k is ``codes`` up to ``ends[k]``."""
+    sizes = np.diff(ends, prepend=0)
+    n = sizes[order]
+    stops = np.cumsum(n)
+    return codes[np.arange(stops[-1]) + np.repeat(ends[order] - stops, n)], stops
+
+
+def _listed(values: pa.Array) -> list:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordEncoder:
     """Ids of texts as a Hugging Face tokenizer that drops white space and lower-cases gives them.
 
     Such a tokenizer treats each run between blanks on its own, so runs are encoded once and looked up
     afterwards. A run of letters and then signs is two parts to it, and letters alone go straight to its merges.
+    Arrow finds a batch's distinct runs and their parts; only distinct words are looked up, and ids are laid out by position.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {b"": b""}
+        self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.tokenize = self.tokenizer.model.tokenize
         self.signs: dict[bytes, bytes] = {}
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _codes(self, words: list[bytes], plain: list[bool]) -> list[bytes]:
+        """The ids of each word; ``plain`` ones are letters that need no test."""
         if len(self.known) > CACHE_WORDS:
-            self.known, self.older = {b"": b""}, self.known
-        words = words.difference(self.known)
-        again = words & self.older.keys()
-        self.known.update({w: self.older[w] for w in again})
-        known, odd = self.known, []
-        for word in words - again:
-            base = word.rstrip(SIGNS)
-            text = base.decode() if base.isalpha() else _letters(base)
-            if not text:
-                odd.append(word)
-                continue
-            code = known.get(base)
+            self.known, self.older = {}, self.known
+        known, fresh, odd = self.known, [], []
+        for word, simple, code in zip(words, plain, map(known.get, words), strict=True):
             if code is None:
-                code = known[base] = array("I", [t.id for t in self.tokenize(text)]).tobytes()
-            if len(base) < len(word):
-                known[word] = code + self._sign(word[len(base) :])
-        for word, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False), strict=True):
+                code = self.older.get(word)
+                if code is not None:
+                    known[word] = code
+                else:
+                    (fresh if simple else odd).append(word)
+        texts = _LETTER_CHARACTERS[np.frombuffer(b"\n".join(fresh), "u1")].tobytes().decode("utf-16-le").split("\n")
+        for word, text in zip(fresh, texts if fresh else [], strict=True):
+            known[word] = array("I", [t.id for t in self.tokenize(text)]).tobytes()
+        mixed = []
+        for word in odd:
+            base = word.rstrip(SIGNS)
+            text = _letters(base)
+            if text:
+                known[word] = array("I", [t.id for t in self.tokenize(text)]).tobytes() + self._sign(word[len(base) :])
+            else:
+                mixed.append(word)
+        for word, e in zip(mixed, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in mixed], add_special_tokens=False), strict=True):
             known[word] = array("I", e.ids).tobytes()
+        return list(map(known.__getitem__, words))
 
     def _sign(self, signs: bytes) -> bytes:
         if signs not in self.signs:
@@ -95,10 +122,22 @@ class WordEncoder:
         return self.signs[signs]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        runs = [t.encode("utf-8", "replace").lower().replace(b"\n", b" ").split(b" ") for t in texts]
-        self._learn(set().union(*runs))
-        look = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(look, r)), "<u4") for r in runs]
+        if not texts:
+            return []
+        clean = pa.array([t.encode("utf-8", "replace").lower().replace(b"\n", b" ") for t in texts], pa.large_binary()).cast(pa.large_string())
+        lists = pc.split_pattern(clean, " ")
+        runs = lists.flatten().dictionary_encode()
+        parts = pc.extract_regex(runs.dictionary, f"^(?P<base>{LETTERS}+)(?P<signs>[{SIGNS.decode()}]*)$")
+        base = pc.coalesce(pc.utf8_lower(pc.struct_field(parts, "base")), runs.dictionary).dictionary_encode()
+        signs = pc.fill_null(pc.struct_field(parts, "signs"), "").dictionary_encode()
+        codes = self._codes(_listed(base.dictionary.cast(pa.large_binary())), _listed(pc.match_substring_regex(base.dictionary, f"^{LETTERS}+$")))
+        words = len(codes)
+        codes += [self._sign(x) for x in _listed(signs.dictionary.cast(pa.large_binary()))]
+        # ids of the distinct runs, each a word and its signs, then of all runs
+        both = np.stack([base.indices.to_numpy(), signs.indices.to_numpy() + words], axis=1).ravel()
+        ids, ends = _laid(np.frombuffer(b"".join(codes), "<u4"), np.cumsum([len(c) >> 2 for c in codes]), both)
+        ids, ends = _laid(ids, ends[1::2], runs.indices.to_numpy())
+        return np.split(ids, ends[lists.offsets.to_numpy()[1:-1] - 1])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
