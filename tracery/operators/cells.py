@@ -81,6 +81,51 @@ def row_keys(names: tuple[str, ...] = EXTENT) -> Column:
     return let(_shares(names), lambda e: F.when(e.isNotNull(), let(_level(e), lambda n: keys(e, n))))
 
 
+def home_keys(names: tuple[str, ...] = EXTENT) -> Column:
+    """array of keys by which a row meets ``meeting_keys`` once at most: the cell of its lower left corner at each even level at which
+    it is in at most two columns and two rows, and the deepest of these as a negative number. NULL without an extent."""
+
+    def keys(e: Column, level: Column) -> Column:
+        corner = lambda n: cell(n, _step(e["u0"], n), _step(e["v0"], n))
+        own = reduce(lambda found, n: F.when(level >= n, -1 - corner(n)).otherwise(found), _EVEN[1:], -1 - corner(0))
+        return F.filter(F.array(*[F.when(level >= n, corner(n)) for n in _EVEN], own), lambda k: k.isNotNull())
+
+    return let(_shares(names), lambda e: F.when(e.isNotNull(), let(_level(e), lambda n: keys(e, n))))
+
+
+def meeting_keys(names: tuple[str, ...] = EXTENT) -> Column:
+    """array of the keys of all rows whose extents meet that of a shape: at the deepest even level at which the shape is in at most five
+    columns and five rows those of rows that are in two of each or less, and at the levels above, as negative numbers, those of
+    rows that are too large for it. NULL without an extent."""
+
+    def block(e: Column, n: int) -> Column:
+        # a row may begin in the cell before
+        side = lambda low, high: F.sequence(F.greatest(_step(e[low], n) - 1, F.lit(0).cast("bigint")), _step(e[high], n))
+        return F.flatten(F.transform(side("u0", "u1"), lambda x: F.transform(side("v0", "v1"), lambda y: cell(n, x, y))))
+
+    def keys(e: Column, span: Column) -> Column:
+        level = reduce(lambda found, n: F.when(span <= 4 * 2.0**-n, F.lit(n)).otherwise(found), _EVEN[1:], F.lit(0))
+        none = F.array().cast("array<bigint>")
+        fine = reduce(lambda found, n: F.when(level == n, block(e, n)).otherwise(found), _EVEN[1:], block(e, 0))
+        return F.concat(fine, *[F.when(level > n, F.transform(block(e, n), lambda k: -1 - k)).otherwise(none) for n in _EVEN[:-1]])
+
+    return let(_shares(names), lambda e: F.when(e.isNotNull(), keys(e, F.greatest(e["u1"] - e["u0"], e["v1"] - e["v0"]))))
+
+
+def extent_of(location: Column) -> Column:
+    """struct(min_lon, min_lat, max_lon, max_lat) of a GeoJSON shape; NULL for what is no shape."""
+
+    def one(v):
+        try:
+            points = np.concatenate([r for _, rings in parts_of(json.loads(v)) for r in rings])
+            return dict(zip(EXTENT, [*points.min(axis=0).tolist(), *points.max(axis=0).tolist()], strict=True))
+        except (ValueError, KeyError, TypeError, IndexError):
+            return dict.fromkeys(EXTENT)
+
+    kind = T.StructType([T.StructField(n, T.DoubleType()) for n in EXTENT])
+    return F.pandas_udf(lambda s: pd.DataFrame([one(v) for v in s], columns=list(EXTENT), dtype=float), kind)(location)
+
+
 def cover(parts: list, most: int = CELLS) -> list[tuple[int, int, int, bool]]:
     """Cells (level, column, row, lies within the shape) that together hold all of a shape within the world: cells at its
     border are cut in 16 until there would be too many."""

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import cells
-from .planar import canonical_form, parts_of, relate, relate_parts
+from . import blocks, cells
+from .planar import canonical_form, parts_of, relate
+from .shared import modest_batches
 
 EARTH_RADIUS = 6_371_008.8
 
@@ -161,7 +162,8 @@ def candidate_pairs(df: DataFrame, shapes: DataFrame, key: str = "entity_id", sh
     given = given.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), shape_key)
     covers = given.select(shape_key, F.xxhash64("location").alias("_shape"), F.explode(cells.cover_keys(F.col("location"), most)).alias("_c"))
     covers = covers.select(shape_key, "_shape", F.col("_c.key").alias("_cell"), F.col("_c.inner").alias("_inner"), *[F.col(f"_c.{n}").alias(f"_{n}") for n in ("x0", "y0", "x1", "y1")])
-    met = rows.join(covers, F.col("_key") == F.col("_cell"))
+    # the size of covers is not known before they are made, so they may not be taken for small and sent to the driver
+    met = rows.hint("merge").join(covers, F.col("_key") == F.col("_cell"))
     met = met.where("max_lon >= _x0 - 1e-9 and min_lon <= _x1 + 1e-9 and max_lat >= _y0 - 1e-9 and min_lat <= _y1 + 1e-9")
     within = F.bit_or(F.when(F.col("_inner"), F.col("_mask")).otherwise(0))
     return met.groupBy(key, "_row", shape_key, "_shape").agg((F.bool_and(F.coalesce("_world", F.lit(False))) & (within == 15)).alias("sure"))
@@ -171,36 +173,27 @@ def geo_join(df: DataFrame, shapes: DataFrame, relation: str, key: str = "entity
     """(key, shape_key): rows whose location is coveredBy or intersects a shape of another table, each pair once.
 
     Both tables have a GeoJSON ``location``, the rows also its extent; the shapes may have holes and several parts (each part
-    of a row must lie in one of them). Candidates come from a join on cells; a hot cell is a skewed key of that join, which
-    adaptive execution splits. Only pairs that cells leave open are fetched with their geometry and tested by Arrow batches.
-    Rows or shapes that are NULL, unreadable or without an extent are in no pair."""
+    of a row must lie in one of them). Rows and shapes of a cell are laid in blocks of bounded size and blocks are joined by their
+    cell, so that a row meets a shape once at most; numpy compares block with block (``blocks``). Pairs of blocks are dealt out
+    evenly, also those of a hot cell. Rows or shapes that are NULL, unreadable or without an extent are in no pair."""
     if relation not in ("coveredBy", "intersects"):
         raise ValueError(f"no join by {relation!r}")
     if key == shape_key:
         raise ValueError("the ids of rows and shapes need names of their own")
-    pairs = candidate_pairs(df, shapes, key, shape_key)
-    found = df.where("location is not null").select(key, F.xxhash64("location").alias("_row"), F.col("location").alias("_a"))
-    given = shapes.where("location is not null").select(shape_key, F.xxhash64("location").alias("_shape"), F.col("location").alias("_b"))
-
-    def test(rows: pd.Series, queries: pd.Series) -> pd.Series:
-        read: dict = {}
-
-        def parts(v):
-            if v not in read:
-                try:
-                    read[v] = parts_of(json.loads(v))
-                except (ValueError, KeyError, TypeError, IndexError):
-                    read[v] = []
-            return read[v]
-
-        return pd.Series([bool(a and b) and relate_parts(relation, parts(a), parts(b)) for a, b in zip(rows, queries, strict=True)], dtype=object)
-
-    # one pass over the pairs: those that are sure meet no geometry
-    fetched = pairs.withColumns({"_k": F.when(~F.col("sure"), F.col(key)), "_s": F.when(~F.col("sure"), F.col(shape_key))})
-    fetched = fetched.join(found.distinct().withColumnsRenamed({key: "_k"}), ["_k", "_row"], "left").join(given.distinct().withColumnsRenamed({shape_key: "_s"}), ["_s", "_shape"], "left")
-    # tests are much work for few bytes
-    fetched = fetched.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
-    return fetched.where(F.col("sure") | F.pandas_udf(test, T.BooleanType())("_a", "_b")).select(key, shape_key).distinct()
+    modest_batches(df.sparkSession)
+    # comparing is much work for few bytes, so a fixed number of tasks shares it
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    given = shapes.where("location is not null").select(F.col(shape_key), "location").repartition(n, shape_key).distinct()
+    given = given.withColumn("_e", cells.extent_of(F.col("location"))).select(shape_key, "location", *[F.col(f"_e.{c}").alias(f"_{c}") for c in cells.EXTENT])
+    given = given.select(shape_key, "location", F.explode(cells.meeting_keys(tuple(f"_{c}" for c in cells.EXTENT))).alias("_k"))
+    rows = df.where("location is not null").select(F.col(key), "location", *cells.EXTENT).distinct()
+    rows = rows.select(key, "location", F.explode(cells.home_keys()).alias("_k"))
+    # sizes are not known before the keys are, so no side may be taken for small and sent to the driver
+    rows = rows.hint("merge").join(given.select("_k").distinct(), "_k", "left_semi").sortWithinPartitions("_k")
+    own = blocks.in_blocks(rows, key, blocks.ROWS, "_r")
+    others = blocks.in_blocks(given.repartition(n, "_k").sortWithinPartitions("_k"), shape_key, blocks.SHAPES, "_s")
+    met = own.hint("merge").join(others, "_k").repartition(n, "_r_id", "_s_id")
+    return blocks.compare(met, relation, key, shape_key).distinct()
 
 
 def geo_near_join(df: DataFrame, points: DataFrame, max_metres: float, key: str = "entity_id", point_key: str = "point_id", centroid: str = "centroid") -> DataFrame:

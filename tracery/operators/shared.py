@@ -25,3 +25,9 @@ def stored(df: DataFrame) -> DataFrame:
     path = workspace(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def modest_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """From now on rows go to Python workers so many bytes at a time, unless the session has a limit of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
