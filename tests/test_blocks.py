@@ -26,6 +26,10 @@ def test_no_side_of_the_join_goes_to_the_driver_covered_by(spark):
     no_broadcast(spark, "coveredBy")
 
 
+def test_no_side_of_the_join_goes_to_the_driver_intersects(spark):
+    no_broadcast(spark, "intersects")
+
+
 @pytest.mark.parametrize("relation", ["coveredBy", "intersects"])
 def test_blocks_against_the_exact_test(relation):
     r = np.random.default_rng(11)
