@@ -186,23 +186,41 @@ def _write_rows(rows: DataFrame, path: str, entity_type: str, files: int) -> str
     return _write(dealt.sortWithinPartitions("_tenant", "_date", "entity_id", "time_index"), _base(path, "data", entity_type), ("_tenant", "_date"))
 
 
+def _part(entity_type: Column) -> Column:
+    """One of few folders for a type's staged rows."""
+    return F.pmod(F.xxhash64(entity_type), F.lit(32)).cast("int")
+
+
 def ingest_bodies(spark: SparkSession, path: str, bodies: DataFrame, stream: str | None = None, batch_id: int = 0, custom: str | None = None, files: int = 4) -> dict:
     """Commit a batch of notification bodies (``body``, and if there are such columns ``path_header`` and ``tenant``): typed rows
     by entity type, new columns of the catalog, rejected entities and refused bodies, all in one version.
 
     A batch of a ``stream`` that the manifest has already is left alone, so it may be run again after a crash at any point. If
-    another writer came first, columns that it added keep its types, and this batch's rows are cast anew where that matters."""
+    another writer came first, columns that it added keep its types, and this batch's rows are cast anew where that matters.
+    What several passes read is staged in a folder of the store (not cached: rows of many attributes are wide) that goes at the end."""
     judged = steps.judge_bodies(bodies)
     batch = f"{stream or uuid.uuid4().hex}-{batch_id}"
     tenant = F.lower("tenant") if "tenant" in bodies.columns else F.lit(None).cast("string")
     found = steps.ingest(judged.where("refusal is null"), custom).withColumn("tenant", tenant)
-    found = found.select("position", "tenant", "entity_type", "entity_id", "fiware_servicepath", "time_index", "attrs", "entity", "error").persist()
-    good, bad = steps.split_rejected(found, batch)
+    # an entity is kept whole only where it goes to the dead letters
+    raw = F.when(F.col("error").isNotNull(), F.to_json("entity")).alias("raw_entity")
+    found = found.select("position", "tenant", "entity_type", "entity_id", "fiware_servicepath", "time_index", "attrs", raw, "error", _part(F.col("entity_type")).alias("_part"))
+    staged = f"{path}/staged/_commit={uuid.uuid4().hex}"
+    rows_of: dict = {}
+
+    def staged_rows() -> DataFrame:
+        if not rows_of:
+            found.write.partitionBy("_part").parquet(staged)
+            # of no rows there are no files that tell the columns
+            rows_of["all"] = spark.read.schema(found.schema).parquet(staged)
+        return rows_of["all"]
+
     written: dict = {}
 
     def change(state: dict) -> dict | None:
         if stream is not None and state["streams"].get(stream, -1) >= batch_id:
             return None
+        good, bad = steps.split_rejected(staged_rows(), batch)
         known = read_catalog(spark, path, state)
         if "columns" not in written:
             written["columns"] = steps.infer_schema(good).persist()
@@ -217,7 +235,7 @@ def ingest_bodies(spark: SparkSession, path: str, bodies: DataFrame, stream: str
         keep = ("tenant", "entity_type", "entity_id", "fiware_servicepath", "time_index")
         for kind, schema in schemas.items():
             if written.get(kind, (None,))[0] != schema:
-                rows = steps.pivot_attributes(good.where(F.col("entity_type") == kind), schema, keep)
+                rows = steps.pivot_attributes(good.where((F.col("_part") == _part(F.lit(kind))) & (F.col("entity_type") == kind)), schema, keep)
                 rows = rows.toDF(*keep, *[_stored_name(c) for c, _, _ in schema])
                 written[kind] = schema, _write_rows(rows, path, kind, files)
             state["tables"].setdefault(kind, {"data": [], "deletes": []})["data"].append(written[kind][1])
@@ -232,7 +250,8 @@ def ingest_bodies(spark: SparkSession, path: str, bodies: DataFrame, stream: str
     try:
         return commit(spark, path, change)
     finally:
-        found.unpersist()
+        p, fs = _path(spark, staged)
+        fs.delete(p, True)
         if "columns" in written:
             written["columns"].unpersist()
 
@@ -324,7 +343,7 @@ def vacuum(spark: SparkSession, path: str, keep: int = 1, seconds: float = 7 * 8
         fs.delete(p, False)
     states = [snapshot(spark, path, v) for v in all_[-keep:]]
     named = {c for s in states for k in ("catalog", "dead", "refused") for c in s[k]} | {c for s in states for t in s["tables"].values() for k in ("data", "deletes") for c in t[k]}
-    tops = [f"{path}/{k}" for k in ("catalog", "dead", "refused")] + [str(f.getPath()) for k in ("data", "deletes") for f in _children(spark, f"{path}/{k}")]
+    tops = [f"{path}/{k}" for k in ("catalog", "dead", "refused", "staged")] + [str(f.getPath()) for k in ("data", "deletes") for f in _children(spark, f"{path}/{k}")]
     gone = 0
     for top in tops:
         for f in _children(spark, top):
