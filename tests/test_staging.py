@@ -42,3 +42,17 @@ def test_batch_is_not_cached(spark, tmp_path, cached):
     store.ingest_bodies(spark, f"{tmp_path}/s", spark.createDataFrame([(b,) for b in bodies()], "body string"))
     check(spark, f"{tmp_path}/s", cached)
     assert store.read_refused(spark, f"{tmp_path}/s").count() == 1
+
+
+@pytest.fixture
+def streamed(spark, tmp_path, cached):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("\n".join(bodies()))
+    jobs.stream_ingest(spark, f"{tmp_path}/in", f"{tmp_path}/s", f"{tmp_path}/log").awaitTermination()
+    return f"{tmp_path}/s"
+
+
+def test_dead_letters_of_a_stream_are_whole(spark, streamed, cached):
+    found = store.read_dead_letters(spark, streamed).collect()
+    assert max(cached) < 50_000 and len(found) == 500 and {r["error"] for r in found} == {"missing type"}
+    assert all(json.loads(r["raw_entity"])["id"] == r["entity_id"] and len(json.loads(r["raw_entity"])) == 22 for r in found)
