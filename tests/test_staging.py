@@ -56,3 +56,7 @@ def test_dead_letters_of_a_stream_are_whole(spark, streamed, cached):
     found = store.read_dead_letters(spark, streamed).collect()
     assert max(cached) < 50_000 and len(found) == 500 and {r["error"] for r in found} == {"missing type"}
     assert all(json.loads(r["raw_entity"])["id"] == r["entity_id"] and len(json.loads(r["raw_entity"])) == 22 for r in found)
+
+
+def test_rows_of_a_stream_are_not_cached(spark, streamed, cached):
+    check(spark, streamed, cached)
