@@ -60,3 +60,9 @@ def test_dead_letters_of_a_stream_are_whole(spark, streamed, cached):
 
 def test_rows_of_a_stream_are_not_cached(spark, streamed, cached):
     check(spark, streamed, cached)
+
+
+def test_attributes_of_a_stream_are_not_cached(spark, streamed, cached):
+    assert max(cached) < 50_000
+    rows = store.read_table(spark, streamed, "é").select("entity_id", *[f"x{k}" for k in range(20)]).collect()
+    assert {tuple(r) for r in rows} == {(f"e{i}", *[f"{i * 7919 + k * 104729:032d}" for k in range(20)]) for i in range(1, 2000, 4)}
