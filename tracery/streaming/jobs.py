@@ -15,6 +15,7 @@ from ..operators.ingest import parse_bodies
 from ..operators.query import KEY
 from ..sources import store
 
+_DELAY = "spark.watermarkDelayMs"
 _WIDTHS = {"second": "1 second", "minute": "1 minute", "hour": "1 hour", "day": "1 day"}
 
 
@@ -41,55 +42,21 @@ def stream_dead_letter(rejected: DataFrame, path: str, batch_id: int) -> None:
     rejected.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-class _CalendarSums(StatefulProcessor):
-    """Count, sum, minimum and maximum of one entity's calendar period, kept until the watermark has passed its end."""
-
-    def __init__(self, attr: str, value_type: T.DataType, total_type: T.DataType) -> None:
-        self.attr = attr
-        self.schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("total", total_type), T.StructField("least", value_type), T.StructField("most", value_type)])
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.sums = handle, handle.getValueState("sums", self.schema)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        *entity, start, end = key
-        # a period that is closed takes no late rows
-        if end.timestamp() * 1000 <= timerValues.getCurrentWatermarkInMs():
-            return
-        n, total, least, most = self.sums.get() if self.sums.exists() else (0, None, None, None)
-        for batch in rows:
-            values = batch[self.attr].dropna()
-            if len(values):
-                n += len(values)
-                total = values.sum().item() + (total or 0)
-                least, most = (f([x for x in (own, kept) if x is not None]) for f, own, kept in ((min, values.min().item(), least), (max, values.max().item(), most)))
-        self.sums.update((n, total, least, most))
-        self.handle.registerTimer(int(end.timestamp() * 1000))
-        yield pd.DataFrame([(*entity, start, n, total, least, most)], columns=[*KEY, "time_index", "n", "total", "least", "most"], dtype=object)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.sums.clear()
-        yield from ()
-
-    def close(self) -> None:
-        pass
-
-
 def stream_period_aggregate(rows: DataFrame, attr: str, period: str, late: str = "1 day") -> DataFrame:
-    """count, sum, min and max of an attribute by entity and period of a stream, as updates. The watermark closes periods and
-    drops their state: windows from second to day, and by timers at their ends months and years, which have no fixed length
-    (for these the session needs the RocksDB state store, see ``needs_keyed_state``)."""
+    """count, sum, min and max of an attribute by entity and period of a stream, as updates. The watermark closes periods at their
+    ends: the first batch that begins after that drops their state, and later ones take no rows of theirs. Seconds to days are windows of Spark; months and years,
+    which have no fixed length, are structs of start and end that carry the watermark as a window does."""
     marked = rows.withWatermark("time_index", late)
     values = [F.count(attr).alias("n"), F.sum(attr).alias("total"), F.min(attr).alias("least"), F.max(attr).alias("most")]
     if period in _WIDTHS:
         found = marked.groupBy(F.window("time_index", _WIDTHS[period]), *KEY).agg(*values)
         return found.select(*KEY, F.col("window.start").alias("time_index"), "n", "total", "least", "most")
     start = period_start(period, F.col("time_index"))
-    value_type = rows.schema[attr].dataType
-    total_type = T.LongType() if isinstance(value_type, T.IntegralType) else T.DoubleType()
-    own = marked.select(*KEY, start.alias("_start"), (start + F.make_ym_interval(F.lit(int(period == "year")), F.lit(int(period == "month")))).alias("_end"), attr, "time_index")
-    schema = T.StructType([*[T.StructField(k, T.StringType()) for k in KEY], T.StructField("time_index", T.TimestampType()), *_CalendarSums(attr, value_type, total_type).schema])
-    return own.groupBy(*KEY, "_start", "_end").transformWithStateInPandas(_CalendarSums(attr, value_type, total_type), schema, "Update", "EventTime")
+    end = start + F.make_ym_interval(F.lit(int(period == "year")), F.lit(int(period == "month")))
+    # Spark finds a key's end in its second field where the key has the delay of the watermark; it makes windows in the same way
+    whole = F.struct(start.alias("start"), end.alias("end")).alias("_period", metadata={_DELAY: marked.schema["time_index"].metadata[_DELAY]})
+    found = marked.where("time_index is not null").select(*KEY, whole, attr).groupBy("_period", *KEY).agg(*values)
+    return found.select(*KEY, F.col("_period.start").alias("time_index"), "n", "total", "least", "most")
 
 
 def needs_keyed_state(spark: SparkSession) -> None:
