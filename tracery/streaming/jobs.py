@@ -16,6 +16,8 @@ from ..operators.query import KEY
 from ..sources import store
 
 _DELAY = "spark.watermarkDelayMs"
+#: Entities are dealt to so many keys of the state; the number is fixed for a checkpoint.
+BUCKETS = 1024
 _WIDTHS = {"second": "1 second", "minute": "1 minute", "hour": "1 hour", "day": "1 day"}
 
 
@@ -65,35 +67,49 @@ def needs_keyed_state(spark: SparkSession) -> None:
 
 
 class _Newest(StatefulProcessor):
-    """The newest row of an entity; one that has been idle for long leaves the state."""
+    """The newest row of each entity of a bucket; one that has been idle for long leaves the state. A bucket's entities come in one
+    call, as a call costs milliseconds; each is a row of the state of its own, read and written only if it has updates."""
 
-    def __init__(self, schema: T.StructType, idle_ms: int) -> None:
-        self.schema, self.idle_ms = schema, idle_ms
+    def __init__(self, key: T.StructType, schema: T.StructType, idle_ms: int) -> None:
+        self.key, self.schema, self.idle_ms = key, schema, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.newest = handle, handle.getValueState("newest", self.schema)
+        self.handle, self.newest = handle, handle.getMapState("newest", self.key, self.schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = self.schema.names
-        kept = tuple(self.newest.get()) if self.newest.exists() else None
-        best = kept
+        names = [*KEY, *self.schema.names]
+        best: dict[tuple, tuple] = {}
         for batch in rows:
-            for row in batch[names].astype(object).where(batch[names].notna(), None).itertuples(index=False, name=None):
-                row = (row[0].to_pydatetime(), *row[1:])
-                if best is None or _order(row) > _order(best):
-                    best = row
-        if best != kept:
-            if kept is not None:
-                self.handle.deleteTimer(self._leaves(kept[0]))
-            self.newest.update(best)
-            self.handle.registerTimer(self._leaves(best[0]))
-            yield pd.DataFrame([(*key, *best)], columns=[*KEY, *names], dtype=object)
+            own = batch[names]
+            own = own[own["time_index"] == own.groupby(list(KEY), dropna=False)["time_index"].transform("max")]
+            for row in own.astype(object).where(own.notna(), None).itertuples(index=False, name=None):
+                entity, row = row[: len(KEY)], (row[len(KEY)].to_pydatetime(), *row[len(KEY) + 1 :])
+                if entity not in best or _order(row) > _order(best[entity]):
+                    best[entity] = row
+        held = self.newest.exists()
+        changed = []
+        for entity, row in best.items():
+            kept = self.newest.getValue(entity) if held else None
+            if kept is None or _order(row) > _order(tuple(kept)):
+                self.newest.updateValue(entity, row)
+                changed.append((*entity, *row))
+        for at in {self._looks(row[len(KEY)]) for row in changed}:
+            self.handle.registerTimer(at)
+        if changed:
+            yield pd.DataFrame(changed, columns=names, dtype=object)
 
     def _leaves(self, last) -> int:
         return int(last.timestamp() * 1000) + self.idle_ms
 
+    def _looks(self, last) -> int:
+        """When a bucket is looked through for an entity: not for each of its own, so up to a 32nd of ``idle`` later."""
+        step = max(self.idle_ms // 32, 1)
+        return -(-self._leaves(last) // step) * step
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.newest.clear()
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        for entity in [tuple(entity) for entity, row in self.newest.iterator() if self._leaves(row[0]) <= now]:
+            self.newest.removeKey(entity)
         yield from ()
 
     def close(self) -> None:
@@ -115,11 +131,13 @@ def merge_last(current: DataFrame, batch: DataFrame, attrs: list[str]) -> DataFr
 def stream_last_value(rows: DataFrame, attrs: list[str], path: str, checkpoint: str, idle: str = "30 days", late: str = "1 day") -> StreamingQuery:
     """Keep the last value of each entity of a stream: one row an entity in keyed state, where late rows lose; a batch writes the
     entities that changed only, under its id, so one that runs again replaces its own. An entity without updates for ``idle``
-    (and the watermark's ``late``) leaves the state, not the table; a row that comes after that is written again, and
+    (and the watermark's ``late``, and a little) leaves the state, not the table; a row that comes after that is written again, and
     ``read_last_value`` still takes the newest. The session needs the RocksDB state store (``needs_keyed_state``)."""
     marked = rows.select(*KEY, "time_index", *attrs).withWatermark("time_index", late)
     state = T.StructType([rows.schema[c] for c in ("time_index", *attrs)])
-    found = marked.groupBy(*KEY).transformWithStateInPandas(_Newest(state, _milliseconds(idle)), T.StructType([*[rows.schema[k] for k in KEY], *state]), "Update", "EventTime")
+    key = T.StructType([rows.schema[k] for k in KEY])
+    dealt = marked.withColumn("_bucket", F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS)))
+    found = dealt.groupBy("_bucket").transformWithStateInPandas(_Newest(key, state, _milliseconds(idle)), T.StructType([*key, *state]), "Update", "EventTime")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
